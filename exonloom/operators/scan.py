@@ -88,7 +88,7 @@ def value_blocks(df: DataFrame, keys: Sequence[str], value: str, blocks: int = 1
     """Add ``_vblock``: equal-width ranges between each key's smallest and largest value."""
     keys = list(keys)
     span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    joined = df.join(span, keys) if keys else df.crossJoin(F.broadcast(span))
+    joined = df.join(span, keys)
     width = (F.col("_hi") - F.col("_lo")) / F.lit(blocks)
     block = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width)).otherwise(F.lit(0))
     return joined.withColumn("_vblock", block.cast("bigint")).drop("_lo", "_hi")
