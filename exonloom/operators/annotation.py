@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exonloom.functions.sequence import gc_percent, strip_version
-from exonloom.operators.intervals import merge, subtract
+from exonloom.operators.intervals import merge, overlap_join, subtract
 from exonloom.operators.ranking import top_ties
 
 ID_COLUMNS = ("gene_id", "transcript_id", "exon_id")
@@ -162,7 +162,6 @@ def splice_sites(exons: DataFrame) -> DataFrame:
 
 def splice_site_regions(introns_df: DataFrame, five: int = 2, three: int = 2) -> DataFrame:
     """Donor and acceptor windows inside each intron, swapped on the minus strand."""
-    left = F.struct(F.col("start").alias("s"), F.col("start").alias("b"))
     minus = F.col("strand") == "-"
     donor = F.when(minus, F.struct((F.col("end") - five).alias("s"), F.col("end").alias("e"))).otherwise(
         F.struct(F.col("start").alias("s"), (F.col("start") + five).alias("e"))
@@ -189,7 +188,6 @@ def merged_exons(exons: DataFrame, by_gene: bool = True) -> DataFrame:
 def inverse_coordinates(
     transcripts: DataFrame,
     exons: DataFrame,
-    by_gene: bool = True,
     shrink_five: int = 0,
     shrink_three: int = 0,
     bin_width: int = 1 << 14,
@@ -197,7 +195,6 @@ def inverse_coordinates(
     """Transcript stretches without any exon, strand-aware shrunk; emptied ones are dropped.
 
     Exons of every gene and strand count, so the subtraction is keyed by chromosome alone.
-    The result carries the label of its cluster per gene (or per strand).
     """
     if shrink_five < 0 or shrink_three < 0:
         raise ValueError("only positive shrinking is allowed")
@@ -287,10 +284,6 @@ def tag_introns_in_utr(introns_df: DataFrame, regions: DataFrame, utr: str) -> D
 
 def labelled_regions(regions: DataFrame, gene: str = "gene_name") -> DataFrame:
     """BED rows named ``region_transcript_gene`` with the ordinal of the region as score."""
-    parts = [
-        F.transform(F.array_compact(F.array(u)), lambda x: F.struct(F.lit(u).alias("region"), x["start"].alias("start"), x["end"].alias("end")))
-        for u in ("utr5", "utr3")
-    ]
     exploded = []
     for region, column in (("utr5", F.array_compact(F.array("utr5"))), ("utr3", F.array_compact(F.array("utr3"))),
                            ("exon", F.col("exons")), ("CDS", F.col("cds")), ("intron", F.col("introns"))):
@@ -378,7 +371,11 @@ def top_known(known: DataFrame, keys: Sequence[str], tie: Sequence[str]) -> Data
 # ---------------------------------------------------------------- novel exons
 
 def insert_exons(
-    new: DataFrame, exons: DataFrame, gene: str = "gene_id", top_only: bool = True
+    new: DataFrame,
+    exons: DataFrame,
+    gene: str = "gene_id",
+    top_only: bool = True,
+    bin_width: int = 1 << 14,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Put novel exons into every transcript of their gene that can hold them.
 
@@ -395,18 +392,26 @@ def insert_exons(
         gene, "transcript_id", "chrom", "strand", "rank_score",
         F.col("start").alias("_s"), F.col("end").alias("_e"),
     )
-    candidates = new.join(body, [gene, "chrom", "strand"])
-    keys = [*new.columns, "transcript_id"]
-    flanks = candidates.groupBy(*keys).agg(
-        F.first("rank_score").alias("rank_score"),
-        F.min("_s").alias("_lo"), F.max("_e").alias("_hi"),
-        F.max(F.when(F.col("_e") <= F.col("start"), F.col("_e"))).alias("before_end"),
-        F.min(F.when(F.col("_s") >= F.col("end"), F.col("_s"))).alias("after_start"),
-    )
-    fits = flanks.filter(
-        (F.col("_lo") < F.col("end")) & (F.col("start") < F.col("_hi"))
-        & (F.col("before_end") < F.col("start")) & (F.col("after_start") > F.col("end"))
-    ).drop("_lo", "_hi")
+    spans = body.groupBy(gene, "chrom", "strand", "transcript_id", "rank_score").agg(
+        F.min("_s").alias("start"), F.max("_e").alias("end"),
+        F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_e").alias("e"))).alias("parts"),
+    )
+    # Only transcripts that span the exon are met; the search is inside each one's exon array.
+    met = overlap_join(new, spans, [gene, "chrom", "strand"], bin_width)
+    before = F.array_max(
+        F.transform(F.filter("parts_b", lambda x: x["e"] <= F.col("start")), lambda x: x["e"])
+    )
+    after = F.array_min(
+        F.transform(F.filter("parts_b", lambda x: x["s"] >= F.col("end")), lambda x: x["s"])
+    )
+    fits = (
+        met.select(
+            *new.columns, F.col("transcript_id_b").alias("transcript_id"),
+            F.col("rank_score_b").alias("rank_score"),
+            before.alias("before_end"), after.alias("after_start"),
+        )
+        .filter((F.col("before_end") < F.col("start")) & (F.col("after_start") > F.col("end")))
+    )
     named = fits.withColumnRenamed("transcript_id", "base_transcript_id").withColumn(
         "transcript_id",
         F.concat_ws("_", "base_transcript_id", F.substr(F.md5("exon_id"), F.lit(1), F.lit(8))),
