@@ -87,8 +87,17 @@ def position_block(position: Column | str, width: int = DEFAULT_BLOCK) -> Column
 def value_blocks(df: DataFrame, keys: Sequence[str], value: str, blocks: int = 1024) -> DataFrame:
     """Add ``_vblock``: equal-width ranges between each key's smallest and largest value."""
     keys = list(keys)
+    if not keys:
+        raise ValueError("value_blocks needs a key; use with_key for a whole table")
     span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     joined = df.join(span, keys)
     width = (F.col("_hi") - F.col("_lo")) / F.lit(blocks)
     block = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width)).otherwise(F.lit(0))
     return joined.withColumn("_vblock", block.cast("bigint")).drop("_lo", "_hi")
+
+
+def with_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], bool]:
+    """``df`` with a constant key when none is given, so that whole tables use the same plans."""
+    if keys:
+        return df, list(keys), False
+    return df.withColumn("_all", F.lit(0)), ["_all"], True

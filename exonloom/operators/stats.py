@@ -12,19 +12,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from exonloom.operators.scan import Running, prefix_scan, value_blocks
+from exonloom.operators.scan import Running, prefix_scan, value_blocks, with_key
 
 
 # ---------------------------------------------------------------- ranks and quantiles
 
 def value_counts_before(df: DataFrame, keys: Sequence[str], value: str, blocks: int = 1024) -> DataFrame:
     """``(keys, value, n, before)``: copies of each value and rows of its group below it."""
-    keys = list(keys)
+    df, keys, whole = with_key(df, keys)
     n = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     blocked = value_blocks(n, keys, value, blocks)
     return prefix_scan(
         blocked, keys, F.col("_vblock"), [value], [Running("before", "sum", F.col("n"))]
-    ).drop("_vblock")
+    ).drop("_vblock", *(["_all"] if whole else []))
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "avg_rank", blocks: int = 1024) -> DataFrame:
@@ -39,7 +39,7 @@ def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], blocks: int = 1024
 ) -> DataFrame:
     """Linearly interpolated quantiles ``(keys, p, quantile)``, exact at any size."""
-    keys = list(keys)
+    df, keys, whole = with_key(df, keys)
     counted = value_counts_before(df, keys, value, blocks)
     totals = counted.groupBy(*keys).agg(F.sum("n").alias("_total"))
     asked = counted.join(totals, keys).withColumn(
@@ -52,17 +52,19 @@ def exact_quantiles(
         F.max(F.when(holds(F.ceil(h)), F.col(value))).alias("_hi"),
         F.first(h - F.floor(h)).alias("_w"),
     )
-    return ends.select(*keys, "p", (F.col("_lo") + F.col("_w") * (F.col("_hi") - F.col("_lo"))).alias("quantile"))
+    return ends.select(*([] if whole else keys), "p", (F.col("_lo") + F.col("_w") * (F.col("_hi") - F.col("_lo"))).alias("quantile"))
 
 
 def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int, name: str = "quantile_bin") -> DataFrame:
     """Right-closed quantile bins 0.. with repeated edges dropped (the lowest value is in bin 0)."""
-    keys = list(keys)
+    df, keys, whole = with_key(df, keys)
     edges = exact_quantiles(df, keys, value, [i / bins for i in range(bins + 1)]).groupBy(*keys).agg(
         F.array_sort(F.collect_set("quantile")).alias("_edges")
     )
     below = lambda v: F.size(F.filter(F.slice("_edges", 2, bins + 1), lambda e: v > e))
-    return df.join(edges, keys).withColumn(name, below(F.col(value)).cast("bigint")).drop("_edges")
+    return df.join(edges, keys).withColumn(name, below(F.col(value)).cast("bigint")).drop(
+        "_edges", *(["_all"] if whole else [])
+    )
 
 
 def fixed_bin(distance: Column | str, width: int) -> Column:
@@ -87,7 +89,7 @@ def mean_interval(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def profile(df: DataFrame, keys: Sequence[str], position: str, value: str, bins: int) -> DataFrame:
     """Mean and interval of ``value`` per quantile bin of ``position`` within the keys."""
-    binned = quantile_bins(df, [], position, bins) if not keys else quantile_bins(df, keys, position, bins)
+    binned = quantile_bins(df, keys, position, bins)
     return mean_interval(binned, [*keys, "quantile_bin"], value)
 
 
@@ -244,7 +246,7 @@ def binomial_test(counts: DataFrame, successes: str, total: str) -> DataFrame:
 
 def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, first: str, value: str, p_values: bool = True) -> DataFrame:
     """U of one group against the rest, from average ranks, with tie-corrected normal p-values."""
-    keys = list(keys)
+    df, keys, whole = with_key(df, keys)
     rows = df.filter(F.col(value).isNotNull())
     ranked = _pooled_ranks(rows, keys, group, first, value)
     sums = ranked.groupBy(*keys).agg(
@@ -254,6 +256,7 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, first: str, val
     )
     n1, n2 = F.col("n1"), F.col("n2")
     out = sums.filter((n1 > 0) & (n2 > 0)).withColumn("u", F.col("rank_sum") - n1 * (n1 + 1) / 2)
+    out = out.drop("_all") if whole else out
     if not p_values:
         return out.drop("_ties")
     n = n1 + n2
@@ -275,7 +278,7 @@ def _pooled_ranks(rows: DataFrame, keys: list[str], group: str, first: str, valu
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation per key with average ranks for ties."""
-    keys = list(keys)
+    df, keys, whole = with_key(df, keys)
     rows = df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).filter(
         F.col("_x").isNotNull() & F.col("_y").isNotNull()
     )
@@ -293,7 +296,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     cov = F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")
     va = F.col("n") * F.col("saa") - F.col("sa") * F.col("sa")
     vb = F.col("n") * F.col("sbb") - F.col("sb") * F.col("sb")
-    return sums.select(*keys, "n", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("rho"))
+    return sums.select(*([] if whole else keys), "n", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("rho"))
 
 
 def _weighted_ranks(pairs: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
