@@ -282,6 +282,13 @@ def tag_introns_in_utr(introns_df: DataFrame, regions: DataFrame, utr: str) -> D
     return joined.withColumn(f"in_{utr}", label).drop("_u")
 
 
+def _region_row(region: str):
+    return lambda x, i: F.struct(
+        F.lit(region).alias("region"), (i + 1).cast("bigint").alias("score"),
+        x["start"].alias("start"), x["end"].alias("end"),
+    )
+
+
 def labelled_regions(regions: DataFrame, gene: str = "gene_name") -> DataFrame:
     """BED rows named ``region_transcript_gene`` with the ordinal of the region as score."""
     exploded = []
@@ -290,10 +297,7 @@ def labelled_regions(regions: DataFrame, gene: str = "gene_name") -> DataFrame:
         exploded.append(
             F.transform(
                 F.coalesce(column, F.array()),
-                lambda x, i, r=region: F.struct(
-                    F.lit(r).alias("region"), (i + 1).cast("bigint").alias("score"),
-                    x["start"].alias("start"), x["end"].alias("end"),
-                ),
+                _region_row(region),
             )
         )
     keep = ["chrom", "strand", "transcript_id", *([gene] if gene in regions.columns else [])]
@@ -444,34 +448,43 @@ def is_novel(transcript: str = "transcript_id") -> Column:
 
 # ---------------------------------------------------------------- training labels
 
-def base_classes(exons: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Per transcript, a class per base: 1 at donors, 2 at acceptors, 0 elsewhere.
+def base_class_marks(exons: DataFrame) -> DataFrame:
+    """Non-zero base classes ``(transcript_id, pos, class)``: 1 at donors, 2 at acceptors.
 
-    Positions are transcript-wise; each splice site marks two bases.  Outer edges are no sites.
+    Positions are transcript-wise and 0-based; a site marks the two intronic bases beside the
+    exon edge.  All other bases are class 0 and take no row.
     """
-    sites = splice_sites(exons.select("transcript_id", "start", "end", "strand"))
-    per_site = sites.join(
-        transcripts.select(
-            "transcript_id", F.col("start").alias("tx_start"), F.col("end").alias("tx_end")
-        ),
-        "transcript_id",
-    )
-    edge = per_site.join(
-        exons.select("transcript_id", F.col("end").alias("start"), F.lit(True).alias("_right")).distinct(),
-        ["transcript_id", "start"], "left",
+    asc = Window.partitionBy("transcript_id").orderBy("start", "end")
+    whole = Window.partitionBy("transcript_id")
+    placed = exons.select("transcript_id", "strand", "start", "end").withColumns(
+        {
+            "_n": F.row_number().over(asc), "_count": F.count(F.lit(1)).over(whole),
+            "_lo": F.min("start").over(whole), "_hi": F.max("end").over(whole),
+        }
     )
-    right = F.coalesce("_right", F.lit(False))
-    donor = F.when(F.col("strand") == "-", ~right).otherwise(right)
-    at = F.when(F.col("strand") == "-", F.col("tx_end") - F.col("end")).otherwise(
-        F.col("start") - F.col("tx_start")
+    minus = F.col("strand") == "-"
+    # transcript-wise positions of the first and last exonic base
+    first = F.when(minus, F.col("_hi") - F.col("end")).otherwise(F.col("start") - F.col("_lo"))
+    last = F.when(minus, F.col("_hi") - F.col("start")).otherwise(F.col("end") - F.col("_lo")) - 1
+    ordinal = F.when(minus, F.col("_count") - F.col("_n") + 1).otherwise(F.col("_n"))
+    marks = F.array_compact(
+        F.array(
+            F.when(ordinal > 1, F.struct((first - 2).alias("pos"), F.lit(2).alias("class"))),
+            F.when(ordinal > 1, F.struct((first - 1).alias("pos"), F.lit(2).alias("class"))),
+            F.when(ordinal < F.col("_count"), F.struct((last + 1).alias("pos"), F.lit(1).alias("class"))),
+            F.when(ordinal < F.col("_count"), F.struct((last + 2).alias("pos"), F.lit(1).alias("class"))),
+        )
     )
-    marks = edge.groupBy("transcript_id", "strand", "tx_start", "tx_end").agg(
-        F.map_from_entries(
-            F.collect_set(F.struct(at.cast("int").alias("p"), F.when(donor, 1).otherwise(2).alias("c")))
-        ).alias("_m")
+    return placed.select("transcript_id", F.inline(marks))
+
+
+def dense_classes(marks: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """One class array per transcript, for trainers that want every base."""
+    table = marks.groupBy("transcript_id").agg(
+        F.map_from_entries(F.collect_set(F.struct(F.col("pos").cast("int"), "class"))).alias("_m")
     )
-    positions = F.sequence(F.lit(0), (F.col("tx_end") - F.col("tx_start") - 1).cast("int"))
-    label = lambda i: F.coalesce(
-        F.try_element_at("_m", i), F.try_element_at("_m", i - 1), F.lit(0)
+    positions = F.sequence(F.lit(0), (F.col("end") - F.col("start") - 1).cast("int"))
+    label = lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0))
+    return transcripts.join(table, "transcript_id").select(
+        "transcript_id", F.transform(positions, label).alias("classes")
     )
-    return marks.select("transcript_id", "strand", F.transform(positions, label).alias("classes"))

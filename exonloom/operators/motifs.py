@@ -286,6 +286,10 @@ def tag_density(hits: DataFrame, slack: int = 5) -> DataFrame:
     ).drop("_island")
 
 
+def _as_text(field: str):
+    return lambda x: x[field].cast("string")
+
+
 def merge_duplicate_hits(hits: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """One row per identical span; attributes of the hits joined with ``;`` in RBP, motif order."""
     row = F.struct("rbp_name", "motif", *[c for c in attributes if c not in ("rbp_name", "motif")])
@@ -295,7 +299,7 @@ def merge_duplicate_hits(hits: DataFrame, attributes: Sequence[str]) -> DataFram
     return grouped.select(
         "seq_id", "start", "end",
         *[
-            F.array_join(F.transform("_r", lambda x, a=a: x[a].cast("string")), ";").alias(a)
+            F.array_join(F.transform("_r", _as_text(a)), ";").alias(a)
             for a in attributes
         ],
     )

@@ -255,6 +255,16 @@ def _at(array: str, pos: Column) -> Column:
     return F.get(F.col(array), pos.cast("int"))
 
 
+def _change(mutant: str, reference: str):
+    return lambda p: F.struct(
+        p.alias("pos"), F.round(_at(mutant, p) - _at(reference, p), 3).alias("effect")
+    )
+
+
+def _not_among(known: Column):
+    return lambda x: ~F.array_contains(known, x["pos"])
+
+
 _SIDES = ("upstream", "cassette", "downstream")
 
 
@@ -310,9 +320,7 @@ def effect_summary(
         changed = F.filter(
             F.transform(
                 F.filter(var, lambda p: ~F.array_contains("_sites", p)),
-                lambda p, m=mut, r=ref: F.struct(
-                    p.alias("pos"), F.round(_at(m, p) - _at(r, p), 3).alias("effect")
-                ),
+                _change(mut, ref),
             ),
             lambda x: F.abs(x["effect"]) > cryptic,
         )
@@ -352,7 +360,7 @@ def independent_summary(preds: DataFrame, sites: DataFrame, cryptic: float = 0.2
         for side, c in zip(_SIDES, own):
             out[f"ref_{kind}_{side}"] = _at(kind, F.col(c))
         known = F.array_compact(F.array(*[F.col(c) for c in own]))
-        other = F.filter(above(kind, cryptic, 2), lambda x, k=known: ~F.array_contains(k, x["pos"]))
+        other = F.filter(above(kind, cryptic, 2), _not_among(known))
         out[f"other_{kind}_position"] = F.transform(other, lambda x: x["pos"])
         out[f"other_{kind}_preds"] = F.transform(other, lambda x: x["score"])
     return rows.select("seq_id", *SITE_COLUMNS, *[v.alias(k) for k, v in out.items()])

@@ -170,6 +170,10 @@ def chosen_sets(df: DataFrame, key: str, configuration: str) -> DataFrame:
     return per_key.groupBy("configurations").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
+def _as_text(field: str):
+    return lambda x: x[field].cast("string")
+
+
 def joined_groups(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Comma-joined values per key in a stated order."""
     row = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *columns])])
@@ -177,7 +181,7 @@ def joined_groups(df: DataFrame, keys: Sequence[str], columns: Sequence[str], or
     return grouped.select(
         *keys,
         *[
-            F.array_join(F.transform("_r", lambda x, c=c: x[c].cast("string")), ",").alias(c)
+            F.array_join(F.transform("_r", _as_text(c)), ",").alias(c)
             for c in columns
         ],
     )
