@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["interval_queries", "annotation_queries"]
+_MODULES = ["interval_queries", "annotation_queries", "motif_queries"]
 
 
 def load():
