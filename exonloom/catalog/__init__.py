@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["interval_queries", "annotation_queries", "motif_queries"]
+_MODULES = [
+    "interval_queries", "annotation_queries", "motif_queries", "effect_queries", "stats_queries",
+]
 
 
 def load():

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from exonloom.operators.scan import Running, prefix_scan, value_blocks, with_key
 
@@ -176,22 +177,22 @@ def _series(fn, *columns: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return _series(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_critical_value(df: pd.Series) -> pd.Series:
     return _series(t_critical, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_p_value(k: pd.Series, n: pd.Series) -> pd.Series:
     return _series(lambda a, b: binomial_two_sided(int(a), int(b)), k, n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     from math import erfc, sqrt
 
