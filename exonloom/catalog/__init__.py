@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = [
-    "interval_queries", "annotation_queries", "motif_queries", "effect_queries", "stats_queries",
+    "interval_queries", "annotation_queries", "motif_queries", "effect_queries", "stats_queries", "source_queries",
 ]
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from exonloom.operators.intervals import cluster_within
 from exonloom.schemas import HITS
+from exonloom.session import spread
 
 # Above this many motifs the dictionary is joined instead of shipped to the tasks.
 DICTIONARY_LIMIT = 20_000
@@ -79,7 +80,7 @@ def scan_dictionary(seqs: DataFrame, owners: dict[str, list[str]]) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=["seq_id", "rbp_name", "motif", "start", "end"])
 
-    return seqs.select("seq_id", "seq").mapInPandas(scan, HITS)
+    return spread(seqs.select("seq_id", "seq")).mapInPandas(scan, HITS)
 
 
 def scan_by_join(seqs: DataFrame, motifs: DataFrame) -> DataFrame:
@@ -215,7 +216,7 @@ def scan_matrices(
                     ]
             yield pd.DataFrame(rows, columns=["seq_id", "rbp_name", "motif", "start", "end"])
 
-    hits = seqs.select("seq_id", "seq").mapInPandas(scan, HITS).distinct()
+    hits = spread(seqs.select("seq_id", "seq")).mapInPandas(scan, HITS).distinct()
     if allowed is not None:
         hits = hits.join(allowed, ["rbp_name", "motif"], "left_semi")
     return hits

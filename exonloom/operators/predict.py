@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exonloom.schemas import SITE_COLUMNS
+from exonloom.session import spread
 
 # texts -> (acceptor arrays, donor arrays), one value per base
 Scorer = Callable[[list[str]], tuple[list, list]]
@@ -97,7 +98,8 @@ def predict(
     Sequences are sorted by length inside each partition so that a batch pads little; the
     scorer sees at most ``batch_size`` texts at once.
     """
-    ordered = seqs.select(F.col(id_column).alias("seq_id"), "seq").sortWithinPartitions(F.length("seq"))
+    named = seqs.select(F.col(id_column).alias("seq_id"), "seq")
+    ordered = spread(named).sortWithinPartitions(F.length("seq"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:

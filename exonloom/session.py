@@ -43,3 +43,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return it without its history."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, few: int = 8) -> DataFrame:
+    """Rows over all cores when they come from a handful of files, for work that is heavy per row.
+
+    Input of many files is already spread and is not shuffled again.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < min(few, cores) else df
