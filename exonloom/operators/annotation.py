@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from exonloom.functions.sequence import gc_percent, strip_version
 from exonloom.operators.intervals import merge, overlap_join, subtract
-from exonloom.operators.ranking import top_ties
+from exonloom.operators.ranking import top_row
 
 ID_COLUMNS = ("gene_id", "transcript_id", "exon_id")
 
@@ -364,12 +364,8 @@ def annotate_by_key(targets: DataFrame, features: DataFrame) -> tuple[DataFrame,
 
 
 def top_known(known: DataFrame, keys: Sequence[str], tie: Sequence[str]) -> DataFrame:
-    """All matches at the highest rank score of a key, reduced to one row per key."""
-    best = top_ties(known, keys, "rank_score")
-    row = F.struct(*[F.col(c).alias(c) for c in best.columns])
-    return best.groupBy(*keys).agg(
-        F.min_by(row, F.struct(*[F.col(c) for c in tie])).alias("_r")
-    ).select("_r.*")
+    """The match with the highest rank score of each key, ties by ``tie``; one map-side combine."""
+    return top_row(known, keys, F.struct(-F.col("rank_score"), *[F.col(c) for c in tie]))
 
 
 # ---------------------------------------------------------------- novel exons
@@ -408,36 +404,34 @@ def insert_exons(
     after = F.array_min(
         F.transform(F.filter("parts_b", lambda x: x["s"] >= F.col("end")), lambda x: x["s"])
     )
-    fits = (
-        met.select(
-            *new.columns, F.col("transcript_id_b").alias("transcript_id"),
-            F.col("rank_score_b").alias("rank_score"),
-            before.alias("before_end"), after.alias("after_start"),
-        )
-        .filter((F.col("before_end") < F.col("start")) & (F.col("after_start") > F.col("end")))
+    placed = met.select(
+        *new.columns, F.col("transcript_id_b").alias("base_transcript_id"),
+        F.col("rank_score_b").alias("rank_score"), "parts_b",
+        before.alias("before_end"), after.alias("after_start"),
+    ).filter((F.col("before_end") < F.col("start")) & (F.col("after_start") > F.col("end")))
+    stays = F.filter(
+        "parts_b", lambda x: (x["e"] <= F.col("before_end")) | (x["s"] >= F.col("after_start"))
+    )
+    earlier = F.filter(
+        "parts_b",
+        lambda x: F.when(F.col("strand") == "-", x["s"] >= F.col("after_start")).otherwise(
+            x["e"] <= F.col("before_end")
+        ),
     )
-    named = fits.withColumnRenamed("transcript_id", "base_transcript_id").withColumn(
-        "transcript_id",
-        F.concat_ws("_", "base_transcript_id", F.substr(F.md5("exon_id"), F.lit(1), F.lit(8))),
+    fits = placed.select(
+        *new.columns, "base_transcript_id", "rank_score",
+        F.concat_ws("_", "base_transcript_id", F.substr(F.md5("exon_id"), F.lit(1), F.lit(8))).alias("transcript_id"),
+        (F.size(earlier) + 1).cast("bigint").alias("number"), stays.alias("_stays"),
     )
+    chosen = fits
     if top_only:
-        named = top_known(named, ["exon_id", gene], ["base_transcript_id"]).select(*named.columns)
-    kept = (
-        named.select(
-            "transcript_id", F.col("base_transcript_id").alias("_base"),
-            F.col("before_end"), F.col("after_start"),
-        )
-        .join(body.withColumnRenamed("transcript_id", "_base"), "_base")
-        .filter((F.col("_e") <= F.col("before_end")) | (F.col("_s") >= F.col("after_start")))
-        .select("transcript_id", "chrom", "strand", gene, "rank_score",
-                F.col("_s").alias("start"), F.col("_e").alias("end"))
-    )
-    added = named.select("transcript_id", "chrom", "strand", gene, "rank_score", "start", "end")
-    structures = subfeatures(kept.unionByName(added), [gene, "rank_score"])
-    number = structures.filter("feature = 'exon'").select("transcript_id", "start", "end", "number")
-    inserted = named.drop("before_end", "after_start").join(
-        number, ["transcript_id", "start", "end"]
-    ).withColumn("feature", F.lit("exon"))
+        chosen = top_known(fits, ["exon_id", gene], ["base_transcript_id"])
+    own = F.array(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))
+    rebuilt = chosen.select(
+        "transcript_id", "chrom", "strand", gene, "rank_score", F.inline(F.concat("_stays", own))
+    ).withColumnsRenamed({"s": "start", "e": "end"})
+    structures = subfeatures(rebuilt, [gene, "rank_score"])
+    inserted = chosen.drop("_stays").withColumn("feature", F.lit("exon"))
     discarded = new.join(fits.select("exon_id").distinct(), "exon_id", "left_anti")
     return inserted, structures, discarded
 
