@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from exonloom.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -52,7 +54,7 @@ def dna_sql(text: str) -> str:
 
 
 def sequences(spark, folder) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("seq_id"), dna("text").alias("seq")
     )
 
@@ -62,7 +64,7 @@ SEQS = f"seqs as (select 'd' || doc_id as seq_id, {dna_sql('text')} as seq from
 
 def short_sequences(spark, folder) -> DataFrame:
     """Short texts, for operators that copy a whole sequence per result row."""
-    return table(spark, folder, "benchmark").select(
+    return spread(table(spark, folder, "benchmark")).select(
         F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("seq_id"), dna("text").alias("seq")
     )
 

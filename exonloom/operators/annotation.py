@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exonloom.functions.sequence import gc_percent, strip_version
-from exonloom.operators.intervals import merge, overlap_join, subtract
+from exonloom.operators.intervals import merge, merge_within, overlap_join, subtract
 from exonloom.operators.ranking import top_row
 
 ID_COLUMNS = ("gene_id", "transcript_id", "exon_id")
@@ -181,8 +181,10 @@ def splice_site_regions(introns_df: DataFrame, five: int = 2, three: int = 2) ->
 
 
 def merged_exons(exons: DataFrame, by_gene: bool = True) -> DataFrame:
-    keys = ["chrom", "strand", *(["gene_id"] if by_gene else [])]
-    return merge(exons, keys)
+    """Merged exon intervals with the number of exons in each; a gene's extent is bounded."""
+    if by_gene:
+        return merge_within(exons, ["chrom", "strand", "gene_id"])
+    return merge(exons, ["chrom", "strand"])
 
 
 def inverse_coordinates(

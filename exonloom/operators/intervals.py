@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exonloom.operators.scan import DEFAULT_BLOCK, Running, position_block, prefix_scan
+from exonloom.session import cut_lineage
 
 
 def cluster(
@@ -46,6 +47,20 @@ def cluster(
     return df.join(labelled, [*keys, start])
 
 
+def merge_within(
+    df: DataFrame, keys: Sequence[str], slack: int = 0, start: str = "start", end: str = "end"
+) -> DataFrame:
+    """``merge`` for keys of bounded extent (a gene): copies are combined map side, then one window."""
+    keys = list(keys)
+    heads = df.groupBy(*keys, start).agg(
+        F.max(end).alias(end), F.count(F.lit(1)).alias("_copies")
+    )
+    labelled = cluster_within(heads, keys, slack, start, end, name="_island")
+    return labelled.groupBy(*keys, F.col("_island").alias(start)).agg(
+        F.max(end).alias(end), F.sum("_copies").alias("n_merged")
+    )
+
+
 def cluster_within(
     df: DataFrame,
     keys: Sequence[str],
@@ -78,8 +93,8 @@ def merge(
 ) -> DataFrame:
     """Non-redundant intervals per key with the number of rows merged into each."""
     keys = list(keys)
-    heads = df.groupBy(*keys, start).agg(
-        F.max(end).alias(end), F.count(F.lit(1)).alias("_copies")
+    heads = cut_lineage(
+        df.groupBy(*keys, start).agg(F.max(end).alias(end), F.count(F.lit(1)).alias("_copies"))
     )
     labelled = cluster(heads, keys, slack, start, end, block, "_island")
     return labelled.groupBy(*keys, F.col("_island").alias(start)).agg(

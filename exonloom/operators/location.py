@@ -25,35 +25,24 @@ def distances_to_cassette() -> dict[str, Column]:
     }
 
 
-def segments(seq_length: Column) -> Column:
-    """The exon and intron segments of a sequence as an array of structs.
+def segments(seq_length: Column) -> list[tuple[str, bool, Column, Column]]:
+    """(name, is exon, start, end) of the exon and intron segments of a sequence.
 
-    Unknown outer sites fall back to the sequence ends; the outer upstream intron exists only
-    when the first exon does not start the sequence.
+    Unknown outer sites fall back to the sequence ends, which leaves empty segments there.
     """
     zero = F.lit(0).cast("bigint")
     up_s, up_e = (F.coalesce(F.col(c), zero) for c in SITE_COLUMNS[:2])
     ca_s, ca_e = F.col(SITE_COLUMNS[2]), F.col(SITE_COLUMNS[3])
     do_s, do_e = (F.coalesce(F.col(c), seq_length) for c in SITE_COLUMNS[4:])
-
-    def seg(name, kind, s, e, keep=None):
-        value = F.struct(
-            F.lit(name).alias("name"), F.lit(kind).alias("kind"),
-            s.cast("bigint").alias("s"), e.cast("bigint").alias("e"),
-        )
-        return value if keep is None else F.when(keep, value)
-
-    return F.array_compact(
-        F.array(
-            seg("Exon_upstream", "exon", up_s, up_e),
-            seg("Exon_cassette", "exon", ca_s, ca_e),
-            seg("Exon_downstream", "exon", do_s, do_e),
-            seg("Intron_upstream_2", "intron", zero, up_s, up_s != 0),
-            seg("Intron_upstream", "intron", up_e, ca_s),
-            seg("Intron_downstream", "intron", ca_e, do_s),
-            seg("Intron_downstream_2", "intron", do_e, seq_length),
-        )
-    )
+    return [
+        ("Exon_upstream", True, up_s, up_e),
+        ("Exon_cassette", True, ca_s, ca_e),
+        ("Exon_downstream", True, do_s, do_e),
+        ("Intron_upstream_2", False, zero, up_s),
+        ("Intron_upstream", False, up_e, ca_s),
+        ("Intron_downstream", False, ca_e, do_s),
+        ("Intron_downstream_2", False, do_e, seq_length),
+    ]
 
 
 def header_length(seq_id: str = "seq_id") -> Column:
@@ -65,59 +54,52 @@ def header_length(seq_id: str = "seq_id") -> Column:
 def locate(hits: DataFrame, sites: DataFrame, length: str | None = None) -> DataFrame:
     """One row per hit and location label it earns.
 
-    A sequence has seven segments at most, so they travel as one array beside its hits and no
-    interval join is needed.  Exonic hits two or more bases inside an exon, and hits that span
-    a whole exon, are fully contained; others touch the acceptor region, the donor region, or
-    both.  Intronic hits must lie fully inside an intron.
+    The segments of a sequence are six numbers beside its hits, so no interval join is needed:
+    every possible label is a guarded row of one explode.  Exonic hits two or more bases inside
+    an exon, and hits that span a whole exon, are fully contained; others touch the acceptor
+    region, the donor region, or both.  Intronic hits must lie fully inside an intron.
     """
     size = F.col(length) if length else header_length()
     table = sites.select("seq_id", *SITE_COLUMNS, size.alias("_len"))
     placed = hits.join(table, "seq_id").withColumns(distances_to_cassette())
     s, e = F.col("start"), F.col("end")
-
-    def labels(x):
-        contained = (s >= x["s"]) & (e <= x["e"])
-        deep = contained & (s - x["s"] > 1) & (x["e"] - e > 1)
-        spans = (s <= x["s"]) & (e >= x["e"])
-        near_acceptor = (s < x["s"]) | (s - x["s"] < 2)
-        near_donor = (e > x["e"]) | (x["e"] - e < 2)
-        edge = F.array_compact(
-            F.array(
-                F.when(near_acceptor, F.lit("_acceptor_region")),
-                F.when(near_donor, F.lit("_donor_region")),
-            )
-        )
-        exonic = F.when(deep | spans, F.array(F.lit("_fully_contained"))).otherwise(edge)
-        none = F.array().cast("array<string>")
-        suffixes = F.when(x["kind"] == "exon", exonic).otherwise(
-            F.when(contained, F.array(F.lit(""))).otherwise(none)
-        )
-        overlaps = (s < x["e"]) & (x["s"] < e)
-        return F.when(overlaps, suffixes).otherwise(none)
-
-    rows = F.flatten(
-        F.transform(
-            segments(F.col("_len")),
-            lambda x: F.transform(
-                labels(x),
-                lambda label: F.struct(
-                    F.concat(x["name"], label).alias("location"),
-                    (x["kind"] == "exon").alias("is_in_exon"),
-                    F.when(x["kind"] == "exon", s - x["s"])
-                    .when(x["name"] != "Intron_downstream_2", x["e"] - e).alias("acceptor"),
-                    F.when(x["kind"] == "exon", x["e"] - e)
-                    .when(x["name"] != "Intron_upstream_2", s - x["s"]).alias("donor"),
-                ),
+    floor = lambda c: F.greatest(c, F.lit(0).cast("bigint"))
+    unknown = F.lit(None).cast("bigint")
+
+    def row(test, name, exon, acceptor, donor):
+        return F.when(
+            test,
+            F.struct(
+                F.lit(name).alias("location"), F.lit(exon).alias("is_in_exon"),
+                acceptor.alias("acceptor"), donor.alias("donor"),
             ),
         )
-    )
-    exploded = placed.withColumn("_l", F.explode(rows))
-    floor = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(0)))
+
+    rows = []
+    for name, exon, a, b in segments(F.col("_len")):
+        met = (s < b) & (a < e)
+        contained = (s >= a) & (e <= b)
+        if exon:
+            whole = (contained & (s - a > 1) & (b - e > 1)) | ((s <= a) & (e >= b))
+            at = (exon, floor(s - a), floor(b - e))
+            rows += [
+                row(met & whole, f"{name}_fully_contained", *at),
+                row(met & ~whole & (s - a < 2), f"{name}_acceptor_region", *at),
+                row(met & ~whole & (b - e < 2), f"{name}_donor_region", *at),
+            ]
+        else:
+            rows.append(
+                row(
+                    met & contained, name, exon,
+                    unknown if name == "Intron_downstream_2" else floor(b - e),
+                    unknown if name == "Intron_upstream_2" else floor(s - a),
+                )
+            )
+    exploded = placed.withColumn("_l", F.explode(F.array(*rows))).filter(F.col("_l").isNotNull())
     return exploded.select(
         *hits.columns, "distance_to_cassette_acceptor", "distance_to_cassette_donor",
         F.col("_l.is_in_exon").alias("is_in_exon"), F.col("_l.location").alias("location"),
-        floor(F.col("_l.acceptor")).alias("distance_to_acceptor"),
-        floor(F.col("_l.donor")).alias("distance_to_donor"),
+        F.col("_l.acceptor").alias("distance_to_acceptor"), F.col("_l.donor").alias("distance_to_donor"),
     )
 
 

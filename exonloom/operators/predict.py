@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exonloom.schemas import SITE_COLUMNS
-from exonloom.session import spread
 
 # texts -> (acceptor arrays, donor arrays), one value per base
 Scorer = Callable[[list[str]], tuple[list, list]]
@@ -99,7 +98,7 @@ def predict(
     scorer sees at most ``batch_size`` texts at once.
     """
     named = seqs.select(F.col(id_column).alias("seq_id"), "seq")
-    ordered = spread(named).sortWithinPartitions(F.length("seq"))
+    ordered = named.sortWithinPartitions(F.length("seq"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from exonloom.session import cut_lineage
+
 DEFAULT_BLOCK = 1 << 16
 
 _FOLD = {"max": F.max, "min": F.min, "sum": F.sum}
@@ -42,14 +44,19 @@ def prefix_scan(
     block: Column,
     order: Sequence[Column | str],
     running: Sequence[Running],
+    stored: bool = False,
 ) -> DataFrame:
     """Add running aggregates over each key in ``order``; ``block`` must not decrease along it.
 
     The input should already be aggregated to distinct positions, so that the rows of one
-    block are bounded by the block width whatever the number of copies.
+    block are bounded by the block width whatever the number of copies.  It is read by two
+    branches (rows and block totals), so it is first written to the shared checkpoint folder
+    unless it is ``stored`` already; the work behind it runs once.
     """
     keys = list(keys)
     blocked = df.withColumn("_block", block)
+    if not stored:
+        blocked = cut_lineage(blocked)
     local_window = Window.partitionBy(*keys, "_block").orderBy(*order)
     local = blocked.select(
         "*",

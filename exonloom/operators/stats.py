@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from exonloom.operators.scan import Running, prefix_scan, value_blocks, with_key
+from exonloom.session import cut_lineage
 
 
 # ---------------------------------------------------------------- ranks and quantiles
@@ -21,10 +22,12 @@ from exonloom.operators.scan import Running, prefix_scan, value_blocks, with_key
 def value_counts_before(df: DataFrame, keys: Sequence[str], value: str, blocks: int = 1024) -> DataFrame:
     """``(keys, value, n, before)``: copies of each value and rows of its group below it."""
     df, keys, whole = with_key(df, keys)
-    n = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    n = cut_lineage(
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    )
     blocked = value_blocks(n, keys, value, blocks)
     return prefix_scan(
-        blocked, keys, F.col("_vblock"), [value], [Running("before", "sum", F.col("n"))]
+        blocked, keys, F.col("_vblock"), [value], [Running("before", "sum", F.col("n"))], stored=True
     ).drop("_vblock", *(["_all"] if whole else []))
 
 
@@ -268,11 +271,13 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, first: str, val
 
 def _pooled_ranks(rows: DataFrame, keys: list[str], group: str, first: str, value: str) -> DataFrame:
     """Copies of each value in both groups with its pooled average rank."""
-    n = rows.groupBy(*keys, value).agg(
-        F.count_if(F.col(group) == first).alias("_a"), F.count_if(F.col(group) != first).alias("_b")
-    ).withColumn("_n", F.col("_a") + F.col("_b"))
+    n = cut_lineage(
+        rows.groupBy(*keys, value).agg(
+            F.count_if(F.col(group) == first).alias("_a"), F.count_if(F.col(group) != first).alias("_b")
+        ).withColumn("_n", F.col("_a") + F.col("_b"))
+    )
     scanned = prefix_scan(
-        value_blocks(n, keys, value), keys, F.col("_vblock"), [value], [Running("_before", "sum", F.col("_n"))]
+        value_blocks(n, keys, value), keys, F.col("_vblock"), [value], [Running("_before", "sum", F.col("_n"))], stored=True
     )
     return scanned.withColumn("_rank", F.col("_before") + (F.col("_n") + 1) / 2)
 
@@ -284,7 +289,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
         F.col("_x").isNotNull() & F.col("_y").isNotNull()
     )
     # Ranks depend on (key, value) only, so pairs are collapsed before the two rank joins.
-    pairs = rows.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
+    pairs = cut_lineage(rows.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_w")))
     rx = _weighted_ranks(pairs, keys, "_x", "_rx")
     ry = _weighted_ranks(pairs, keys, "_y", "_ry")
     joined = pairs.join(rx, [*keys, "_x"]).join(ry, [*keys, "_y"])
@@ -301,9 +306,9 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def _weighted_ranks(pairs: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    n = pairs.groupBy(*keys, value).agg(F.sum("_w").alias("_n"))
+    n = cut_lineage(pairs.groupBy(*keys, value).agg(F.sum("_w").alias("_n")))
     scanned = prefix_scan(
-        value_blocks(n, keys, value), keys, F.col("_vblock"), [value], [Running("_before", "sum", F.col("_n"))]
+        value_blocks(n, keys, value), keys, F.col("_vblock"), [value], [Running("_before", "sum", F.col("_n"))], stored=True
     )
     return scanned.select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
 
