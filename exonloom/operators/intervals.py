@@ -28,23 +28,24 @@ def cluster(
     """
     keys = list(keys)
     heads = df.groupBy(*keys, start).agg(F.max(end).alias("_end"))
-    seen = prefix_scan(
-        heads, keys, position_block(start, block), [start], [Running("_reach", "max", F.col("_end"))]
-    )
+    labelled = _label(heads, keys, slack, start, block, name, False).select(*keys, start, name)
+    return df.join(labelled, [*keys, start])
+
+
+def _label(
+    heads: DataFrame, keys: list[str], slack: int, start: str, block: int, name: str, stored: bool
+) -> DataFrame:
+    """Cluster label of distinct starts with their largest end ``_end``."""
+    at = position_block(start, block)
+    seen = prefix_scan(heads, keys, at, [start], [Running("_reach", "max", F.col("_end"))], stored)
     opened = seen.withColumn(
         "_head",
         F.when(
             F.col("_reach").isNull() | (F.col(start) - F.lit(slack) > F.col("_reach")), F.col(start)
         ),
     )
-    labelled = prefix_scan(
-        opened,
-        keys,
-        position_block(start, block),
-        [start],
-        [Running(name, "max", F.col("_head"), inclusive=True)],
-    ).select(*keys, start, name)
-    return df.join(labelled, [*keys, start])
+    labelled = prefix_scan(opened, keys, at, [start], [Running(name, "max", F.col("_head"), inclusive=True)])
+    return labelled.drop("_reach", "_head")
 
 
 def merge_within(
@@ -96,8 +97,8 @@ def merge(
     heads = cut_lineage(
         df.groupBy(*keys, start).agg(F.max(end).alias(end), F.count(F.lit(1)).alias("_copies"))
     )
-    labelled = cluster(heads, keys, slack, start, end, block, "_island")
-    return labelled.groupBy(*keys, F.col("_island").alias(start)).agg(
+    labelled = _label(heads.withColumnRenamed(end, "_end"), keys, slack, start, block, "_island", True)
+    return labelled.withColumnRenamed("_end", end).groupBy(*keys, F.col("_island").alias(start)).agg(
         F.max(end).alias(end), F.sum("_copies").alias("n_merged")
     )
 
@@ -257,7 +258,8 @@ def subtract(
 ) -> DataFrame:
     """The parts of every ``left`` interval that no ``right`` interval covers."""
     keys = list(keys)
-    bounds = left.groupBy(*keys).agg(F.min(start).alias("lo"), F.max(end).alias("hi"))
+    # one row per key, used three times
+    bounds = cut_lineage(left.groupBy(*keys).agg(F.min(start).alias("lo"), F.max(end).alias("hi")))
     covered = right.join(bounds.select(*keys), keys, "left_semi")
     free = complement(covered, keys, bounds, start, end, block)
     pieces = overlap_join(left, free, keys, bin_width, start, end)
