@@ -283,3 +283,43 @@ p as (select seq_id, seq, i as pos, substr(seq, greatest(i - 20, 0) + 1, i - gre
 def predicted_scores(spark, folder):
     scored = pr.explode_scores(pr.predict(short_sequences(spark, folder)))
     return scored.select("seq_id", "pos", F.round("acceptor", 9).alias("acceptor"), F.round("donor", 9).alias("donor"))
+
+
+@query(
+    "site_effects",
+    with_ctes(_SIMPLE, body="""select id, 'Donor' as splice_site, length(id) as distance, donor_cassette_effect as effect from fx
+        union all select id, 'Acceptor', length(seq_id), acceptor_cassette_effect from fx"""),
+)
+def site_effects(spark, folder):
+    n = lambda c: F.length(c).cast("bigint")
+    df = _simple(spark, folder).withColumns(
+        {"distance_to_cassette_donor": n("id"), "distance_to_cassette_acceptor": n("seq_id")}
+    )
+    return tb.site_effects(df, ["id"])
+
+
+@query(
+    "score_matrix",
+    "select c_nationkey, " + ", ".join(
+        f"max(c_acctbal) filter (c_mktsegment = '{s}') as \"{s}\"" for s in ("AUTOMOBILE", "BUILDING", "MACHINERY")
+    ) + " from customer group by 1",
+)
+def score_matrix(spark, folder):
+    df = table(spark, folder, "customer").select("c_nationkey", "c_mktsegment", "c_acctbal")
+    return tb.score_matrix(df, "c_nationkey", "c_mktsegment", "c_acctbal", ["AUTOMOBILE", "BUILDING", "MACHINERY"])
+
+
+@query("names_with_counts", "select p_brand, count(*) as n, p_brand || ' (N=' || count(*) || ')' as label from part group by 1")
+def names_with_counts(spark, folder):
+    return tb.names_with_counts(table(spark, folder, "part").select("p_brand"), "p_brand")
+
+
+@query(
+    "direction_flags",
+    """select o_orderkey, o_custkey, more_inclusion from orders left join (
+         select c_custkey, case when c_acctbal / 10000 > 0.09 then true else false end as more_inclusion from customer where abs(c_acctbal / 10000) > 0.09) on o_custkey = c_custkey""",
+)
+def direction_flags(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    pairs = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") / 10000).alias("dPSI"))
+    return tb.mark_direction(orders, pairs, ["o_custkey"])

@@ -464,3 +464,17 @@ def hits_on_pages(spark, folder):
     return df.select(
         "page_id", fs.literal_count("seq", F.lit("ACGTA")).alias("n_acgta"), fs.literal_count("seq", F.lit("TTTTT")).alias("n_ttttt")
     )
+
+
+@query(
+    "distance_histogram",
+    with_ctes(
+        *LOCATED, """m as (select least(distance_to_cassette_acceptor, distance_to_cassette_donor) as d,
+            location in ('Exon_cassette_acceptor_region', 'Exon_cassette_fully_contained', 'Exon_cassette_donor_region') as within_exon from located)""",
+        "s as (select d < 500 as near, min(d) as lo, max(d) as hi from m group by 1)",
+        body="""select near, within_exon, cast(least(floor((d - lo) / ((hi - lo) / 40)), 39) as bigint) as bin, count(*) as n
+            from m join s on (d < 500) = near group by all""",
+    ),
+)
+def distance_histogram(spark, folder):
+    return tb.distance_histogram(_located(spark, folder))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from exonloom.operators.motifs import count_matrix
 from exonloom.schemas import LOCATIONS, SITE_COLUMNS
+from exonloom.session import cut_lineage
 
 # Which length each location is divided by.
 LOCATION_LENGTH = {
@@ -192,3 +193,73 @@ def split_by_group(df: DataFrame, group: str, positive: str, header: str = "seq_
     pos = df.filter(F.col(group) == positive)
     neg = df.filter(F.col(group) != positive)
     return pos, neg, df.select(header, F.when(F.col(group) == positive, 1).otherwise(-1).alias("target"))
+
+
+# Locations inside the cassette exon, and the distance that splits near from far (fixed values).
+CASSETTE_LOCATIONS = [
+    "Exon_cassette_acceptor_region",
+    "Exon_cassette_fully_contained",
+    "Exon_cassette_donor_region",
+]
+NEAR = 500
+
+
+def distance_histogram(located: DataFrame, keys: Sequence[str] = (), bins: int = 40) -> DataFrame:
+    """Hits per equal-width bin of their distance to the nearer cassette site.
+
+    Near and far hits are binned apart, each over its own range; bin edges come from one row
+    of extremes per side.
+    """
+    d = F.least("distance_to_cassette_acceptor", "distance_to_cassette_donor")
+    marked = located.withColumns(
+        {
+            "distance": d, "near": d < NEAR, "within_exon": F.col("location").isin(CASSETTE_LOCATIONS),
+        }
+    )
+    counted = cut_lineage(
+        marked.groupBy(*keys, "near", "within_exon", "distance").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    span = counted.groupBy("near").agg(F.min("distance").alias("_lo"), F.max("distance").alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
+    place = F.when(width > 0, F.least(F.floor((F.col("distance") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
+    return counted.join(span, "near").groupBy(*keys, "near", "within_exon", place.cast("bigint").alias("bin")).agg(
+        F.sum("_n").alias("n")
+    )
+
+
+def site_effects(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per cassette site: its distance to the hit and the effect on it."""
+    sides = F.array(
+        *[
+            F.struct(
+                F.lit(side.capitalize()).alias("splice_site"),
+                F.col(f"distance_to_cassette_{side}").alias("distance"),
+                F.col(f"{side}_cassette_effect").alias("effect"),
+            )
+            for side in ("donor", "acceptor")
+        ]
+    )
+    return df.select(*keys, F.inline(sides))
+
+
+def score_matrix(df: DataFrame, row: str, column: str, score: str, columns: Sequence[str]) -> DataFrame:
+    """Best score per row and column, columns in the stated order."""
+    return df.groupBy(row).pivot(column, list(columns)).agg(F.max(score))
+
+
+def names_with_counts(df: DataFrame, name: str) -> DataFrame:
+    """``name (N=count)`` labels for reports."""
+    n = df.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    label = F.concat(F.col(name), F.lit(" (N="), F.col("n").cast("string"), F.lit(")"))
+    return n.withColumn("label", label)
+
+
+# |dPSI| above which a pair counts as more or less included (fixed value).
+SIGN_LIMIT = 0.09
+
+
+def mark_direction(df: DataFrame, pairs: DataFrame, keys: Sequence[str], dpsi: str = "dPSI") -> DataFrame:
+    """``more_inclusion`` by the sign of the paired responsive exon; null below the limit."""
+    direction = F.when(F.col(dpsi) > SIGN_LIMIT, True).when(F.col(dpsi) < -SIGN_LIMIT, False)
+    flags = pairs.select(*keys, direction.alias("more_inclusion")).filter(F.col("more_inclusion").isNotNull())
+    return df.join(flags.dropDuplicates(list(keys)), list(keys), "left")
