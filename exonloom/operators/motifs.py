@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from exonloom.operators.intervals import cluster_within
 from exonloom.schemas import HITS
+from exonloom.session import cut_lineage
 
 # Above this many motifs the dictionary is joined instead of shipped to the tasks.
 DICTIONARY_LIMIT = 20_000
@@ -113,7 +114,7 @@ def scan_by_join(seqs: DataFrame, motifs: DataFrame) -> DataFrame:
 
 
 def unambiguous_kmers(
-    matrices: DataFrame, threshold: float = 0.15, min_length: int = 5, limit: int = 1 << 22
+    matrices: DataFrame, threshold: float = 0.15, min_length: int = 5
 ) -> DataFrame:
     """Every sequence a matrix allows with all bases at or above ``threshold``, per RBP."""
     allowed = (
@@ -223,7 +224,7 @@ def scan_matrices(
 
 # ---------------------------------------------------------------- redundancy and density
 
-def remove_self_contained(hits: DataFrame, bin_width: int = 64) -> DataFrame:
+def remove_self_contained(hits: DataFrame) -> DataFrame:
     """Drop hits strictly inside the longest hit of their own RBP's cluster, and flag containers.
 
     Clusters are per sequence and RBP with at least four shared bases; the representative is
@@ -250,12 +251,13 @@ def remove_self_contained(hits: DataFrame, bin_width: int = 64) -> DataFrame:
         & (F.col("motif") == F.col("_rep.motif"))
     )
     marked = with_rep.withColumns({"_inside": inside, "_is_rep": is_rep})
-    marked = marked.withColumn(
-        "has_self_submotif", F.col("_is_rep") & F.max("_inside").over(group)
+    # every hit with its flags is read three times below, so the scan behind it runs once
+    marked = cut_lineage(
+        marked.withColumn("has_self_submotif", F.col("_is_rep") & F.max("_inside").over(group))
     )
     # Containers of another RBP: the closest (smallest) ends at each start decide, two RBPs deep.
     ends = (
-        hits.groupBy("seq_id", "start", "rbp_name").agg(F.min("end").alias("e"))
+        marked.groupBy("seq_id", "start", "rbp_name").agg(F.min("end").alias("e"))
         .groupBy("seq_id", F.col("start").alias("_at"))
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("e", "rbp_name"))), 1, 2).alias("_near"))
     )
