@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exonloom.llm import decontaminate, extract, linededup, simhash, urlfilter, warc
+from exonloom.llm import decontaminate, extract, linededup, lm, pieces, simhash, toxicity, urlfilter, warc
 from exonloom.session import ensure_checkpoint_dir
 
 #: Fixed rules of the URL filter query: host, path, verdict.
@@ -16,6 +16,9 @@ RULES = [
     ("net", "/es/", "block"), ("net", "/fr/", "block"),
 ]
 
+#: The public piece vocabulary.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -26,6 +29,17 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def remainder(key: str, n: int):
+    """crc32 of a key as text, modulo ``n``."""
+    return F.crc32(F.col(key).cast("string")) % n
+
+
+def op3_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of every document under word counts and under the recurrent model."""
+    out = lm.fit_and_score(table(spark, folder, "documents").select("doc_id", "text"), remainder("doc_id", 7) != 2)
+    return out.withColumn("held_out", remainder("doc_id", 7) == 2)
+
+
 def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page; a page's outcome is bad when the document of its number is labelled poor or toxic."""
     labels = table(spark, folder, "labels").select(
@@ -35,11 +49,32 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """A sampled segmentation of every document, decoded again."""
+    known = pieces.load(PIECES)
+    rows = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), known)
+    back = pieces.decode(rows, known)
+    return back.select(
+        "doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return extract.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document by a model that learns from two thirds of the labelled ones."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), remainder("doc_id", 3) != 1)
+    return toxicity.score(docs, model).select(
+        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.col("toxic").alias("over_threshold"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Shared lines dropped from every document."""
     out = linededup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
@@ -64,7 +99,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op4_url_filter, op6_html_extraction, op8_line_dedup, op9_warc, op10_decontamination)
+    for f in (
+        op1_simhash, op3_language_model, op4_url_filter, op5_sentencepiece, op6_html_extraction, op7_toxicity,
+        op8_line_dedup, op9_warc, op10_decontamination,
+    )
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
