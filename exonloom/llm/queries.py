@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exonloom.llm import decontaminate, extract, linededup, lm, pieces, simhash, toxicity, urlfilter, warc
+from exonloom.llm import ann, decontaminate, extract, linededup, lm, pieces, simhash, toxicity, urlfilter, warc
 from exonloom.session import ensure_checkpoint_dir
 
 #: Fixed rules of the URL filter query: host, path, verdict.
@@ -29,6 +29,12 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector among all."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.filter("vec_id % 20 = 0"))
+
+
 def remainder(key: str, n: int):
     """crc32 of a key as text, modulo ``n``."""
     return F.crc32(F.col(key).cast("string")) % n
@@ -100,7 +106,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_simhash, op3_language_model, op4_url_filter, op5_sentencepiece, op6_html_extraction, op7_toxicity,
+        op1_simhash, op2_nearest_neighbours, op3_language_model, op4_url_filter, op5_sentencepiece, op6_html_extraction, op7_toxicity,
         op8_line_dedup, op9_warc, op10_decontamination,
     )
 }
