@@ -188,8 +188,9 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM,
     """
     asked = cut_lineage(queries.groupBy("v").agg(F.min("id").alias("q")))
     blocks = max(1, math.ceil(asked.count() / block))
-    shards = graphs.select("dim", "shard").distinct()
-    left = asked.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).join(shards, "dim")
+    shards = graphs.select(F.col("dim").alias("q_dim"), F.col("shard").alias("q_shard")).distinct()
+    left = asked.withColumn("q_dim", F.size("v")).withColumn("q_block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
+    left = left.join(shards, "q_dim")
     right = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
@@ -219,8 +220,8 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM,
         made = {c: np.concatenate(x) if x else np.zeros(0) for c, x in out.items()}
         return pd.DataFrame(made).astype({"q": "int64", "vec_id": "int64", "score": "float64"})
 
-    by = ["dim", "shard", "block"]
-    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, "q long, vec_id long, score double")
+    pair = left.groupBy("q_dim", "q_shard", "q_block").cogroup(right.groupBy("dim", "shard", "block"))
+    met = pair.applyInPandas(run, "q long, vec_id long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     near = met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
     own = queries.join(asked, "v").select("id", "q")
