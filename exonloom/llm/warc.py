@@ -91,52 +91,66 @@ def parse(data: bytes) -> dict | None:
 
 
 class Candidate:
-    """A member that may still lack its end."""
+    """A member that may still lack its end, and the pieces it was given."""
 
-    def __init__(self, piece: bytes):
+    def __init__(self):
         self.pieces, self.unpacker, self.out, self.done, self.bad = [], zlib.decompressobj(31), [], False, False
-        self.feed(piece)
 
     def feed(self, piece: bytes) -> None:
-        data = MAGIC + piece
+        self.pieces.append(piece)
         try:
-            self.out.append(self.unpacker.decompress(data))
-            self.done = self.unpacker.eof
+            made = self.unpacker.decompress(MAGIC + piece)
         except zlib.error:
             self.bad = True
             return
-        start = b"".join(x[:5] for x in self.out[:5] if x)[:5]
-        self.bad = bool(start) and not b"WARC/".startswith(start)
-        if not self.bad:
-            self.pieces.append(piece)
+        if made:
+            self.out.append(made)
+        self.done = self.unpacker.eof
+        self.bad = bool(self.out) and not b"WARC/".startswith(b"".join(self.out[:5])[:5])
 
     def record(self) -> dict | None:
         return parse(b"".join(self.out))
 
 
-def walk(pieces: Iterator[bytes]) -> Iterator[tuple[str, dict | list[bytes]]]:
-    """Records of one byte range, and the pieces at its two ends that belong to other ranges."""
-    head, now, begun = [], None, False
-    for piece in pieces:
-        if now is not None:
-            now.feed(piece)
-        if now is None or now.bad:
-            new = Candidate(piece)
-            if new.bad:
-                if not begun:
-                    head.append(piece)
-                now = None
-                continue
-            now, begun = new, True
-        if now.done:
+def walk(pieces: Iterator[bytes], last: bool = False) -> Iterator[tuple[str, dict | list[bytes]]]:
+    """Records of one byte range, and the pieces at its two ends that belong to other ranges.
+
+    A piece that is no start goes to the range's head as long as no record has ended here; what a failed candidate
+    was given is tried again from its second piece.  With ``last`` a candidate without end has failed, too.
+    """
+    head, waiting, now, begun = [], [], None, False
+
+    def rejected() -> None:
+        nonlocal now
+        if not begun:
+            head.append(now.pieces[0])
+        waiting[:0] = now.pieces[1:]
+        now = None
+
+    source = iter(pieces)
+    while True:
+        piece = waiting.pop(0) if waiting else next(source, None)
+        if piece is None:
+            if now is None or not last:
+                break
+            rejected()
+            continue
+        now = now or Candidate()
+        now.feed(piece)
+        if now.bad:
+            rejected()
+        elif now.done:
             record = now.record()
             if record is not None:
                 yield "record", record
-            now = None
+            now, begun = None, True
+    tail = now.pieces if now is not None else []
+    if not begun:
+        head, tail = head + tail, []
     if head:
         yield "head", head
-    if now is not None:
-        yield "tail", now.pieces
+    if tail:
+        yield "tail", tail
 
 
 def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -176,20 +190,9 @@ def _scan(batches):
 def _stitch(frame):
     import pandas as pd
 
-    out, now = [], None
-    for x in frame.sort_values(["start", "kind"]).itertuples():  # the head of a range comes before its tail
-        if x.kind == "tail":
-            now = Candidate(x.pieces[0])
-            for piece in x.pieces[1:]:
-                now.feed(piece)
-        elif now is not None:
-            for piece in x.pieces:
-                now.feed(piece)
-                if now.bad or now.done:
-                    break
-            if now.done and not now.bad and (record := now.record()) is not None:
-                out.append(record)
-            now = None if now.done or now.bad else now
+    frame = frame.sort_values(["start", "kind"])  # the head of a range comes before its tail
+    pieces = (piece for row in frame["pieces"] for piece in row)
+    out = [record for kind, record in walk(pieces, last=True) if kind == "record"]
     return pd.DataFrame(out, columns=_NAMES)
 
 
