@@ -28,7 +28,7 @@ from exonloom.llm.tokens import mix, places, slices, texts
 
 SPACE, MARK = 32, 0x2581  # a space, and what stands for it in pieces
 OUTSIDE = 0x110000  # a character that is in no piece
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 SLOTS = 19
 
 
@@ -49,12 +49,23 @@ class Vocabulary:
             ends[node] = (i, weight)
             chars.update(map(ord, piece))
             self.most = max(self.most, len(piece))
-        self.piece = np.full(len(edges) + 1, -1, np.int32)
-        self.weight = np.zeros(len(edges) + 1, np.float64)
+        # codes of edges: 0 none, 1 to size a piece, then one to four bytes
+        self.size = size
+        self.code = np.zeros(len(edges) + 1, np.int32)
+        self.weight = np.zeros(size + 5)
         for node, (i, weight) in ends.items():
-            self.piece[node], self.weight[node] = i, np.exp(weight)
-        self.inside = np.zeros(OUTSIDE + 1, bool)
-        self.inside[list(chars)] = True
+            self.code[node] = i + 1
+            self.weight[i + 1] = np.exp(weight)
+        self.weight[size + 1 :] = np.exp(-np.log(size) - 4) ** np.arange(1, 5)
+        self.random = mix(np.arange(OUTSIDE + 1))
+        self.read = np.full(OUTSIDE, OUTSIDE, np.int32)  # characters as they stand in pieces
+        inside = np.array(sorted(chars - {SPACE, MARK}))
+        self.read[inside] = inside
+        self.read[SPACE] = MARK
+        self.top = np.zeros(OUTSIDE + 1, np.int32)  # children of the root
+        for (n, c), child in edges.items():
+            if n == 0:
+                self.top[c] = child
         keys = np.array([(n << 21) | c for n, c in edges], np.int64)
         self.keys = np.full(1 << SLOTS, -1, np.int64)
         self.next = np.zeros(1 << SLOTS, np.int32)
@@ -68,7 +79,6 @@ class Vocabulary:
             left = np.setdiff1d(left, put)
             busy = left[self.keys[slot[left]] != keys[left]]
             slot[busy] = (slot[busy] + 1) & ((1 << SLOTS) - 1)
-        self.byte_weight = float(np.exp(-np.log(size) - 4))
         out = [b""] * size
         for i, piece, _ in pieces:
             out[i] = piece.replace(chr(MARK), " ").encode()
@@ -117,55 +127,58 @@ def load(path: str, flatness: float = 1.0) -> Vocabulary:
     return Vocabulary(pieces, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], n)
 
 
-def edges_of(v: Vocabulary, chars: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each end and length the weight and the piece of the edge (0 and -1 where there is none).
+def edges_of(v: Vocabulary, chars: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Codes of the edges by the place they end at and their length.
 
     ``room`` is the number of characters from a place to the end of its unit.  A character without a piece
-    of its own has a byte edge, marked by the piece -2.
+    of its own has an edge of bytes.
     """
-    n = len(chars)
-    weight = np.zeros((n, v.most), np.float32)
-    piece = np.full((n, v.most), -1, np.int32)
-    at, node = np.arange(n), np.zeros(n, np.int64)
+    out = np.zeros((len(chars), v.most), np.int32)
+    node = v.top[chars]
+    at = np.flatnonzero(node)
+    node = node[at]
     for k in range(v.most):
-        fits = room[at] > k
-        at, node = at[fits], node[fits]
-        node = v.child(node, chars[at + k])
-        alive = node > 0
-        at, node = at[alive], node[alive]
+        if k:
+            fits = room[at] > k
+            at, node = at[fits], node[fits]
+            node = v.child(node, chars[at + k])
+            alive = node > 0
+            at, node = at[alive], node[alive]
         if not len(at):
             break
-        is_piece = v.piece[node] >= 0
-        end = at[is_piece] + k
-        weight[end, k], piece[end, k] = v.weight[node[is_piece]], v.piece[node[is_piece]]
-    alone = np.flatnonzero(piece[:, 0] < 0)
-    size = 1 + (chars[alone] > 0x7F) + (chars[alone] > 0x7FF) + (chars[alone] > 0xFFFF)
-    size[chars[alone] == OUTSIDE] = 3
-    weight[alone, 0], piece[alone, 0] = v.byte_weight**size, -2
-    return weight, piece
+        out[at + k, k] = v.code[node]
+    alone = np.flatnonzero(out[:, 0] == 0)
+    c = chars[alone]
+    size = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+    size[c == OUTSIDE] = 3  # the order of size among outside characters plays no part: they are units of their own
+    out[alone, 0] = v.size + size
+    return out
 
 
-def filtered(weight: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Cumulative probability of the length of the last piece, for each end, by forward filtering.
+def filtered(v: Vocabulary, code: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each end and length the probability that the last piece is longer, by forward filtering.
 
     ``first`` and ``size`` are the units, longest first.  The sums of the last places are kept in a window and
     scaled together, so they neither vanish nor overflow in long units.
     """
-    most = weight.shape[1]
-    window = np.zeros((len(first), most), np.float64)
+    most = code.shape[1]
+    longer = np.zeros(code.shape, np.float32)
+    window = np.zeros((len(first), most + 1))
     window[:, 0] = 1
     count = np.searchsorted(-size, -np.arange(1, size.max() + 1), "right") if len(size) else []
     for j, n in enumerate(count):
-        at = first[:n] + j
-        terms = weight[at] * window[:n]
-        total = np.cumsum(terms, axis=1)
-        now = total[:, -1]
-        weight[at] = total / now[:, None]
-        window[:n, 1:] = window[:n, :-1]
+        at, w = first[:n] + j, min(j + 1, most)
+        terms = v.weight[code[at, :w]]
+        terms *= window[:n, :w]
+        total = np.cumsum(terms, axis=1, out=terms)
+        now = total[:, -1].copy()
+        total /= now[:, None]
+        longer[at, :w] = 1 - total
+        window[:n, 1 : w + 1] = window[:n, :w]
         window[:n, 0] = now
         if j % 4 == 3:
-            window[:n] /= window[:n].max(axis=1)[:, None]
-    return weight
+            window[:n] /= window[:n, : w + 1].max(axis=1)[:, None]
+    return longer
 
 
 def drawn(seed: np.ndarray, step: int) -> np.ndarray:
@@ -175,16 +188,13 @@ def drawn(seed: np.ndarray, step: int) -> np.ndarray:
 def encode_slice(v: Vocabulary, bodies: bytes, lengths: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of UTF-8 texts end to end, and the number of ids of each text; ``keys`` seed their draws."""
     raw = np.frombuffer(bodies, np.uint8)
-    chars = np.frombuffer(bodies.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+    chars = np.frombuffer(bodies.decode("utf-8").encode("utf-32-le"), np.int32)
     heads = np.flatnonzero((raw & 0xC0) != 0x80)  # byte at which each character starts
     n_chars = np.diff(np.searchsorted(heads, np.concatenate(([0], np.cumsum(lengths)))))
-    literal = chars == MARK
-    chars = np.where(chars == SPACE, MARK, chars)
-    chars[literal | ~v.inside[chars]] = OUTSIDE
-    original = chars.copy()
+    known = v.read[chars]
     keep = np.flatnonzero(n_chars)  # a mark goes before every text that is not empty
     starts = np.cumsum(n_chars) - n_chars
-    chars = np.insert(original, starts[keep], MARK)
+    chars = np.insert(known, starts[keep], MARK)
     byte_of = np.insert(heads, starts[keep], -1)
     n = n_chars + (n_chars > 0)
     begin = (np.cumsum(n) - n)[keep]
@@ -200,7 +210,7 @@ def encode_slice(v: Vocabulary, bodies: bytes, lengths: np.ndarray, keys: np.nda
     nth = np.arange(len(first)) - np.searchsorted(first, begin)[owner]
 
     at = np.arange(len(chars)) - np.repeat(first, size)
-    exact = mix(chars) * places(int(size.max()) if len(size) else 1)[at]
+    exact = v.random[chars] * places(int(size.max()) if len(size) else 1)[at]
     name = np.add.reduceat(exact, first) + mix(size) if len(first) else np.zeros(0, np.uint64)
     _, one, of = np.unique(name, return_index=True, return_inverse=True)
     order = np.argsort(-size[one], kind="stable")
@@ -211,8 +221,8 @@ def encode_slice(v: Vocabulary, bodies: bytes, lengths: np.ndarray, keys: np.nda
     u_first = np.cumsum(u_size) - u_size
     within = np.arange(int(u_size.sum())) - np.repeat(u_first, u_size)
     u_chars = chars[np.repeat(first[one], u_size) + within]
-    weight, piece = edges_of(v, u_chars, np.repeat(u_size, u_size) - within)
-    share = filtered(weight, u_first, u_size)
+    code = edges_of(v, u_chars, np.repeat(u_size, u_size) - within)
+    longer = filtered(v, code, u_first, u_size)
 
     live = np.arange(len(first))
     end = u_first[of] + size - 1
@@ -221,9 +231,8 @@ def encode_slice(v: Vocabulary, bodies: bytes, lengths: np.ndarray, keys: np.nda
     step = 0
     while len(live):
         e = end[live]
-        k = (share[e] < drawn(seed[live], step)[:, None]).sum(axis=1)
-        k = np.minimum(k, v.most - 1)
-        p = piece[e, k]
+        k = (longer[e] > drawn(seed[live], step).astype(np.float32)[:, None]).sum(axis=1)
+        p = code[e, k] - 1
         got_piece.append(p)
         got_char.append(first[live] + e - u_first[of[live]])
         end[live] = e - k - 1
@@ -234,7 +243,7 @@ def encode_slice(v: Vocabulary, bodies: bytes, lengths: np.ndarray, keys: np.nda
     place, ids = np.concatenate(got_char), np.concatenate(got_piece)
     order = np.argsort(place, kind="stable")
     place, ids = place[order], ids[order]
-    plain = ids >= 0
+    plain = ids < v.size
     at_byte = byte_of[place]
     until = np.append(heads, len(raw))
     last = until[np.searchsorted(until, at_byte, "right").clip(0, len(until) - 1)]
