@@ -54,7 +54,8 @@ def dna_sql(text: str) -> str:
 
 
 def sequences(spark, folder) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("doc_id", "text")).select(
+    rows = table(spark, folder, "documents").select("doc_id", "text")
+    return spread(rows, spark.sparkContext.defaultParallelism).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("seq_id"), dna("text").alias("seq")
     )
 
@@ -62,15 +63,6 @@ def sequences(spark, folder) -> DataFrame:
 SEQS = f"seqs as (select 'd' || doc_id as seq_id, {dna_sql('text')} as seq from documents)"
 
 
-def short_sequences(spark, folder) -> DataFrame:
-    """Short texts, for operators that copy a whole sequence per result row."""
-    return spread(table(spark, folder, "benchmark")).select(
-        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("seq_id"), dna("text").alias("seq")
-    )
-
-
-SHORT_SEQS = f"seqs as (select 'b' || item_id as seq_id, {dna_sql('text')} as seq from benchmark)"
-
 # Motifs of the test dictionary: partly overlapping, one inside another (fixed values).
 MOTIFS = {
     "RBA": ["ACGTA", "GTACG"],
@@ -135,10 +127,10 @@ def sites(seqs: DataFrame) -> DataFrame:
     return base.select("seq_id", F.col("len").alias("len_seq"), *cols)
 
 
-def hits(spark, folder, seqs=sequences) -> DataFrame:
+def hits(spark, folder) -> DataFrame:
     from exonloom.operators.motifs import scan_exact
 
-    return scan_exact(seqs(spark, folder), motif_table(spark))
+    return scan_exact(sequences(spark, folder), motif_table(spark))
 
 
 # ---------------------------------------------------------------- gene models

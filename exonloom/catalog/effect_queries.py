@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from exonloom.catalog.base import SHORT_SEQS, query, short_sequences, table, with_ctes
+from exonloom.catalog.base import SEQS, query, sequences, table, with_ctes
 from exonloom.operators import predict as pr
 from exonloom.operators import tabular as tb
 from exonloom.schemas import SITE_COLUMNS
@@ -182,15 +182,17 @@ def effect_summary(spark, folder):
 
 
 _EFFECTS = ("acceptor_cassette_effect", "donor_cassette_effect")
-# label effects straight from the vectors, so that every sign and size occurs
-_SIMPLE = """
-fx as (select 'v' || vec_id as id, 'g' || label as seq_id, round(2 * embedding[1]::double, 3) as acceptor_cassette_effect,
-       round(2 * embedding[2]::double, 3) as donor_cassette_effect from embeddings),
+_SIGNIFICANT = """
+fx as (select id, seq_id, acceptor_cassette_effect, donor_cassette_effect from summary),
 sig as (select *, case when abs(donor_cassette_effect) > abs(acceptor_cassette_effect) then donor_cassette_effect else acceptor_cassette_effect end as effect
         from fx where abs(acceptor_cassette_effect) >= 0.05 or abs(donor_cassette_effect) >= 0.05)
 """
 
 
+def _effects(body: str) -> str:
+    return _sql(body, _LISTS, _effects_sql().replace("> 1.2 and", "> 0.2 and"), _SIGNIFICANT)
+
+
 def _bin_sql(v: str) -> str:
     return "case " + " ".join(
         f"when {v} > {lo} and {v} <= {hi} then '{label}'" for lo, hi, label in zip(pr.EFFECT_EDGES, pr.EFFECT_EDGES[1:], pr.EFFECT_LABELS)
@@ -198,17 +200,12 @@ def _bin_sql(v: str) -> str:
 
 
 def _simple(spark, folder):
-    e = table(spark, folder, "embeddings")
-    at = lambda i: F.round(2 * F.get("embedding", F.lit(i)).cast("double"), 3)
-    return e.select(
-        F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), F.concat(F.lit("g"), F.col("label").cast("string")).alias("seq_id"),
-        at(0).alias(_EFFECTS[0]), at(1).alias(_EFFECTS[1]),
-    )
+    return _summary(spark, folder).select("id", "seq_id", *_EFFECTS)
 
 
 @query(
     "significant_top50",
-    with_ctes(_SIMPLE, body=f"select *, {_bin_sql('effect')} as effect_bin from sig order by effect desc, id limit 50"),
+    _effects(f"select *, {_bin_sql('effect')} as effect_bin from sig order by effect desc, id limit 50"),
 )
 def significant_top50(spark, folder):
     return pr.significant(_simple(spark, folder))
@@ -216,7 +213,7 @@ def significant_top50(spark, folder):
 
 @query(
     "significant_same_sign",
-    with_ctes(_SIMPLE, body=f"""select * exclude (effect), (acceptor_cassette_effect + donor_cassette_effect) / 2 as effect,
+    _effects(f"""select * exclude (effect), (acceptor_cassette_effect + donor_cassette_effect) / 2 as effect,
         {_bin_sql('(acceptor_cassette_effect + donor_cassette_effect) / 2')} as effect_bin from sig
         where sign(acceptor_cassette_effect) = sign(donor_cassette_effect) and acceptor_cassette_effect <> 0"""),
 )
@@ -226,7 +223,7 @@ def significant_same_sign(spark, folder):
 
 @query(
     "effect_bins",
-    with_ctes(_SIMPLE, body=f"select seq_id, {_bin_sql('effect')} as effect_bin, count(*) as n from sig group by all"),
+    _effects(f"select seq_id, {_bin_sql('effect')} as effect_bin, count(*) as n from sig group by all"),
 )
 def effect_bins(spark, folder):
     return pr.significant(_simple(spark, folder), top=None).groupBy("seq_id", "effect_bin").agg(F.count(F.lit(1)).alias("n"))
@@ -276,37 +273,48 @@ p as (select seq_id, seq, i as pos, substr(seq, greatest(i - 20, 0) + 1, i - gre
 
 @query(
     "predicted_scores",
-    with_ctes(SHORT_SEQS, _CONSENSUS, body="""select seq_id, pos,
-        round((length(l) - length(translate(l, 'CT', ''))) / greatest(length(l), 1) * case when ag then 1 else 0.01 end, 9) as acceptor,
-        round((1 - (length(r) - length(translate(r, 'CT', ''))) / greatest(length(r), 1)) * case when gt then 1 else 0.01 end, 9) as donor from p"""),
+    with_ctes(SEQS, _CONSENSUS, body="""select seq_id, count(*) as n, round(sum(acceptor), 5) as acceptor, round(sum(donor), 5) as donor,
+        max(pos) filter (acceptor > 0.5) as last_acceptor, max(pos) filter (donor > 0.5) as last_donor from (select seq_id, pos, round((length(l) - length(translate(l, 'CT', ''))) / greatest(length(l), 1) * case when ag then 1 else 0.01 end, 9) as acceptor,
+        round((1 - (length(r) - length(translate(r, 'CT', ''))) / greatest(length(r), 1)) * case when gt then 1 else 0.01 end, 9) as donor from p) group by seq_id"""),
 )
 def predicted_scores(spark, folder):
-    scored = pr.explode_scores(pr.predict(short_sequences(spark, folder)))
-    return scored.select("seq_id", "pos", F.round("acceptor", 9).alias("acceptor"), F.round("donor", 9).alias("donor"))
+    scored = pr.explode_scores(pr.predict(sequences(spark, folder)))
+    a, d = F.round("acceptor", 9), F.round("donor", 9)
+    return scored.groupBy("seq_id").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(a), 5).alias("acceptor"), F.round(F.sum(d), 5).alias("donor"),
+        F.max(F.when(a > 0.5, F.col("pos"))).alias("last_acceptor"), F.max(F.when(d > 0.5, F.col("pos"))).alias("last_donor"),
+    )
 
 
+# a mutant's span stands for the hit, so its distances to the cassette sites come from its place
 @query(
     "site_effects",
-    with_ctes(_SIMPLE, body="""select id, 'Donor' as splice_site, length(id) as distance, donor_cassette_effect as effect from fx
-        union all select id, 'Acceptor', length(seq_id), acceptor_cassette_effect from fx"""),
+    _effects("""select id, 'Donor' as splice_site, abs(e - "end") as distance, donor_cassette_effect as effect from placed
+        union all select id, 'Acceptor', abs("start" - s), acceptor_cassette_effect from placed""").replace(
+        "fx as (", """placed as (select m.id, m."start", m."end", start_exon_cassette as s, end_exon_cassette as e, acceptor_cassette_effect, donor_cassette_effect
+        from muts m join site using (seq_id) join summary f on f.id = m.id and f.seq_id = m.seq_id), fx as (""", 1),
 )
 def site_effects(spark, folder):
-    n = lambda c: F.length(c).cast("bigint")
-    df = _simple(spark, folder).withColumns(
-        {"distance_to_cassette_donor": n("id"), "distance_to_cassette_acceptor": n("seq_id")}
+    spans = _mutants(spark, folder).select("id", "seq_id", "start", "end")
+    df = _simple(spark, folder).join(spans, ["id", "seq_id"]).join(_sites(spark, folder), "seq_id").withColumns(
+        {
+            "distance_to_cassette_donor": F.abs(F.col("end_exon_cassette") - F.col("end")),
+            "distance_to_cassette_acceptor": F.abs(F.col("start") - F.col("start_exon_cassette")),
+        }
     )
     return tb.site_effects(df, ["id"])
 
 
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 @query(
     "score_matrix",
-    "select c_nationkey, " + ", ".join(
-        f"max(c_acctbal) filter (c_mktsegment = '{s}') as \"{s}\"" for s in ("AUTOMOBILE", "BUILDING", "MACHINERY")
-    ) + " from customer group by 1",
+    "select c_nationkey, " + ", ".join(f"max(c_acctbal) filter (c_mktsegment = '{s}') as \"{s}\"" for s in SEGMENTS) + " from customer group by 1",
 )
 def score_matrix(spark, folder):
     df = table(spark, folder, "customer").select("c_nationkey", "c_mktsegment", "c_acctbal")
-    return tb.score_matrix(df, "c_nationkey", "c_mktsegment", "c_acctbal", ["AUTOMOBILE", "BUILDING", "MACHINERY"])
+    return tb.score_matrix(df, "c_nationkey", "c_mktsegment", "c_acctbal", SEGMENTS)
 
 
 @query("names_with_counts", "select p_brand, count(*) as n, p_brand || ' (N=' || count(*) || ')' as label from part group by 1")

@@ -85,19 +85,20 @@ def _register_removals():
 _register_removals()
 
 _SIDES = """
-a as (select * from iv where kind = 'view'), b as (select * from iv where kind = 'click')
+a as (select * from iv where kind in ('view', 'signup', 'purchase')), b as (select * from iv where kind not in ('view', 'signup', 'purchase'))
 """
 
 
 def _sides(spark, folder):
-    df = event_intervals(spark, folder, 5)
-    return df.filter("kind = 'view'"), df.filter("kind = 'click'")
+    df = event_intervals(spark, folder)
+    one = F.col("kind").isin("view", "signup", "purchase")
+    return df.filter(one), df.filter(~one)
 
 
 @query(
     "interval_overlap_join",
     with_ctes(
-        ivals(5), _SIDES,
+        ivals(), _SIDES,
         body="""select a.c, a.id, b.id as id_b, least(a."end", b."end") - greatest(a."start", b."start") as overlap
                 from a join b on a.c = b.c and a."start" < b."end" and b."start" < a."end" """,
     ),
@@ -110,13 +111,13 @@ def interval_overlap_join(spark, folder):
 _EXISTS = """select id, c from a where {neg} exists (select 1 from b where a.c = b.c and a."start" < b."end" and b."start" < a."end")"""
 
 
-@query("interval_exists", with_ctes(ivals(5), _SIDES, body=_EXISTS.format(neg="")))
+@query("interval_exists", with_ctes(ivals(), _SIDES, body=_EXISTS.format(neg="")))
 def interval_exists(spark, folder):
     a, b = _sides(spark, folder)
     return iv.overlap_exists(a, b, KEYS).select("id", "c")
 
 
-@query("interval_not_exists", with_ctes(ivals(5), _SIDES, body=_EXISTS.format(neg="not")))
+@query("interval_not_exists", with_ctes(ivals(), _SIDES, body=_EXISTS.format(neg="not")))
 def interval_not_exists(spark, folder):
     a, b = _sides(spark, folder)
     return iv.overlap_exists(a, b, KEYS, anti=True).select("id", "c")
@@ -148,7 +149,7 @@ pieces as (
 @query(
     "interval_subtract",
     with_ctes(
-        ivals(5), _SIDES, islands_sql("b", "c", '"start", id'),
+        ivals(), _SIDES, islands_sql("b", "c", '"start", id'),
         SUBTRACT.format(k="c", id="id", cols="id, c"),
         body='select id, c, s as "start", e as "end" from pieces where s < e',
     ),
@@ -191,7 +192,7 @@ near_{how} as (
 @query(
     "nearest_up_down",
     with_ctes(
-        ivals(5), _SIDES, _near_sql("before", 1), _near_sql("after", 1),
+        ivals(), _SIDES, _near_sql("before", 1), _near_sql("after", 1),
         body="""select id, 'before' as side, id_b, distance from near_before
                 union all select id, 'after', id_b, distance from near_after""",
     ),
@@ -208,7 +209,7 @@ def nearest_up_down(spark, folder):
 @query(
     "k_nearest_wide",
     with_ctes(
-        ivals(5), _SIDES, _near_sql("before", 3),
+        ivals(), _SIDES, _near_sql("before", 3),
         body="select id, " + ", ".join(
             f"max(case when idx = {i} then {c} end) as {c}_{i}" for i in (1, 2, 3) for c in ("id_b", "distance")
         ) + " from near_before group by id",

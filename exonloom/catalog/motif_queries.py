@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from exonloom.catalog.base import (
-    HITS, MOTIF_FEATURES, MOTIFS, MOTIFS_CTE, RBPS, SEQS, SHORT_SEQS, SITES, dna, dna_sql, hits, motif_table, query,
-    sequences, short_sequences, sites, table, with_ctes,
+    HITS, MOTIF_FEATURES, MOTIFS, MOTIFS_CTE, RBPS, SEQS, SITES, dna, dna_sql, hits, motif_table, query, sequences, sites, table,
+    with_ctes,
 )
 from exonloom.functions import sequence as fs
 from exonloom.operators import location as lo
@@ -18,7 +18,6 @@ from exonloom.schemas import LOCATIONS, SITE_COLUMNS
 from exonloom.sources.sequences import chunk_sequences
 
 SCAN = (SEQS, MOTIFS_CTE, HITS)
-SHORT_SCAN = (SHORT_SEQS, MOTIFS_CTE, HITS)
 HIT = 'seq_id, rbp_name, motif, "start", "end"'
 
 
@@ -40,17 +39,14 @@ def reverse_complement(spark, folder):
     return sequences(spark, folder).select("seq_id", fs.reverse_complement("seq").alias("rc"))
 
 
-KMERS = [a + b for a in "ACGT" for b in "ACGT"] + ["AAAAA", "GTACG"]
-
-
 @query(
     "kmer_frequencies",
-    with_ctes(SEQS, body="select seq_id, " + ", ".join(
-        f"case when length(seq) > 0 then round((length(seq) - length(replace(seq, '{k}', ''))) // {len(k)} / length(seq) + 1e-9, 5) end as \"{k}\"" for k in KMERS
-    ) + " from seqs"),
+    with_ctes(SEQS, "words as (select distinct seq_id, seq, substr(seq, i + 1, 6) as kmer from seqs, unnest(range(length(seq) - 5)) t(i))",
+        body="""select seq_id, kmer, (length(seq) - length(replace(seq, kmer, ''))) // 6 as n,
+                round((length(seq) - length(replace(seq, kmer, ''))) // 6 / length(seq) + 1e-9, 5) as frequency from words"""),
 )
 def kmer_frequencies(spark, folder):
-    return sq.kmer_frequencies(sequences(spark, folder), KMERS)
+    return sq.kmer_table(sequences(spark, folder), 6)
 
 
 @query(
@@ -64,24 +60,24 @@ def trim_to_triplet(spark, folder):
     return sq.trim_to_triplet(seqs.join(sites(seqs), "seq_id")).select("seq_id", "triplet")
 
 
-# windows over the first 200 sequences taken as chromosomes; some run off an end
+# every sequence is a chromosome with windows over its whole length; some run off an end
 @query(
     "window_extraction",
-    with_ctes(SEQS, """w as (select event_id, 'd' || (event_id % 200) as chrom, (event_id * 7) % 400 as s, (event_id * 7) % 400 + 20 + cast(floor(value) as bigint) as e,
-        case when user_id % 2 = 0 then '+' else '-' end as strand from events)""",
-        body="""select event_id, case when s - 5 >= 0 and e + 5 <= length(seq) then
+    with_ctes(SEQS, """w as (select seq_id as chrom, i * 601 as s, i * 601 + 20 + (i * 97) % 700 as e,
+        case when i % 2 = 0 then '+' else '-' end as strand, seq from seqs, unnest(range(length(seq) // 601 + 1)) t(i))""",
+        body="""select chrom, s as "start", case when s - 5 >= 0 and e + 5 <= length(seq) then
             case when strand = '-' then reverse(translate(substr(seq, s - 4, e - s + 10), 'ACGT', 'TGCA')) else substr(seq, s - 4, e - s + 10) end end as seq
-            from w join seqs on seq_id = chrom"""),
+            from w"""),
 )
 def window_extraction(spark, folder):
-    genome = chunk_sequences(sequences(spark, folder), 256)
-    start = (F.col("event_id") * 7) % 400
-    windows = table(spark, folder, "events").select(
-        "event_id", F.concat(F.lit("d"), (F.col("event_id") % 200).cast("string")).alias("chrom"),
-        start.alias("start"), (start + 20 + F.floor("value")).alias("end"),
-        F.when(F.col("user_id") % 2 == 0, "+").otherwise("-").alias("strand"),
+    seqs = sequences(spark, folder)
+    genome = chunk_sequences(seqs, 256)
+    i = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.length("seq") / 601)))
+    windows = seqs.select(F.col("seq_id").alias("chrom"), i.alias("i")).select(
+        "chrom", (F.col("i") * 601).alias("start"), (F.col("i") * 601 + 20 + F.col("i") * 97 % 700).alias("end"),
+        F.when(F.col("i") % 2 == 0, "+").otherwise("-").alias("strand"),
     )
-    return sq.extract(windows, genome, 256, slack=5).select("event_id", "seq")
+    return sq.extract(windows, genome, 256, slack=5, check_chrom=False).select("chrom", "start", "seq")
 
 
 # ---------------------------------------------------------------- scanning
@@ -358,10 +354,14 @@ def rbp_map_locations(spark, folder):
     )
 
 
+# The sides of an exon on which hits are told apart by their distance; on the others all are near.
+MAP_FAR = ("Upstream_exon_intron_downstream", "Cassette_exon_intron_upstream", "Cassette_exon_intron_downstream", "Downstream_exon_intron_upstream")
 MAP_FEATURES = [
     f"{side}|{d}"
-    for side in ("Cassette_exon_intron_upstream", "Cassette_exon_acceptor_side", "Cassette_exon_middle", "Cassette_exon_donor_side", "Cassette_exon_intron_downstream")
-    for d in (0, 100, 200, 300, 400)
+    for exon in ("Upstream", "Cassette", "Downstream")
+    for part in ("intron_upstream", "acceptor_side", "middle", "donor_side", "intron_downstream")
+    for side in (f"{exon}_exon_{part}",)
+    for d in ((0, 100, 200, 300, 400) if side in MAP_FAR else (0,))
 ]
 
 
@@ -372,8 +372,8 @@ MAP_FEATURES = [
         """g as (select rbp_name, new_location || '|' || (case when new_location like '%_middle' then 0 else new_distance end // 100 * 100) as f, quality
              from mapped join labels on seq_id = 'd' || doc_id where new_location is not null and new_distance is not null)""",
         """c as (select rbp_name, f, count(*) filter (quality = 1) as p, count(*) filter (quality = 0) as n from g group by all)""",
-        body="select rbp_name, " + ", ".join(f"max(p - n) filter (f = '{f}' and p > 0 and n > 0) as \"{f}\"" for f in MAP_FEATURES)
-        + " from c where p > 0 and n > 0 group by rbp_name",
+        body="select rbp_name, " + ", ".join(f"coalesce(max(p - n) filter (f = '{f}'), 0) as \"{f}\"" for f in MAP_FEATURES)
+        + " from c group by rbp_name",
     ),
 )
 def map_difference_matrix(spark, folder):
@@ -415,11 +415,12 @@ def deletion_metadata(spark, folder):
 
 @query(
     "deletion_sequences",
-    with_ctes(*SHORT_SCAN, body="""select distinct seq_id || '_DEL_' || "start" || '_' || "end" as id, seq_id, "start", "end",
-        substr(seq, 1, "start") || substr(seq, "end" + 1) as seq from hits join seqs using (seq_id)"""),
+    with_ctes(*SCAN, body="""select distinct seq_id || '_DEL_' || "start" || '_' || "end" as id, seq_id, "start", "end",
+        md5(substr(seq, 1, "start") || substr(seq, "end" + 1)) as seq_md5 from hits join seqs using (seq_id)"""),
 )
 def deletion_sequences(spark, folder):
-    return pe.deletions(hits(spark, folder, short_sequences), short_sequences(spark, folder))
+    made = pe.deletions(hits(spark, folder), sequences(spark, folder))
+    return made.select("id", "seq_id", "start", "end", F.md5("seq").alias("seq_md5"))
 
 
 _SNV = """
@@ -430,28 +431,51 @@ subs as (select pts.*, m as mutation from pts, (values ('A'), ('C'), ('G'), ('T'
 
 @query(
     "motif_substitutions",
-    with_ctes(*SHORT_SCAN, _SNV, body="""select seq_id || '_motif_at_pos_' || "start" || '_' || "end" || '_' || base || '_subs_by_' || mutation || '_at_' || i as id,
+    with_ctes(*SCAN, _SNV, body="""select seq_id || '_motif_at_pos_' || "start" || '_' || "end" || '_' || base || '_subs_by_' || mutation || '_at_' || i as id,
         seq_id, rbp_name, "start" + i as "start", "start" + i as "end", mutation, 'SNV' as type, "start" as motif_start, "end" as motif_end,
-        substr(seq, 1, "start" + i) || mutation || substr(seq, "start" + i + 2) as seq from subs"""),
+        md5(substr(seq, 1, "start" + i) || mutation || substr(seq, "start" + i + 2)) as seq_md5 from subs"""),
 )
 def motif_substitutions(spark, folder):
-    return pe.motif_substitutions(hits(spark, folder, short_sequences), short_sequences(spark, folder))
+    made = pe.motif_substitutions(hits(spark, folder), sequences(spark, folder))
+    return made.withColumn("seq_md5", F.md5("seq")).drop("seq")
 
 
 @query(
     "sequence_substitutions",
-    with_ctes(SHORT_SEQS, """pts as (select seq_id, seq, i, substr(seq, i + 1, 1) as base from seqs, unnest(range(length(seq))) t(i) where i < 10 or i >= 60)""",
+    with_ctes(SEQS, """pts as (select seq_id, i, substr(seq, i + 1, 1) as base from seqs, unnest(range(length(seq))) t(i) where i < 10 or i >= 60)""",
+        body="""select seq_id, m as mutation, count(*) as n, cast(sum(i) as bigint) as positions, min(id) as first_id, max(id) as last_id from (
+        select seq_id || '_' || base || '_subs_by_' || m || '_at_' || i as id, seq_id, i, m from pts, (values ('A'), ('C'), ('G'), ('T')) v(m) where m <> base)
+        group by all"""),
+)
+def sequence_substitutions(spark, folder):
+    made = pe.sequence_substitutions(sequences(spark, folder), exclude=(10, 60), with_sequence=False)
+    return made.groupBy("seq_id", "mutation").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("start").alias("positions"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
+    )
+
+
+# the mutated texts themselves, each as long as its text, so over the short texts of another table
+@query(
+    "sequence_substitutions_benchmark",
+    with_ctes(f"seqs as (select 'b' || item_id as seq_id, {dna_sql('text')} as seq from benchmark)",
+        """pts as (select seq_id, seq, i, substr(seq, i + 1, 1) as base from seqs, unnest(range(length(seq))) t(i) where i < 10 or i >= 60)""",
         body="""select seq_id || '_' || base || '_subs_by_' || m || '_at_' || i as id, seq_id, i as "start", i as "end", m as mutation, 'SNV' as type,
         substr(seq, 1, i) || m || substr(seq, i + 2) as seq from pts, (values ('A'), ('C'), ('G'), ('T')) v(m) where m <> base"""),
 )
-def sequence_substitutions(spark, folder):
-    return pe.sequence_substitutions(short_sequences(spark, folder), exclude=(10, 60))
+def sequence_substitutions_benchmark(spark, folder):
+    seqs = table(spark, folder, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("seq_id"), dna("text").alias("seq"))
+    return pe.sequence_substitutions(seqs, exclude=(10, 60))
 
 
-# seeded sampling has no SQL form here: a fixed number of positions on each side
-@query("sequence_substitutions_sampled")
+@query(
+    "sequence_substitutions_sampled",
+    with_ctes(SEQS, """pts as (select seq_id, i, substr(seq, i + 1, 1) as base from seqs, unnest(range(length(seq))) t(i) where i < 10 or i >= 60)""",
+        """picked as (select * from pts qualify row_number() over (partition by seq_id, i < 10 order by md5(seq_id || '|' || i || '|0'), i) <= 4)""",
+        body="""select seq_id || '_' || base || '_subs_by_' || m || '_at_' || i as id, seq_id, i as "start", i as "end", m as mutation, 'SNV' as type
+        from picked, (values ('A'), ('C'), ('G'), ('T')) v(m) where m <> base"""),
+)
 def sequence_substitutions_sampled(spark, folder):
-    return pe.sequence_substitutions(short_sequences(spark, folder), exclude=(10, 60), sample=8, with_sequence=False)
+    return pe.sequence_substitutions(sequences(spark, folder), exclude=(10, 60), sample=8, with_sequence=False)
 
 
 @query(

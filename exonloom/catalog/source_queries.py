@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from exonloom.catalog.base import query, sequences, table
+from exonloom.catalog.base import SEQS, query, sequences, table, with_ctes
 from exonloom.operators import annotation as an
 from exonloom.operators import matching as ma
 from exonloom.operators import motifs as mo
@@ -181,11 +181,11 @@ def position_tracks(spark, folder):
 
 @query(
     "fasta_rows",
-    "select '>doc' || doc_id || chr(10) || text as value from documents where lang = 'en'",
+    "select '>doc' || doc_id || chr(10) || text as value from documents where text is not null",
 )
 def fasta_rows(spark, folder):
     df = table(spark, folder, "documents").select(
-        F.concat(F.lit("doc"), _text("doc_id")).alias("seq_id"), F.when(F.col("lang") == "en", F.col("text")).alias("seq")
+        F.concat(F.lit("doc"), _text("doc_id")).alias("seq_id"), F.col("text").alias("seq")
     )
     return sinks.fasta_lines(df)
 
@@ -239,8 +239,23 @@ def unambiguous_kmers(spark, folder):
     return mo.unambiguous_kmers(_matrices(spark, folder))
 
 
-# tail probabilities come from a score distribution that SQL does not state; tests use brute force
-@query("matrix_scan")
+# a matrix scores all words of its length; the share of words that score as much is the tail
+@query(
+    "matrix_scan",
+    with_ctes(SEQS, """cells as (
+         select n_nationkey as k, i, j, case when (n_nationkey + i) % 3 = 0 then case when j = own then 0.6 when j = other then 0.3 else 0.05 end
+                                             else case when j = own then 0.91 else 0.03 end end as p
+         from (select *, (own + 1 + n_nationkey % 2) % 4 as other from (select n_nationkey, i, j, (n_nationkey + i) % 4 as own
+               from nation, unnest(range(6)) t(i), unnest(range(4)) u(j))))""",
+        "weights as (select k, i, 'ACGT'[j + 1] as b, p, cast(round(log2((p + 1e-4) / (1 + 4e-4) / 0.25) * 100) as bigint) as w from cells)",
+        "words as (select a.k, a.b || b.b || c.b || d.b || e.b || f.b as motif, a.w + b.w + c.w + d.w + e.w + f.w as score, least(a.p, b.p, c.p, d.p, e.p, f.p) as p from "
+        + " join ".join(f"(select * from weights where i = {i}) {x}" + (f" on a.k = {x}.k" if i else "") for i, x in enumerate("abcdef")) + ")",
+        "tails as (select *, count(*) over (partition by k order by score desc) / 4096.0 as tail from words)",
+        "good as (select distinct 'R' || (k % 20) as rbp_name, motif from tails where tail <= 5e-4)",
+        "allowed as (select distinct 'R' || (k % 20) as rbp_name, motif from words where p >= 0.15)",
+        "places as (select seq_id, i, substr(seq, i + 1, 6) as motif from seqs, unnest(range(length(seq) - 5)) t(i))",
+        body="""select seq_id, rbp_name, motif, i as "start", i + 6 as "end" from places join good using (motif) join allowed using (rbp_name, motif)"""),
+)
 def matrix_scan(spark, folder):
     matrices = _matrices(spark, folder)
     return mo.scan_matrices(sequences(spark, folder), matrices, 5e-4, allowed=mo.unambiguous_kmers(matrices))
@@ -271,18 +286,46 @@ def _match_rows(spark, folder):
     )
 
 
-# order-dependent choice has no SQL form; tests compare it with brute force
-@query("greedy_match")
+def _greedy_sql(rows: str, features: list[str], distance: str, body: str) -> str:
+    """One choice per step of a recursive query: the next chooser of each group takes its nearest free control."""
+    gaps = distance.format(*[f"abs(c.{f} - k.{f})" for f in features])
+    return f"""with recursive rows as ({rows}),
+k as (select *, row_number() over (partition by grp order by ord) as n from rows where kd),
+c as (select grp, list({{'ord': ord, {', '.join(f"'{f}': {f}" for f in features)}}} order by ord) as controls from rows where not kd group by grp),
+taken(grp, n, free, kd_order, ctrl_order, distance) as (
+  select grp, 0::bigint, controls, null::bigint, null::bigint, null::double from c
+  union all
+  select grp, n, list_filter(free, lambda x: x.ord <> best.ord), kd_order, best.ord, best.d from (
+    select t.grp, k.n, t.free, k.ord as kd_order, list_min(list_transform(t.free, lambda c: {{'d': {gaps}, 'ord': c.ord}})) as best
+    from taken t join k on k.grp = t.grp and k.n = t.n + 1) where best is not null),
+pairs as (select grp as rbp_name, kd_order, ctrl_order, distance from taken where n > 0)
+{body}"""
+
+
+_MATCH_ROWS = """select p_type as grp, p_size > 35 as kd, p_partkey as ord, p_retailprice as a, ((p_partkey * 37) % 101)::double as b, (p_size + 1)::double as len from part"""
+
+
+@query("greedy_match", _greedy_sql(_MATCH_ROWS, ["a", "b"], "sqrt(pow({0}, 2) + pow({1}, 2))", "select rbp_name, kd_order, ctrl_order, round(distance, 6) as distance from pairs"))
 def greedy_match(spark, folder):
-    return ma.greedy_match(_match_rows(spark, folder), "rbp_name", "exon_group", "ord", "target", ["a", "b"])
+    pairs = ma.greedy_match(_match_rows(spark, folder), "rbp_name", "exon_group", "ord", "target", ["a", "b"])
+    return pairs.withColumn("distance", F.round("distance", 6))
+
+
+_SCALED = f"""select grp, kd, ord, (a - avg(a) over w) / stddev_pop(a) over w as a, (b - avg(b) over w) / stddev_pop(b) over w as b,
+    (log10(len) - avg(log10(len)) over w) / stddev_pop(log10(len)) over w as len from ({_MATCH_ROWS}) window w as (partition by grp)"""
 
 
-@query("greedy_match_scaled")
+@query(
+    "greedy_match_scaled",
+    _greedy_sql(_SCALED, ["a", "b", "len"], "({0} + {1} + {2}) / 3", """select rbp_name, kd_order, ctrl_order, round(distance, 6) as distance, round(x.a - y.a, 6) as scaled_a_diff,
+        round(x.b - y.b, 6) as scaled_b_diff, round(x.len - y.len, 6) as scaled_len_diff from pairs join rows x on x.ord = kd_order join rows y on y.ord = ctrl_order"""),
+)
 def greedy_match_scaled(spark, folder):
     rows = ma.scale_features(_match_rows(spark, folder), "rbp_name", ["a", "b", "len"], ["len"])
     features = ["scaled_a", "scaled_b", "scaled_len"]
     pairs = ma.greedy_match(rows, "rbp_name", "exon_group", "ord", "target", features, "avg")
-    return ma.pair_differences(pairs, rows, "ord", features, ["rbp_name"])
+    out = ma.pair_differences(pairs, rows, "ord", features, ["rbp_name"])
+    return out.withColumns({c: F.round(c, 6) for c in ("distance", *[f"{f}_diff" for f in features])})
 
 
 @query(

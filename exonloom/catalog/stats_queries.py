@@ -140,10 +140,35 @@ def paired_t(spark, folder):
     return _rounded(_rounded(out, "mean", "sd"), "t", digits=5)
 
 
-# distribution tails have no SQL form here; tests compare them with known values
-@query("one_sample_t_p_values")
+# Areas of the densities by Simpson's rule over fixed panels, in SQL lists (k runs over the panel ends).
+_PANELS = 1000
+_SIMPSON = f"(case when k = 0 or k = {_PANELS} then 1 when k % 2 = 1 then 4 else 2 end)"
+
+
+def _t_tails(v: str, t: str) -> str:
+    area = f"abs({t}) / {_PANELS} / 3 * list_sum(list_transform(range({_PANELS + 1}), lambda k: {_SIMPSON} * pow(1 + pow({t} * k / {_PANELS}, 2) / {v}, -({v} + 1) / 2)))"
+    return f"(1 - 2 * exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt({v} * pi()) * {area})"
+
+
+_NORMAL_TAILS = "(1 - 2 / sqrt(2 * pi()) * {z} / 1000 / 3 * list_sum(list_transform(range(1001), lambda k: " + _SIMPSON + " * exp(-pow({z} * k / 1000, 2) / 2))))"
+
+
+@query(
+    "one_sample_t_p_values",
+    "with recursive " + f"""s as (select user_id, avg(value) as m, stddev_samp(value) as sd, count(value) as n from events group by 1),
+        halved(v, lo, hi, i) as (
+          select distinct (n - 1)::double, 0::double, 1000::double, 0 from s where n > 1
+          union all
+          select v, case when p > 0.05 then mid else lo end, case when p > 0.05 then hi else mid end, i + 1
+          from (select *, {_t_tails('v', 'mid')} as p from (select *, (lo + hi) / 2 as mid from halved where i < 40))),
+        q as (select *, case when n > 1 and sd > 0 then (m - 50) / (sd / sqrt(n)) end as t from s)
+        select user_id, round(m, 6) as mean, round(sd, 6) as sd, n, round(t, 5) as t, round(lo, 4) as t_critical,
+               round(case when t is not null then {_t_tails('v', 't')} end, 6) as p_value, abs(t) >= lo as significant
+        from q left join (select * from halved where i = 40) on v = n - 1""",
+)
 def one_sample_t_p_values(spark, folder):
-    return st.one_sample_t(_events(spark, folder), ["user_id"], "value", 50)
+    out = st.one_sample_t(_events(spark, folder), ["user_id"], "value", 50)
+    return _rounded(_rounded(_rounded(out, "mean", "sd", "p_value"), "t", digits=5), "t_critical", digits=4)
 
 
 _P = "p as (select user_id, avg(case when event_type = 'click' then 0.04 else 0.002 end) as p_value from events group by 1)"
@@ -173,12 +198,18 @@ def bonferroni_adjusted(spark, folder):
     return _rounded(st.bonferroni(p, "p_value"), "p_value", "p_bonferroni", digits=9)
 
 
-@query("binomial_test")
+@query(
+    "binomial_test",
+    """with c as (select user_id, count(*) filter (event_type in ('click', 'view')) as k, count(*) as n from events group by 1),
+       l as (select *, list_transform(range(n + 1), lambda i: lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) as logs from c),
+       p as (select user_id, k, n, least(1.0, list_sum(list_transform(list_filter(logs, lambda x: x <= logs[k + 1] + 1e-7), lambda x: exp(x)))) as p from l)
+       select user_id, k, n, round(p, 7) as p_value, round(least(1.0, p * count(*) over ()), 7) as p_bonferroni from p""",
+)
 def binomial_test(spark, folder):
     counts = _events(spark, folder).groupBy("user_id").agg(
         F.count_if(F.col("event_type").isin("click", "view")).alias("k"), F.count(F.lit(1)).alias("n")
     )
-    return st.bonferroni(st.binomial_test(counts, "k", "n"), "p_value")
+    return _rounded(st.bonferroni(st.binomial_test(counts, "k", "n"), "p_value"), "p_value", "p_bonferroni", digits=7)
 
 
 @query(
@@ -196,23 +227,28 @@ def average_ranks(spark, folder):
 @query(
     "mann_whitney_u",
     """with r as (select l_linestatus, l_returnflag = 'A' as g, rank() over (partition by l_linestatus order by l_extendedprice)
-                  + (count(*) over (partition by l_linestatus, l_extendedprice) - 1) / 2.0 as rk from lineitem where l_returnflag in ('A', 'N'))
+                  + (count(*) over (partition by l_linestatus, l_extendedprice) - 1) / 2.0 as rk from lineitem)
        select l_linestatus, sum(rk) filter (g) as rank_sum, count(*) filter (g) as n1, count(*) filter (not g) as n2,
               sum(rk) filter (g) - count(*) filter (g) * (count(*) filter (g) + 1) / 2 as u from r group by 1""",
 )
 def mann_whitney_u(spark, folder):
-    df = table(spark, folder, "lineitem").select("l_linestatus", "l_returnflag", "l_extendedprice").filter(
-        F.col("l_returnflag").isin("A", "N")
-    )
+    df = table(spark, folder, "lineitem").select("l_linestatus", "l_returnflag", "l_extendedprice")
     return st.mann_whitney(df, ["l_linestatus"], "l_returnflag", "A", "l_extendedprice", p_values=False)
 
 
-@query("mann_whitney_p_values")
+@query(
+    "mann_whitney_p_values",
+    """with r as (select l_linestatus, l_extendedprice, l_returnflag = 'A' as g, rank() over (partition by l_linestatus order by l_extendedprice)
+                  + (count(*) over (partition by l_linestatus, l_extendedprice) - 1) / 2.0 as rk from lineitem),
+       tied as (select l_linestatus, sum(pow(c, 3) - c) as ties from (select l_linestatus, count(*) as c from lineitem group by l_linestatus, l_extendedprice) group by 1),
+       u as (select l_linestatus, sum(rk) filter (g) as rank_sum, (count(*) filter (g))::double as n1, (count(*) filter (not g))::double as n2 from r group by 1),
+       z as (select *, rank_sum - n1 * (n1 + 1) / 2 as u from u join tied using (l_linestatus) where n1 > 0 and n2 > 0),
+       s as (select *, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) as z from z)
+       select l_linestatus, rank_sum, n1::bigint as n1, n2::bigint as n2, u, round(""" + _NORMAL_TAILS.format(z="z") + """, 6) as p_value from s""",
+)
 def mann_whitney_p_values(spark, folder):
-    df = table(spark, folder, "lineitem").select("l_linestatus", "l_returnflag", "l_extendedprice").filter(
-        F.col("l_returnflag").isin("A", "N")
-    )
-    return st.mann_whitney(df, ["l_linestatus"], "l_returnflag", "A", "l_extendedprice")
+    df = table(spark, folder, "lineitem").select("l_linestatus", "l_returnflag", "l_extendedprice")
+    return _rounded(st.mann_whitney(df, ["l_linestatus"], "l_returnflag", "A", "l_extendedprice"), "p_value")
 
 
 @query(
@@ -226,18 +262,23 @@ def spearman_per_group(spark, folder):
     return _rounded(st.spearman(df, ["l_returnflag"], "l_quantity", "l_extendedprice"), "rho")
 
 
+# labels are the priorities and, from the keys, two that never meet
 @query(
     "cooccurrence_correlation",
-    """with pr as (select distinct o_custkey as item, o_orderpriority as label from orders), n as (select count(distinct item)::double as n from pr),
-            s as (select label, count(*) as c from pr group by 1)
+    """with pr as (select distinct o_custkey as item, o_orderpriority as label from orders
+                   union select o_custkey, case when o_custkey % 2 = 0 then 'even' else 'odd' end from orders),
+            n as (select count(distinct item)::double as n from pr), s as (select label, count(*) as c from pr group by 1),
+            met as (select a.label as label_a, b.label as label_b, count(*) as k from pr a join pr b on a.item = b.item and a.label < b.label group by all)
        select label_a, label_b, n::bigint as n, "both", ca, cb, round(r, 6) as r from (
-         select *, (n * "both" - ca * cb) / sqrt(ca * (n - ca) * cb * (n - cb)) as r from (
-           select a.label as label_a, b.label as label_b, count(*) as "both" from pr a join pr b on a.item = b.item and a.label < b.label group by all)
-         join (select label as label_a, c as ca from s) using (label_a) join (select label as label_b, c as cb from s) using (label_b), n)
+         select *, case when ca < n and cb < n then (n * "both" - ca * cb) / sqrt(ca * (n - ca) * cb * (n - cb)) end as r from (
+           select a.label as label_a, b.label as label_b, a.c as ca, b.c as cb, coalesce(k, 0) as "both", n
+           from s a join s b on a.label < b.label cross join n left join met on label_a = a.label and label_b = b.label))
        where abs(r) > 0.01""",
 )
 def cooccurrence_correlation(spark, folder):
-    df = table(spark, folder, "orders").select(F.col("o_custkey").alias("item"), F.col("o_orderpriority").alias("label"))
+    o = table(spark, folder, "orders")
+    parity = F.when(F.col("o_custkey") % 2 == 0, "even").otherwise("odd")
+    df = o.select(F.col("o_custkey").alias("item"), F.explode(F.array("o_orderpriority", parity)).alias("label"))
     return _rounded(st.cooccurrence_correlation(df, "item", "label", 0.01), "r")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 def estimator(kind: str, label: str, seed: int = 0, classify: bool = True):
-    """tree, forest, linear (logistic or ridge) or dummy (majority class or mean)."""
+    """tree, forest or linear (logistic or ridge)."""
     options = {"labelCol": label, "featuresCol": "features"}
     if kind == "tree":
         return (DecisionTreeClassifier if classify else DecisionTreeRegressor)(seed=seed, **options)
@@ -22,8 +22,6 @@ def estimator(kind: str, label: str, seed: int = 0, classify: bool = True):
         return (RandomForestClassifier if classify else RandomForestRegressor)(seed=seed, numTrees=100, **options)
     if kind == "linear":
         return LogisticRegression(**options) if classify else LinearRegression(regParam=1.0, elasticNetParam=0.0, **options)
-    if kind == "dummy":
-        return LogisticRegression(maxIter=0, **options) if classify else LinearRegression(maxIter=1, regParam=1e9, **options)
     raise ValueError(f"unknown model {kind}")
 
 
@@ -37,6 +35,15 @@ def pipeline(kind: str, features: Sequence[str], label: str, seed: int = 0, clas
     )
 
 
+def constant_prediction(df: DataFrame, label: str, classify: bool = True) -> float:
+    """The majority class (the smaller of equal ones) or the mean."""
+    if not classify:
+        return float(df.agg(F.avg(label)).first()[0] or 0.0)
+    counted = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    row = counted.agg(F.max_by(label, F.struct("n", -F.col(label))).alias("c")).first()
+    return float(row["c"] or 0.0)
+
+
 def with_folds(df: DataFrame, key: str, folds: int, seed: int = 0) -> DataFrame:
     """``fold`` from a hash of the key: the same rows fall together on every run."""
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(folds)))
@@ -45,7 +52,7 @@ def with_folds(df: DataFrame, key: str, folds: int, seed: int = 0) -> DataFrame:
 def cross_validate(
     df: DataFrame, kind: str, features: Sequence[str], label: str, key: str, folds: int = 5, seed: int = 0, classify: bool = True
 ) -> list[float]:
-    """Accuracy (or R squared) per fold."""
+    """Accuracy (or R squared) per fold; ``kind`` is also ``dummy``, a constant prediction."""
     marked = with_folds(df.withColumn(label, F.col(label).cast("double")), key, folds, seed)
     judge = (
         MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy") if classify
@@ -53,6 +60,10 @@ def cross_validate(
     )
     out = []
     for fold in range(folds):
+        if kind == "dummy":
+            rest, own = marked.filter(F.col("fold") != fold), marked.filter(F.col("fold") == fold)
+            out.append(judge.evaluate(own.withColumn("prediction", F.lit(constant_prediction(rest, label, classify)))))
+            continue
         model = pipeline(kind, features, label, seed, classify).fit(marked.filter(F.col("fold") != fold))
         out.append(judge.evaluate(model.transform(marked.filter(F.col("fold") == fold))))
     return out
@@ -69,11 +80,13 @@ def permutation_p_value(
 
     real = sum(cross_validate(df, kind, features, label, key, folds, seed)) / folds
     as_good = 1
+    bits = max(4, (df.count() // 32_768).bit_length())
     for r in range(rounds):
         def numbered(column: str, salt: int) -> DataFrame:
             h = F.xxhash64(F.lit(seed + salt), F.lit(r), F.col(key).cast("string"))
+            # hashes are even, so blocks of one range of hashes are too; their number follows the rows
             rows = df.select(F.lit(0).alias("_g"), F.col(column).alias("_v"), h.alias("_h"), F.col(key).alias("_k"))
-            block = F.shiftright(F.col("_h"), 54)
+            block = F.shiftright(F.col("_h"), 64 - bits)
             return prefix_scan(rows, ["_g"], block, ["_h", "_k"], [Running("_n", "sum", F.lit(1), True)])
         shuffled = numbered(key, 1).select("_n", F.col("_v").alias(key)).join(
             numbered(label, 2).select("_n", F.col("_v").alias(label)), "_n"

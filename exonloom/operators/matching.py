@@ -72,7 +72,9 @@ def greedy_match(
 
     ``order`` is a unique non-negative integer that gives the order of choice and breaks
     distance ties.  Controls that share a ``target`` count once (their first row).  Groups of
-    at most ``task_limit`` rows are matched inside one task, larger ones by rounds.
+    at most ``task_limit`` rows are matched inside one task, larger ones by rounds, with the same
+    result but for one case: at equal distance from controls of different features, rounds go to the kind whose
+    first row comes first, even where that row is taken.  Rows with a null or undefined feature take no part.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -82,6 +84,8 @@ def greedy_match(
         F.col(group).alias("grp"), F.col(role).alias("role"), F.col(order).cast("bigint").alias("ord"),
         F.col(target).alias("target"), *[v.alias(k) for k, v in named.items()],
     )
+    for c in f:
+        rows = rows.filter(F.col(c).isNotNull() & ~F.isnan(c))
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
     controls = top_row(rows.filter(F.col("role") == ctrl), ["grp", "target"], F.col("ord"))
     choosers = rows.filter(F.col("role") == kd)

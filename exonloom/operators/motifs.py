@@ -14,25 +14,36 @@ from exonloom.operators.intervals import cluster_within
 from exonloom.schemas import HITS
 from exonloom.session import cut_lineage
 
-# Above this many motifs the dictionary is joined instead of shipped to the tasks.
+# Motifs that are shipped to the tasks at once; further ones make further passes.
 DICTIONARY_LIMIT = 20_000
+# From this many motifs on they are looked for together by an automaton instead of one by one.
 AUTOMATON_FROM = 200
+# Hits of one output batch.
+HITS_AT_ONCE = 100_000
+
+
+def dictionary_of(motifs: DataFrame) -> DataFrame:
+    """Distinct ``(rbp_name, motif)``; null and empty motifs are no motifs."""
+    return motifs.select("rbp_name", "motif").filter(F.length("motif") > 0).distinct()
 
 
 def scan_exact(seqs: DataFrame, motifs: DataFrame, limit: int = DICTIONARY_LIMIT) -> DataFrame:
-    """Literal hits ``(seq_id, rbp_name, motif, start, end)``.
+    """Literal hits ``(seq_id, rbp_name, motif, start, end)``, in code points.
 
     Case sensitive; occurrences of one motif are taken left to right and do not overlap each
-    other.  The dictionary is shipped to the tasks only up to ``limit`` motifs; a larger one is
-    met by an equi join on k-mers.
+    other.  Null and empty motifs are left out, null sequences have no hits, and every row of ``seqs`` is
+    scanned by itself, also where ids repeat.  Motifs go to the tasks ``limit`` at a time: a larger
+    dictionary is cut by a hash of the motif and takes one pass per part, with the same result.
     """
-    head = motifs.select("rbp_name", "motif").distinct().limit(limit + 1).collect()
-    if len(head) > limit:
-        return scan_by_join(seqs, motifs)
-    owners: dict[str, list[str]] = defaultdict(list)
-    for row in head:
-        owners[row["motif"]].append(row["rbp_name"])
-    return scan_dictionary(seqs, dict(owners))
+    words = dictionary_of(motifs)
+    parts = -(-words.select("motif").distinct().count() // limit) or 1
+    scans = []
+    for part in range(parts):
+        owners: dict[str, list[str]] = defaultdict(list)
+        for row in words.filter(F.pmod(F.xxhash64("motif"), F.lit(parts)) == part).toLocalIterator():
+            owners[row["motif"]].append(row["rbp_name"])
+        scans.append(scan_dictionary(seqs, dict(owners)))
+    return reduce(DataFrame.unionByName, scans)
 
 
 def scan_dictionary(seqs: DataFrame, owners: dict[str, list[str]]) -> DataFrame:
@@ -60,45 +71,45 @@ def scan_dictionary(seqs: DataFrame, owners: dict[str, list[str]]) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         occurrences = every_motif
         if len(names) >= AUTOMATON_FROM:
-            try:
-                import ahocorasick
-
-                automaton = ahocorasick.Automaton()
-                for motif in names:
-                    automaton.add_word(motif, motif)
-                automaton.make_automaton()
-                occurrences = by_automaton(automaton)
-            except ImportError:
-                pass
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for motif in names:
+                automaton.add_word(motif, motif)
+            automaton.make_automaton()
+            occurrences = by_automaton(automaton)
+        columns = ["seq_id", "rbp_name", "motif", "start", "end"]
         for batch in batches:
-            rows = [
-                (seq_id, rbp, motif, at, at + len(motif))
-                for seq_id, text in zip(batch["seq_id"], batch["seq"])
-                if text
-                for motif, at in occurrences(text)
-                for rbp in names[motif]
-            ]
-            yield pd.DataFrame(rows, columns=["seq_id", "rbp_name", "motif", "start", "end"])
+            rows = []
+            for seq_id, text in zip(batch["seq_id"], batch["seq"]):
+                for motif, at in occurrences(text or ""):
+                    rows += [(seq_id, rbp, motif, at, at + len(motif)) for rbp in names[motif]]
+                    if len(rows) >= HITS_AT_ONCE:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return seqs.select("seq_id", "seq").mapInPandas(scan, HITS)
 
 
 def scan_by_join(seqs: DataFrame, motifs: DataFrame) -> DataFrame:
-    """``scan_exact`` for a dictionary of any size: windows of each motif length meet it by key."""
-    lengths = [
-        r["k"] for r in motifs.select(F.length("motif").alias("k")).distinct().limit(1000).collect()
-    ]
-    words = motifs.select("rbp_name", "motif").distinct()
-
-    def windows(k: int) -> DataFrame:
-        grams = F.regexp_extract_all("seq", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
-        return seqs.select("seq_id", F.posexplode(grams).alias("at", "motif"))
-
-    found = reduce(DataFrame.unionByName, [windows(k) for k in sorted(lengths)]).join(
+    """``scan_exact`` by a join: windows of each motif length meet the dictionary by key."""
+    words = dictionary_of(motifs)
+    lengths = sorted(r["k"] for r in words.select(F.length("motif").alias("k")).distinct().collect())
+    if not lengths:
+        return seqs.sparkSession.createDataFrame([], HITS)
+
+    def windows(k: int) -> Column:
+        # one code point is consumed per match, so the place of a match counts code points
+        grams = F.regexp_extract_all("seq", F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
+        return F.transform(grams, lambda g, i: F.struct(i.alias("at"), g.alias("motif")))
+
+    rows = seqs.select("seq_id", "seq", F.monotonically_increasing_id().alias("_row"))
+    found = rows.select("_row", "seq_id", F.inline(F.flatten(F.array(*[windows(k) for k in lengths])))).join(
         words.select("motif").distinct(), "motif", "left_semi"
     )
     # Occurrences of one motif in one sequence are bounded by the sequence itself.
-    ordered = found.groupBy("seq_id", "motif").agg(F.array_sort(F.collect_list("at")).alias("_all"))
+    ordered = found.groupBy("_row", "seq_id", "motif").agg(F.array_sort(F.collect_list("at")).alias("_all"))
     empty = F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("out"))
     step = lambda acc, at: F.when(
         at >= acc["free"],
@@ -184,12 +195,20 @@ def scan_matrices(
 
     Probabilities come from the distribution of the rounded log-odds score under a uniform
     background.  ``allowed`` (rbp_name, motif) keeps hits whose bases are one of the
-    unambiguous sequences.  The matrix table is bounded by ``limit``, checked before shipping.
+    unambiguous sequences.  Matrices go to the tasks ``limit`` at a time, one pass per part.
     """
-    table = score_matrices(matrices).limit(limit + 1).collect()
-    if len(table) > limit:
-        raise ValueError(f"more than {limit} matrices; scan them in several calls")
-    loaded = [(r["rbp_name"], [list(w) for w in r["weights"]]) for r in table]
+    table = score_matrices(matrices)
+    parts = -(-table.count() // limit) or 1
+    place = F.pmod(F.xxhash64("motif_id", "rbp_name"), F.lit(parts))
+    scans = [_scan_loaded(seqs, table.filter(place == part), p_value) for part in range(parts)]
+    hits = reduce(DataFrame.unionByName, scans).distinct()
+    if allowed is not None:
+        hits = hits.join(allowed, ["rbp_name", "motif"], "left_semi")
+    return hits
+
+
+def _scan_loaded(seqs: DataFrame, table: DataFrame, p_value: float) -> DataFrame:
+    loaded = [(r["rbp_name"], [list(w) for w in r["weights"]]) for r in table.toLocalIterator()]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -216,10 +235,7 @@ def scan_matrices(
                     ]
             yield pd.DataFrame(rows, columns=["seq_id", "rbp_name", "motif", "start", "end"])
 
-    hits = seqs.select("seq_id", "seq").mapInPandas(scan, HITS).distinct()
-    if allowed is not None:
-        hits = hits.join(allowed, ["rbp_name", "motif"], "left_semi")
-    return hits
+    return seqs.select("seq_id", "seq").mapInPandas(scan, HITS)
 
 
 # ---------------------------------------------------------------- redundancy and density

@@ -400,7 +400,7 @@ def significant(
     summary: DataFrame, threshold: float = 0.05, same_sign: bool = False, use_max: bool = True,
     top: int | None = 50, tie: Sequence[str] = ("id",),
 ) -> DataFrame:
-    """Mutants with a cassette effect of at least ``threshold``, strongest first."""
+    """Mutants with a cassette effect of at least ``threshold``; the ``top`` largest signed effects."""
     a, d = F.col("acceptor_cassette_effect"), F.col("donor_cassette_effect")
     kept = summary.filter((F.abs(a) >= threshold) | (F.abs(d) >= threshold))
     if same_sign:

@@ -91,16 +91,36 @@ def position_block(position: Column | str, width: int = DEFAULT_BLOCK) -> Column
     return F.floor(col / F.lit(width)).cast("bigint")
 
 
-def value_blocks(df: DataFrame, keys: Sequence[str], value: str, blocks: int = 1024) -> DataFrame:
-    """Add ``_vblock``: equal-width ranges between each key's smallest and largest value."""
+# Rows of a block that a task sorts at a time, about.
+BLOCK_ROWS = 65_536
+
+
+def value_blocks(
+    df: DataFrame, keys: Sequence[str], value: str, blocks: int | None = None, rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add ``_vblock``: ranges of values that hold about ``rows`` rows each, whatever the distribution.
+
+    The bounds are approximate quantiles of each key's values, as many as its rows ask for, so one far value
+    does not push all others into one block.  ``blocks`` states their number; else only keys with over ``rows``
+    rows are cut, into as many blocks as the largest of them needs.
+    """
     keys = list(keys)
     if not keys:
         raise ValueError("value_blocks needs a key; use with_key for a whole table")
-    span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    joined = df.join(span, keys)
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(blocks)
-    block = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width)).otherwise(F.lit(0))
-    return joined.withColumn("_vblock", block.cast("bigint")).drop("_lo", "_hi")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    most = sizes.agg(F.max("_rows")).first()[0] or 0
+    parts = blocks or -(-most // rows)
+    rows = 0 if blocks else rows
+    if parts <= 1:
+        return df.withColumn("_vblock", F.lit(0).cast("bigint"))
+    heavy = sizes.filter(F.col("_rows") > rows).select(*keys)
+    cuts = [i / parts for i in range(1, parts)]
+    bounds = df.join(heavy, keys, "left_semi").groupBy(*keys).agg(
+        F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(max(1000, 20 * parts))).alias("_bounds")
+    )
+    joined = df.join(bounds, keys, "left")
+    place = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value))), F.lit(0))
+    return joined.withColumn("_vblock", F.when(F.col("_bounds").isNull(), 0).otherwise(place).cast("bigint")).drop("_bounds")
 
 
 def with_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], bool]:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from exonloom.functions.sequence import literal_count, reverse_complement
 from exonloom.schemas import SITE_COLUMNS
@@ -189,3 +193,61 @@ def kmer_frequencies(df: DataFrame, kmers: Sequence[str], seq: str = "seq") -> D
             for k in kmers
         ],
     )
+
+
+def kmer_table(df: DataFrame, k: int = 6, seq: str = "seq") -> DataFrame:
+    """``n`` and ``frequency`` of every k-mer over A, C, G and T that a sequence holds, in long form.
+
+    Occurrences of a k-mer are counted left to right without overlap; the frequency is over the sequence length,
+    five decimals.  One pass over each sequence counts all k-mers; ``kmer_matrix`` gives columns.
+    """
+    keep = [c for c in df.columns if c != seq]
+    schema = T.StructType(
+        [*[df.schema[c] for c in keep], T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType()), T.StructField("_length", T.LongType())]
+    )
+
+    def count(text: str) -> tuple[np.ndarray, np.ndarray]:
+        code = np.full(256, -1, np.int64)
+        code[[65, 67, 71, 84]] = [0, 1, 2, 3]
+        bases = code[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+        size = len(bases) - k + 1
+        if size <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        words, good = np.zeros(size, np.int64), np.ones(size, bool)
+        for i in range(k):
+            words = words * 4 + bases[i : i + size]
+            good &= bases[i : i + size] >= 0
+        at = np.flatnonzero(good)
+        order = np.argsort(words[at], kind="stable")
+        at, found = at[order], words[at][order]
+        kinds, first, n = np.unique(found, return_index=True, return_counts=True)
+        near = (np.diff(at, prepend=-k) < k) & (np.diff(found, prepend=-1) == 0)
+        for j in np.unique(np.searchsorted(first, np.flatnonzero(near), "right") - 1):  # those that overlap themselves
+            free, n[j] = 0, 0
+            for place in at[first[j] : first[j + 1] if j + 1 < len(first) else len(at)]:
+                if place >= free:
+                    free, n[j] = place + k, n[j] + 1
+        return kinds, n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(seq)):
+                text = text.as_py() or ""
+                kinds, n = count(text)
+                letters = np.frombuffer(b"ACGT", np.uint8)[(kinds[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3]
+                names = pa.array([bytes(x).decode() for x in letters], pa.string())
+                own = [batch.column(c).take(pa.array(np.full(len(kinds), i))) for c in keep]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, names, pa.array(n), pa.array(np.full(len(kinds), len(text)))], names=[*keep, "kmer", "n", "_length"]
+                )
+
+    counted = df.select(*keep, seq).mapInArrow(run, schema)
+    return counted.select(*keep, "kmer", "n", F.round(F.col("n") / F.col("_length"), 5).alias("frequency"))
+
+
+def kmer_matrix(table: DataFrame, row: str, k: int = 6) -> DataFrame:
+    """All ``4 ** k`` frequencies of each row as columns; ``k`` is at most 6, as columns are few."""
+    if k > 6:
+        raise ValueError("more than 4,096 columns; stay in long form")
+    names = ["".join(x) for x in product("ACGT", repeat=k)]
+    return table.groupBy(row).pivot("kmer", names).agg(F.first("frequency")).na.fill(0.0, names)

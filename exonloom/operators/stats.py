@@ -19,7 +19,7 @@ from exonloom.session import cut_lineage
 
 # ---------------------------------------------------------------- ranks and quantiles
 
-def value_counts_before(df: DataFrame, keys: Sequence[str], value: str, blocks: int = 1024) -> DataFrame:
+def value_counts_before(df: DataFrame, keys: Sequence[str], value: str, blocks: int | None = None) -> DataFrame:
     """``(keys, value, n, before)``: copies of each value and rows of its group below it."""
     df, keys, whole = with_key(df, keys)
     n = cut_lineage(
@@ -31,7 +31,7 @@ def value_counts_before(df: DataFrame, keys: Sequence[str], value: str, blocks:
     ).drop("_vblock", *(["_all"] if whole else []))
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "avg_rank", blocks: int = 1024) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "avg_rank", blocks: int | None = None) -> DataFrame:
     """Every row with the average rank of its value in its group (ties share the mean)."""
     ranks = value_counts_before(df, keys, value, blocks).select(
         *keys, value, (F.col("before") + (F.col("n") + 1) / 2).alias(name)
@@ -40,17 +40,19 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "a
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], blocks: int = 1024
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], blocks: int | None = None
 ) -> DataFrame:
     """Linearly interpolated quantiles ``(keys, p, quantile)``, exact at any size."""
     df, keys, whole = with_key(df, keys)
     counted = value_counts_before(df, keys, value, blocks)
     totals = counted.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    holds = lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("n"))
+    wanted = lambda p: holds(F.floor((F.col("_total") - 1) * p)) | holds(F.ceil((F.col("_total") - 1) * p))
+    # a value is kept only for the probabilities whose ranks it holds, so few rows are made
     asked = counted.join(totals, keys).withColumn(
-        "p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
+        "p", F.explode(F.filter(F.array(*[F.lit(float(p)) for p in probabilities]), wanted))
     )
     h = (F.col("_total") - 1) * F.col("p")
-    holds = lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("n"))
     ends = asked.filter(holds(F.floor(h)) | holds(F.ceil(h))).groupBy(*keys, "p").agg(
         F.max(F.when(holds(F.floor(h)), F.col(value))).alias("_lo"),
         F.max(F.when(holds(F.ceil(h)), F.col(value))).alias("_hi"),
@@ -159,19 +161,40 @@ def t_two_sided(t: float, df: float) -> float:
 
 def t_critical(df: float, alpha: float = 0.05) -> float:
     lo, hi = 0.0, 1e6
-    for _ in range(200):
+    while hi - lo > 1e-12 * max(lo, 1.0):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if t_two_sided(mid, df) > alpha else (lo, mid)
+        if mid in (lo, hi) and (lo + hi) / 2 in (lo, hi):
+            break
     return (lo + hi) / 2
 
 
 def binomial_two_sided(k: int, n: int, p: float = 0.5) -> float:
-    """Exact two-sided binomial probability: all outcomes no likelier than the observed one."""
-    from math import exp, lgamma, log
+    """Exact two-sided binomial probability: all outcomes no likelier than the observed one.
+
+    The outcomes on the far side are found by bisection, as probabilities fall away from the mode, and each
+    tail is an incomplete beta, so the cost grows with the logarithm of ``n``.
+    """
+    from math import lgamma, log
 
     logpmf = lambda i: lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p)
+    below = lambda i: 1.0 if i >= n else 0.0 if i < 0 else _incomplete_beta(n - i, i + 1, 1 - p)  # P(X <= i)
+    above = lambda i: 1.0 if i <= 0 else 0.0 if i > n else _incomplete_beta(i, n - i + 1, p)  # P(X >= i)
     seen = logpmf(k) + 1e-7
-    return min(1.0, sum(exp(v) for v in map(logpmf, range(n + 1)) if v <= seen))
+    mode = int((n + 1) * p)
+    if logpmf(min(mode, n)) <= seen:
+        return 1.0
+    if k < mode:
+        lo, hi = mode, n + 1  # the least outcome above the mode that is as unlikely
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if logpmf(mid) <= seen else (mid, hi)
+        return min(1.0, below(k) + above(hi))
+    lo, hi = -1, mode
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if logpmf(mid) <= seen else (lo, mid)
+    return min(1.0, below(lo) + above(k))
 
 
 def _series(fn, *columns: pd.Series) -> pd.Series:
@@ -187,7 +210,7 @@ def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def t_critical_value(df: pd.Series) -> pd.Series:
-    return _series(t_critical, df)
+    return df.map({d: t_critical(d) for d in df.dropna().unique()}).astype("float64")
 
 
 @F.pandas_udf(DoubleType())
@@ -237,11 +260,8 @@ def holm(tests: DataFrame, p: str, name: str = "p_holm", family: Sequence[str] =
 
 
 def bonferroni(tests: DataFrame, p: str, name: str = "p_bonferroni") -> DataFrame:
-    m = tests.agg(F.count(F.lit(1)).alias("_m")).withColumn("_j", F.lit(0))
-    return (
-        tests.withColumn("_j", F.lit(0)).join(m, "_j")
-        .withColumn(name, F.least(F.col(p) * F.col("_m"), F.lit(1.0))).drop("_j", "_m")
-    )
+    m = tests.count()
+    return tests.withColumn(name, F.least(F.col(p) * m, F.lit(1.0)))
 
 
 def binomial_test(counts: DataFrame, successes: str, total: str) -> DataFrame:
@@ -313,28 +333,39 @@ def _weighted_ranks(pairs: DataFrame, keys: list[str], value: str, name: str) ->
     return scanned.select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
 
 
+# Labels whose pairs are all formed (checked): the vocabulary of a report, not of a corpus.
+LABEL_LIMIT = 5_000
+
+
 def cooccurrence_correlation(df: DataFrame, item: str, label: str, minimum: float = 0.1) -> DataFrame:
     """Correlation of label presence over items, pairs with \\|r\\| above ``minimum``.
 
-    On 0/1 data rank and product-moment correlation agree, so counts suffice: an item holds a
-    set of labels bounded by the label vocabulary, and pairs are formed inside that set.
+    On 0/1 data rank and product-moment correlation agree, so counts suffice.  All pairs of labels are compared,
+    also those that never meet, so the vocabulary must be at most ``LABEL_LIMIT`` labels (more fail the job).
     """
     present = df.select(item, label).distinct()
     sets = present.groupBy(item).agg(F.array_sort(F.collect_set(label)).alias("_set"))
-    total = sets.agg(F.count(F.lit(1)).alias("n")).withColumn("_j", F.lit(0))
     single = present.groupBy(label).agg(F.count(F.lit(1)).alias("c"))
+    counts = {r[label]: r["c"] for r in single.limit(LABEL_LIMIT + 1).collect()}
+    if len(counts) > LABEL_LIMIT:
+        raise ValueError(f"more than {LABEL_LIMIT} labels")
+    n = float(sets.count())
     pair = sets.select(F.explode("_set").alias("label_a"), "_set").select(
         "label_a", F.explode("_set").alias("label_b")
     ).filter(F.col("label_a") < F.col("label_b"))
     both = pair.groupBy("label_a", "label_b").agg(F.count(F.lit(1)).alias("both"))
+    names = sorted(k for k in counts if k is not None)
+    every = single.filter(F.col(label).isNotNull()).select(F.col(label).alias("label_a"), F.col("c").alias("ca")).withColumn(
+        "label_b", F.explode(F.filter(F.array(*[F.lit(k) for k in names]), lambda b: b > F.col("label_a")))
+    ) if names else single.select(F.col(label).alias("label_a"), F.col("c").alias("ca"), F.col(label).alias("label_b"))
     joined = (
-        both.join(single.select(F.col(label).alias("label_a"), F.col("c").alias("ca")), "label_a")
-        .join(single.select(F.col(label).alias("label_b"), F.col("c").alias("cb")), "label_b")
-        .withColumn("_j", F.lit(0)).join(total, "_j").drop("_j")
+        every.join(single.select(F.col(label).alias("label_b"), F.col("c").alias("cb")), "label_b")
+        .join(both, ["label_a", "label_b"], "left").na.fill(0, ["both"])
+        .select("label_a", "label_b", "both", "ca", "cb", F.lit(int(n)).cast("long").alias("n"))
     )
-    n, a, b = F.col("n").cast("double"), F.col("ca"), F.col("cb")
+    a, b = F.col("ca"), F.col("cb")
     r = (n * F.col("both") - a * b) / F.sqrt(a * (n - a) * b * (n - b))
-    return joined.withColumn("r", r).filter(F.abs("r") > minimum)
+    return joined.withColumn("r", F.when((a < n) & (b < n), r)).filter(F.abs("r") > minimum)
 
 
 def linear_fit(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:

@@ -147,13 +147,13 @@ def difference_matrix(
 ) -> DataFrame:
     """Count in one group minus count in the other, per key and feature, in a fixed column order.
 
-    A cell needs hits in both groups, as a missing side has no count to subtract.
+    A group without hits in a cell counts as zero there, and so does a cell without any.
     """
     n = df.groupBy(key, feature).agg(
         F.count_if(F.col(group) == positive).alias("_p"), F.count_if(F.col(group) == negative).alias("_n")
     )
-    both = n.filter((F.col("_p") > 0) & (F.col("_n") > 0)).withColumn("_d", F.col("_p") - F.col("_n"))
-    return both.groupBy(key).pivot(feature, list(features)).agg(F.first("_d"))
+    wide = n.withColumn("_d", F.col("_p") - F.col("_n")).groupBy(key).pivot(feature, list(features)).agg(F.first("_d"))
+    return wide.na.fill(0, list(features))
 
 
 def occurrence_histogram(df: DataFrame, key: str, group: str, lump: int = 10) -> DataFrame:

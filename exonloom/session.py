@@ -28,13 +28,15 @@ def build_session(app: str = "exonloom", cores: int | str = "*") -> SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only when unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode when unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     target = named or tempfile.mkdtemp(prefix="exonloom-checkpoint-")
     spark.sparkContext.setCheckpointDir(target)
     return target
@@ -50,12 +52,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, few: int = 8) -> DataFrame:
-    """Rows over all cores when they come from a handful of files, for work that is heavy per row.
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """Rows over at least ``partitions`` partitions, for work that is heavy per row.
 
-    Input of many files is already spread and is not shuffled again.
+    Input that has as many partitions already is not shuffled again.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < min(few, cores) else df
+    return df.repartition(partitions) if df.rdd.getNumPartitions() < partitions else df

@@ -9,20 +9,26 @@ from exonloom.schemas import require
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """File lines with their order; motif files are small, so one task reads each file."""
+    """Lines with their file and order; motif files are small, so one task reads each file."""
     whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("no", "line"))
+    return whole.select(
+        F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("no", "line")
+    )
 
 
 def read_motif_list(
     spark: SparkSession, path: str, min_length: int = 5, rna_to_dna: bool = True
 ) -> DataFrame:
-    """``>RBP|n|`` headers followed by ``*M1|M2`` lines; reading stops at a ``MOUSE`` line.
+    """``>RBP|n|`` headers followed by ``*M1|M2`` lines; reading a file stops at a ``MOUSE`` line.
 
-    The file is one row until exploded, so running values over its lines are per file.
+    Several files may be read at once; an RBP may have one list in all of them together.
     """
-    lines = _lines(spark, path)
-    order = Window.partitionBy(F.lit(0)).orderBy("no")
+    return parse_motif_list(_lines(spark, path), min_length, rna_to_dna)
+
+
+def parse_motif_list(lines: DataFrame, min_length: int = 5, rna_to_dna: bool = True) -> DataFrame:
+    """``read_motif_list`` on rows ``(file, no, line)``; running values are per file."""
+    order = Window.partitionBy("file").orderBy("no")
     stopped = F.max(F.col("line").startswith("MOUSE").cast("int")).over(
         order.rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -49,20 +55,25 @@ def read_motif_list(
 
 def read_meme(spark: SparkSession, path: str) -> DataFrame:
     """MEME matrices in long form ``(motif_id, rbp_name, pos, base, p)``; the last one counts too."""
-    lines = _lines(spark, path).withColumn("line", F.trim("line"))
-    order = Window.partitionBy(F.lit(0)).orderBy("no")
+    return parse_meme(_lines(spark, path))
+
+
+def parse_meme(lines: DataFrame) -> DataFrame:
+    """``read_meme`` on rows ``(file, no, line)``; running values are per file."""
+    lines = lines.withColumn("line", F.trim("line"))
+    order = Window.partitionBy("file").orderBy("no")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     is_motif = F.col("line").startswith("MOTIF")
     token = lambda i: F.when(is_motif, F.get(F.split("line", r"\s+"), F.lit(i)))
     matrix_row = F.col("line").rlike(r"^[0-9]")
     tagged = lines.select(
-        "no", "line",
+        "file", "no", "line",
         F.last(token(1), True).over(so_far).alias("motif_id"),
         F.last(token(2), True).over(so_far).alias("rbp_name"),
         F.sum(is_motif.cast("int")).over(so_far).alias("_block"),
     ).filter(matrix_row & (F.col("_block") > 0))
     rows = tagged.withColumn(
-        "pos", F.row_number().over(Window.partitionBy("_block").orderBy("no")) - 1
+        "pos", F.row_number().over(Window.partitionBy("file", "_block").orderBy("no")) - 1
     )
     return pwm_rows(rows, F.split("line", r"\s+"))
 

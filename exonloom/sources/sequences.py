@@ -9,12 +9,17 @@ DEFAULT_CHUNK = 4096
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Sequences keyed by the first token of their header."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
+    """Sequences keyed by the first token of their header; a ``>`` inside a header is part of it."""
+    return parse_fasta(spark.read.option("lineSep", "\n>").text(path))
+
+
+def parse_fasta(records: DataFrame) -> DataFrame:
+    """``(seq_id, seq)`` from records ``value``: a header line, then sequence lines, with or without ``\\r``."""
+    records = records.select(F.regexp_replace("value", "^>", "").alias("value")).filter(F.trim(F.translate("value", "\r\n", "")) != "")
     head = F.substring_index("value", "\n", 1)
     body = F.substr("value", F.length(head) + 2)
     return records.select(
-        F.get(F.split(F.trim(head), r"\s+"), F.lit(0)).alias("seq_id"),
+        F.get(F.split(F.trim(F.translate(head, "\r", "")), r"\s+"), F.lit(0)).alias("seq_id"),
         F.regexp_replace(body, r"[\r\n]", "").alias("seq"),
     )
 

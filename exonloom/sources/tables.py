@@ -33,18 +33,18 @@ def read_site_index(spark: SparkSession, path: str) -> DataFrame:
 def match_site_index(seqs: DataFrame, index: DataFrame) -> DataFrame:
     """Site columns per sequence, found by ``header`` + ``_`` + ``tx_id``.
 
-    A sequence with several index rows fails the job; one with none is absent from the result.
+    A sequence with several index rows, or with none, fails the job.
     """
     keyed = index.withColumn("seq_id", F.concat_ws("_", "header", "tx_id"))
     one = keyed.groupBy("seq_id").agg(
         F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in SITE_COLUMNS]
     )
     base = F.regexp_replace("seq_id", "_REF_seq$", "")
-    joined = seqs.select(base.alias("seq_id")).distinct().join(one, "seq_id")
+    joined = seqs.select(base.alias("seq_id")).distinct().join(one, "seq_id", "left")
     return joined.withColumn(
         "seq_id",
         F.when(F.col("_n") == 1, F.col("seq_id")).otherwise(
-            F.raise_error(F.concat(F.lit("several index rows for "), "seq_id")).cast("string")
+            F.raise_error(F.concat(F.when(F.col("_n") > 1, "several index rows for ").otherwise("no index row for "), "seq_id")).cast("string")
         ),
     ).drop("_n")
 

@@ -150,7 +150,7 @@ def test_greedy_match_by_rounds(spark):
     assert {(r["g"], r["kd_order"], r["ctrl_order"]) for r in got} == brute_match(rows, "euclidean")
 
 
-def test_difference_matrix_needs_both_groups(spark):
-    df = spark.createDataFrame([("r", "x", "KD"), ("r", "x", "KD"), ("r", "x", "CTRL"), ("r", "y", "KD")], "k string, f string, g string")
-    r = tb.difference_matrix(df, "k", "f", "g", ["x", "y"]).first()
-    assert r["x"] == 1 and r["y"] is None
+def test_difference_matrix_counts_a_missing_group_as_zero(spark):
+    rows = [("r", "x", "KD"), ("r", "x", "KD"), ("r", "x", "CTRL"), ("r", "y", "KD"), ("s", "y", "CTRL"), ("t", "other", "KD")]
+    got = tb.difference_matrix(spark.createDataFrame(rows, "k string, f string, g string"), "k", "f", "g", ["x", "y"])
+    assert sorted(map(tuple, got.collect())) == [("r", 1, 1), ("s", 0, -1), ("t", 0, 0)]
