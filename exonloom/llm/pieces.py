@@ -28,7 +28,7 @@ from exonloom.llm.tokens import mix, places, slices, texts
 
 SPACE, MARK = 32, 0x2581  # a space, and what stands for it in pieces
 OUTSIDE = 0x110000  # a character that is in no piece
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 SLOTS = 19
 
 

@@ -150,9 +150,8 @@ def similar_groups(
     near = near.select("first", F.explode(ball("f", WIDTH)).alias("f"), "t").select(
         "first", (F.col("f") + F.col("t").cast("long") * (1 << WIDTH)).alias("near")
     )
-    order = Window.partitionBy("near").orderBy("first")
-    met = near.select("first", F.first("first").over(order).alias("a"), F.lag("first").over(order).alias("b"))
-    pairs = met.filter("b is not null").select(F.col("first").alias("u"), F.explode(F.array("a", "b")).alias("v")).distinct()
+    least = F.min("first").over(Window.partitionBy("near"))
+    pairs = near.select(F.col("first").alias("u"), least.alias("v")).filter("u > v").distinct()
     half = lambda n: same.select(F.col("first").alias(n), F.col("fp").alias(f"f{n}"))
     bits = 64 * words
     apart = F.aggregate(F.zip_with("fu", "fv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)

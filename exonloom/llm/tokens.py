@@ -77,15 +77,22 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a + base, b + base, np.diff(np.searchsorted(a, edges))
 
 
-def hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int | None = None) -> np.ndarray:
-    """Hash of each span, or of its first ``most`` bytes."""
-    if not len(a):
-        return np.zeros(0, np.uint64)
+def hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int | None = None, part: int = 1 << 18) -> np.ndarray:
+    """Hash of each span, or of its first ``most`` bytes; about ``part`` bytes are worked on at a time."""
     size = b - a if most is None else np.minimum(b - a, most)
-    first = np.cumsum(size) - size
-    at = np.arange(int(size.sum())) - np.repeat(first, size)
-    values = OF_BYTE[data[at + np.repeat(a, size)]] * places(int(size.max()))[at]
-    return np.add.reduceat(values, first) + mix(size)
+    ends = np.cumsum(size)
+    out = np.empty(len(a), np.uint64)
+    i = 0
+    while i < len(a):
+        done = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, done + part, "right")))
+        n = size[i:j]
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) - np.repeat(first, n)
+        values = OF_BYTE[data[at + np.repeat(a[i:j], n)]] * places(int(n.max()))[at]
+        out[i:j] = np.add.reduceat(values, first)
+        i = j
+    return out + mix(size)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
