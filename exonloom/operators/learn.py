@@ -46,7 +46,8 @@ def constant_prediction(df: DataFrame, label: str, classify: bool = True) -> flo
 
 def with_folds(df: DataFrame, key: str, folds: int, seed: int = 0) -> DataFrame:
     """``fold`` from a hash of the key: the same rows fall together on every run."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(folds)))
+    name = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    return df.withColumn("fold", F.conv(F.substr(name, F.lit(1), F.lit(8)), 16, 10).cast("bigint") % folds)
 
 
 def cross_validate(

@@ -12,14 +12,15 @@ from exonloom.schemas import GTF_ATTRIBUTES, GTF_COLUMNS, require
 
 def read_gtf(spark: SparkSession, path: str) -> DataFrame:
     """Nine-column GTF with 0-based starts and the attribute text still packed."""
-    raw = (
-        spark.read.schema(GTF_COLUMNS)
-        .option("sep", "\t")
-        .option("comment", "#")
-        .option("nullValue", ".")
-        .option("quote", "")
-        .csv(path)
-    )
+    return parse_gtf(spark.read.text(path))
+
+
+def parse_gtf(lines: DataFrame) -> DataFrame:
+    """``read_gtf`` on rows ``value``: ``#`` lines and empty lines go, ``.`` and what is no number become null."""
+    fields = F.split("value", "\t")
+    names = [c.strip().split() for c in GTF_COLUMNS.split(",")]
+    kept = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    raw = kept.select(*[F.nullif(F.get(fields, F.lit(i)), F.lit(".")).try_cast(kind).alias(n) for i, (n, kind) in enumerate(names)])
     return raw.withColumn("start", F.col("start") - 1)
 
 

@@ -95,6 +95,11 @@ def read_fimo(spark: SparkSession, path: str) -> DataFrame:
     raw = (
         spark.read.option("sep", "\t").option("header", True).option("comment", "#").csv(path)
     )
+    return fimo_hits(raw)
+
+
+def fimo_hits(raw: DataFrame) -> DataFrame:
+    """``read_fimo`` on the scanner's columns."""
     return (
         raw.select(
             F.col("sequence_name").alias("seq_id"),

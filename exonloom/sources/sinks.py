@@ -83,7 +83,12 @@ def write_ids(df: DataFrame, path: str, column: str) -> None:
 
 def write_tsv(df: DataFrame, path: str, gzip: bool = True) -> None:
     """Tab-separated with a header; array columns are joined with ``;``."""
-    flat = df.select(
+    _tab(flat_columns(df), path, header=True, compression="gzip" if gzip else None)
+
+
+def flat_columns(df: DataFrame) -> DataFrame:
+    """Array columns as text joined with ``;``, nulls inside as ``<NA>``."""
+    return df.select(
         *[
             F.array_join(F.transform(F.col(f.name), lambda x: x.cast("string")), ";", "<NA>").alias(f.name)
             if f.dataType.typeName() == "array"
@@ -91,7 +96,6 @@ def write_tsv(df: DataFrame, path: str, gzip: bool = True) -> None:
             for f in df.schema.fields
         ]
     )
-    _tab(flat, path, header=True, compression="gzip" if gzip else None)
 
 
 def run_statistics(

@@ -20,9 +20,13 @@ _COLUMNS = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info"]
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """Eight fixed VCF columns, plus ``rest`` for genotype columns."""
+    return parse_vcf(spark.read.text(path))
+
+
+def parse_vcf(lines: DataFrame) -> DataFrame:
+    """``read_vcf`` on rows ``value``; header lines go."""
     fields = F.split("value", "\t")
-    lines = spark.read.text(path).filter(~F.col("value").startswith("#"))
-    out = lines.select(
+    out = lines.filter(~F.col("value").startswith("#")).select(
         *[F.get(fields, F.lit(i)).alias(c) for i, c in enumerate(_COLUMNS)],
         F.array_join(F.slice(fields, 9, 1 << 20), "\t").alias("rest"),
     )
