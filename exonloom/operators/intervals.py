@@ -35,17 +35,28 @@ def cluster(
 def _label(
     heads: DataFrame, keys: list[str], slack: int, start: str, block: int, name: str, stored: bool
 ) -> DataFrame:
-    """Cluster label of distinct starts with their largest end ``_end``."""
-    at = position_block(start, block)
-    seen = prefix_scan(heads, keys, at, [start], [Running("_reach", "max", F.col("_end"))], stored)
-    opened = seen.withColumn(
-        "_head",
-        F.when(
-            F.col("_reach").isNull() | (F.col(start) - F.lit(slack) > F.col("_reach")), F.col(start)
-        ),
-    )
-    labelled = prefix_scan(opened, keys, at, [start], [Running(name, "max", F.col("_head"), inclusive=True)])
-    return labelled.drop("_reach", "_head")
+    """Cluster label of distinct starts with their largest end ``_end``.
+
+    A start opens a cluster when it lies beyond the reach of its block so far and of all blocks before.  Starts
+    ascend, so a block opens one at all exactly when its last candidate lies beyond the blocks before; one
+    summary row per block carries both the reach and the label on.  The input is stored once and read twice.
+    """
+    blocked = heads.withColumn("_block", position_block(start, block))
+    if not stored:
+        blocked = cut_lineage(blocked)
+    within = Window.partitionBy(*keys, "_block").orderBy(start)
+    near = F.max("_end").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    beyond = lambda reach: reach.isNull() | (F.col(start) - F.lit(slack) > reach)
+    local = blocked.withColumn("_candidate", F.when(beyond(near), F.col(start)))
+    across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = local.groupBy(*keys, "_block").agg(F.max("_end").alias("_far"), F.max("_candidate").alias("_last"))
+    reached = totals.withColumn("_before", F.max("_far").over(across))
+    last = F.when(F.col("_before").isNull() | (F.col("_last") - F.lit(slack) > F.col("_before")), F.col("_last"))
+    carried = reached.withColumn("_open", last).select(*keys, "_block", "_before", F.max("_open").over(across).alias("_label"))
+    joined = local.join(carried, [*keys, "_block"])
+    opened = F.max(F.when(F.col("_candidate").isNotNull() & beyond(F.col("_before")), F.col(start)))
+    label = F.coalesce(opened.over(within.rowsBetween(Window.unboundedPreceding, 0)), F.col("_label"))
+    return joined.withColumn(name, label).drop("_block", "_candidate", "_before", "_label")
 
 
 def merge_within(
