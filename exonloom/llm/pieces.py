@@ -274,15 +274,29 @@ def decode_slice(v: Vocabulary, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndar
     return v.out[np.repeat(a, size) + at], total[ends] - total[ends - n]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
-    """``docs`` with ``pieces``, a sampled segmentation of ``text`` as ids.
-
-    Null and empty texts have no pieces.  Rows with one key and text have one segmentation; a null key seeds
-    like 0.  A column called ``pieces`` is replaced; an empty table gives an empty result.
+def same_texts(data: np.ndarray, lengths: np.ndarray, made: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which texts of one run of bytes equal those of another."""
+    if np.array_equal(lengths, sizes) and np.array_equal(data, made):
+        return np.ones(len(lengths), bool)
+    a, b = np.cumsum(lengths), np.cumsum(sizes)
+    return np.array([np.array_equal(data[x - n : x], made[y - m : y]) for x, n, y, m in zip(a, lengths, b, sizes, strict=True)], bool)
+
+
+def encode(
+    docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", seed: int = 0, check: bool = False
+) -> DataFrame:
+    """``docs`` with ``pieces``, a sampled segmentation of ``text`` as ids; with ``check`` also ``lossless``.
+
+    ``lossless`` says whether the pieces, decoded at once, are the bytes of the text.  Null and empty texts have no
+    pieces.  Rows with one key and text have one segmentation; a null key seeds like 0.  Columns with the name
+    of a result are replaced; an empty table gives an empty result.
     """
-    keep = [c for c in docs.columns if c != "pieces"]
+    made_columns = ["pieces", "lossless"] if check else ["pieces"]
+    keep = [c for c in docs.columns if c not in made_columns]
     sent = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))  # of fixed size
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("pieces", T.ArrayType(T.IntegerType()))])
+    if check:
+        schema.add("lossless", T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = restored(sent.value)
@@ -290,9 +304,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
             data, offsets = texts(batch.column("_body"))
             keys = mix(batch.column("_seed").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             for i, j in slices(offsets, SLICE_BYTES):
-                ids, n = encode_slice(v, data[offsets[i] : offsets[j]].tobytes(), np.diff(offsets[i : j + 1]), keys[i:j])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in keep], lists], names=[*keep, "pieces"])
+                body, lengths = data[offsets[i] : offsets[j]], np.diff(offsets[i : j + 1])
+                ids, n = encode_slice(v, body.tobytes(), lengths, keys[i:j])
+                made = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids))]
+                if check:
+                    made.append(pa.array(same_texts(body, lengths, *decode_slice(v, ids, n))))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in keep], *made], names=[*keep, *made_columns])
 
     seeded = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("0")), F.lit(seed)).alias("_seed")
     return docs.select(*keep, F.col(text).cast("binary").alias("_body"), seeded).mapInArrow(run, schema)

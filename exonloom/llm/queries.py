@@ -58,11 +58,9 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """A sampled segmentation of every document, decoded again."""
     known = pieces.load(PIECES)
-    rows = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), known)
-    back = pieces.decode(rows, known)
-    return back.select(
-        "doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    rows = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), known, check=True)
+    return rows.select(
+        "doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "lossless"
     )
 
 

@@ -64,6 +64,7 @@ def test_round_trips(spark, known):
     texts = [None, "", " ", "  ", "▁", "a▁b ▁ c", "tab\tnew\nline\r\n", "😀 naïve 日本語 \x00\x01", "x" * 5000, ("word and " * 20000), "é", "  two  spaces  ", " ﻿"]
     rows = [(i, t, 5) for i, t in enumerate(texts)] + [(None, "null key", 1), (3, "  ", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, pieces int").repartition(3)
+    assert all(r["lossless"] for r in pieces.encode(docs, known, check=True).collect())
     got = pieces.decode(pieces.encode(docs, known), known).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -88,6 +89,13 @@ def test_pieces_spell_the_text(known):
         assert model.decode(ids) == text
 
 
+def test_a_difference_is_seen():
+    a, b = np.frombuffer(b"abcd", np.uint8), np.frombuffer(b"abxd", np.uint8)
+    two = np.array([2, 2])
+    assert pieces.same_texts(a, two, a, two).all() and pieces.same_texts(a, two, b, two).tolist() == [True, False]
+    assert pieces.same_texts(a, two, a, np.array([1, 3])).tolist() == [False, False]
+
+
 def test_a_mark_inside_a_piece_is_refused():
     with pytest.raises(ValueError, match="inside"):
         pieces.Vocabulary([(256, "a▁b", 0.0)], list(range(256)), 257)
