@@ -265,24 +265,20 @@ def tabular_dataset(spark, folder):
     )
 
 
-_CONSENSUS = """
-p as (select seq_id, seq, i as pos, substr(seq, greatest(i - 20, 0) + 1, i - greatest(i - 20, 0)) as l, substr(seq, i + 2, least(i + 7, length(seq)) - least(i + 1, length(seq))) as r,
-      i >= 2 and substr(seq, i - 1, 2) = 'AG' as ag, substr(seq, i + 2, 2) = 'GT' as gt from seqs, unnest(range(length(seq))) t(i))
-"""
-
-
+# the scorer is any function of texts; this one measures G and C around each position
 @query(
     "predicted_scores",
-    with_ctes(SEQS, _CONSENSUS, body="""select seq_id, count(*) as n, round(sum(acceptor), 5) as acceptor, round(sum(donor), 5) as donor,
-        max(pos) filter (acceptor > 0.5) as last_acceptor, max(pos) filter (donor > 0.5) as last_donor from (select seq_id, pos, round((length(l) - length(translate(l, 'CT', ''))) / greatest(length(l), 1) * case when ag then 1 else 0.01 end, 9) as acceptor,
-        round((1 - (length(r) - length(translate(r, 'CT', ''))) / greatest(length(r), 1)) * case when gt then 1 else 0.01 end, 9) as donor from p) group by seq_id"""),
+    with_ctes(SEQS, """p as (select seq_id, seq, i, substr(seq, greatest(i - 9, 0) + 1, i + 1 - greatest(i - 9, 0)) as l, substr(seq, i + 1, least(i + 10, length(seq)) - i) as r
+            from seqs, unnest(range(length(seq))) t(i))""",
+        """v as (select seq_id, i, (length(l) - length(translate(l, 'GC', ''))) / length(l) as a, (length(r) - length(translate(r, 'GC', ''))) / length(r) as d from p)""",
+        body="""select seq_id, count(*) as n, round(sum(a), 5) as acceptor, round(sum(d), 5) as donor, max(i) filter (a > 0.55) as last_acceptor,
+                max(i) filter (d > 0.55) as last_donor from v group by seq_id"""),
 )
 def predicted_scores(spark, folder):
-    scored = pr.explode_scores(pr.predict(sequences(spark, folder)))
-    a, d = F.round("acceptor", 9), F.round("donor", 9)
+    scored = pr.explode_scores(pr.predict(sequences(spark, folder), pr.gc_scorer()))
     return scored.groupBy("seq_id").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(a), 5).alias("acceptor"), F.round(F.sum(d), 5).alias("donor"),
-        F.max(F.when(a > 0.5, F.col("pos"))).alias("last_acceptor"), F.max(F.when(d > 0.5, F.col("pos"))).alias("last_donor"),
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("acceptor"), 5).alias("acceptor"), F.round(F.sum("donor"), 5).alias("donor"),
+        F.max(F.when(F.col("acceptor") > 0.55, F.col("pos"))).alias("last_acceptor"), F.max(F.when(F.col("donor") > 0.55, F.col("pos"))).alias("last_donor"),
     )
 
 
@@ -331,3 +327,19 @@ def direction_flags(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     pairs = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") / 10000).alias("dPSI"))
     return tb.mark_direction(orders, pairs, ["o_custkey"])
+
+
+# the stages of a run on the texts of a table: hits, their reduction and place, deletions, scores, effects
+@query("perturbation_chain")
+def perturbation_chain(spark, folder):
+    from exonloom.catalog.base import dna, motif_table, sites
+    from exonloom.plans import perturbation as plan
+
+    seqs = table(spark, folder, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("seq_id"), dna("text").alias("seq"))
+    name = F.concat("seq_id", F.lit(":0-"), F.length("seq").cast("string"), F.lit("(+)_t"))
+    placed = seqs.join(sites(seqs), "seq_id").withColumn("seq_id", name)
+    options = plan.Options(scope=300)
+    found = plan.located_hits(placed, motif_table(spark), options)
+    scored = plan.scores(placed, found, pr.gc_scorer(), options)
+    out = plan.summarise(placed, found, scored, options)
+    return out.select("id", "seq_id", "rbp_name", "mutation", "acceptor_cassette_effect", "donor_cassette_effect")

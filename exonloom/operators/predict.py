@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,23 @@ def consensus_scorer(texts: list[str]) -> tuple[list, list]:
     return acceptors, donors
 
 
+def gc_scorer(width: int = 10) -> Scorer:
+    """Share of G and C among up to ``width`` bases that end (acceptor) and begin (donor) at each position."""
+
+    def score(texts: list[str]) -> tuple[list, list]:
+        before, after = [], []
+        for text in texts:
+            raw = np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)
+            total = np.concatenate(([0.0], np.cumsum(np.isin(raw, [67, 71]))))
+            at = np.arange(len(raw))
+            low, high = np.maximum(at - width + 1, 0), np.minimum(at + width, len(raw))
+            before.append((total[at + 1] - total[low]) / (at + 1 - low))
+            after.append((total[high] - total[at]) / (high - at))
+        return before, after
+
+    return score
+
+
 def predict(
     seqs: DataFrame, scorer: Scorer = consensus_scorer, batch_size: int = 64, id_column: str = "seq_id"
 ) -> DataFrame:
@@ -100,17 +119,21 @@ def predict(
     named = seqs.select(F.col(id_column).alias("seq_id"), "seq")
     ordered = named.sortWithinPartitions(F.length("seq"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size]
-                acceptor, donor = scorer([t or "" for t in part["seq"]])
-                yield pd.DataFrame(
-                    {"seq_id": part["seq_id"].values, "acceptor": [list(map(float, a)) for a in acceptor],
-                     "donor": [list(map(float, d)) for d in donor]}
+    def lists(parts) -> pa.Array:
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+        flat = np.concatenate([np.asarray(x, np.float64) for x in parts]) if len(parts) else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), batch_size):
+                part = batch.slice(at, batch_size)
+                acceptor, donor = scorer([t or "" for t in part.column("seq").to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("seq_id"), lists(acceptor), lists(donor)], names=["seq_id", "acceptor", "donor"]
                 )
 
-    return ordered.mapInPandas(run, SCORES)
+    return ordered.mapInArrow(run, SCORES)
 
 
 def explode_scores(df: DataFrame, keys: Sequence[str] = ("seq_id",)) -> DataFrame:
