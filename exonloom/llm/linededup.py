@@ -106,10 +106,10 @@ def dedup_lines(
     often = found.groupBy("h1", "h2").agg(
         F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b")
     ).filter((F.col("n") >= min_docs) & ((F.col("b") > F.col("a")) | F.lit(min_docs < 2))).select("h1", "h2")
-    often = cut_lineage(found.join(often, ["h1", "h2"]))
+    often = cut_lineage(found.join(cut_lineage(often), ["h1", "h2"]))  # stored keys: a hot one can be split in the join
     in_rows = often.groupBy("h1", "h2", "row").agg(F.max("k").alias("k"))
     enough = in_rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
-    shared = cut_lineage(often.join(enough, ["h1", "h2"]))
+    shared = cut_lineage(often.join(cut_lineage(enough), ["h1", "h2"]))
     kept = keepers(shared, batches, fanout)
     lose = F.col("keeper").isNotNull() & (F.col("k").isNull() | (F.col("k") < F.col("keeper")))
     gone = shared.join(kept, ["h1", "h2"]).filter(lose).groupBy("row").agg(F.collect_list("pos").alias("_gone"))
