@@ -102,7 +102,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     found = graph.components(links(distinct))
     named = distinct.join(found, distinct["fp"] == found["node"]).groupBy("component").agg(F.min("first").alias("name"))
     of = found.join(named, "component").select(F.col("node").alias("fp"), "name")
-    all_of = distinct.join(of, "fp", "left").select("fp", F.coalesce("name", "first").alias("component_id"))
+    # stored, so that the last join can split a fingerprint that very many rows share
+    all_of = cut_lineage(distinct.join(of, "fp", "left").select("fp", F.coalesce("name", "first").alias("component_id")))
     return fps.join(all_of, "fp").select(
         F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
