@@ -36,11 +36,13 @@ def scan_exact(seqs: DataFrame, motifs: DataFrame, limit: int = DICTIONARY_LIMIT
     dictionary is cut by a hash of the motif and takes one pass per part, with the same result.
     """
     words = dictionary_of(motifs)
-    parts = -(-words.select("motif").distinct().count() // limit) or 1
+    head = words.limit(limit + 1).collect()
+    parts = 1 if len(head) <= limit else -(-words.count() // limit)
     scans = []
     for part in range(parts):
         owners: dict[str, list[str]] = defaultdict(list)
-        for row in words.filter(F.pmod(F.xxhash64("motif"), F.lit(parts)) == part).toLocalIterator():
+        place = F.pmod(F.xxhash64("motif"), F.lit(parts))
+        for row in head if parts == 1 else words.filter(place == part).toLocalIterator():
             owners[row["motif"]].append(row["rbp_name"])
         scans.append(scan_dictionary(seqs, dict(owners)))
     return reduce(DataFrame.unionByName, scans)

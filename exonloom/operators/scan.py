@@ -123,6 +123,23 @@ def value_blocks(
     return joined.withColumn("_vblock", F.when(F.col("_bounds").isNull(), 0).otherwise(place).cast("bigint")).drop("_bounds")
 
 
+def sum_below(
+    df: DataFrame, keys: Sequence[str], value: str, weight: str, name: str, blocks: int | None = None, rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add the sum of ``weight`` over the smaller values of the key; values are distinct and ``df`` is stored.
+
+    Keys of at most ``rows`` values are summed by one window, larger ones in blocks; the sums are the same.
+    """
+    keys = list(keys)
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0] or 0
+    if blocks is None and most <= rows:
+        below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(weight).over(below), F.lit(0)))
+    blocked = value_blocks(df, keys, value, blocks, rows)
+    running = [Running(name, "sum", F.col(weight))]
+    return prefix_scan(blocked, keys, F.col("_vblock"), [value], running, stored=True).drop("_vblock")
+
+
 def with_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], bool]:
     """``df`` with a constant key when none is given, so that whole tables use the same plans."""
     if keys:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from exonloom.operators.scan import Running, prefix_scan, value_blocks, with_key
+from exonloom.operators.scan import sum_below, with_key
 from exonloom.session import cut_lineage
 
 
@@ -25,10 +25,7 @@ def value_counts_before(df: DataFrame, keys: Sequence[str], value: str, blocks:
     n = cut_lineage(
         df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     )
-    blocked = value_blocks(n, keys, value, blocks)
-    return prefix_scan(
-        blocked, keys, F.col("_vblock"), [value], [Running("before", "sum", F.col("n"))], stored=True
-    ).drop("_vblock", *(["_all"] if whole else []))
+    return sum_below(n, keys, value, "n", "before", blocks).drop(*(["_all"] if whole else []))
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "avg_rank", blocks: int | None = None) -> DataFrame:
@@ -296,9 +293,7 @@ def _pooled_ranks(rows: DataFrame, keys: list[str], group: str, first: str, valu
             F.count_if(F.col(group) == first).alias("_a"), F.count_if(F.col(group) != first).alias("_b")
         ).withColumn("_n", F.col("_a") + F.col("_b"))
     )
-    scanned = prefix_scan(
-        value_blocks(n, keys, value), keys, F.col("_vblock"), [value], [Running("_before", "sum", F.col("_n"))], stored=True
-    )
+    scanned = sum_below(n, keys, value, "_n", "_before")
     return scanned.withColumn("_rank", F.col("_before") + (F.col("_n") + 1) / 2)
 
 
@@ -327,9 +322,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 def _weighted_ranks(pairs: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     n = cut_lineage(pairs.groupBy(*keys, value).agg(F.sum("_w").alias("_n")))
-    scanned = prefix_scan(
-        value_blocks(n, keys, value), keys, F.col("_vblock"), [value], [Running("_before", "sum", F.col("_n"))], stored=True
-    )
+    scanned = sum_below(n, keys, value, "_n", "_before")
     return scanned.select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
 
 
