@@ -32,31 +32,38 @@ def cluster(
     return df.join(labelled, [*keys, start])
 
 
-def _label(
-    heads: DataFrame, keys: list[str], slack: int, start: str, block: int, name: str, stored: bool
-) -> DataFrame:
-    """Cluster label of distinct starts with their largest end ``_end``.
+def _opened(heads: DataFrame, keys: list[str], slack: int, start: str, block: int, stored: bool) -> DataFrame:
+    """Distinct starts with their largest end ``_end``, and ``_reach`` (largest end before), ``_head``, ``_open``.
 
-    A start opens a cluster when it lies beyond the reach of its block so far and of all blocks before.  Starts
-    ascend, so a block opens one at all exactly when its last candidate lies beyond the blocks before; one
-    summary row per block carries both the reach and the label on.  The input is stored once and read twice.
+    A start is a head when it lies beyond the reach of its block so far and of all blocks before; ``_open`` is the
+    last head of the blocks before.  Starts ascend, so a block has a head exactly when its last candidate lies
+    beyond the blocks before, and one summary row per block carries both on.  The input is stored and read twice.
     """
     blocked = heads.withColumn("_block", position_block(start, block))
     if not stored:
         blocked = cut_lineage(blocked)
     within = Window.partitionBy(*keys, "_block").orderBy(start)
     near = F.max("_end").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    beyond = lambda reach: reach.isNull() | (F.col(start) - F.lit(slack) > reach)
-    local = blocked.withColumn("_candidate", F.when(beyond(near), F.col(start)))
+    beyond = lambda at, reach: reach.isNull() | (at - F.lit(slack) > reach)
+    local = blocked.withColumn("_near", near).withColumn("_last", F.when(beyond(F.col(start), F.col("_near")), F.col(start)))
     across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = local.groupBy(*keys, "_block").agg(F.max("_end").alias("_far"), F.max("_candidate").alias("_last"))
+    totals = local.groupBy(*keys, "_block").agg(F.max("_end").alias("_far"), F.max("_last").alias("_last"))
     reached = totals.withColumn("_before", F.max("_far").over(across))
-    last = F.when(F.col("_before").isNull() | (F.col("_last") - F.lit(slack) > F.col("_before")), F.col("_last"))
-    carried = reached.withColumn("_open", last).select(*keys, "_block", "_before", F.max("_open").over(across).alias("_label"))
+    last = F.when(beyond(F.col("_last"), F.col("_before")), F.col("_last"))
+    carried = reached.withColumn("_opens", last).select(*keys, "_block", "_before", F.max("_opens").over(across).alias("_open"))
     joined = local.join(carried, [*keys, "_block"])
-    opened = F.max(F.when(F.col("_candidate").isNotNull() & beyond(F.col("_before")), F.col(start)))
-    label = F.coalesce(opened.over(within.rowsBetween(Window.unboundedPreceding, 0)), F.col("_label"))
-    return joined.withColumn(name, label).drop("_block", "_candidate", "_before", "_label")
+    head = F.col("_last").isNotNull() & beyond(F.col(start), F.col("_before"))
+    return joined.withColumns({"_reach": F.greatest("_near", "_before"), "_head": head}).drop("_near", "_last", "_before")
+
+
+def _label(
+    heads: DataFrame, keys: list[str], slack: int, start: str, block: int, name: str, stored: bool
+) -> DataFrame:
+    """Cluster label of distinct starts with their largest end ``_end``."""
+    opened = _opened(heads, keys, slack, start, block, stored)
+    so_far = Window.partitionBy(*keys, "_block").orderBy(start).rowsBetween(Window.unboundedPreceding, 0)
+    label = F.coalesce(F.max(F.when(F.col("_head"), F.col(start))).over(so_far), F.col("_open"))
+    return opened.withColumn(name, label).drop("_block", "_reach", "_head", "_open")
 
 
 def merge_within(
@@ -241,17 +248,15 @@ def complement(
 ) -> DataFrame:
     """Stretches of each key's ``[lo, hi)`` in ``bounds`` that no interval of ``df`` covers."""
     keys = list(keys)
-    islands = merge(df, keys, 0, start, end, block).drop("n_merged")
     edges = bounds.select(*keys, F.col("hi").alias(start), F.col("hi").alias(end))
-    walked = prefix_scan(
-        islands.unionByName(edges).groupBy(*keys, start).agg(F.max(end).alias(end)),
-        keys, position_block(start, block), [start], [Running("_before", "max", F.col(end))],
-    )
+    heads = df.select(*keys, start, end).unionByName(edges).groupBy(*keys, start).agg(F.max(end).alias("_end"))
+    # what lies between a head and the reach before it is free
+    walked = _opened(heads, keys, 0, start, block, False).filter("_head")
     return (
         walked.join(bounds, keys)
         .select(
             *keys,
-            F.greatest(F.coalesce(F.col("_before"), F.col("lo")), F.col("lo")).alias(start),
+            F.greatest(F.coalesce(F.col("_reach"), F.col("lo")), F.col("lo")).alias(start),
             F.least(F.col(start), F.col("hi")).alias(end),
         )
         .filter(F.col(start) < F.col(end))
