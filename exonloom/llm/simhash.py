@@ -127,6 +127,39 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("k", F.col("t").cast("binary").alias("t")).mapInArrow(run, schema)
 
 
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(u, v)`` whose ``sets(k, set)`` have at least this Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("k").alias("u"), F.col("set").alias("su")), "u").join(
+        sets.select(F.col("k").alias("v"), F.col("set").alias("sv")), "v"
+    )
+    common = F.size(F.array_intersect("su", "sv"))
+    return both.filter(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
+
+
+def join_met(near: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Components of ``near(first, near)`` under all pairs with a value of ``near`` in common whose texts are alike.
+
+    Every row is first compared with the least one of its bucket.  Pairs inside a component need no look any more;
+    what the least one did not bring into its component then meets all the others of the bucket, so no pair is left
+    out.  Work is linear in a bucket of copies and quadratic only in texts that meet without being alike.
+    """
+    bucket = Window.partitionBy("near")
+    met = near.withColumns({"least": F.min("first").over(bucket), "n": F.count("*").over(bucket)})
+    met = cut_lineage(met.filter("n > 1").drop("n"))
+    sets = cut_lineage(shingle_sets(rows.join(met.select(F.col("first").alias("k")).distinct(), "k", "left_semi"), size))
+    pairs = cut_lineage(met.filter("first > least").select(F.col("first").alias("u"), F.col("least").alias("v")).distinct())
+    sure = cut_lineage(alike(pairs, sets, similarity))
+    groups = cut_lineage(graph.components(sure))
+    for c, n in (("first", "c"), ("least", "cl")):
+        met = met.join(groups.select(F.col("node").alias(c), F.col("component").alias(n)), c, "left").withColumn(n, F.coalesce(n, c))
+    met = cut_lineage(met.filter("first > least"))
+    left = met.filter("c <> cl").select("near", F.col("first").alias("x"), F.col("c").alias("cx"))
+    others = met.select("near", F.col("first").alias("y"), F.col("c").alias("cy"), (F.col("c") != F.col("cl")).alias("again"))
+    more = left.join(others, "near").filter("cx <> cy and (x > y or not again)")
+    more = more.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
+    return graph.components(sure.union(alike(cut_lineage(more), sets, similarity)))
+
+
 def similar_groups(
     docs: DataFrame, key: str, text: str, size: int = 5, similarity: float = 0.8, tables: int = TABLES
 ) -> DataFrame:
@@ -135,11 +168,7 @@ def similar_groups(
     Word shingles of five at a Jaccard similarity of 0.8 differ in about 15 % of the bits, too many for one
     small ball.  So a text has ``tables`` fingerprints of 32 bits, and each goes through the ball of radius
     one: texts 0.8 alike meet in one of sixteen tables with a chance of about 93 %, 0.85 and more with over
-    99 %.  In a variant each row meets the least one and its neighbour, never all pairs.
-
-    What meets is verified.  The share of differing bits of all tables estimates the similarity: pairs clearly
-    above it are linked, pairs clearly below are not, and the rest are compared by their sets of shingles unless
-    sure links already join them.  Keys must be unique.  Equal texts (and all empty ones) are one group.
+    99 %.  What meets is compared by its sets of shingles, see ``join_met``.  Keys must be unique.  Equal texts (and all empty ones) are one group.
     """
     words = -(-tables // 2)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -151,28 +180,8 @@ def similar_groups(
     near = near.select("first", F.explode(ball("f", WIDTH)).alias("f"), "t").select(
         "first", (F.col("f") + F.col("t").cast("long") * (1 << WIDTH)).alias("near")
     )
-    least = F.min("first").over(Window.partitionBy("near"))
-    pairs = near.select(F.col("first").alias("u"), least.alias("v")).filter("u > v").distinct()
-    half = lambda n: same.select(F.col("first").alias(n), F.col("fp").alias(f"f{n}"))
-    bits = 64 * words
-    apart = F.aggregate(F.zip_with("fu", "fv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    mean = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # of two sets of one size
-    spread = np.sqrt(bits * mean * (1 - mean))
-    seen = pairs.join(half("u"), "u").join(half("v"), "v").select("u", "v", apart.alias("apart"))
-    seen = cut_lineage(seen.filter(F.col("apart") <= int(bits * mean + 2.5 * spread)))
-    sure = cut_lineage(graph.components(seen.filter(F.col("apart") <= int(bits * mean - 2 * spread)).select("u", "v")))
-    name = lambda n: sure.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
-    unsure = seen.filter(F.col("apart") > int(bits * mean - 2 * spread)).join(name("u"), "u", "left").join(name("v"), "v", "left")
-    unsure = cut_lineage(unsure.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v"))
-    asked = unsure.select(F.explode(F.array("u", "v")).alias("k")).distinct()
-    sets = cut_lineage(shingle_sets(rows.join(asked, "k", "left_semi"), size))
-    both = unsure.join(sets.select(F.col("k").alias("u"), F.col("set").alias("su")), "u").join(
-        sets.select(F.col("k").alias("v"), F.col("set").alias("sv")), "v"
-    )
-    common = F.size(F.array_intersect("su", "sv"))
-    alike = both.filter(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
-    found = graph.components(alike.union(sure.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-    of = same.join(found, same["first"] == found["node"], "left").select("fp", F.coalesce("component", "first").alias("group"))
+    joined = join_met(near, rows, size, similarity)
+    of = same.join(joined, same["first"] == joined["node"], "left").select("fp", F.coalesce("component", "first").alias("group"))
     return fps.join(of, "fp").select(F.col("k").alias(key), "group")
 
 

@@ -87,3 +87,27 @@ def test_similar_texts_lose_all_but_one(spark, tmp_path):
     kept = simhash.drop_similar(docs).collect()
     assert sorted(r["g"] for r in kept) == sorted({r[1] for r in rows})
     assert set(map(tuple, kept)) <= set(rows)
+
+
+def jaccard(a, b, size=5):
+    x, y = ({h for part in simhash.shingle_hashes(t.encode(), size) for h in part.tolist()} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def grouped(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    return {r["k"]: r["group"] for r in simhash.similar_groups(rows, "k", "text").collect()}
+
+
+def test_pairs_inside_a_family_of_half_alike_texts(spark):
+    rng = random.Random(4)
+    make = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    frame = make(100)
+    texts = [" ".join(frame + make(14)) for _ in range(700)]  # the least rows: about 0.77 alike to all others
+    for _ in range(40):
+        own = make(14)
+        texts += [" ".join(frame + own), " ".join(frame + own[:-5] + make(5))]
+    assert jaccard(texts[0], texts[1]) < 0.79 and jaccard(texts[-2], texts[-1]) > 0.9
+    of = grouped(spark, texts)
+    assert [of[i] for i in range(700)] == list(range(700))
+    assert all(of[i] == of[i + 1] for i in range(700, 780, 2))
