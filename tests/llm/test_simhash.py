@@ -111,3 +111,29 @@ def test_pairs_inside_a_family_of_half_alike_texts(spark):
     of = grouped(spark, texts)
     assert [of[i] for i in range(700)] == list(range(700))
     assert all(of[i] == of[i + 1] for i in range(700, 780, 2))
+
+
+def test_a_filler_neither_joins_texts_nor_parts_copies(spark):
+    rng = random.Random(6)
+    make = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    own = make(100)
+    texts = ["| " * 300 + make(100) for _ in range(30)]  # one shingle makes up most of each
+    texts += [own + " |" * n for n in (10, 100, 1000)]
+    of = grouped(spark, texts)
+    assert [of[i] for i in range(30)] == list(range(30))
+    assert {of[i] for i in range(30, 33)} == {30}
+
+
+def test_pairs_just_above_the_rule_against_brute_force(spark):
+    rng = random.Random(8)
+    make = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    while len(texts) < 1200:
+        n = rng.choice([9, 20, 60, 200, 600])
+        a = make(n)
+        b = a[: n - n // 8] + make(rng.randrange(n // 8 + 1))
+        if 0.8 <= jaccard(" ".join(a), " ".join(b)) <= 0.85:
+            texts += [" ".join(a), " ".join(b)]
+    of = grouped(spark, texts)
+    assert sum(of[i] == of[i + 1] for i in range(0, len(texts), 2)) >= 0.99 * len(texts) / 2
+    assert len(set(of.values())) >= len(texts) / 2
