@@ -463,7 +463,7 @@ def score(docs: DataFrame, counts: Counts, shape: Shape, flat: np.ndarray, key:
 
 def fit_and_score(
     docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", classes: int = 32, size: int = 16,
-    rounds: tuple[float, ...] = (1 / 32, 1 / 6),
+    rounds: tuple[float, ...] = (1.0,),
 ) -> DataFrame:
     """Count and train on the rows where ``learn`` holds, then score every row; see ``score``."""
     bodies = docs.filter(F.coalesce(learn, F.lit(False))).select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))

@@ -98,3 +98,12 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
     got = lm.fit_and_score(docs, F.lit(False)).collect()
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got) == [(2, 0, 0, 0.0), (3, 0, 0, 0.0)]
+
+
+def test_the_network_learns_from_every_training_text(spark, monkeypatch):
+    seen = []
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda bodies, counts, shape, rounds, *a: seen.append(rounds) or train(bodies, counts, shape, rounds, *a))
+    rows = spark.createDataFrame([(i, f"some words {i}") for i in range(20)], "doc_id long, text string")
+    lm.fit_and_score(rows, F.lit(True))
+    assert max(seen[0]) >= 1
