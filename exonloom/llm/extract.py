@@ -35,7 +35,9 @@ CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 head title".split())
 CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}
 
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|button|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])[^>]*/>"
+    r"|<(script|style|noscript|template|svg|iframe|textarea|select|button|object|canvas|math)(?=[\s/>])[^>]*>.*?</\1\s*>"
+    r"|<(?:script|style|textarea)(?=[\s/>])[^>]*>.*\Z"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[a-zA-Z/!?][^>]*\Z",
     re.S | re.I,
@@ -45,14 +47,16 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|disp
 
 
 class Node:
-    __slots__ = ("tag", "parent", "junk", "points", "chars", "linked", "paragraph")
+    __slots__ = ("tag", "parent", "junk", "hard", "unlikely", "points", "chars", "linked", "paragraph")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent = tag, parent
         self.points, self.chars, self.linked, self.paragraph = 0.0, 0, 0, False
         names = {w for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-        junk = tag in BOILERPLATE or tag not in KEPT_WHOLE and bool(names & UNLIKELY or attributes and HIDDEN.search(attributes))
-        self.junk = junk or parent is not None and parent.junk
+        hard = tag in BOILERPLATE or tag not in KEPT_WHOLE and bool(attributes and HIDDEN.search(attributes))
+        self.hard = hard or parent is not None and parent.hard
+        self.unlikely = tag not in KEPT_WHOLE and bool(names & UNLIKELY)
+        self.junk = self.hard or self.unlikely or parent is not None and parent.junk
 
     def chain(self) -> Iterator[Node]:
         node = self
@@ -113,9 +117,27 @@ def tree(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
     return root, blocks
 
 
+def spare(found: list[tuple[Node, str, int]]) -> None:
+    """Names do not count on the way to the element with most paragraph points."""
+    points, holders = {}, {}
+    for node, text, linked in found:
+        if not node.hard and len(text) >= 25 and 2 * linked < len(text):
+            holder = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
+            holders[id(holder)] = holder
+            points[id(holder)] = points.get(id(holder), 0) + 1 + text.count(",") + min(len(text) / 100, 3)
+    best = max(points, key=lambda i: (points[i], not holders[i].junk), default=None)
+    if best is None or not holders[best].junk:
+        return
+    for n in holders[best].chain():
+        n.unlikely = False
+    for n in {id(n): n for node, _, _ in found for n in node.chain()}.values():
+        n.junk = n.hard or any(x.unlikely for x in n.chain())
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page: its blocks in order, joined by a space; null or none: empty."""
     root, found = tree(page or "")
+    spare(found)
     blocks = [(n, text, linked) for n, text, linked in found if not n.junk]
     if not blocks:
         return ""

@@ -39,3 +39,11 @@ def test_over_spark(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted([str((1, "u", LONG, len(LONG)))] * 2 + [str((None, None, "", 0))])
     assert extract.extract(pages.limit(0)).count() == 0
+
+
+def test_custom_elements_open_ones_and_unlikely_names_keep_the_text():
+    long = "This is the text of the article, long enough, and with commas in it."
+    for tag in ("<svg-icon></svg-icon>", "<button-row>", "<svg/>", "<svg class='a' />", "<button>"):
+        assert extract.main_text(f"<p>{long}</p>{tag}<p>{long}</p>") == f"{long} {long}"
+    for name in ("has-sidebar", "no-comments", "elementor-widget", "page-header-fixed"):
+        assert extract.main_text(f"<div class='{name}'><p>{long}</p></div>") == long
