@@ -202,8 +202,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     Digest and length of a stored payload are computed from it; a revisit has those of its headers and a null
     payload.  Members that do not inflate, fail their checksum or hold no WARC header are passed over.  Pieces
     that a range could not place are gathered by file: there are some only where magic bytes stand by chance
-    inside a record that goes over the end of a range.
+    inside a record that goes over the end of a range.  Files named ``*.gz`` are refused.
     """
+    named = [f for f in spark.read.text(path).inputFiles() if f.lower().endswith(".gz")]
+    if named:
+        raise ValueError(f"files named *.gz are inflated by Spark before they can be split; store them without it: {named[0]}")
     lines = (
         spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
         .select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))

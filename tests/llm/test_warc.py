@@ -81,3 +81,9 @@ def test_null_and_repeated_keys_and_nothing(spark, tmp_path):
         + [("urn:page:null", "response", "")] * 2
     )
     assert round_trip(spark, [], tmp_path / "e") == []
+
+
+def test_files_named_gz_are_refused(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(warc.gzip_member(b"WARC/1.1\r\n\r\n", 5))
+    with pytest.raises(ValueError, match="gz"):
+        warc.read_warc(spark, str(tmp_path))
