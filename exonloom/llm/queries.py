@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exonloom.llm import ann, decontaminate, extract, linededup, lm, pieces, simhash, toxicity, urlfilter, warc
-from exonloom.session import ensure_checkpoint_dir
+from exonloom.llm import ann, bpe, codes, decontaminate, divergence, extract, linededup, lm, pieces, simhash, toxicity, urlfilter, warc
+from exonloom.session import cut_lineage, ensure_checkpoint_dir
 
 #: Fixed rules of the URL filter query: host, path, verdict.
 RULES = [
@@ -16,6 +16,8 @@ RULES = [
     ("net", "/es/", "block"), ("net", "/fr/", "block"),
 ]
 
+#: The public vocabulary of byte pairs.
+BYTE_PAIRS = "/opt/tokenizers/word_bpe_49k.json"
 #: The public piece vocabulary.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -101,11 +103,37 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte-pair ids of every document, decoded again."""
+    known = bpe.load(BYTE_PAIRS)
+    rows = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), known).drop("text"), known)
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Four-byte codes of every vector, with squared errors in units of 1/1024, summed per label too."""
+    rows, books = codes.compress(table(spark, folder, "embeddings"), "vec_id", "embedding", "label")
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    error = F.aggregate("errors", F.lit(0).cast("long"), lambda a, b: a + b)
+    found = cut_lineage(rows.select("vec_id", "label", code.alias("code"), error.alias("error")))
+    return codes.summed_by(found, "label", "error", "label_error").select(
+        "vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256")
+    )
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Differences of every source to its peers, and the terms it uses most beyond its language."""
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_nearest_neighbours, op3_language_model, op4_url_filter, op5_sentencepiece, op6_html_extraction, op7_toxicity,
-        op8_line_dedup, op9_warc, op10_decontamination,
+        op8_line_dedup, op9_warc, op10_decontamination, op11_bpe, op12_vector_codes, op13_source_divergence,
     )
 }
 
@@ -166,6 +194,35 @@ marked as (select k.*, coalesce(doc_id < keeper, false) as gone from keyed k lef
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from marked group by doc_id""",
+    "op13_source_divergence": r"""
+with docs as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all({FOLD}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w, row_number() over () as d from documents),
+each as (select lang, source, d, unnest(w) as term from docs),
+kept as (select lang, term, count(*) as of_lang from each group by all having count(distinct d) >= 30),
+sizes as (select lang, count(*) as v, sum(of_lang) as all_n from kept group by lang),
+groups as (select distinct lang, source from docs),
+here as (select lang, source, term, count(*) as n from each join kept using (lang, term) group by all),
+totals as (select g.lang, g.source, v, all_n, coalesce(sum(n), 0) as total
+           from groups g join sizes using (lang) left join here using (lang, source) group by all),
+grid as (
+  select t.lang, t.source, k.term, coalesce(n, 0) as n,
+         1 + (1000000000::hugeint * (coalesce(n, 0) + 5)) // (total + 5 * v) as p,
+         1 + (1000000000::hugeint * (of_lang + 5)) // (all_n + 5 * v) as q
+  from totals t join kept k on t.lang = k.lang
+  left join here h on h.lang = t.lang and h.source = t.source and h.term = k.term),
+summed as (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as f
+           from grid x join grid y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(f, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join summed s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+rows as (
+  select lang, source, 'pair' as part, item, value from pairs
+  union all
+  select lang, source, 'term', term, (p - q)::bigint from grid where n > 0 and p > q)
+select lang, source, part, item, value, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank
+from rows qualify part = 'pair' or rank <= 50""".replace("{FOLD}", _FOLD.format("coalesce(text, '')")),
     "op9_warc": """
 with rows as (select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
 first as (select payload_digest, max(page_id) as page from rows where payload_bytes >= 1000 group by payload_digest)

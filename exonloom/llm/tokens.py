@@ -7,7 +7,7 @@ different words meet with a chance near 2**-63.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,15 @@ def places(n: int) -> np.ndarray:
     return mix(np.arange(n)) | np.uint64(1)
 
 
+def unused(columns: Iterable[str], stem: str) -> str:
+    """A column name that none of ``columns`` has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    name = stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
