@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from exonloom.catalog.base import event_intervals, ivals, query, with_ctes
+from exonloom.catalog.base import event_intervals, ivals, query, table, with_ctes
 from exonloom.operators import intervals as iv
 
 KEYS = ["c"]
@@ -108,6 +108,27 @@ def interval_overlap_join(spark, folder):
     return iv.overlap_join(a, b, KEYS, 256).select("c", "id", "id_b", "overlap")
 
 
+# lengths from ten bases to ten million on one axis per user
+_LENGTH = "case when event_id % 97 = 0 then 10000000 when event_id % 31 = 0 then 100000 when event_id % 7 = 0 then 3000 else 10 + event_id % 50 end"
+
+
+@query(
+    "interval_overlap_mixed_lengths",
+    f"""with iv as (select user_id % 8 as c, event_id as id, event_id % 3 as part, event_id * 1000 as "start", event_id * 1000 + {_LENGTH} as "end" from events),
+        a as (select * from iv where part = 0), b as (select * from iv where part <> 0)
+        select a.id, count(*) as n_overlaps, sum(least(a."end", b."end") - greatest(a."start", b."start"))::bigint as shared_bases, max(b.id) as last_id
+        from a join b on a.c = b.c and a."start" < b."end" and b."start" < a."end" group by a.id""",
+)
+def interval_overlap_mixed_lengths(spark, folder):
+    start = F.col("event_id") * 1000
+    df = table(spark, folder, "events").select(
+        (F.col("user_id") % 8).alias("c"), F.col("event_id").alias("id"), (F.col("event_id") % 3).alias("part"),
+        start.alias("start"), (start + F.expr(_LENGTH)).alias("end"),
+    )
+    met = iv.overlap_join(df.filter("part = 0").drop("part"), df.filter("part <> 0").drop("part"), KEYS, 64)
+    return met.groupBy("id").agg(F.count("*").alias("n_overlaps"), F.sum("overlap").alias("shared_bases"), F.max("id_b").alias("last_id"))
+
+
 _EXISTS = """select id, c from a where {neg} exists (select 1 from b where a.c = b.c and a."start" < b."end" and b."start" < a."end")"""
 
 

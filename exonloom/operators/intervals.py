@@ -32,6 +32,24 @@ def cluster(
     return df.join(labelled, [*keys, start])
 
 
+def cluster_sizes(
+    df: DataFrame,
+    keys: Sequence[str],
+    slack: int = 0,
+    start: str = "start",
+    end: str = "end",
+    block: int = DEFAULT_BLOCK,
+    name: str = "cluster_start",
+    size: str = "cluster_size",
+) -> DataFrame:
+    """``cluster`` with the number of rows in each cluster, added up over distinct starts."""
+    keys = list(keys)
+    heads = cut_lineage(df.groupBy(*keys, start).agg(F.max(end).alias("_end"), F.count(F.lit(1)).alias("_copies")))
+    labelled = cut_lineage(_label(heads, keys, slack, start, block, name, True).select(*keys, start, name, "_copies"))
+    sizes = labelled.groupBy(*keys, name).agg(F.sum("_copies").alias(size))
+    return df.join(labelled.drop("_copies").join(sizes, [*keys, name]), [*keys, start])
+
+
 def _opened(heads: DataFrame, keys: list[str], slack: int, start: str, block: int, stored: bool) -> DataFrame:
     """Distinct starts with their largest end ``_end``, and ``_reach`` (largest end before), ``_head``, ``_open``.
 
@@ -164,10 +182,44 @@ def remove_overlaps(
     return labelled.groupBy(*group).agg(F.min_by(row, sort_key).alias("_row")).select("_row.*")
 
 
-def _bins(start: str, end: str, width: int) -> Column:
-    first = F.floor(F.col(start) / F.lit(width))
-    last = F.floor((F.col(end) - 1) / F.lit(width))
-    return F.sequence(first.cast("bigint"), F.greatest(first, last).cast("bigint"))
+# A rung of the ladder is so many times as wide as the one below, and so many rungs lie under the open top.
+LADDER_STEP, LADDER_RUNGS = 8, 7
+
+
+def _rungs(width: int) -> list[int]:
+    """Bin widths from ``width`` up; one bin, wide enough for any position, ends the ladder."""
+    return [width * LADDER_STEP**i for i in range(LADDER_RUNGS)] + [1 << 62]
+
+
+def _rung_of(start: str, end: str, widths: Sequence[int]) -> Column:
+    """The lowest rung whose bins are as wide as the interval."""
+    length = F.col(end) - F.col(start)
+    rung = F.lit(len(widths) - 1)
+    for i in reversed(range(len(widths) - 1)):
+        rung = F.when(length <= widths[i], i).otherwise(rung)
+    return rung
+
+
+def _seats(start: str, end: str, widths: Sequence[int], guest: int, home: int) -> Column:
+    """``(rung, bin, side)`` of an interval: the bins it touches at home, and as a guest on every wider rung.
+
+    Bins are as wide as the interval at least, so it touches one or two of each rung.  Pairs meet where one is at
+    home: ``side`` 0 joins guests and homes of the left with homes of the right, ``side`` 1 homes of the left
+    with guests of the right, so no two guests meet.
+    """
+    def touched(i: int, side: int) -> Column:
+        first = F.floor(F.col(start) / F.lit(widths[i])).cast("bigint")
+        last = F.floor(F.greatest(F.col(end) - 1, F.col(start)) / F.lit(widths[i])).cast("bigint")
+        seat = lambda at: F.struct(F.lit(i).alias("rung"), at.alias("bin"), F.lit(side).alias("side"))
+        return F.when(first == last, F.array(seat(first))).otherwise(F.array(seat(first), seat(last)))
+
+    mine = _rung_of(start, end, widths)
+    none = F.array().cast("array<struct<rung:int,bin:bigint,side:int>>")
+    as_guest = [F.when(mine < i, touched(i, guest)).otherwise(none) for i in range(1, len(widths))]
+    at_home = [F.when(mine == i, touched(i, home)).otherwise(none) for i in range(len(widths))]
+    if guest == 0:  # the left's homes meet homes, too
+        at_home += [F.when(mine == i, touched(i, guest)).otherwise(none) for i in range(len(widths))]
+    return F.flatten(F.array(*at_home, *as_guest))
 
 
 def overlap_join(
@@ -182,24 +234,27 @@ def overlap_join(
 ) -> DataFrame:
     """Pairs that share at least one base, with ``overlap`` in bases.
 
-    Both sides are exploded to coordinate bins and met by an equi join; a pair is kept only in
-    the bin that holds its first shared base, so no distinct is needed.  ``bin_width`` should
-    be near the usual interval length: candidates then stay a small multiple of the result.
+    Every interval lives on the rung of a ladder of bins that fits its own length, in the one or two bins there that
+    it touches, and asks the wider rungs for longer ones; the sides meet by an equi join on (rung, bin).  So a row
+    costs at most two rows a rung, whatever its length, and short intervals do not search bins sized for long
+    ones.  A pair is kept only in the bin that holds its first shared base, so no distinct is needed.
+    ``bin_width`` is the width of the lowest rung; it should be near the shorter usual lengths.
     """
-    keys = list(keys)
+    keys, widths = list(keys), _rungs(bin_width)
     rs, re = f"{start}{suffix}", f"{end}{suffix}"
     renamed = right.select(
         *keys, *[F.col(c).alias(f"{c}{suffix}") for c in right.columns if c not in keys]
     )
-    a = left.withColumn("_bin", F.explode(_bins(start, end, bin_width)))
-    b = renamed.withColumn("_bin", F.explode(_bins(rs, re, bin_width)))
+    a = left.withColumn("_seat", F.explode(_seats(start, end, widths, 0, 1)))
+    b = renamed.withColumn("_seat", F.explode(_seats(rs, re, widths, 1, 0)))
+    seat = ["rung", "bin", "side"]
+    a, b = (x.select(*[c for c in x.columns if c != "_seat"], *[F.col(f"_seat.{c}").alias(f"_{c}") for c in seat]) for x in (a, b))
     shared = F.greatest(F.col(start), F.col(rs))
-    pairs = a.join(b, [*keys, "_bin"], how).filter(
-        (F.col(start) < F.col(re))
-        & (F.col(rs) < F.col(end))
-        & (F.floor(shared / F.lit(bin_width)) == F.col("_bin"))
+    width = F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("_rung") + 1)
+    pairs = a.join(b, [*keys, *[f"_{c}" for c in seat]], how).filter(
+        (F.col(start) < F.col(re)) & (F.col(rs) < F.col(end)) & (F.floor(shared / width) == F.col("_bin"))
     )
-    return pairs.drop("_bin").withColumn("overlap", F.least(F.col(end), F.col(re)) - shared)
+    return pairs.drop(*[f"_{c}" for c in seat]).withColumn("overlap", F.least(F.col(end), F.col(re)) - shared)
 
 
 def overlap_exists(

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from exonloom.operators.intervals import cluster_within
+from exonloom.operators.intervals import cluster, cluster_sizes
+from exonloom.operators.scan import DEFAULT_BLOCK, position_block
 from exonloom.schemas import HITS
 from exonloom.session import cut_lineage
 
@@ -242,16 +243,57 @@ def _scan_loaded(seqs: DataFrame, table: DataFrame, p_value: float) -> DataFrame
 
 # ---------------------------------------------------------------- redundancy and density
 
-def remove_self_contained(hits: DataFrame) -> DataFrame:
+def _loser(best: Column, name: str, end: Column) -> Column:
+    """The struct ``(end, name)`` that loses when ``(end, name)`` meets the best so far; null if they share a name."""
+    return F.when(best.isNotNull() & (best["name"] != F.col(name)), F.greatest(F.struct(end.alias("end"), F.col(name).alias("name")), best))
+
+
+def held_by_others(probes: DataFrame, hits: DataFrame, name: str = "rbp_name", block: int = DEFAULT_BLOCK) -> DataFrame:
+    """The distinct ``probes(seq_id, name, start, end)`` that hold a strictly shorter hit of another name.
+
+    A sweep from the right: of all hits that begin further right, or at the same base and are shorter, the least end
+    counts, and next to it the least end of any other name, since a probe's own hits do not count.  Both are
+    running minima within blocks of positions; a block hands on two rows, so a long sequence is spread over tasks.
+    """
+    order = [-F.col("start"), F.col("end"), F.col("_hit"), F.col("_name")]
+    rows = lambda df, is_hit: df.select("seq_id", F.col(name).alias("_name"), "start", "end", F.lit(is_hit).alias("_hit")).distinct()
+    events = rows(probes, 0).unionByName(rows(hits, 1)).withColumn("_block", position_block(-F.col("start"), block))
+    events = cut_lineage(events)
+    mine = F.when(F.col("_hit") == 1, F.struct("end", F.col("_name").alias("name")))
+
+    def deep(df: DataFrame, keys: list[str], order: list, end: Column, mine: Column) -> DataFrame:
+        """``_best`` and ``_second`` before each row; a new best of another name makes the old one the second."""
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("_best", F.min(mine).over(before))
+        lost = F.when(mine.isNotNull(), _loser(F.col("_best"), "_name", end))
+        return df.withColumn("_lost", lost).withColumn("_second", F.min("_lost").over(before))
+
+    local = deep(events, ["seq_id", "_block"], order, F.col("end"), mine)
+    # what a block hands on: its two best names
+    tops = local.filter("_hit = 1").groupBy("seq_id", "_block").agg(F.min(mine).alias("a"), F.min("_lost").alias("b"))
+    handed = tops.select("seq_id", "_block", F.explode(F.filter(F.array("a", "b"), lambda x: x.isNotNull())).alias("t"))
+    handed = handed.select("seq_id", "_block", F.col("t.end").alias("end"), F.col("t.name").alias("_name"))
+    steps = local.select("seq_id", "_block").distinct().withColumns({"end": F.lit(None).cast("bigint"), "_name": F.lit(None).cast("string")})
+    given = F.when(F.col("_name").isNotNull(), F.struct("end", F.col("_name").alias("name")))
+    carried = deep(handed.unionByName(steps), ["seq_id"], ["_block", F.col("end").asc_nulls_first(), "_name"], F.col("end"), given)
+    carried = carried.filter("_name is null").select("seq_id", "_block", F.col("_best").alias("_c"), F.col("_second").alias("_d"))
+    holds = F.lit(False)
+    for c in ("_best", "_second", "_c", "_d"):
+        holds = holds | F.coalesce((F.col(f"{c}.name") != F.col("_name")) & (F.col(f"{c}.end") <= F.col("end")), F.lit(False))
+    return local.filter("_hit = 0").join(carried, ["seq_id", "_block"]).filter(holds).select("seq_id", F.col("_name").alias(name), "start", "end")
+
+
+def remove_self_contained(hits: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Drop hits strictly inside the longest hit of their own RBP's cluster, and flag containers.
 
     Clusters are per sequence and RBP with at least four shared bases; the representative is
     the longest hit, then the first.  A representative that holds hits of its own RBP gets
-    ``has_self_submotif``, one that holds hits of another RBP ``has_other_submotif``.
-    Hits per sequence are bounded by the sequence, so windows run per (sequence, RBP).
+    ``has_self_submotif``, one that holds hits of another RBP ``has_other_submotif``.  Clusters and containers
+    are found in blocks of positions (hits must be four bases long at least).
     """
     keys = ["seq_id", "rbp_name"]
-    labelled = cluster_within(hits, keys, slack=-4, tie=["motif"], name="_island")
+    hits = cut_lineage(hits)  # read three times below, so the scan behind it runs once
+    labelled = cluster(hits, keys, slack=-4, block=block, name="_island")
     group = Window.partitionBy(*keys, "_island")
     first = F.min(
         F.struct(
@@ -269,27 +311,8 @@ def remove_self_contained(hits: DataFrame) -> DataFrame:
         & (F.col("motif") == F.col("_rep.motif"))
     )
     marked = with_rep.withColumns({"_inside": inside, "_is_rep": is_rep})
-    # every hit with its flags is read three times below, so the scan behind it runs once
-    marked = cut_lineage(
-        marked.withColumn("has_self_submotif", F.col("_is_rep") & F.max("_inside").over(group))
-    )
-    # Containers of another RBP: the closest (smallest) ends at each start decide, two RBPs deep.
-    ends = (
-        marked.groupBy("seq_id", "start", "rbp_name").agg(F.min("end").alias("e"))
-        .groupBy("seq_id", F.col("start").alias("_at"))
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("e", "rbp_name"))), 1, 2).alias("_near"))
-    )
-    reps = marked.filter("_is_rep").select("seq_id", "rbp_name", "start", "end").distinct()
-    spread = reps.withColumn("_at", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
-    limit = F.when(F.col("_at") == F.col("start"), F.col("end") - 1).otherwise(F.col("end"))
-    holds = F.exists(
-        "_near", lambda x: (x["rbp_name"] != F.col("rbp_name")) & (x["e"] <= limit)
-    )
-    others = (
-        spread.join(ends, ["seq_id", "_at"]).filter(holds)
-        .select("seq_id", "rbp_name", "start", "end").distinct()
-        .withColumn("_other", F.lit(True))
-    )
+    marked = cut_lineage(marked.withColumn("has_self_submotif", F.col("_is_rep") & F.max("_inside").over(group)))
+    others = held_by_others(marked.filter("_is_rep"), hits, block=block).withColumn("_other", F.lit(True))
     kept = marked.filter(~F.col("_inside")).join(others, ["seq_id", "rbp_name", "start", "end"], "left")
     return kept.select(
         *hits.columns, "has_self_submotif",
@@ -297,13 +320,13 @@ def remove_self_contained(hits: DataFrame) -> DataFrame:
     )
 
 
-def tag_density(hits: DataFrame, slack: int = 5) -> DataFrame:
-    """Blocks of hits of any RBP at most ``slack`` bases apart; blocks of one are not dense."""
-    labelled = cluster_within(hits, ["seq_id"], slack=slack, name="_island")
-    size = F.count(F.lit(1)).over(Window.partitionBy("seq_id", "_island"))
-    return labelled.withColumn("n_at_density_block", size.cast("bigint")).withColumn(
-        "is_high_density_region", F.col("n_at_density_block") > 1
-    ).drop("_island")
+def tag_density(hits: DataFrame, slack: int = 5, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Blocks of hits of any RBP at most ``slack`` bases apart; blocks of one are not dense.
+
+    Clusters are found on distinct starts, in blocks of positions, and counted there.
+    """
+    labelled = cluster_sizes(hits, ["seq_id"], slack, block=block, name="_island", size="n_at_density_block")
+    return labelled.withColumn("is_high_density_region", F.col("n_at_density_block") > 1).drop("_island")
 
 
 def _as_text(field: str):

@@ -112,3 +112,40 @@ def test_hot_key_is_split_into_blocks(spark):
     got = iv.merge(frame(spark, rows), ["c"])
     assert got.filter("c = 'hot'").collect()[0]["n_merged"] == 3000
     assert got.count() == 6001
+
+
+def mixed_rows(seed, n=150):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        start = rng.randrange(-5_000, 12_000_000)
+        out.append((i, rng.choice("aab"), start, start + rng.choice([0, 1, 10, 63, 64, 65, 512, 4096, 4097, 100_000, 10**6, 10**7, 3 * 10**8])))
+    return out
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_overlaps_of_mixed_lengths_against_brute_force(spark, seed):
+    left, right = mixed_rows(seed), mixed_rows(seed + 50)
+    want = {(x[0], y[0], min(x[3], y[3]) - max(x[2], y[2])) for x in left for y in right if x[1] == y[1] and x[2] < y[3] and y[2] < x[3]}
+    got = [tuple(r) for r in iv.overlap_join(frame(spark, left), frame(spark, right), ["c"], 64).select("id", "id_b", "overlap").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_a_row_takes_few_seats_whatever_its_length(spark):
+    widths = iv._rungs(64)
+    df = frame(spark, mixed_rows(7, 3000))
+    for guest, home in ((0, 1), (1, 0)):
+        made = df.select(F.size(iv._seats("start", "end", widths, guest, home)).alias("n")).agg(F.avg("n"), F.max("n")).first()
+        assert made[0] < 10 and made[1] <= 2 * (len(widths) + 1)
+
+
+def test_cluster_sizes(spark):
+    df = frame(spark, random_rows(9, 200)).unionByName(frame(spark, random_rows(9, 5)))
+    for block in (16, 1 << 16):
+        got = iv.cluster_sizes(df, ["c"], 3, block=block).collect()
+        sizes = {}
+        for r in got:
+            sizes.setdefault((r["c"], r["cluster_start"]), []).append(r["cluster_size"])
+        assert len(got) == 205 and all(v == [len(v)] * len(v) for v in sizes.values())
+        near = {(r["id"], r["start"], r["cluster_start"]) for r in iv.cluster_within(df, ["c"], 3).collect()}
+        assert {(r["id"], r["start"], r["cluster_start"]) for r in got} == near

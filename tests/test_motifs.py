@@ -65,6 +65,36 @@ def test_self_contained_hits(spark):
     }
 
 
+def random_hits(seed, n=300, span=400):
+    rng = random.Random(seed)
+    rows = set()
+    for _ in range(n):
+        start = rng.randrange(span)
+        rows.add((rng.choice("sst"), rng.choice("ABCD"), "m", start, start + rng.choice([5, 5, 6, 8, 13, 40])))
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("block", [8, 64, 1 << 16])
+def test_containers_of_other_names_against_brute_force(spark, block):
+    rows = random_hits(block)
+    probes, held = rows[::2], rows
+    want = {
+        (p[0], p[1], p[3], p[4]) for p in probes for h in held
+        if p[0] == h[0] and p[1] != h[1] and p[3] <= h[3] and h[4] <= p[4] and h[4] - h[3] < p[4] - p[3]
+    }
+    got = mo.held_by_others(hits(spark, probes), hits(spark, held), block=block).select("seq_id", "rbp_name", "start", "end").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_one_long_sequence_is_spread_and_gives_the_same(spark):
+    df = hits(spark, [("s", *r[1:]) for r in random_hits(3, 500, 3000)]).dropDuplicates()
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert rows(mo.remove_self_contained(df, 64)) == rows(mo.remove_self_contained(df))
+    assert rows(mo.tag_density(df, block=64)) == rows(mo.tag_density(df))
+    # blocks are keys of the shuffle, so one sequence goes to many tasks
+    assert mo.held_by_others(df, df, block=64)._jdf.queryExecution().executedPlan().toString().count("_block") > 2
+
+
 def test_density_blocks(spark):
     df = hits(spark, [("s", "A", "m", 0, 5), ("s", "B", "m", 10, 15), ("s", "A", "m", 21, 26), ("t", "A", "m", 0, 5)])
     got = {(r["seq_id"], r["start"]): (r["n_at_density_block"], r["is_high_density_region"]) for r in mo.tag_density(df).collect()}
