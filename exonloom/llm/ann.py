@@ -159,24 +159,28 @@ def index(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", keep:
     """The graphs as a stored table ``(dim, shard, node, v, ids, near, entry)``.
 
     Every usable vector is in it.  Vectors of different dimension are in different shards and never compared.
-    Null, zero and non-finite vectors and null ids are left out.
+    Null, zero and non-finite vectors and null ids are left out.  Vectors of one shard differ in length by a factor
+    of four at most, so that a long one never hides what tells the others apart.
     """
     nodes = cut_lineage(nodes_of(usable(rows, key, vector), keep))
-    row = nodes.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
-    shards, longest = max(1, math.ceil(row["n"] / shard)), float(row["m"] or 0)
-    nodes = nodes.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    large = F.array_max(F.transform("v", F.abs))
+    squares = F.aggregate(F.transform("v", lambda x: x / F.col("large")), F.lit(0.0), lambda s, x: s + x * x)
+    nodes = nodes.withColumns({"dim": F.size("v"), "large": large})
+    nodes = nodes.withColumn("band", F.floor((F.log2("large") + F.log2(squares) / 2) / 2).cast("int")).drop("large")
+    counts = nodes.groupBy("dim", "band").agg(F.count("*").alias("n"))  # some hundred bands of a dimension at most
+    shards = cut_lineage(counts.select("dim", "band", F.ceil(F.col("n") / shard).alias("m")))
+    place = F.concat_ws(":", "band", F.pmod(F.xxhash64("v"), F.col("m")))
+    nodes = nodes.join(shards, ["dim", "band"]).withColumn("shard", place).select("dim", "shard", "v", "ids")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ids", key=lambda c: c.map(lambda x: x[0]), ignore_index=True)
-        x = np.stack(frame["v"].to_list())
-        more = np.sqrt(np.maximum(longest - (x * x).sum(1), 0))
-        graph, entry = build(np.column_stack([x, more]).astype(np.float32))
+        graph, entry = build(equalised(np.stack(frame["v"].to_list())))
         return pd.DataFrame(
             {"dim": frame["dim"], "shard": frame["shard"], "node": np.arange(len(frame), dtype=np.int32), "v": frame["v"], "ids": frame["ids"],
              "near": [g[g >= 0] for g in graph], "entry": np.int32(entry)}
         )
 
-    schema = "dim int, shard int, node int, v array<double>, ids array<long>, near array<int>, entry int"
+    schema = "dim int, shard string, node int, v array<double>, ids array<long>, near array<int>, entry int"
     return cut_lineage(nodes.groupBy("dim", "shard").applyInPandas(run, schema))
 
 
@@ -198,7 +202,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM,
         if len(q) and len(g):
             g = g.sort_values("node", ignore_index=True)
             full = np.stack(g["v"].to_list())
-            x = full.astype(np.float32)
+            x = equalised(full)
             graph = np.full((len(x), max(1, max(map(len, g["near"])))), -1, np.int32)
             for i, near in enumerate(g["near"]):
                 graph[i, : len(near)] = near
@@ -206,7 +210,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM,
             for s in range(0, len(q), BATCH):
                 part = q.iloc[s : s + BATCH]
                 qv = np.stack(part["v"].to_list())
-                found, _, _ = product_search(x, graph, qv.astype(np.float32), entry, min(max(beam, k + 1), len(x)))
+                found, _, _ = product_search(x, graph, qv, entry, min(max(beam, k + 1), len(x)))
                 for name, v, row in zip(part["q"], qv, found, strict=True):
                     row = row[row >= 0]
                     score = full[row] @ v
@@ -230,11 +234,19 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM,
     return out.filter(F.col("rank") <= k).select("id", "rank", "vec_id", "score")
 
 
+def equalised(x: np.ndarray) -> np.ndarray:
+    """The vectors of a shard over the longest's length, with one more coordinate that makes all equally long."""
+    x = x / np.abs(x).max()
+    x /= np.sqrt((x * x).sum(1).max())
+    return np.column_stack([x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0))]).astype(np.float32)
+
+
 def product_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: int, beam: int):
-    """Beam search by largest inner product: nodes count as equally long."""
-    norm = np.einsum("ij,ij->i", x, x)
-    extra = np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]
-    return beam_search(np.concatenate([x, extra], axis=1), graph, np.concatenate([queries, np.zeros((len(queries), 1), np.float32)], axis=1), entry, beam)
+    """Beam search by largest inner product among ``equalised`` vectors."""
+    size = np.abs(queries).max(1, keepdims=True)
+    unit = queries / size
+    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+    return beam_search(x, graph, np.column_stack([unit, np.zeros(len(unit))]).astype(np.float32), entry, beam)
 
 
 def nearest(rows: DataFrame, asked: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:

@@ -190,7 +190,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") ->
 
     ``docs`` must be stored (read from files), as rows are numbered by their place in two scans.
     """
-    number = "_row_number_of_docs"
+    number = tokens.unused(docs.columns, "row_number")
     rows = docs.withColumn(number, F.monotonically_increasing_id())
     gone = leaks(rows.select(number, text), items, number, text).select(number).distinct()
     return rows.join(gone, number, "left_anti").select(*docs.columns)

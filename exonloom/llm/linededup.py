@@ -16,11 +16,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from exonloom.llm.tokens import unused
 from exonloom.session import cut_lineage
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ROW = "_row_number_of_docs"
 
 
 def fold(text: Column) -> Column:
@@ -36,9 +36,9 @@ def lines_of(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n")
 
 
-def keyed_lines(rows: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """``(h1, h2, row, pos, k)``: every line whose key has ``min_chars`` code points."""
-    lines = rows.select(F.col(ROW).alias("row"), F.col(key).alias("k"), F.posexplode(lines_of(text)).alias("pos", "line"))
+def keyed_lines(rows: DataFrame, row: str, key: str, text: str, min_chars: int) -> DataFrame:
+    """``(h1, h2, row, pos, k)``: every line whose key has ``min_chars`` code points; ``row`` names the row number."""
+    lines = rows.select(F.col(row).alias("row"), F.col(key).alias("k"), F.posexplode(lines_of(text)).alias("pos", "line"))
     keyed = lines.select("row", "pos", "k", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
     return keyed.select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), "row", "pos", "k")
 
@@ -101,8 +101,9 @@ def dedup_lines(
     are numbered by their place in two scans.  Other columns stay as they are; columns that have the
     name of a count are replaced by it.
     """
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    found = cut_lineage(keyed_lines(rows, key, text, min_chars))
+    row, lost, parts = (unused(docs.columns, c) for c in ("row_number", "lost_lines", "all_lines"))
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    found = cut_lineage(keyed_lines(rows, row, key, text, min_chars))
     often = found.groupBy("h1", "h2").agg(
         F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b")
     ).filter((F.col("n") >= min_docs) & ((F.col("b") > F.col("a")) | F.lit(min_docs < 2))).select("h1", "h2")
@@ -112,16 +113,16 @@ def dedup_lines(
     shared = cut_lineage(often.join(cut_lineage(enough), ["h1", "h2"]))
     kept = keepers(shared, batches, fanout)
     lose = F.col("keeper").isNotNull() & (F.col("k").isNull() | (F.col("k") < F.col("keeper")))
-    gone = shared.join(kept, ["h1", "h2"]).filter(lose).groupBy("row").agg(F.collect_list("pos").alias("_gone"))
-    joined = rows.join(gone.withColumnRenamed("row", ROW), ROW, "left").withColumn("_lines", lines_of(text))
-    size = F.size("_lines")
-    stay = F.array_except(F.sequence(F.lit(0), size - 1), F.col("_gone"))
-    picked = F.array_join(F.transform(stay, lambda i: F.col("_lines")[i]), "\n")
+    gone = shared.join(kept, ["h1", "h2"]).filter(lose).groupBy("row").agg(F.collect_list("pos").alias(lost))
+    joined = rows.join(gone.withColumnRenamed("row", row), row, "left").withColumn(parts, lines_of(text))
+    size = F.size(parts)
+    stay = F.array_except(F.sequence(F.lit(0), size - 1), F.col(lost))
+    picked = F.array_join(F.transform(stay, lambda i: F.col(parts)[i]), "\n")
     return joined.select(
         *[
-            F.when(F.col("_gone").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(picked).alias(text) if c == text else F.col(c)
+            F.when(F.col(lost).isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(picked).alias(text) if c == text else F.col(c)
             for c in docs.columns if c not in ("n_lines", "n_dropped")
         ],
         size.cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from exonloom.llm.tokens import mix, places, slices, texts
+from exonloom.llm.tokens import mix, places, slices, texts, unused
 
 SPACE, MARK = 32, 0x2581  # a space, and what stands for it in pieces
 OUTSIDE = 0x110000  # a character that is in no piece
@@ -293,6 +293,7 @@ def encode(
     """
     made_columns = ["pieces", "lossless"] if check else ["pieces"]
     keep = [c for c in docs.columns if c not in made_columns]
+    body, seeds = unused(docs.columns, "body"), unused(docs.columns, "seed_of_row")
     sent = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))  # of fixed size
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("pieces", T.ArrayType(T.IntegerType()))])
     if check:
@@ -301,18 +302,18 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = restored(sent.value)
         for batch in batches:
-            data, offsets = texts(batch.column("_body"))
-            keys = mix(batch.column("_seed").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            data, offsets = texts(batch.column(body))
+            keys = mix(batch.column(seeds).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             for i, j in slices(offsets, SLICE_BYTES):
-                body, lengths = data[offsets[i] : offsets[j]], np.diff(offsets[i : j + 1])
-                ids, n = encode_slice(v, body.tobytes(), lengths, keys[i:j])
+                raw, lengths = data[offsets[i] : offsets[j]], np.diff(offsets[i : j + 1])
+                ids, n = encode_slice(v, raw.tobytes(), lengths, keys[i:j])
                 made = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids))]
                 if check:
-                    made.append(pa.array(same_texts(body, lengths, *decode_slice(v, ids, n))))
+                    made.append(pa.array(same_texts(raw, lengths, *decode_slice(v, ids, n))))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in keep], *made], names=[*keep, *made_columns])
 
-    seeded = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("0")), F.lit(seed)).alias("_seed")
-    return docs.select(*keep, F.col(text).cast("binary").alias("_body"), seeded).mapInArrow(run, schema)
+    seeded = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("0")), F.lit(seed)).alias(seeds)
+    return docs.select(*keep, F.col(text).cast("binary").alias(body), seeded).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces") -> DataFrame:

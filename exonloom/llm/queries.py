@@ -91,7 +91,7 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written to archives and read back."""
     path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(warc.with_revisits(table(spark, folder, "pages"), "page_id", "url", F.col("html")), path)
-    number = lambda c: F.substring_index(c, ":", -1).cast("long")
+    number = lambda c: F.substring_index(c, ":", -1).try_cast("long")
     return warc.read_warc(spark, path).select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         number("refers_to").alias("refers_to"),
