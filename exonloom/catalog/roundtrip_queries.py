@@ -6,16 +6,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from exonloom.catalog.base import EXONS, HITS, MOTIFS, MOTIFS_CTE, SEQS, exons, hits, query, sequences, table, with_ctes
+from exonloom.catalog.base import EXONS, HITS, MOTIFS, MOTIFS_CTE, ORACLES, SEQS, exons, hits, query, sequences, table, with_ctes
 from exonloom.catalog.stats_queries import _rounded, _t_tails
 from exonloom.operators import stats as st
 from exonloom.plans.annotation_cache import drop_overlapping
 from exonloom.session import ensure_checkpoint_dir
 from exonloom.sources import annotation as ga
+from exonloom.sources import framed
 from exonloom.sources import intervals as gi
 from exonloom.sources import motifs as gm
 from exonloom.sources import sequences as gs
-from exonloom.sources import sinks
+from exonloom.sources import sinks, splits
 from exonloom.sources import tables as gt
 from exonloom.sources import variants as gv
 from exonloom.streaming import incremental
@@ -93,12 +94,15 @@ def hits_round_trip(spark, folder):
 )
 def vcf_round_trip(spark, folder):
     path = _place(spark, "vcf")
-    vcf = table(spark, folder, "orders").select(
+    gv.vcf_lines(_orders_as_variants(spark, folder)).write.text(path)
+    return gv.read_vcf(spark, path)
+
+
+def _orders_as_variants(spark, folder):
+    return table(spark, folder, "orders").select(
         F.concat(F.lit("chr"), (F.col("o_custkey") % 22 + 1).cast("string")).alias("chrom"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("id"), _text("o_orderkey")).alias("id"),
         F.lit("A").alias("ref"), F.lit("T").alias("alt"), F.lit(".").alias("qual"), F.col("o_orderstatus").alias("filter"), F.lit(".").alias("info"), F.lit("").alias("rest"),
     )
-    gv.vcf_lines(vcf).write.text(path)
-    return gv.read_vcf(spark, path)
 
 
 @query(
@@ -161,3 +165,38 @@ def paired_t_holm(spark, folder):
     tests = st.paired_t(df, ["l_returnflag", "l_linestatus"], "l_tax", "l_discount").select("l_returnflag", "l_linestatus", "t", "p_value")
     out = st.holm(tests, "p_value", tie=["l_returnflag", "l_linestatus"])
     return _rounded(_rounded(out, "t", digits=4), "p_value", "p_holm", digits=5)
+
+
+@query(
+    "fasta_ranges_round_trip",
+    with_ctes(SEQS, body="""select seq_id as chrom, k // 4096 as chunk_no, md5(substr(seq, k + 1, 4096)) as bases_md5, length(seq) as chrom_len
+                            from seqs, unnest(range(0, length(seq), 4096)) t(k)"""),
+)
+def fasta_ranges_round_trip(spark, folder):
+    path = _place(spark, "fasta")
+    sinks.write_fasta(sequences(spark, folder).filter("seq <> ''"), path, files=3)
+    chunks = splits.read_genome_ranges(spark, path, 4096, 200_000)
+    return chunks.select("chrom", "chunk_no", F.md5("bases").alias("bases_md5"), "chrom_len")
+
+
+@query("vcf_blocks_round_trip", ORACLES["vcf_round_trip"] + " union all select '#', null, '1', null, null, null, null, null, null")
+def vcf_blocks_round_trip(spark, folder):
+    path = _place(spark, "vcf")
+    framed.write_vcf(_orders_as_variants(spark, folder), path, ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"])
+    lines = splits.read_block_lines(spark, path, 100_000)
+    records = gv.parse_vcf(lines)
+    # every file begins with the header; one row stands for their equal number of both lines
+    heads = lines.filter("value like '#%'").groupBy("value").count().agg(F.countDistinct("count").cast("string").alias("id")).withColumn("chrom", F.lit("#"))
+    return records.unionByName(heads, allowMissingColumns=True)
+
+
+@query(
+    "bed_track_round_trip",
+    f"""select 'track name="events"' as value union all select chrom || chr(9) || "start" || chr(9) || "end" || chr(9) || name || chr(9) || '.' || chr(9) || '.' from ({_EVENTS})""",
+)
+def bed_track_round_trip(spark, folder):
+    path = _place(spark, "bed")
+    framed.write_bed_track(_intervals(spark, folder), path, 'name="events"')
+    lines = spark.read.text(path)
+    heads = F.col("value").startswith("track")
+    return lines.filter(heads).distinct().unionByName(lines.filter(~heads))
