@@ -502,3 +502,29 @@ def hits_on_pages(spark, folder):
 )
 def distance_histogram(spark, folder):
     return tb.distance_histogram(_located(spark, folder))
+
+
+# one motif of each part's name, thousands of them looked for together
+_MANY = f"many as (select distinct 'P' || (p_partkey % 50) as rbp_name, substr({dna_sql('p_name')}, 1 + p_partkey % 7, 5 + p_partkey % 4) as motif from part), wanted as (select distinct motif from many where length(motif) >= 5)"
+
+
+@query(
+    "many_motifs",
+    with_ctes(
+        SEQS, _MANY,
+        """met as (select distinct seq_id, w.motif from (
+             select seq_id, unnest(list_transform(range(1, length(seq) - k + 2), lambda i: substr(seq, i, k))) as gram from seqs, unnest(range(5, 9)) t(k)) join wanted w on gram = w.motif)""",
+        """pieces as (select seq_id, motif, unnest(string_split(seq, motif)) as piece, generate_subscripts(string_split(seq, motif), 1) as i from met join seqs using (seq_id)),
+        ends as (select *, count(*) over (partition by seq_id, motif) as n, sum(length(piece) + length(motif)) over (partition by seq_id, motif order by i) as upto from pieces)""",
+        body="""select rbp_name, motif, count(*) as n_hits, count(distinct seq_id) as n_seqs, sum(upto - length(motif))::bigint as sum_start, max(upto)::bigint as last_end
+                from ends join many using (motif) where i < n group by rbp_name, motif""",
+    ),
+)
+def many_motifs(spark, folder):
+    part = table(spark, folder, "part")
+    word = F.substring(dna("p_name"), 1 + F.col("p_partkey") % 7, 5 + F.col("p_partkey") % 4)
+    names = part.select(F.concat(F.lit("P"), (F.col("p_partkey") % 50).cast("string")).alias("rbp_name"), word.alias("motif"))
+    found = mo.scan_exact(sequences(spark, folder), names.filter(F.length("motif") >= 5))
+    return found.groupBy("rbp_name", "motif").agg(
+        F.count("*").alias("n_hits"), F.countDistinct("seq_id").alias("n_seqs"), F.sum("start").alias("sum_start"), F.max("end").alias("last_end")
+    )

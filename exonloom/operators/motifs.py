@@ -6,10 +6,14 @@ from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from exonloom.operators.automaton import Automaton, code_points, slices
 from exonloom.operators.intervals import cluster, cluster_sizes
 from exonloom.operators.scan import DEFAULT_BLOCK, position_block
 from exonloom.schemas import HITS
@@ -19,8 +23,8 @@ from exonloom.session import cut_lineage
 DICTIONARY_LIMIT = 20_000
 # From this many motifs on they are looked for together by an automaton instead of one by one.
 AUTOMATON_FROM = 200
-# Hits of one output batch.
-HITS_AT_ONCE = 100_000
+# Hits of one output batch, and bytes of text walked at once by the automaton.
+HITS_AT_ONCE, BYTES_AT_ONCE = 100_000, 4 << 20
 
 
 def dictionary_of(motifs: DataFrame) -> DataFrame:
@@ -53,48 +57,59 @@ def scan_dictionary(seqs: DataFrame, owners: dict[str, list[str]]) -> DataFrame:
     """``scan_exact`` for a dictionary held by the tasks (motif to its RBP names)."""
     names = {m: sorted(set(o)) for m, o in owners.items() if m}
 
-    def every_motif(text: str):
-        for motif in names:
-            at = text.find(motif)
-            while at >= 0:
-                yield motif, at
-                at = text.find(motif, at + len(motif))
-
-    def by_automaton(automaton):
-        def occurrences(text: str):
-            free = defaultdict(int)
-            for last, motif in automaton.iter(text):
-                at = last - len(motif) + 1
-                if at >= free[motif]:
-                    free[motif] = at + len(motif)
-                    yield motif, at
-
-        return occurrences
+    if len(names) >= AUTOMATON_FROM:
+        return _scan_by_automaton(seqs, names)
+    columns = ["seq_id", "rbp_name", "motif", "start", "end"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        occurrences = every_motif
-        if len(names) >= AUTOMATON_FROM:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for motif in names:
-                automaton.add_word(motif, motif)
-            automaton.make_automaton()
-            occurrences = by_automaton(automaton)
-        columns = ["seq_id", "rbp_name", "motif", "start", "end"]
         for batch in batches:
             rows = []
             for seq_id, text in zip(batch["seq_id"], batch["seq"]):
-                for motif, at in occurrences(text or ""):
-                    rows += [(seq_id, rbp, motif, at, at + len(motif)) for rbp in names[motif]]
-                    if len(rows) >= HITS_AT_ONCE:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
+                for motif in names:
+                    at = (text or "").find(motif)
+                    while at >= 0:
+                        rows += [(seq_id, rbp, motif, at, at + len(motif)) for rbp in names[motif]]
+                        at = text.find(motif, at + len(motif))
+                        if len(rows) >= HITS_AT_ONCE:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
             yield pd.DataFrame(rows, columns=columns)
 
     return seqs.select("seq_id", "seq").mapInPandas(scan, HITS)
 
 
+def _scan_by_automaton(seqs: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """The same with one walk over each text for all motifs; the automaton is broadcast once."""
+    motifs = sorted(names)
+    owners = [names[m] for m in motifs]
+    sent = seqs.sparkSession.sparkContext.broadcast((
+        Automaton([m.encode() for m in motifs]), pa.array(motifs), pa.array([o for own in owners for o in own]),
+        np.cumsum([0, *map(len, owners)]), np.array([len(m) for m in motifs], np.int64),
+    ))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, words, rbps, first, points = sent.value
+        for batch in batches:
+            texts = pc.fill_null(batch.column("seq").cast(pa.large_binary()), b"")
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            body = texts.buffers()[2]
+            data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
+            for i, j in slices(offsets, BYTES_AT_ONCE):
+                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                where, motif, start = automaton.hits(part, at)
+                start = code_points(part, at, where, start)
+                n = first[motif + 1] - first[motif]
+                owner = np.repeat(first[motif] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                where, motif, start = np.repeat(where, n), np.repeat(motif, n), np.repeat(start, n)
+                for k in range(0, len(where), HITS_AT_ONCE):
+                    w, m, s, o = (x[k : k + HITS_AT_ONCE] for x in (where, motif, start, owner))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("seq_id").take(pa.array(w + i)), rbps.take(pa.array(o)), words.take(pa.array(m)), pa.array(s), pa.array(s + points[m])],
+                        names=["seq_id", "rbp_name", "motif", "start", "end"],
+                    )
+
+    return seqs.select(F.col("seq_id").cast("string"), "seq").mapInArrow(scan, HITS)
+
+
 def scan_by_join(seqs: DataFrame, motifs: DataFrame) -> DataFrame:
     """``scan_exact`` by a join: windows of each motif length meet the dictionary by key."""
     words = dictionary_of(motifs)

@@ -91,51 +91,23 @@ def position_block(position: Column | str, width: int = DEFAULT_BLOCK) -> Column
     return F.floor(col / F.lit(width)).cast("bigint")
 
 
-# Rows of a block that a task sorts at a time, about.
-BLOCK_ROWS = 65_536
+def range_blocks(df: DataFrame, keys: Sequence[str], value: str, blocks: int | None = None) -> DataFrame:
+    """``df`` stored with ``_vblock``, its range of (key, value), which ascends along both.
 
-
-def value_blocks(
-    df: DataFrame, keys: Sequence[str], value: str, blocks: int | None = None, rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Add ``_vblock``: ranges of values that hold about ``rows`` rows each, whatever the distribution.
-
-    The bounds are approximate quantiles of each key's values, as many as its rows ask for, so one far value
-    does not push all others into one block.  ``blocks`` states their number; else only keys with over ``rows``
-    rows are cut, into as many blocks as the largest of them needs.
+    Spark deals the rows by sampled bounds, so that ranges are about even whatever the distribution: a far value or a
+    hot key changes nothing.  There are ``blocks`` ranges, or as many as Spark makes for a shuffle; results do not
+    depend on their number.
     """
-    keys = list(keys)
-    if not keys:
-        raise ValueError("value_blocks needs a key; use with_key for a whole table")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    most = sizes.agg(F.max("_rows")).first()[0] or 0
-    parts = blocks or -(-most // rows)
-    rows = 0 if blocks else rows
-    if parts <= 1:
-        return df.withColumn("_vblock", F.lit(0).cast("bigint"))
-    heavy = sizes.filter(F.col("_rows") > rows).select(*keys)
-    cuts = [i / parts for i in range(1, parts)]
-    bounds = df.join(heavy, keys, "left_semi").groupBy(*keys).agg(
-        F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(max(1000, 20 * parts))).alias("_bounds")
-    )
-    joined = df.join(bounds, keys, "left")
-    place = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value))), F.lit(0))
-    return joined.withColumn("_vblock", F.when(F.col("_bounds").isNull(), 0).otherwise(place).cast("bigint")).drop("_bounds")
+    dealt = df.repartitionByRange(*([blocks] if blocks else []), *keys, value)
+    return cut_lineage(dealt.withColumn("_vblock", F.spark_partition_id().cast("bigint")))
 
 
-def sum_below(
-    df: DataFrame, keys: Sequence[str], value: str, weight: str, name: str, blocks: int | None = None, rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Add the sum of ``weight`` over the smaller values of the key; values are distinct and ``df`` is stored.
+def sum_below(df: DataFrame, keys: Sequence[str], value: str, weight: str, name: str, blocks: int | None = None) -> DataFrame:
+    """Add the sum of ``weight`` over the smaller values of the key; the values of a key are distinct.
 
-    Keys of at most ``rows`` values are summed by one window, larger ones in blocks; the sums are the same.
+    Sums run within ranges of (key, value), and a range hands on one row for each of its keys.
     """
-    keys = list(keys)
-    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0] or 0
-    if blocks is None and most <= rows:
-        below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(name, F.coalesce(F.sum(weight).over(below), F.lit(0)))
-    blocked = value_blocks(df, keys, value, blocks, rows)
+    blocked = range_blocks(df, list(keys), value, blocks)
     running = [Running(name, "sum", F.col(weight))]
     return prefix_scan(blocked, keys, F.col("_vblock"), [value], running, stored=True).drop("_vblock")
 

@@ -1,7 +1,7 @@
 """Group statistics.
 
 Ranks and quantiles are exact and never sort a whole group in one task: values are first
-collapsed to (group, value, count) and numbered by a blocked scan.
+collapsed to (group, value, count), dealt by ranges of (group, value) and numbered range by range.
 """
 
 from __future__ import annotations
@@ -22,9 +22,7 @@ from exonloom.session import cut_lineage
 def value_counts_before(df: DataFrame, keys: Sequence[str], value: str, blocks: int | None = None) -> DataFrame:
     """``(keys, value, n, before)``: copies of each value and rows of its group below it."""
     df, keys, whole = with_key(df, keys)
-    n = cut_lineage(
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    )
+    n = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     return sum_below(n, keys, value, "n", "before", blocks).drop(*(["_all"] if whole else []))
 
 
@@ -288,11 +286,9 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, first: str, val
 
 def _pooled_ranks(rows: DataFrame, keys: list[str], group: str, first: str, value: str) -> DataFrame:
     """Copies of each value in both groups with its pooled average rank."""
-    n = cut_lineage(
-        rows.groupBy(*keys, value).agg(
-            F.count_if(F.col(group) == first).alias("_a"), F.count_if(F.col(group) != first).alias("_b")
-        ).withColumn("_n", F.col("_a") + F.col("_b"))
-    )
+    n = rows.groupBy(*keys, value).agg(
+        F.count_if(F.col(group) == first).alias("_a"), F.count_if(F.col(group) != first).alias("_b")
+    ).withColumn("_n", F.col("_a") + F.col("_b"))
     scanned = sum_below(n, keys, value, "_n", "_before")
     return scanned.withColumn("_rank", F.col("_before") + (F.col("_n") + 1) / 2)
 
@@ -321,7 +317,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def _weighted_ranks(pairs: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    n = cut_lineage(pairs.groupBy(*keys, value).agg(F.sum("_w").alias("_n")))
+    n = pairs.groupBy(*keys, value).agg(F.sum("_w").alias("_n"))
     scanned = sum_below(n, keys, value, "_n", "_before")
     return scanned.select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
 

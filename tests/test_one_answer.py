@@ -119,15 +119,23 @@ def test_kmer_table_against_brute_force(spark):
     assert len(wide.columns) == 65
 
 
-def test_value_blocks_are_even_with_an_outlier(spark):
+def test_ranges_are_even_with_an_outlier_and_a_hot_key(spark):
     df = spark.range(20000).selectExpr("'g' as k", "double(id) as v").union(spark.sql("select 'g', 1e12")).union(spark.sql("select 'h', 5.0"))
-    sizes = scan.value_blocks(df, ["k"], "v", rows=1000).groupBy("k", "_vblock").count().collect()
-    assert max(r["count"] for r in sizes) < 4000 and len(sizes) > 8
-    blocked = scan.value_blocks(df, ["k"], "v", rows=1000).groupBy("k", "_vblock").agg({"v": "max"}).collect()
+    blocked = scan.range_blocks(df, ["k"], "v", 16).groupBy("k", "_vblock").agg({"v": "max", "*": "count"}).collect()
+    assert max(r["count(1)"] for r in blocked) < 4000 and len(blocked) > 8
     top = sorted((r["_vblock"], r["max(v)"]) for r in blocked if r["k"] == "g")
     assert [v for _, v in top] == sorted(v for _, v in top)
 
 
+def test_ranks_do_not_depend_on_the_number_of_ranges(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("gggh"), rng.choice([1.0, 1.0, rng.random(), 1e12, None])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    plans = [stats.average_ranks(df, ["k"], "v", blocks=n) for n in (None, 1, 3, 40)]
+    want = rows_of(plans[0])
+    assert all(rows_of(p) == want for p in plans[1:])
+
+
 def test_dummy_predictions(spark):
     rows = [(i, float(i % 7), 1.0 if i % 3 else 0.0) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, x double, y double")
