@@ -183,29 +183,76 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
 
+def named_by(links: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``c``, the component under ``links`` of the node in their column ``k``; itself without links."""
+    groups = cut_lineage(graph.components(links))
+    of = groups.select(F.col("node").alias("k"), F.col("component").alias("c"))
+    return rows.join(of, "k", "left").withColumn("c", F.coalesce("c", "k"))
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(k, n, shingle, pos)``: the places in each set's order, rarest first, where a similar set can first meet it.
+
+    Sets with a Jaccard similarity of at least ``similarity`` share a shingle at such places in both, and the first
+    one they share leaves as many shingles behind it in both as they must have in common.  Shingles are counted
+    within ``sets``; those of one set only are counted as places but give no row.
+    """
+    each = sets.select("k", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    often = cut_lineage(each.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1"))
+    ordered = each.join(often, "shingle").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("o"))
+    placed = ordered.select("k", "n", F.posexplode("o").alias("i", "x"), (F.col("n") - F.size("o")).alias("rare"))
+    placed = placed.select("k", "n", F.col("x.shingle").alias("shingle"), (F.col("rare") + F.col("i")).alias("pos"))
+    return placed.filter(F.col("n") - F.col("pos") >= similarity * F.col("n") - 1e-6)
+
+
+def prefix_links(rows: DataFrame, sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Edges that join all ``rows(k)`` alike by their ``sets(k, set)``, next to those of ``known``; exact.
+
+    Sets meet on the shingles of their prefixes.  First each is compared with the set of its shingle that has the
+    fewest rarer ones, which joins families of near copies; then all that meet and are not joined yet are compared.
+    """
+    def may(a: str, b: str):
+        n, m = F.col(f"n{a}"), F.col(f"n{b}")
+        return (F.least(n, m) >= similarity * F.greatest(n, m)) & (
+            F.least(n - F.col(f"pos{a}"), m - F.col(f"pos{b}")) >= similarity / (1 + similarity) * (n + m) - 1e-6
+        )
+
+    def sides(df: DataFrame, tag: str) -> DataFrame:
+        return df.select("shingle", *[F.col(c).alias(c + tag) for c in ("k", "c", "n", "pos")])
+
+    def pairs(met: DataFrame) -> DataFrame:
+        return met.filter("cx <> cy").filter(may("x", "y")).select(F.greatest("kx", "ky").alias("u"), F.least("kx", "ky").alias("v")).distinct()
+
+    few = cut_lineage(prefixes(sets.join(rows, "k", "left_semi"), similarity))
+    entries = cut_lineage(named_by(known, few))
+    head = entries.groupBy("shingle").agg(F.min(F.struct("pos", "k", "c", "n")).alias("h")).select("shingle", "h.*")
+    tried = cut_lineage(pairs(sides(entries, "x").join(sides(head, "y"), "shingle")))
+    found = cut_lineage(known.union(alike(tried, sets, similarity)))
+    entries = cut_lineage(named_by(found, few))
+    met = sides(entries, "x").join(sides(entries, "y"), "shingle").filter("kx > ky")
+    rest = cut_lineage(pairs(met).join(tried, ["u", "v"], "left_anti"))
+    return found.union(alike(rest, sets, similarity))
+
+
 def join_met(near: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Components of ``near(first, n, near)`` (``n``: shingles of the set) under all pairs with a value of ``near`` in common whose texts are alike.
+    """Components of ``near(first, n, near)`` (``n``: shingles of the set) under links between all alike texts that meet.
 
-    Every row is first compared with the least one of its bucket.  Pairs inside a component need no look any more;
-    what the least one did not bring into its component then meets all the others of the bucket, so no pair is left
-    out.  Work is linear in a bucket of copies and quadratic only in texts that meet without being alike.
+    Texts meet in a bucket of equal ``near``.  Every row is first compared with the least one of its bucket.  The rows
+    of all buckets that this leaves in several components are then joined by ``prefix_links``, which misses no pair
+    among them.  Work is linear in families of copies; texts that share a template, but have more words of their own
+    than similar texts can have, do not meet in the second step.
     """
     bucket = Window.partitionBy("near")
     met = near.withColumns({"least": F.min("first").over(bucket), "nl": F.min_by("n", "first").over(bucket), "rows": F.count("*").over(bucket)})
     met = cut_lineage(met.filter("rows > 1").drop("rows"))
     sets = cut_lineage(shingle_sets(rows.join(met.select(F.col("first").alias("k")).distinct(), "k", "left_semi"), size))
-    may = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
-    pairs = cut_lineage(met.filter("first > least").filter(may("n", "nl")).select(F.col("first").alias("u"), F.col("least").alias("v")).distinct())
-    sure = cut_lineage(alike(pairs, sets, similarity))
-    groups = cut_lineage(graph.components(sure))
-    for c, n in (("first", "c"), ("least", "cl")):
-        met = met.join(groups.select(F.col("node").alias(c), F.col("component").alias(n)), c, "left").withColumn(n, F.coalesce(n, c))
-    met = cut_lineage(met.filter("first > least"))
-    left = met.filter("c <> cl").select("near", F.col("first").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    others = met.select("near", F.col("first").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), (F.col("c") != F.col("cl")).alias("again"))
-    more = left.join(others, "near").filter("cx <> cy and (x > y or not again)").filter(may("nx", "ny"))
-    more = more.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    return graph.components(sure.union(alike(cut_lineage(more), sets, similarity)))
+    small, large = F.least("n", "nl"), F.greatest("n", "nl")
+    pairs = met.filter("first > least").filter(small >= similarity * large).select(F.col("first").alias("u"), F.col("least").alias("v")).distinct()
+    sure = cut_lineage(alike(cut_lineage(pairs), sets, similarity))
+    named = cut_lineage(named_by(sure, met.select(F.col("first").alias("k"), "near")))
+    apart = named.groupBy("near").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("near")
+    open_rows = named.join(apart, "near", "left_semi").select("k").distinct()
+    return graph.components(cut_lineage(prefix_links(open_rows, sets, sure, similarity)))
 
 
 def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similarity: float = 0.8, bands: int = BANDS) -> DataFrame:
@@ -214,7 +261,8 @@ def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similari
     The rule is the Jaccard similarity of the sets of word shingles.  Texts meet that have the same least
     values in ``LEAST`` random orders of their shingles, in one of ``bands`` such draws: texts 0.8 alike meet
     with a chance of 1 - (1 - 0.8^4)^16 = 0.9998, 0.85 alike with more than 0.9999.  What meets is compared by
-    its sets, see ``join_met``.  Keys must be unique.  Equal sets (and all empty ones) are one group.
+    its sets, see ``join_met``.  This meeting is not that of fingerprint balls: at 0.8 a seventh of all bits differ,
+    and a chance of 0.99 would ask for 37 fingerprints of 32 bits, 1,221 rows a text.  Keys must be unique.  Equal sets (and all empty ones) are one group.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     made = cut_lineage(sketches(rows, size, bands))
@@ -231,7 +279,7 @@ def drop_similar(docs: DataFrame, text: str = "text", size: int = 5, similarity:
 
     ``docs`` must be stored (read from files), as rows are numbered by their place in two scans.
     """
-    number = "_row_number_of_docs"
+    number = tokens.unused(docs.columns, "row_number")
     rows = docs.withColumn(number, F.monotonically_increasing_id())
     groups = similar_groups(rows.select(number, text), number, text, size, similarity)
     gone = groups.filter(F.col(number) != F.col("group")).select(number)

@@ -137,3 +137,23 @@ def test_pairs_just_above_the_rule_against_brute_force(spark):
     of = grouped(spark, texts)
     assert sum(of[i] == of[i + 1] for i in range(0, len(texts), 2)) >= 0.99 * len(texts) / 2
     assert len(set(of.values())) >= len(texts) / 2
+
+
+def test_prefix_links_against_all_pairs(spark):
+    """A family of copies with changed words: some pairs just above the rule, most below it."""
+    draw = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(draw.choice([0, 1, 1, 2, 3, 5])):
+            words[draw.randrange(60)] = f"x{draw.randrange(400)}"
+        texts.append(" ".join(words[draw.choice([0, 0, 3]) :]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
+    sets = simhash.shingle_sets(rows, 5)
+    none = spark.createDataFrame([], "u bigint, v bigint")
+    found = simhash.graph.components(simhash.prefix_links(rows.select("k"), sets, none, 0.8)).collect()
+    edges = [(a, b) for a in range(120) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    want = roots(range(120), edges)
+    linked = {n for e in edges for n in e}
+    assert len(edges) > 100 and {r["node"]: r["component"] for r in found} == {n: want[n] for n in linked}
