@@ -6,7 +6,7 @@ from importlib import import_module
 
 _MODULES = [
     "interval_queries", "annotation_queries", "motif_queries", "effect_queries", "stats_queries", "source_queries",
-    "reader_queries", "roundtrip_queries", "surface_queries",
+    "reader_queries", "roundtrip_queries", "surface_queries", "plan_queries",
 ]
 
 

@@ -79,21 +79,21 @@ def motif_list_lines(spark, folder):
     return gm.parse_motif_list(shifted.unionByName(stop.withColumn("no", F.lit(half * 2 + 2).cast("bigint"))), 5)
 
 
-# a region is a file, a nation a matrix of four rows
+# five files; a part is a matrix of four rows, named by the first word of its name
 @query(
     "meme_lines",
-    """select 'M' || n_nationkey as motif_id, n_name as rbp_name, pos::int as pos, 'ACGT'[j + 1] as base,
-              case when j = (n_nationkey + pos) % 4 then 0.7 else 0.1 end::double as p from nation, unnest(range(4)) t(pos), unnest(range(4)) u(j)""",
+    """select 'M' || p_partkey as motif_id, string_split(p_name, ' ')[1] as rbp_name, pos::int as pos, 'ACGT'[j + 1] as base,
+              case when j = (p_partkey + pos) % 4 then 0.7 else 0.1 end::double as p from part, unnest(range(4)) t(pos), unnest(range(4)) u(j)""",
 )
 def meme_lines(spark, folder):
-    n = table(spark, folder, "nation")
-    row = lambda pos: F.concat_ws(" ", *[F.when((F.col("n_nationkey") + pos) % 4 == j, "0.7").otherwise("0.1") for j in range(4)])
+    n = table(spark, folder, "part")
+    row = lambda pos: F.concat_ws(" ", *[F.when((F.col("p_partkey") + pos) % 4 == j, "0.7").otherwise("0.1") for j in range(4)])
     block = F.array(
-        F.concat(F.lit("MOTIF M"), _text("n_nationkey"), F.lit(" "), "n_name"), F.lit(""), F.lit("letter-probability matrix: alength= 4"),
+        F.concat(F.lit("MOTIF M"), _text("p_partkey"), F.lit(" "), "p_name"), F.lit(""), F.lit("letter-probability matrix: alength= 4"),
         *[F.concat(F.lit(" "), row(i)) for i in range(4)],
     )
-    lines = n.select(_text("n_regionkey").alias("file"), "n_nationkey", F.posexplode(block).alias("i", "line"))
-    return gm.parse_meme(lines.select("file", (F.col("n_nationkey") * 10 + F.col("i")).alias("no"), "line"))
+    lines = n.select((F.col("p_size") % 5).cast("string").alias("file"), "p_partkey", F.posexplode(block).alias("i", "line"))
+    return gm.parse_meme(lines.select("file", (F.col("p_partkey") * 10 + F.col("i")).alias("no"), "line"))
 
 
 @query(

@@ -38,17 +38,21 @@ def one_hot(texts: Sequence[str], context: int = 5000):
     return batch
 
 
-def ensemble_scorer(models: Callable[[], list], context: int = 5000) -> Scorer:
-    """Mean of several models with channels (none, acceptor, donor); loaded once per task.
+#: Models that this worker has loaded, by name.
+_LOADED: dict[str, list] = {}
 
-    ``models`` returns callables from a one-hot batch to ``[batch, positions, 3]`` scores
-    without the context.
+
+def ensemble_scorer(models: Callable[[], list], context: int = 5000, name: str | None = None) -> Scorer:
+    """Mean of several models with channels (none, acceptor, donor).
+
+    ``models`` returns callables from a one-hot batch to ``[batch, positions, 3]`` scores without the context.  They are
+    loaded once per task or, under a ``name``, once per Python worker, which goes from task to task.  Texts of a batch
+    are padded to the longest; a text's scores must not depend on what stands beyond its context.
     """
-    loaded: list = []
+    own: list = []
 
     def score(texts: list[str]):
-        import numpy as np
-
+        loaded = own if name is None else _LOADED.setdefault(name, [])
         if not loaded:
             loaded.extend(models())
         batch = one_hot(texts, context)
@@ -61,6 +65,24 @@ def ensemble_scorer(models: Callable[[], list], context: int = 5000) -> Scorer:
     return score
 
 
+def share_models(width: int = 10) -> list:
+    """Two models with known answers: shares of G and C, and of A and G, among ``width`` places up to and from each.
+
+    They read one-hot batches with a context of ``width``; places outside a text count as neither.
+    """
+    def model(columns: tuple[int, int]):
+        def run(batch):
+            marked = batch[:, :, list(columns)].sum(axis=2)
+            total = np.concatenate([np.zeros((len(marked), 1)), np.cumsum(marked, axis=1)], axis=1)
+            at = np.arange(width, marked.shape[1] - width)
+            upto, onward = total[:, at + 1] - total[:, at + 1 - width], total[:, at + width] - total[:, at]
+            return np.stack([np.zeros_like(upto), upto / width, onward / width], axis=2)
+
+        return run
+
+    return [model((1, 2)), model((0, 2))]
+
+
 def consensus_scorer(texts: list[str]) -> tuple[list, list]:
     """A deterministic stand-in for a trained model.
 
@@ -109,12 +131,12 @@ def gc_scorer(width: int = 10) -> Scorer:
 
 
 def predict(
-    seqs: DataFrame, scorer: Scorer = consensus_scorer, batch_size: int = 64, id_column: str = "seq_id"
+    seqs: DataFrame, scorer: Scorer, batch_size: int = 64, id_column: str = "seq_id", batch_bases: int = 1 << 22
 ) -> DataFrame:
     """Acceptor and donor arrays per sequence.
 
-    Sequences are sorted by length inside each partition so that a batch pads little; the
-    scorer sees at most ``batch_size`` texts at once.
+    Sequences are sorted by length inside each partition so that a batch pads little; the scorer sees at most
+    ``batch_size`` texts at once, and no more than ``batch_bases`` bases with their padding unless one text has more.
     """
     named = seqs.select(F.col(id_column).alias("seq_id"), "seq")
     ordered = named.sortWithinPartitions(F.length("seq"))
@@ -126,12 +148,19 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), batch_size):
-                part = batch.slice(at, batch_size)
-                acceptor, donor = scorer([t or "" for t in part.column("seq").to_pylist()])
+            texts, at = [t or "" for t in batch.column("seq").to_pylist()], 0
+            while at < len(texts):
+                stop, longest = at, 0
+                while stop < len(texts) and stop - at < batch_size:
+                    longest = max(longest, len(texts[stop]))
+                    if stop > at and longest * (stop + 1 - at) > batch_bases:
+                        break
+                    stop += 1
+                acceptor, donor = scorer(texts[at:stop])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("seq_id"), lists(acceptor), lists(donor)], names=["seq_id", "acceptor", "donor"]
+                    [batch.column("seq_id").slice(at, stop - at), lists(acceptor), lists(donor)], names=["seq_id", "acceptor", "donor"]
                 )
+                at = stop
 
     return ordered.mapInArrow(run, SCORES)
 

@@ -107,10 +107,16 @@ def drop_empty_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def impute_median(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import Imputer
+    """Null and undefined features as the exact median of the others; a feature without any value stays null.
 
-    imputer = Imputer(strategy="median", inputCols=list(features), outputCols=list(features), relativeError=0.0001)
-    return imputer.fit(df).transform(df)
+    Medians of all features are found together, by ranges of values, so no feature is sorted in one task.
+    """
+    from exonloom.operators.stats import exact_quantiles
+
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features}
+    long = df.select(*[v.alias(c) for c, v in value.items()]).unpivot([], list(features), "feature", "value")
+    found = {r["feature"]: r["quantile"] for r in exact_quantiles(long, ["feature"], "value", [0.5]).collect()}  # one row a feature
+    return df.withColumns({c: F.coalesce(v, F.lit(found.get(c)).cast("double")) for c, v in value.items()})
 
 
 def all_nonzero(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -73,6 +73,28 @@ def annotate(
     return best.unionByName(novel, allowMissingColumns=True), absent, discarded
 
 
+def annotate_direct(
+    targets: DataFrame, annotation: DataFrame, genome: DataFrame | None = None, chunk: int = 4096, name: str = "name", level: int = 2
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``annotate`` from a prepared annotation (see ``prepare``), without a cache.
+
+    Only genes that a target can touch are worked on: those that the targets name, or, where they name none, those with
+    an exon at the coordinates of a target.  The semi join reaches the annotation before anything is ranked, numbered
+    or extracted, and Spark may turn it into a runtime filter of the scan.
+    """
+    gene = next((g for g in ("gene_name", "gene_id") if g in targets.columns), None)
+    if gene is not None:
+        hit = annotation.join(targets.select(gene).distinct(), gene, "left_semi")
+    else:
+        keys = ["chrom", "start", "end"]
+        genes = annotation.filter("feature = 'exon'").join(targets.select(*keys).distinct(), keys, "left_semi").select("gene_id").distinct()
+        hit = annotation.join(genes, "gene_id", "left_semi")
+    features = features_of(hit, genome, chunk)
+    extra = [c for c in ("gc", "length") if c in features.columns]
+    near = an.neighbours(features, level, "exon", extra)
+    return annotate(targets, near, features, name, level)
+
+
 def drop_overlapping(surrounding: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, removed) when overlapping targets are resolved: known transcripts, then rank."""
     from exonloom.operators.intervals import remove_overlaps

@@ -78,7 +78,7 @@ def summarise(seqs: DataFrame, hits: DataFrame, scored: DataFrame, options: Opti
 
 def run(
     spark: SparkSession, surrounding: DataFrame, genome: DataFrame, motifs: DataFrame, out: str,
-    scorer=pr.consensus_scorer, options: Options = Options(),
+    scorer: pr.Scorer, options: Options = Options(),
 ) -> DataFrame:
     """The whole run; finished stages under ``out`` are read back instead of recomputed in memory."""
     seqs, edge = windows(surrounding, genome, options)
@@ -93,7 +93,7 @@ def run(
     return spark.read.parquet(f"{out}/summary")
 
 
-def infer(seqs: DataFrame, sites: DataFrame | None, scorer=pr.consensus_scorer, batch_size: int = 64) -> DataFrame:
+def infer(seqs: DataFrame, sites: DataFrame | None, scorer: pr.Scorer, batch_size: int = 64) -> DataFrame:
     """Stand-alone sequences: scores, and the summary at annotated sites when these are known."""
     scored = pr.predict(seqs, scorer, batch_size)
     return pr.reference_sites(scored) if sites is None else pr.independent_summary(scored, sites)

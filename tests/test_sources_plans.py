@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from exonloom.operators import annotation as an
 from exonloom.operators import learn
 from exonloom.operators import motifs as mo
+from exonloom.operators import predict as pr
+from exonloom.operators import tabular as tb
 from exonloom.operators.ranking import rank_transcripts
 from exonloom.plans import annotation_cache as ac
 from exonloom.plans import paired
@@ -62,6 +64,38 @@ def test_gtf_and_cache(spark, tmp_path):
     assert absent.count() == 2 and [r["name"] for r in discarded.collect()] == ["chr1:601-660"]
     kept, removed = ac.drop_overlapping(found)
     assert kept.count() == 2 and removed.count() == 0
+    # straight from the annotation, with a gene and without one
+    rows = lambda d: sorted(str(sorted(r.asDict().items())) for r in d.collect())
+    for way in (targets, targets.drop("gene_name"), targets.drop("gene_name", "strand")):
+        cached = ac.annotate(way, level2.drop("cache_feature"), spark.read.parquet(f"{out}/features"))
+        direct = ac.annotate_direct(way, df)
+        for a, b in zip(cached, direct):
+            columns = sorted(set(a.columns) & set(b.columns))
+            assert rows(a.select(columns)) == rows(b.select(columns))
+
+
+def test_medians_fill_gaps(spark):
+    rows = [(1.0, None, None), (None, 5.0, None), (2.0, float("nan"), None), (10.0, 7.0, None), (3.0, 6.0, None)]
+    got = tb.impute_median(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()
+    assert sorted(r["a"] for r in got) == [1.0, 2.0, 2.5, 3.0, 10.0] and sorted(r["b"] for r in got) == [5.0, 6.0, 6.0, 6.0, 7.0]
+    assert all(r["c"] is None for r in got)
+
+
+def test_ensembles_do_not_depend_on_padding(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGTN") for _ in range(n)) for n in (1, 3, 40, 41, 500, 7)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "seq_id string, seq string")
+    results = []
+    for options in ({"batch_size": 1}, {"batch_size": 4}, {"batch_bases": 50}, {}):
+        scorer = pr.ensemble_scorer(pr.share_models, 10, "shares of the test")
+        results.append(sorted((r["seq_id"], tuple(r["acceptor"]), tuple(r["donor"])) for r in pr.predict(df.repartition(2), scorer, **options).collect()))
+    assert all(r == results[0] for r in results)
+    for i, acceptor, donor in results[0]:
+        t = texts[int(i)]
+        for p in range(len(t)):
+            left, right = t[max(p - 9, 0) : p + 1], t[p : p + 10]
+            assert acceptor[p] == pytest.approx(sum(x in "CG" for x in left) / 20 + sum(x in "AG" for x in left) / 20)
+            assert donor[p] == pytest.approx(sum(x in "CG" for x in right) / 20 + sum(x in "AG" for x in right) / 20)
 
 
 def test_rank_is_deterministic(spark):
@@ -205,7 +239,7 @@ def test_whole_run(spark, tmp_path):
     around = an.neighbours(features.filter("transcript_id = 'T1'"), 2, "exon", ["gc", "length"])
     table = spark.createDataFrame([("RA", bases[520:526]), ("RB", bases[520:525]), ("RB", "TTTTT"), ("RC", "ACGT")], "rbp_name string, motif string")
     options = pp.Options(reach=400, scope=300, chunk=256)
-    summary = pp.run(spark, around, genome, table, str(tmp_path / "run"), options=options)
+    summary = pp.run(spark, around, genome, table, str(tmp_path / "run"), pr.consensus_scorer, options)
     rows = summary.collect()
     seqs = {r["seq_id"]: r for r in spark.read.parquet(str(tmp_path / "run/sequences")).collect()}
     hits = spark.read.parquet(str(tmp_path / "run/hits"))
