@@ -266,6 +266,10 @@ class Trainer:
 
 # ------------------------------------------------------------------ over Spark
 
+#: Tokens that one learner sees between two averages, about, and tasks of a round at most.
+LEARNER_TOKENS, MOST_TASKS = 1 << 18, 4096
+
+
 @dataclass
 class Counts:
     """Counts of words: the stored table ``(h, c)``, totals, and the frequent words at hand, sorted by hash."""
@@ -336,11 +340,16 @@ class _Finder:
         return np.minimum(at, last), found
 
 
-def train(bodies: DataFrame, counts: Counts, shape: Shape, rounds: list[float], lanes: int = 256, steps: int = 16, rate: float = 0.01) -> np.ndarray:
-    """Parameters after the rounds; ``rounds`` has the share of the texts each round learns from.
+def train(
+    bodies: DataFrame, counts: Counts, shape: Shape, rounds: int = 8, lanes: int = 256, steps: int = 16, rate: float = 0.01,
+    learner_tokens: int = LEARNER_TOKENS,
+) -> np.ndarray:
+    """Parameters after ``rounds`` averages; ``bodies(k, body)`` are all learned from once.
 
-    A share is taken by a hash of the text, so it grows with the input.  Parameters of tasks are averaged in two
-    steps, first within groups of tasks, and only one sum per group comes to the driver.
+    A text belongs to one round and one learner by a hash of its key and text, and a learner takes its texts in the
+    order of another, so the outcome does not depend on how rows are stored or dealt.  There are as many learners as
+    the tokens ask for, each with about ``learner_tokens`` a round; a task may hold several and adds them up.  Sums of
+    tasks are added in two steps, and only few rows come to the driver.
     """
     spark = bodies.sparkSession
     place = shortlist(counts, shape)
@@ -348,33 +357,55 @@ def train(bodies: DataFrame, counts: Counts, shape: Shape, rounds: list[float],
     np.add.at(tally, place, counts.heavy_counts)
     tally[0] = max(counts.tokens - tally[1:].sum(), 1)
     flat = start(shape, tally)
-    low = 0.0
-    for share in rounds:
+    learners = max(1, round(counts.tokens / (rounds * learner_tokens)))
+    groups = max(1, round(min(learners, MOST_TASKS) ** 0.5))
+    dealt = bodies.withColumns({"round": F.pmod(F.xxhash64("k", "body", F.lit(11)), F.lit(rounds)), "at": F.xxhash64("k", "body", F.lit(12))})
+    for turn in range(rounds):
         sent = spark.sparkContext.broadcast((flat, counts.heavy, place))
 
         def run(batches):
             now, heavy, of = sent.value
-            find, trainer = _Finder(heavy), Trainer(shape, now, rate)
+            find, total, seen, trainer, last, waiting = _Finder(heavy), np.zeros(len(now)), 0, None, None, []
+
+            def learn():
+                data, offsets = texts(pa.array(waiting, pa.large_binary()))
+                h, n = _tokens(data, offsets)
+                at, known = find(h)
+                trainer.learn(np.where(known, of[at], 0) if len(of) else np.zeros(len(h), np.int64), n, lanes, steps)
+                waiting.clear()
+
+            def finish():
+                nonlocal seen
+                if waiting:
+                    learn()
+                total[:] += trainer.flat.astype(np.float64) * trainer.seen
+                seen += trainer.seen
+
             for batch in batches:
-                data, offsets = texts(batch.column("body"))
-                for i, j in slices(offsets, 1 << 21):
-                    h, n = _tokens(data, offsets[i : j + 1])
-                    at, known = find(h)
-                    ids = np.where(known, of[at], 0) if len(of) else np.zeros(len(h), np.int64)
-                    trainer.learn(ids, n, lanes, steps)
-            if trainer.seen:
-                value = (trainer.flat * trainer.seen).astype(np.float64).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([value], pa.binary()), pa.array([trainer.seen])], names=["value", "seen"])
+                for learner, body in zip(batch.column("learner").to_pylist(), batch.column("body")):
+                    if learner != last:
+                        if trainer is not None:
+                            finish()
+                        trainer, last, size = Trainer(shape, now, rate), learner, 0
+                    waiting.append(body.as_py())
+                    size += len(waiting[-1])
+                    if size >= 1 << 21:
+                        learn()
+                        size = 0
+            if trainer is not None:
+                finish()
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([seen])], names=["value", "seen"])
 
         def add(frame):
-            total = sum(np.frombuffer(x, np.float64) for x in frame["value"])
+            total = np.zeros(len(flat))
+            for x in frame["value"]:
+                total += np.frombuffer(x, np.float64)
             return pd.DataFrame({"value": [total.tobytes()], "seen": [frame["seen"].sum()]})
 
-        drawn = F.pmod(F.xxhash64("body", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-        part = bodies.filter((drawn >= low) & (drawn < low + share)) if share < 1 else bodies
-        low = low + share if share < 1 else 0.0
-        made = part.select("body").mapInArrow(run, "value binary, seen long").withColumn("g", F.spark_partition_id() % 8)
-        sums = made.groupBy("g").applyInPandas(add, "value binary, seen long").collect()  # 8 rows
+        part = dealt.filter(F.col("round") == turn).withColumn("learner", F.pmod(F.xxhash64("at"), F.lit(learners)))
+        placed = part.repartition(min(learners, MOST_TASKS), "learner").sortWithinPartitions("learner", "at", "body")
+        made = placed.select("learner", "body").mapInArrow(run, "value binary, seen long").withColumn("g", F.spark_partition_id() % groups)
+        sums = made.groupBy("g").applyInPandas(add, "value binary, seen long").collect()  # one row a group
         seen = sum(r["seen"] for r in sums)
         if seen:
             flat = (sum(np.frombuffer(r["value"], np.float64) for r in sums) / seen).astype(np.float32)
@@ -463,9 +494,11 @@ def score(docs: DataFrame, counts: Counts, shape: Shape, flat: np.ndarray, key:
 
 def fit_and_score(
     docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", classes: int = 32, size: int = 16,
-    rounds: tuple[float, ...] = (1.0,),
+    rounds: int = 8,
 ) -> DataFrame:
-    """Count and train on the rows where ``learn`` holds, then score every row; see ``score``."""
-    bodies = docs.filter(F.coalesce(learn, F.lit(False))).select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+    """Count and train on the rows where ``learn`` holds, then score every row; see ``score`` and ``train``."""
+    bodies = docs.filter(F.coalesce(learn, F.lit(False))).select(
+        F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")
+    )
     counts, shape = count_words(bodies), Shape(classes, size)
-    return score(docs, counts, shape, train(bodies, counts, shape, list(rounds)), key, text)
+    return score(docs, counts, shape, train(bodies, counts, shape, rounds), key, text)

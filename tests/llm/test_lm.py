@@ -29,7 +29,7 @@ def test_counts_and_base_against_brute_force(spark, monkeypatch):
     n, v = sum(c.values()), len(c)
     for heavy in (1 << 18, 50):  # all words at hand, or most of them by the join
         monkeypatch.setattr(lm, "HEAVY", heavy)
-        got = scored(spark, rows, rounds=(0.5,), classes=4, size=4) if heavy == 50 else scored(spark, rows, rounds=(0.5,), classes=8, size=8)
+        got = scored(spark, rows, rounds=2, classes=4, size=4) if heavy == 50 else scored(spark, rows, rounds=2, classes=8, size=8)
         want = sorted(
             (k, len(tokens(x)), sum(c[t] > 0 for t in tokens(x)), n, round(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in tokens(x)), 6)) for k, x, _ in rows
         )
@@ -87,8 +87,8 @@ def test_gradients_against_differences():
 
 def test_held_out_texts_gain_from_order(spark):
     rng = random.Random(6)
-    rows = [(i, " ".join(f"a{j % 5} b{j % 5}" for j in range(rng.randint(0, 9), rng.randint(20, 60))), "") for i in range(1500)]
-    got = scored(spark, rows, classes=4, size=8, rounds=(0.5, 1.0, 1.0, 1.0))
+    rows = [(i, " ".join(f"a{j % 5} b{j % 5}" for j in range(rng.randint(0, 9), rng.randint(20, 60))), "") for i in range(6000)]
+    got = scored(spark, rows, classes=4, size=8)
     held = [r for r in got if crc32(str(r["doc_id"]).encode()) % 7 == 2]
     assert sum(r["score"] for r in held) > 0.7 * sum(r["base_score"] for r in held)
 
@@ -100,10 +100,21 @@ def test_nothing_to_learn_from(spark):
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got) == [(2, 0, 0, 0.0), (3, 0, 0, 0.0)]
 
 
-def test_the_network_learns_from_every_training_text(spark, monkeypatch):
-    seen = []
-    train = lm.train
-    monkeypatch.setattr(lm, "train", lambda bodies, counts, shape, rounds, *a: seen.append(rounds) or train(bodies, counts, shape, rounds, *a))
-    rows = spark.createDataFrame([(i, f"some words {i}") for i in range(20)], "doc_id long, text string")
-    lm.fit_and_score(rows, F.lit(True))
-    assert max(seen[0]) >= 1
+def test_rounds_part_all_rows(spark):
+    """Every text is in one of the rounds; without a rate nothing moves."""
+    rows = spark.createDataFrame([(str(i), f"some words {i % 50}") for i in range(300)], "k string, body string").withColumn("body", F.col("body").cast("binary"))
+    counts, shape = lm.count_words(rows), lm.Shape(4, 4)
+    dealt = rows.select(F.pmod(F.xxhash64("k", "body", F.lit(11)), F.lit(3)).alias("round"))
+    assert counts.tokens == 1200 and dealt.groupBy("round").count().count() == 3
+    still = lm.train(rows, counts, shape, rounds=3, learner_tokens=100, rate=0.0)
+    moved = lm.train(rows, counts, shape, rounds=3, learner_tokens=100)
+    assert np.allclose(still, lm.train(rows.limit(0), counts, shape, rounds=1), atol=1e-5) and not np.allclose(still, moved, atol=1e-3)
+
+
+def test_the_outcome_does_not_depend_on_the_layout(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"a{j % 5} b{j % 5}" for j in range(rng.randint(0, 9), rng.randint(20, 60)))) for i in range(400)]
+    docs = spark.createDataFrame([*rows, *rows[:20], (None, "a1 b1")], "k string, body string").withColumn("body", F.col("body").cast("binary"))
+    counts = lm.count_words(docs)
+    made = [lm.train(docs.repartition(n), counts, lm.Shape(4, 4), rounds=2, learner_tokens=2000) for n in (1, 8, 64)]
+    assert all(np.allclose(m, made[0], rtol=0, atol=1e-5) for m in made[1:])
