@@ -291,12 +291,13 @@ def _greedy_sql(rows: str, features: list[str], distance: str, body: str) -> str
     gaps = distance.format(*[f"abs(c.{f} - k.{f})" for f in features])
     return f"""with recursive rows as ({rows}),
 k as (select *, row_number() over (partition by grp order by ord) as n from rows where kd),
-c as (select grp, list({{'ord': ord, {', '.join(f"'{f}': {f}" for f in features)}}} order by ord) as controls from rows where not kd group by grp),
+kinds as (select *, min(ord) over (partition by grp, {', '.join(features)}) as kind from rows where not kd),
+c as (select grp, list({{'kind': kind, 'ord': ord, {', '.join(f"'{f}': {f}" for f in features)}}} order by ord) as controls from kinds group by grp),
 taken(grp, n, free, kd_order, ctrl_order, distance) as (
   select grp, 0::bigint, controls, null::bigint, null::bigint, null::double from c
   union all
   select grp, n, list_filter(free, lambda x: x.ord <> best.ord), kd_order, best.ord, best.d from (
-    select t.grp, k.n, t.free, k.ord as kd_order, list_min(list_transform(t.free, lambda c: {{'d': {gaps}, 'ord': c.ord}})) as best
+    select t.grp, k.n, t.free, k.ord as kd_order, list_min(list_transform(t.free, lambda c: {{'d': {gaps}, 'kind': c.kind, 'ord': c.ord}})) as best
     from taken t join k on k.grp = t.grp and k.n = t.n + 1) where best is not null),
 pairs as (select grp as rbp_name, kd_order, ctrl_order, distance from taken where n > 0)
 {body}"""
@@ -311,6 +312,16 @@ def greedy_match(spark, folder):
     return pairs.withColumn("distance", F.round("distance", 6))
 
 
+# many controls of equal features, and kinds at equal distances
+_TIES = """select p_type as grp, p_size > 35 as kd, p_partkey as ord, (p_size % 5)::double as a, (p_partkey % 4)::double as b from part"""
+
+
+@query("greedy_match_ties", _greedy_sql(_TIES, ["a", "b"], "({0} + {1})", "select rbp_name, kd_order, ctrl_order, distance from pairs"))
+def greedy_match_ties(spark, folder):
+    rows = _match_rows(spark, folder).withColumns({"a": (F.expr("cast(len as int)") - 1) % 5.0, "b": F.col("ord") % 4.0})
+    return ma.greedy_match(rows, "rbp_name", "exon_group", "ord", "target", ["a", "b"], "cityblock")
+
+
 _SCALED = f"""select grp, kd, ord, (a - avg(a) over w) / stddev_pop(a) over w as a, (b - avg(b) over w) / stddev_pop(b) over w as b,
     (log10(len) - avg(log10(len)) over w) / stddev_pop(log10(len)) over w as len from ({_MATCH_ROWS}) window w as (partition by grp)"""
 

@@ -1,10 +1,11 @@
 """Nearest-control matching without replacement, and the paired tables built from it.
 
-Responsive (KD) rows choose in a fixed order; each takes the nearest control still free.
-Groups below a checked size are matched by one pass in a task.  Larger groups go through
-rounds of proposals: every open row proposes to its nearest control that is free or held by a
-later row, and a control keeps the earliest proposers.  With one common order of choice the
-outcome of those rounds is the same matching, and every round is an ordinary distributed job.
+Responsive (KD) rows choose in a fixed order; each takes the nearest control still free.  Controls of equal features
+are one kind; at equal distance the kind whose first row comes first is taken, and of a kind the first free row.  That
+is the one rule, whatever the plan: groups below a checked size are matched by one pass in a task, larger ones by
+rounds of proposals, in which every open row proposes to its nearest kind that is free or held by a later row, and a
+kind keeps the earliest proposers.  As all kinds prefer earlier rows, the rounds end in the same matching, and every
+round is an ordinary distributed job.
 """
 
 from __future__ import annotations
@@ -71,10 +72,9 @@ def greedy_match(
     """``(group, kd_order, ctrl_order, distance)`` for every KD row that finds a control.
 
     ``order`` is a unique non-negative integer that gives the order of choice and breaks
-    distance ties.  Controls that share a ``target`` count once (their first row).  Groups of
-    at most ``task_limit`` rows are matched inside one task, larger ones by rounds, with the same
-    result but for one case: at equal distance from controls of different features, rounds go to the kind whose
-    first row comes first, even where that row is taken.  Rows with a null or undefined feature take no part.
+    distance ties: first that of the first control with the same features, then its own.  Controls that share a
+    ``target`` count once (their first row).  Groups of at most ``task_limit`` rows are matched inside one task, larger
+    ones by rounds, with the same result.  Rows with a null or undefined feature take no part.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -105,7 +105,9 @@ def _match_in_task(choosers: DataFrame, controls: DataFrame, f: list[str], metri
     def match(kd: pd.DataFrame, ctrl: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        kd, ctrl = kd.sort_values("ord"), ctrl.sort_values("ord")
+        kd = kd.sort_values("ord")
+        kinds = ctrl.groupby(f)["ord"].transform("min") if len(ctrl) else ctrl["ord"]
+        ctrl = ctrl.assign(_kind=kinds).sort_values(["_kind", "ord"])
         points, free = ctrl[f].to_numpy(), np.ones(len(ctrl), bool)
         found = []
         for row, at in zip(kd["ord"], kd[f].to_numpy()):

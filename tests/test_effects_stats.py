@@ -115,6 +115,7 @@ def brute_match(rows, metric):
     out = set()
     for g, x in p.groupby("g"):
         c = x[x.role == "CTRL"].sort_values("o").drop_duplicates("t")
+        c = c.assign(kind=c.groupby(["a", "b"])["o"].transform("min")).sort_values(["kind", "o"])
         for r in x[x.role == "KD"].sort_values("o").itertuples():
             if c.empty:
                 break

@@ -60,6 +60,23 @@ def test_matching_plans_agree_with_null_and_equal_features(spark):
     assert "('h', 1, 3, 0.1)" in want
 
 
+def test_matching_plans_agree_on_ties(spark):
+    """Whole numbers as features: equal controls, and kinds at equal distances, at every group size."""
+    rng = random.Random(11)
+    rows = [(g, "KD" if rng.random() < 0.4 else "CTRL", i, i, float(rng.randrange(3)), float(rng.randrange(3))) for i, g in enumerate("gghgi" * 9)]
+    df = spark.createDataFrame(rows, "grp string, role string, ord long, target long, a double, b double")
+    plans = [rows_of(matching.greedy_match(df, "grp", "role", "ord", "target", ["a", "b"], "cityblock", task_limit=n)) for n in (20_000, 12)]
+    assert plans[0] == plans[1]
+
+
+def test_six_rows_at_one_distance(spark):
+    rows = [(0, "KD", 0.0), (1, "KD", 0.0), (5, "KD", 0.0), (2, "CTRL", 1.0), (3, "CTRL", -1.0), (4, "CTRL", 1.0)]
+    df = spark.createDataFrame([("g", r, o, o, x, 0.0) for o, r, x in rows], "grp string, role string, ord long, target long, a double, b double")
+    for limit in (20_000, 0):
+        got = matching.greedy_match(df, "grp", "role", "ord", "target", ["a", "b"], task_limit=limit).collect()
+        assert sorted((r["kd_order"], r["ctrl_order"]) for r in got) == [(0, 2), (1, 4), (5, 3)]
+
+
 def test_readers_on_several_files(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "1.txt").write_text(">RA|1|\n*ACGUA|GGGGG\n>RB|1|\n*UUUUU\n>RC|1|\n*CCCCC\n")
