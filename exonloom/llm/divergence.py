@@ -25,7 +25,7 @@ from exonloom.session import cut_lineage
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Cells of one block of terms, and groups of one tile, about.
-BLOCK_CELLS, TILE = 1 << 18, 256
+BLOCK_CELLS, TILE = 1 << 15, 256
 PAIRS = "lang string, source string, item string, value bigint"
 
 
