@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,10 +50,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The result has no history: later uses read the files, and a lost executor costs a re-read.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/exonloom-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Paths stored within each open ``scratch``, the innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the tables that ``cut_lineage`` stores within; write or collect what is wanted before leaving.
+
+        with scratch(spark):
+            stats.spearman(df, ["k"], "x", "y").write.parquet(out)
+    """
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(df: DataFrame, partitions: int) -> DataFrame:
     """Rows over at least ``partitions`` partitions, for work that is heavy per row.
 

@@ -1,5 +1,6 @@
 """One definition whatever the size: both plans of an operator on odd rows, and readers on several files."""
 
+import os
 import random
 from math import comb
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 
+from exonloom import session
 from exonloom.operators import learn, matching, motifs, scan, sequences, stats
 from exonloom.sources import motifs as sm
 from exonloom.sources import sequences as ss
@@ -159,3 +161,14 @@ def test_dummy_predictions(spark):
     score = sum(learn.cross_validate(df, "dummy", ["x"], "y", "id", 3)) / 3
     assert abs(score - 2 / 3) < 0.05
     assert abs(sum(learn.cross_validate(df, "dummy", ["x"], "y", "id", 3, classify=False))) < 0.1
+
+
+def test_scratch_tables_are_deleted(spark):
+    df = spark.createDataFrame([("g", float(i % 5)) for i in range(30)], "k string, v double")
+    with session.scratch(spark) as made:
+        rows = rows_of(stats.average_ranks(df, ["k"], "v"))
+        inner = list(made)
+        assert rows and inner and all(os.path.isdir(p.removeprefix("file:")) for p in inner)
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in inner)
+    kept = session.cut_lineage(df)  # outside, tables stay
+    assert kept.count() == 30
