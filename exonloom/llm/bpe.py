@@ -13,23 +13,29 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from exonloom.llm import tokens
 
-#: Words, chunks and token pairs that a task remembers at a time; a full memory is emptied.
-REMEMBERED = 1 << 18
-#: Bytes of a text that are cut into chunks at once, and ids of one output batch, about.
-SLICE_BYTES, SLICE_IDS = 1 << 20, 1 << 20
+#: Words and chunks that a worker remembers at a time, in two generations: what was not met in the last one is
+#: forgotten.  Token pairs that it remembers; a full memory of these is emptied.
+REMEMBERED, PAIRS = 1 << 18, 1 << 20
+#: Letters of a word that is encoded together with others, and words of one such step.
+TOGETHER, AT_ONCE = 64, 1 << 14
+#: Bytes of text that are cut into chunks at once, about; also of one output batch, and ids of one.
+SLICE_BYTES, SLICE_IDS = 1 << 20, 1 << 18
 NEVER = 1 << 60
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+BYTES_ONLY = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
 def byte_letters() -> list[str]:
@@ -56,8 +62,13 @@ class Vocabulary:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.parts = json.dumps({k: config.get(k) for k in ("version", "normalizer", "pre_tokenizer")} | {
             "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}})
-        split = (config.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        if not config.get("pre_tokenizer"):
+            raise ValueError("the file names no way to cut words")
+        split = config["pre_tokenizer"].get("pretokenizers", [{}])[0]
         self.spaces_dropped = split.get("type") == "Split" and split.get("behavior") == "Removed" and bool(split.get("invert"))
+        self.pattern = split["pattern"].get("Regex") if self.spaces_dropped else None
+        if config["pre_tokenizer"].get("pretokenizers", [])[1:] != [BYTES_ONLY]:
+            self.pattern = None
         self.joined_bytes = (config.get("decoder") or {}).get("type") == "ByteLevel"
         if config.get("decoder") and not self.joined_bytes:
             raise ValueError("unknown decoder")
@@ -151,100 +162,228 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts with a vocabulary; remembers words, chunks and pairs within bounds."""
+    """Encodes texts with a vocabulary; remembers chunks, words and pairs within bounds."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         from tokenizers import Tokenizer
 
-        self.v = vocabulary
-        parts = Tokenizer.from_str(vocabulary.parts)
+        self.v = v = vocabulary
+        parts = Tokenizer.from_str(v.parts)
         self.normal, self.cut = parts.normalizer, parts.pre_tokenizer
-        added = sorted(vocabulary.added, key=len, reverse=True)
+        added = sorted(v.added, key=len, reverse=True)
         self.special = re.compile(b"(" + b"|".join(map(re.escape, added)) + b")") if added else None
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[bytes, tuple[int, ...]] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
-
-    def compatible(self, a: int, b: int) -> bool:
-        known = self.apart.get((a, b))
-        if known is None:
-            if len(self.apart) >= REMEMBERED:
-                self.apart.clear()
-            known = self.apart[a, b] = not self.v._crossed(a, b)
-        return known
-
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of one word of byte letters."""
+        # the file's own pattern for ASCII, where all libraries agree on classes; a space ends a chunk
+        self.ascii_words = regex.compile(f"(?:{v.pattern})| ") if v.pattern else None
+        self.printed = {i: c for i, c in enumerate(byte_letters()) if chr(i) != c}
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_chunks: dict[bytes, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.pairs, self.fits = np.zeros(1, np.int64) - 1, np.zeros(1, bool)  # sorted
+        keys = np.fromiter(v.step.keys(), np.int64, len(v.step))
+        order = np.argsort(keys)
+        self.edges, self.ends = keys[order], np.fromiter(v.step.values(), np.int32, len(v.step))[order]
+        self.token, self.size, self.fail, self.shorter = (np.array(x, np.int32) for x in (v.token, v.size, v.fail, v.shorter))
+        self.letter = np.zeros(512, np.int32)
+        self.letter[[ord(c) for c in v.code]] = list(v.code.values())
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each token of ``a`` may stand before that of ``b``."""
+        key = a.astype(np.int64) << 20 | b
+        at = np.searchsorted(self.pairs, key).clip(0, len(self.pairs) - 1)
+        new = self.pairs[at] != key
+        if new.any():
+            if len(self.pairs) > PAIRS:
+                self.pairs, self.fits = self.pairs[:1], self.fits[:1]
+                return self.compatible(a, b)
+            found = np.unique(key[new])
+            fits = np.array([not self.v._crossed(k >> 20, k & 0xFFFFF) for k in found.tolist()], bool)
+            place = np.searchsorted(self.pairs, found)
+            self.pairs, self.fits = np.insert(self.pairs, place, found), np.insert(self.fits, place, fits)
+            at = np.searchsorted(self.pairs, key)
+        return self.fits[at]
+
+    def go(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The automaton's next nodes."""
+        out, todo = np.zeros(len(node), np.int32), np.arange(len(node))
+        while len(todo):
+            key = node.astype(np.int64) << 9 | letter
+            at = np.searchsorted(self.edges, key).clip(0, len(self.edges) - 1)
+            found = self.edges[at] == key
+            out[todo[found]] = self.ends[at[found]]
+            more = ~found & (node > 0)
+            todo, node, letter = todo[more], self.fail[node[more]], letter[more]
+        return out
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """Ids of words of byte letters, as little-endian int32, all taken one letter further at a time."""
+        sizes = np.array([len(w) for w in words])
+        order = np.argsort(-sizes, kind="stable")
+        n = sizes[order]
+        flat = self.letter[np.frombuffer("".join(words[i] for i in order).encode("utf-16-le"), np.uint16)]
+        letters = np.zeros((len(n), int(n[0])), np.int32)
+        inside = np.arange(letters.shape[1]) < n[:, None]
+        letters[inside] = flat
+        if self.v.suffix:
+            letters[np.arange(len(n)), n - 1] += 256
+        last = np.zeros((len(n), letters.shape[1] + 1), np.int32)
+        start = np.zeros(last.shape, np.int32)
+        node = np.zeros(len(n), np.int32)
+        for i in range(1, last.shape[1]):
+            todo = np.arange(int(np.searchsorted(-n, -i, "right")))
+            node = self.go(node[: len(todo)], letters[: len(todo), i - 1])
+            at = np.where(self.token[node] >= 0, node, self.shorter[node])
+            while len(todo):  # a single letter is always a token, and one of the tokens always fits
+                t, j = self.token[at], i - self.size[at]
+                fits = j == 0
+                fits[~fits] = self.compatible(last[todo[~fits], j[~fits]], t[~fits])
+                last[todo[fits], i], start[todo[fits], i] = t[fits], j[fits]
+                todo, at = todo[~fits], self.shorter[at[~fits]]
+        place, live, found = n.copy(), np.arange(len(n)), []
+        while len(live):
+            found.append((live, last[live, place[live]]))
+            place[live] = start[live, place[live]]
+            live = live[place[live] > 0]
+        row, ids = (np.concatenate(x) for x in zip(*reversed(found)))
+        by_row = np.argsort(row, kind="stable")
+        ends = np.cumsum(np.bincount(row, minlength=len(n))) * 4
+        data = ids[by_row].astype("<i4").tobytes()
+        out = [b""] * len(n)
+        for i, e, f in zip(order.tolist(), [0, *ends.tolist()], ends.tolist()):
+            out[i] = data[e:f]
+        return out
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word of byte letters, for words too long to go with others."""
         v = self.v
         letters = [v.code[c] for c in word]
         if v.suffix:
             letters[-1] += 256
         n, node = len(letters), 0
         last, start = [0] * (n + 1), [0] * (n + 1)
-        step, token, size, shorter = v.step, v.token, v.size, v.shorter
+        near: dict[tuple[int, int], bool] = {}
         for i, letter in enumerate(letters, 1):
-            found = step.get(node << 9 | letter)
-            node = v._go(node, letter) if found is None else found
-            at = node if token[node] >= 0 else shorter[node]
-            while True:  # a single letter is always a token, and one of the tokens always fits
-                t, j = token[at], i - size[at]
-                if not j or self.compatible(last[j], t):
+            node = v._go(node, letter)
+            at = node if v.token[node] >= 0 else v.shorter[node]
+            while True:
+                t, j = v.token[at], i - v.size[at]
+                fits = not j or near.get((last[j], t))
+                if fits is None:
+                    fits = near[last[j], t] = not v._crossed(last[j], t)
+                if fits:
                     last[i], start[i] = t, j
                     break
-                at = shorter[at]
-        out, i = [], n
+                at = v.shorter[at]
+        out, i = array("i"), n
         while i:
             out.append(last[i])
             i = start[i]
-        return tuple(reversed(out))
-
-    def _plain(self, text: str) -> Iterator[int]:
-        """Ids of a text without added tokens."""
-        if self.normal is not None:
-            text = self.normal.normalize_str(text)
-        for word, _ in self.cut.pre_tokenize_str(text):
-            if len(word) > 64:
-                yield from self.word(word)
-                continue
-            known = self.words.get(word)
-            if known is None:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                known = self.words[word] = self.word(word)
-            yield from known
-
-    def chunk(self, chunk: bytes) -> tuple[int, ...]:
-        """Ids of a stretch of text that is encoded apart from what stands around it."""
-        out = array("i")
-        parts = self.special.split(chunk) if self.special else [chunk]
-        for k, part in enumerate(parts):
+        out.reverse()
+        return out.tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Make ``self.words`` hold all these words."""
+        if len(self.words) + len(words) > REMEMBERED // 2:
+            self.words, self.old_words = {}, self.words
+        new = words - self.words.keys()
+        again = {w: self.old_words[w] for w in new & self.old_words.keys()}
+        self.words.update(again)
+        new -= again.keys()
+        for w in new:
+            if len(w) > TOGETHER:
+                self.words[w] = self.word(w)
+        short = [w for w in new if len(w) <= TOGETHER]
+        for i in range(0, len(short), AT_ONCE):
+            part = short[i : i + AT_ONCE]
+            self.words.update(zip(part, self.together(part), strict=True))
+
+    def alone(self, chunk: bytes) -> bytes:
+        """Ids of one stretch of text that is encoded apart from what stands around it."""
+        out = []
+        for k, part in enumerate(self.special.split(chunk) if self.special else [chunk]):
             if k % 2:
-                out.append(self.v.added[part])
+                out.append(array("i", [self.v.added[part]]).tobytes())
             elif part:
-                out.extend(self._plain(part.decode("utf-8", "replace")))
-        return tuple(out)
+                text = part.decode("utf-8", "replace")
+                words = [w for w, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(text) if self.normal else text)]
+                self.learn(set(words))
+                out += [self.words[w] for w in words]
+        return b"".join(out)
+
+    def fill(self, chunks: set[bytes]) -> None:
+        """Make ``self.chunks`` hold all these chunks; plain ones are normalised and cut together."""
+        if len(self.chunks) + len(chunks) > REMEMBERED // 2:
+            self.chunks, self.old_chunks = {}, self.chunks
+        new = chunks - self.chunks.keys()
+        again = {c: self.old_chunks[c] for c in new & self.old_chunks.keys()}
+        self.chunks.update(again)
+        simple, plain = [], []
+        for chunk in new - again.keys():
+            if self.special and b"<" in chunk and self.special.search(chunk):
+                self.chunks[chunk] = self.alone(chunk)
+            elif self.ascii_words and chunk.isascii():
+                simple.append(chunk)
+            elif chunk.isascii() or len(chunk.decode("utf-8", "replace").split()) == 1:
+                plain.append(chunk)
+            else:  # wide spaces
+                self.chunks[chunk] = self.alone(chunk)
+        for of, cut in ((simple, self._cut_ascii), (plain, self._cut)):
+            if not of:
+                continue
+            joined = b"\n".join(of).decode("utf-8", "replace")
+            words, ends = cut(self.normal.normalize_str(joined) if self.normal else joined)
+            if len(ends) != len(of) - 1:  # a normal form that adds or drops spaces
+                self.chunks.update((c, self.alone(c)) for c in of)
+                continue
+            self.learn(set(words))
+            ids = [self.words[w] for w in words]
+            self.chunks.update((c, b"".join(ids[i:j])) for c, i, j in zip(of, [0, *ends], [*ends, len(ids)]))
+
+    def _cut_ascii(self, joined: str) -> tuple[list[str], list[int]]:
+        """Words of byte letters, and how many come before the end of each chunk but the last."""
+        found = self.ascii_words.findall(joined)
+        if not joined.isprintable():
+            found = [w if w == " " else w.translate(self.printed) for w in found]
+        spaces = np.flatnonzero(np.array([w == " " for w in found], bool))
+        return [w for w in found if w != " "], (spaces - np.arange(len(spaces))).tolist()
+
+    def _cut(self, joined: str) -> tuple[list[str], list[int]]:
+        """The same by the library's parts."""
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        got = self.cut.pre_tokenize_str(joined)
+        starts = np.array([a for _, (a, _) in got], np.int64)
+        return [w for w, _ in got], np.searchsorted(starts, np.flatnonzero((points == 32) | (points == 10))).tolist()
+
+    def texts(self, bodies: Sequence[bytes]) -> list[bytes]:
+        """Ids of whole texts, as little-endian int32."""
+        if not self.v.spaces_dropped:
+            return [self.alone(t) for t in bodies]
+        out: list[list[bytes]] = [[] for _ in bodies]
+        waiting, size = [], 0
+
+        def finish() -> None:
+            self.fill(set().union(*(c for _, c in waiting)))
+            for i, chunks in waiting:
+                out[i].append(b"".join([self.chunks[c] for c in chunks]))
+            waiting.clear()
+
+        for i, text in enumerate(bodies):
+            at = 0
+            while at < len(text):
+                cut = _SPACE.search(text, min(at + SLICE_BYTES, len(text)))
+                end = cut.start() if cut else len(text)
+                waiting.append((i, text[at:end].split()))  # of bytes: \x20\x09-\x0D only, which no token and no normal form spans
+                size += end - at
+                at = end + 1
+                if size >= SLICE_BYTES:
+                    finish()
+                    size = 0
+        finish()
+        return [b"".join(x) for x in out]
 
     def text(self, text: bytes) -> array:
-        """Ids of a whole text."""
-        out = array("i")
-        if not self.v.spaces_dropped:
-            out.extend(self.chunk(text))
-            return out
-        at = 0
-        while at < len(text):
-            cut = _SPACE.search(text, min(at + SLICE_BYTES, len(text)))
-            end = cut.start() if cut else len(text)
-            for chunk in text[at:end].split():  # of bytes: \x20\x09-\x0D only, which no token and no normal form spans
-                known = self.chunks.get(chunk)
-                if known is None:
-                    known = self.chunk(chunk)
-                    if len(chunk) <= 64:
-                        if len(self.chunks) >= REMEMBERED:
-                            self.chunks.clear()
-                        self.chunks[chunk] = known
-                out.extend(known)
-            at = end + 1
-        return out
+        """Ids of one text."""
+        return array("i", self.texts([text])[0])
 
 
 def load(path: str) -> Vocabulary:
@@ -268,12 +407,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
         for batch in batches:
             bodies, i = batch.column(body), 0
             while i < len(bodies):
-                flat, ends, j = array("i"), [0], i
-                while j < len(bodies) and (j == i or len(flat) < SLICE_IDS):
-                    flat.extend(encoder.text(bodies[j].as_py() or b""))
-                    ends.append(len(flat))
+                part, size, j = [], 0, i
+                while j < len(bodies) and (j == i or size < SLICE_BYTES):
+                    part.append(bodies[j].as_py() or b"")
+                    size += len(part[-1])
                     j += 1
-                made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+                made = encoder.texts(part)
+                ends = np.cumsum([0, *map(len, made)]) // 4
+                made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), np.int32)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in keep], made], names=[*keep, ids])
                 i = j
 
@@ -292,20 +433,27 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         written, joined, code = sent.value
-        table, glue = {i: w.encode() for i, w in written.items()}, b"" if joined else b" "
+        texts = {i: w.encode() for i, w in written.items()}
         if joined:  # what is no byte letter stands for itself
-            table = {i: bytes(code[c] for c in w) if all(c in code for c in w) else w.encode() for i, w in written.items()}
+            texts = {i: bytes(code[c] for c in w) if all(c in code for c in w) else w.encode() for i, w in written.items()}
+        known = np.zeros(max(texts) + 2, bool)
+        known[list(texts)] = True
+        table = pa.array([texts.get(i, b"") for i in range(len(known))], pa.binary())
         for batch in batches:
-            lists, i = batch.column(ids), 0
+            lists = batch.column(ids)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+            sound = (flat >= 0) & (flat < len(known))
+            sound &= known[np.where(sound, flat, len(known) - 1)]
+            at = np.concatenate([[0], np.cumsum(sound)])[np.concatenate([[0], np.cumsum(sizes)])]
+            flat = flat[sound]
+            i = 0
             while i < len(lists):
-                texts, size, j = [], 0, i
-                while j < len(lists) and (j == i or size < SLICE_BYTES):
-                    values = lists[j].values
-                    got = glue.join([table[k] for k in (values.to_pylist() if values is not None else ()) if k in table])
-                    texts.append(got.decode("utf-8", "replace"))
-                    size += len(got)
-                    j += 1
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in keep], pa.array(texts, pa.string())], names=[*keep, decoded])
+                j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE_IDS, "right")) - 1)
+                parts = pa.ListArray.from_arrays(pa.array(at[i : j + 1] - at[i], pa.int32()), table.take(pa.array(flat[at[i] : at[j]])))
+                made = pc.binary_join(parts, b"" if joined else b" ")
+                made = pa.array([x.decode("utf-8", "replace") for x in made.to_pylist()], pa.string()) if joined else made.cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in keep], made], names=[*keep, decoded])
                 i = j
 
     return rows.select(*keep).mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 import random
 from itertools import product
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -29,6 +30,18 @@ def test_mixed_texts_equal_the_library(both):
         assert list(encoder.text(text.encode())) == theirs.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_small_memories_change_nothing(both, monkeypatch):
+    mine, theirs = both
+    for name, value in (("REMEMBERED", 7), ("SLICE_BYTES", 16), ("AT_ONCE", 3), ("TOGETHER", 4)):
+        monkeypatch.setattr(bpe, name, value)
+    draw = random.Random(5)
+    encoder = bpe.Encoder(mine)
+    texts = ["".join(draw.choice(BITS) for _ in range(draw.randint(0, 60))) for _ in range(60)]
+    for i in range(0, len(texts), 6):
+        got = encoder.texts([t.encode() for t in texts[i : i + 6]])
+        assert [np.frombuffer(g, np.int32).tolist() for g in got] == [e.ids for e in theirs.encode_batch(texts[i : i + 6], add_special_tokens=False)]
+
+
 def test_long_words_and_texts_equal_the_library(both):
     mine, theirs = both
     draw = random.Random(4)
@@ -62,13 +75,14 @@ def test_small_vocabularies_against_plain_merging(merges):
     encoder = bpe.Vocabulary(config).encoder()
     for n in range(1, 9):
         for word in map("".join, product("abc" if n < 7 else "ab", repeat=n)):
-            assert list(encoder.word(word)) == [vocab[t] for t in plain_merge(merges, word)], word
+            want = np.array([vocab[t] for t in plain_merge(merges, word)], np.int32).tobytes()
+            assert encoder.word(word) == want and encoder.together([word, "a", word]) == [want, encoder.word("a"), want], word
 
 
 def test_a_merge_before_its_parts_is_refused():
     vocab = {c: i for i, c in enumerate(bpe.byte_letters())} | {"abc": 256, "ab": 257}
     with pytest.raises(ValueError, match="does not follow"):
-        bpe.Vocabulary({"model": {"type": "BPE", "vocab": vocab, "merges": [["ab", "c"], ["a", "b"]]}})
+        bpe.Vocabulary({"model": {"type": "BPE", "vocab": vocab, "merges": [["ab", "c"], ["a", "b"]]}, "pre_tokenizer": {"type": "ByteLevel"}})
 
 
 def test_rows_nulls_clashing_names_and_repeats(spark, both):
