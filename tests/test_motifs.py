@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import re
@@ -209,3 +210,35 @@ def test_scope_and_counts(spark):
     assert {(r["seq_id"], r["start"]) for r in mo.within_scope(df, sites, 10).collect()} == {("s", 50), ("t", 1)}
     got = {r["seq_id"]: (r["A"], r["B"], r["Z"]) for r in mo.count_matrix(df, ["A", "B", "Z"]).collect()}
     assert got == {"s": (2, 0, 0), "t": (0, 1, 0)}
+
+
+def test_sampled_positions_are_the_least_hashes_and_few_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(pe, "POSITIONS_AT_ONCE", 7)
+    texts = [("s1", "ACGTNACGTACGTTTACG"), ("s1", "CCCCCCCCCCCC"), ("s2", "AC"), ("s3", ""), ("s4", None), (None, "ACGTACGT")]
+    s = spark.createDataFrame(texts, "seq_id string, seq string")
+    got = sorted(tuple(r) for r in pe.sample_positions(s.filter("seq_id <> 's1' or seq like 'A%'"), 4, (3, 5)).collect() if r[0])
+    want = []
+    for name, text in texts[:1] + texts[2:3]:
+        for side in (range(min(3, len(text))), range(5, len(text))):
+            best = sorted((hashlib.md5(f"{name}|{i}|0".encode()).hexdigest(), i) for i in side)[:2]
+            want += [(name, i, text[i]) for _, i in best]
+    assert got == sorted(want)
+    plan = pe.sample_positions(s, 4, (3, 5))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # the positions of a text are no rows of a shuffle
+    assert len(pe.sample_positions(s.filter("seq_id = 's1'"), 4, (3, 5)).collect()) == 4  # of both rows together
+
+
+def test_substitution_summary_is_that_of_all_rows(spark):
+    texts = [("s1", "ACGTNACGTACGTTTACG" * 7), ("s1", "CCCCCCCCCCCC"), ("s2", "AC"), ("s3", ""), ("s4", None), (None, "ACGTACGT"), ("a_b", "T" * 1201)]
+    s = spark.createDataFrame(texts, "seq_id string, seq string")
+    key = lambda r: (r["seq_id"] or "", r["mutation"])
+    for exclude in (None, (3, 101)):
+        rows = pe.sequence_substitutions(s, exclude=exclude, with_sequence=False)
+        want = rows.groupBy("seq_id", "mutation").agg(
+            F.count("*").alias("n"), F.sum("start").alias("positions"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
+        ).collect()
+        made = pe.substitution_summary(s, exclude)
+        assert sorted(made.collect(), key=key) == sorted(want, key=key)
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    lowest = [line for line in plan.splitlines() if "Aggregate" in line][-1]
+    assert "HashAggregate" in lowest  # no row of a position is sorted
