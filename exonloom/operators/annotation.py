@@ -61,8 +61,8 @@ def drop_sex_duplicates(
     if not set(remove) <= allowed:
         raise ValueError(f"only {sorted(allowed)} can be removed")
     doubled = (
-        df.groupBy(gene)
-        .agg(F.count_if(F.col("feature") == "gene").alias("_n"))
+        df.filter(F.col("feature") == "gene").groupBy(gene)
+        .agg(F.count(F.lit(1)).alias("_n"))
         .filter("_n > 1")
         .select(gene, F.lit(True).alias("_doubled"))
     )

@@ -17,19 +17,21 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_gtf(lines: DataFrame) -> DataFrame:
     """``read_gtf`` on rows ``value``: ``#`` lines and empty lines go, ``.`` and what is no number become null."""
-    fields = F.split("value", "\t")
     names = [c.strip().split() for c in GTF_COLUMNS.split(",")]
     kept = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    raw = kept.select(*[F.nullif(F.get(fields, F.lit(i)), F.lit(".")).try_cast(kind).alias(n) for i, (n, kind) in enumerate(names)])
+    cut = kept.select(F.split("value", "\t").alias("_fields"))  # a step of its own, so that a line is cut once
+    raw = cut.select(*[F.nullif(F.get("_fields", F.lit(i)), F.lit(".")).try_cast(kind).alias(n) for i, (n, kind) in enumerate(names)])
     return raw.withColumn("start", F.col("start") - 1)
 
 
-def attribute_value(attribute: Column, key: str) -> Column:
-    """Values of ``key`` joined with ``;``; only the first token of a value counts."""
+def attribute_pairs(attribute: Column) -> Column:
+    """The ``key value`` pairs of an attribute text, each as an array of its tokens."""
     cleaned = F.regexp_replace(attribute, '"', "")
-    pairs = F.transform(
-        F.split(cleaned, r"\s*;\s*"), lambda pair: F.split(F.trim(pair), r"\s+")
-    )
+    return F.transform(F.split(cleaned, r"\s*;\s*"), lambda pair: F.split(F.trim(pair), r"\s+"))
+
+
+def value_of(pairs: Column, key: str) -> Column:
+    """Values of ``key`` joined with ``;``; only the first token of a value counts."""
     values = F.transform(
         F.filter(pairs, lambda p: (F.size(p) > 1) & (F.get(p, F.lit(0)) == key)),
         lambda p: F.get(p, F.lit(1)),
@@ -37,15 +39,19 @@ def attribute_value(attribute: Column, key: str) -> Column:
     return F.when(F.size(values) > 0, F.array_join(values, ";"))
 
 
+def attribute_value(attribute: Column, key: str) -> Column:
+    """``value_of`` straight from the text, for one key."""
+    return value_of(attribute_pairs(attribute), key)
+
+
 def expand_attributes(
     gtf: DataFrame, attribute: str = "attribute", keys: Iterable[str] = GTF_ATTRIBUTES
 ) -> DataFrame:
-    """One nullable string column per attribute key."""
+    """One nullable string column per attribute key; the text is taken apart once for all keys."""
     require(gtf, attribute)
-    return gtf.select(
-        *[c for c in gtf.columns if c != attribute],
-        *[attribute_value(F.col(attribute), k).alias(k) for k in keys],
-    )
+    kept = [c for c in gtf.columns if c != attribute]
+    paired = gtf.select(*kept, attribute_pairs(F.col(attribute)).alias("_pairs"))
+    return paired.select(*kept, *[value_of(F.col("_pairs"), k).alias(k) for k in keys])
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:

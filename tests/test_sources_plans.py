@@ -313,3 +313,16 @@ def test_run_statistics_and_tsv(spark, tmp_path):
 def test_duplicate_attributes(spark):
     df = spark.createDataFrame([("s", "B", "m", 1, 4), ("s", "A", "n", 1, 4)], "seq_id string, rbp_name string, motif string, start long, end long")
     assert mo.merge_duplicate_hits(df, ["rbp_name", "motif"]).first()["motif"] == "n;m"
+
+
+def test_attribute_texts_are_taken_apart_once(spark):
+    text = 'gene_id "g1.2"; tag "a"; tag "b c";note x ; level 2;\tempty; gene_name "n"'
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "gene_id")], "k int, attribute string")
+    made = ga.expand_attributes(df.filter("k > 0"))
+    got = {r["k"]: r for r in made.collect()}
+    assert (got[1]["gene_id"], got[1]["tag"], got[1]["level"], got[1]["gene_name"]) == ("g1.2", "a;b", "2", "n")
+    assert all(v is None for k in (2, 3, 4) for c, v in got[k].asDict().items() if c != "k")
+    one = df.select("k", ga.attribute_value(F.col("attribute"), "tag").alias("tag"))
+    assert {r["k"]: r["tag"] for r in one.collect()} == {k: r["tag"] for k, r in got.items()}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
