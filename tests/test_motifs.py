@@ -242,3 +242,16 @@ def test_substitution_summary_is_that_of_all_rows(spark):
     plan = made._jdf.queryExecution().sparkPlan().toString()
     lowest = [line for line in plan.splitlines() if "Aggregate" in line][-1]
     assert "HashAggregate" in lowest  # no row of a position is sorted
+
+
+def test_scans_keep_to_small_outputs_and_shuffle_no_windows(spark, monkeypatch):
+    monkeypatch.setattr(mo, "HITS_AT_ONCE", 3)
+    texts = seqs(spark, ["ACGTACGTAACC", None, "", "TTTTTTTTTT"])
+    words = motifs(spark, [("A", "ACGT"), ("B", "ACGT"), ("C", "TTT"), ("D", "CC"), (None, "AA")])
+    want = sorted(map(str, mo.scan_by_join(texts, words).collect()))
+    assert len(want) == 2 * 2 + 3 + 1 + 1 and want == sorted(map(str, mo.scan_by_join(texts, words, 2).collect()))
+    assert sorted(map(str, mo.scan_exact(texts, words).filter("rbp_name is not null").collect())) == [w for w in want if "None" not in w]
+    sizes = [b.num_rows for b in mo._hit_rows(mo.pa.array(["a", "b"]), *mo.np.array([[0, 1], [0, 0], [5, 6]]), mo._owner_table(["AC"], {"AC": ["X", "Y"]}))]
+    assert sizes == [2, 2]  # owners are joined to a few hits at a time
+    plan = mo.scan_by_join(texts, words)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
