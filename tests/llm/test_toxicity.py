@@ -66,3 +66,21 @@ def test_thresholds_and_scale():
     x = np.linspace(-3, 3, 200)
     a, b = toxicity.rescale(x, (x > 1).astype(float))
     assert a > 1 and abs(-b / a - 1) < 0.1
+
+
+def test_learners_go_over_all_rows_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEARNER_ROWS", 200)
+    rows = corpus(1600, 3)
+    seen = []
+    plain = toxicity.learn_all
+    monkeypatch.setattr(toxicity, "learn_all", lambda model, kept, of, *x: seen.append(of.count()) or plain(model, kept, of, *x))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    one, two = (toxicity.fit(docs.repartition(n), labels, F.lit(True), rows=100, most_bytes=600) for n in (1, 7))
+    assert seen[0] == seen[1] > 1100  # three quarters of all, long texts too
+    assert np.array_equal(one.table, two.table) and one.offset == two.offset and one.thresholds == two.thresholds
+    truth = {r[0]: r[3] for r in rows}
+    fresh = [(10**6 + i, r[1], r[2], r[3]) for i, r in enumerate(corpus(600, 4))]
+    got = toxicity.score(spark.createDataFrame([r[:3] for r in fresh], "doc_id long, text string, lang string"), one).collect()
+    truth = {r[0]: r[3] for r in fresh}
+    assert np.mean([(r["score"] >= 0.5) == bool(truth[r["doc_id"]]) for r in got]) > 0.9
