@@ -11,7 +11,7 @@ Copies collapse to one fingerprint before the ball is emitted, so a group of cop
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +51,13 @@ def fingerprint(text: bytes | None, size: int, words: int = 1) -> np.ndarray:
 
     The first word uses the hashes themselves, further ones fixed mixes of them.  No words: zero.
     """
+    return majority(shingle_hashes(text or b"", size), words)
+
+
+def majority(parts: Iterable[np.ndarray], words: int = 1) -> np.ndarray:
+    """The fingerprint of hashes that come in parts."""
     ones, n = np.zeros(64 * words, np.int64), 0
-    for h in shingle_hashes(text or b"", size):
+    for h in parts:
         rows = [h if k == 0 else tokens.mix(h + np.uint64(k)) for k in range(words)]
         big = np.stack(rows, axis=1).astype(">u8").view(np.uint8).reshape(len(h), 8 * words)
         for i in range(0, len(h), 128):  # so few that the counts fit in bytes
@@ -153,7 +158,7 @@ def least_of(shingles: np.ndarray, bands: int) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, size: int, bands: int) -> DataFrame:
-    """``(k, id, n, least)``: of the set of shingles of ``rows(k, t)`` a 128-bit hash, its size, and ``least_of`` it."""
+    """``(k, id, n, fp, least)``: of the set of shingles of ``rows(k, t)`` a 128-bit hash, its size, fingerprint and ``least_of`` it."""
     def run(batches):
         for batch in batches:
             made = [shingle_set(t.as_py(), size) for t in batch.column("t")]
@@ -163,13 +168,14 @@ def sketches(rows: DataFrame, size: int, bands: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("k"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in made], pa.binary()),
-                    pa.array([len(x) for x in made], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    pa.array([len(x) for x in made], pa.int64()), pa.array([int(majority([x]).view(np.int64)[0]) for x in made], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                names=["k", "id", "n", "least"],
+                names=["k", "id", "n", "fp", "least"],
             )
 
     schema = T.StructType(
-        [rows.schema["k"], T.StructField("id", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("least", T.ArrayType(T.LongType(), False))]
+        [rows.schema["k"], T.StructField("id", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("least", T.ArrayType(T.LongType(), False))]
     )
     return rows.select("k", F.col("t").cast("binary").alias("t")).mapInArrow(run, schema)
 
@@ -258,16 +264,18 @@ def join_met(near: DataFrame, rows: DataFrame, size: int, similarity: float) ->
 def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similarity: float = 0.8, bands: int = BANDS) -> DataFrame:
     """``(key, group)`` of every row; rows at least ``similarity`` alike share a group, named by its least key.
 
-    The rule is the Jaccard similarity of the sets of word shingles.  Texts meet that have the same least
-    values in ``LEAST`` random orders of their shingles, in one of ``bands`` such draws: texts 0.8 alike meet
-    with a chance of 1 - (1 - 0.8^4)^16 = 0.9998, 0.85 alike with more than 0.9999.  What meets is compared by
-    its sets, see ``join_met``.  This meeting is not that of fingerprint balls: at 0.8 a seventh of all bits differ,
-    and a chance of 0.99 would ask for 37 fingerprints of 32 bits, 1,221 rows a text.  Keys must be unique.  Equal sets (and all empty ones) are one group.
+    The rule is the Jaccard similarity of the sets of word shingles.  Texts meet in the balls of their fingerprints, as
+    in ``near_duplicates``: whatever is at two or fewer differing bits meets.  At 0.8 a seventh of all bits differ, and balls alone
+    would need 37 fingerprints of 32 bits for a chance of 0.99, 1,221 rows a text; so texts also meet that have the same least
+    values in ``LEAST`` random orders of their shingles, in one of ``bands`` such draws: texts 0.8 alike with a chance of
+    1 - (1 - 0.8^4)^16 = 0.9998, 0.85 alike with more than 0.9999.  What meets either way is compared by its
+    sets, see ``join_met``.  Keys must be unique.  Equal sets (and all empty ones) are one group.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     made = cut_lineage(sketches(rows, size, bands))
-    same = cut_lineage(made.groupBy("id").agg(F.min("k").alias("first"), F.first("n").alias("n"), F.first("least").alias("least")))
-    near = same.select("first", "n", F.explode("least").alias("near"))
+    same = cut_lineage(made.groupBy("id").agg(F.min("k").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("least").alias("least")))
+    # a draw and a fingerprint that happen to be one number cost a comparison, no more
+    near = same.filter("n > 0").select("first", "n", F.explode(F.concat(ball("fp"), "least")).alias("near"))
     joined = join_met(near, rows, size, similarity)
     # stored, so that the last join can split a set that very many rows share
     of = same.join(joined, same["first"] == joined["node"], "left").select("id", F.coalesce("component", "first").alias("group"))

@@ -157,3 +157,21 @@ def test_prefix_links_against_all_pairs(spark):
     want = roots(range(120), edges)
     linked = {n for e in edges for n in e}
     assert len(edges) > 100 and {r["node"]: r["component"] for r in found} == {n: want[n] for n in linked}
+
+
+def test_groups_meet_in_balls_of_fingerprints(spark):
+    """Texts at two or fewer differing bits meet without any draw of least values."""
+    rng = random.Random(2)
+    make = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    texts, near = [], 0
+    for i in range(0, 60, 2):
+        words = make(900)
+        texts += [" ".join(words), " ".join(words[:-1])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    made = {r["k"]: r for r in simhash.sketches(rows, 5, 0).collect()}
+    of = {r["k"]: r["group"] for r in simhash.similar_groups(rows, "k", "t", bands=0).collect()}
+    for i in range(0, 60, 2):
+        if ((made[i]["fp"] ^ made[i + 1]["fp"]) & (2**64 - 1)).bit_count() <= 2:
+            near += 1
+            assert of[i] == of[i + 1]
+    assert near > 10 and len(set(of.values())) >= 30
