@@ -155,3 +155,23 @@ def test_difference_matrix_counts_a_missing_group_as_zero(spark):
     rows = [("r", "x", "KD"), ("r", "x", "KD"), ("r", "x", "CTRL"), ("r", "y", "KD"), ("s", "y", "CTRL"), ("t", "other", "KD")]
     got = tb.difference_matrix(spark.createDataFrame(rows, "k string, f string, g string"), "k", "f", "g", ["x", "y"])
     assert sorted(map(tuple, got.collect())) == [("r", 1, 1), ("s", 0, -1), ("t", 0, 0)]
+
+
+@pytest.mark.parametrize("metric", ["avg", "euclidean", "max"])
+def test_contested_controls_in_few_rounds(spark, monkeypatch, metric):
+    """All choosers lie beyond all controls along one feature, so that they want the same ones."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        kd = rng.random() < 0.4
+        size = rng.randrange(36, 51) if kd else rng.randrange(0, 36)
+        rows.append(("g" if i % 3 else "h", "KD" if kd else "CTRL", i, i, rng.random() * 4, (i * 37) % 101 / 30, size / 15))
+    df = spark.createDataFrame(rows, "g string, role string, o long, t long, a double, b double, c double")
+    stored = []
+    monkeypatch.setattr(ma, "cut_lineage", lambda x, plain=ma.cut_lineage: stored.append(1) or plain(x))
+    small = sorted(map(repr, ma.greedy_match(df, "g", "role", "o", "t", ["a", "b", "c"], metric).collect()))
+    plain = ma.match_by_rounds
+    monkeypatch.setattr(ma, "match_by_rounds", lambda *x: plain(*x, tile_rows=8))
+    large = sorted(map(repr, ma.greedy_match(df, "g", "role", "o", "t", ["a", "b", "c"], metric, task_limit=50).collect()))
+    assert small == large and len(small) > 300
+    assert len(stored) <= 10
