@@ -255,3 +255,14 @@ def test_scans_keep_to_small_outputs_and_shuffle_no_windows(spark, monkeypatch):
     assert sizes == [2, 2]  # owners are joined to a few hits at a time
     plan = mo.scan_by_join(texts, words)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_digests_of_substitutions_without_the_texts(spark):
+    texts = [("s", "ACGTAéACGTATTAAAAAAA"), ("s", "GGACGTAC"), ("t", "ACGTA"), ("u", None), (None, "ACGTA")]
+    s = spark.createDataFrame(texts, "seq_id string, seq string")
+    words = spark.createDataFrame([("A", "ACGTA"), ("B", "AAAAA"), ("B", "AAAAAAA"), ("C", "éACGT")], "rbp_name string, motif string")
+    hits = mo.scan_exact(s, words).unionByName(spark.createDataFrame([("u", "A", "ACGTA", 2, 7), ("t", "A", "ACGTA", 3, 8)], "seq_id string, rbp_name string, motif string, start bigint, end bigint"))
+    want = pe.motif_substitutions(hits, s).withColumn("seq_md5", F.md5("seq")).drop("seq")
+    got = pe.motif_substitution_digests(hits, s, block=4)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 100
