@@ -195,6 +195,50 @@ def kmer_frequencies(df: DataFrame, kmers: Sequence[str], seq: str = "seq") -> D
     )
 
 
+#: Bases whose k-mers are counted at once.
+KMER_BASES = 1 << 18
+
+
+def kmer_counts(texts: Sequence[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, kmer, n)``: the k-mers over A, C, G and T of each text, without overlap from left to right."""
+    code = np.full(256, -1, np.int8)
+    code[[65, 67, 71, 84]] = [0, 1, 2, 3]
+    # texts are parted by a letter that is in no k-mer
+    bases = code[np.frombuffer("-".join([*texts, ""]).encode("ascii", "replace"), np.uint8)]
+    size = max(len(bases) - k + 1, 0)
+    words = np.zeros(size, np.int64)
+    bad = np.concatenate([[0], np.cumsum(bases < 0)])
+    for i in range(k):
+        words = words * 4 + bases[i : i + size]
+    at = np.flatnonzero(bad[k : k + size] == bad[:size])
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    keys = (np.searchsorted(ends, at, "right") << (2 * k)) + words[at]
+    found, n = np.unique(keys, return_counts=True)
+    # k-mers that overlap themselves are counted again, one by one
+    full = np.full(size, -1, np.int64)
+    full[at] = keys
+    near = np.zeros(size, bool)
+    for i in range(1, min(k, size)):
+        near[i:] |= (full[i:] == full[:-i]) & (full[i:] >= 0)
+    again = np.unique(full[near])
+    if len(again):
+        place = np.minimum(np.searchsorted(again, keys), len(again) - 1)
+        own = again[place] == keys
+        free, left = np.zeros(len(again), np.int64), np.zeros(len(again), np.int64)
+        for which, where in zip(place[own].tolist(), at[own].tolist()):
+            if where >= free[which]:
+                free[which] = where + k
+                left[which] += 1
+        n[np.searchsorted(found, again)] = left
+    return found >> (2 * k), found & ((1 << (2 * k)) - 1), n
+
+
+def kmer_names(kinds: np.ndarray, k: int) -> pa.Array:
+    """The k-mers of these numbers as texts."""
+    letters = np.frombuffer(b"ACGT", np.uint8)[(kinds[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3]
+    return pa.StringArray.from_buffers(len(kinds), pa.py_buffer((np.arange(len(kinds) + 1) * k).astype(np.int32)), pa.py_buffer(letters.astype(np.uint8).tobytes()))
+
+
 def kmer_table(df: DataFrame, k: int = 6, seq: str = "seq") -> DataFrame:
     """``n`` and ``frequency`` of every k-mer over A, C, G and T that a sequence holds, in long form.
 
@@ -206,40 +250,19 @@ def kmer_table(df: DataFrame, k: int = 6, seq: str = "seq") -> DataFrame:
         [*[df.schema[c] for c in keep], T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType()), T.StructField("_length", T.LongType())]
     )
 
-    def count(text: str) -> tuple[np.ndarray, np.ndarray]:
-        code = np.full(256, -1, np.int64)
-        code[[65, 67, 71, 84]] = [0, 1, 2, 3]
-        bases = code[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
-        size = len(bases) - k + 1
-        if size <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        words, good = np.zeros(size, np.int64), np.ones(size, bool)
-        for i in range(k):
-            words = words * 4 + bases[i : i + size]
-            good &= bases[i : i + size] >= 0
-        at = np.flatnonzero(good)
-        order = np.argsort(words[at], kind="stable")
-        at, found = at[order], words[at][order]
-        kinds, first, n = np.unique(found, return_index=True, return_counts=True)
-        near = (np.diff(at, prepend=-k) < k) & (np.diff(found, prepend=-1) == 0)
-        for j in np.unique(np.searchsorted(first, np.flatnonzero(near), "right") - 1):  # those that overlap themselves
-            free, n[j] = 0, 0
-            for place in at[first[j] : first[j + 1] if j + 1 < len(first) else len(at)]:
-                if place >= free:
-                    free, n[j] = place + k, n[j] + 1
-        return kinds, n
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column(seq)):
-                text = text.as_py() or ""
-                kinds, n = count(text)
-                letters = np.frombuffer(b"ACGT", np.uint8)[(kinds[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3]
-                names = pa.array([bytes(x).decode() for x in letters], pa.string())
-                own = [batch.column(c).take(pa.array(np.full(len(kinds), i))) for c in keep]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, names, pa.array(n), pa.array(np.full(len(kinds), len(text)))], names=[*keep, "kmer", "n", "_length"]
-                )
+            texts = [t or "" for t in batch.column(seq).to_pylist()]
+            at = 0
+            while at < len(texts):  # about ``KMER_BASES`` at once; a longer text by itself
+                stop, size = at + 1, len(texts[at])
+                while stop < len(texts) and size + len(texts[stop]) <= KMER_BASES:
+                    size, stop = size + len(texts[stop]), stop + 1
+                where, kinds, n = kmer_counts(texts[at:stop], k)
+                own = [batch.column(c).take(pa.array(where + at)) for c in keep]
+                lengths = np.array([len(t) for t in texts[at:stop]], np.int64)[where]
+                yield pa.RecordBatch.from_arrays([*own, kmer_names(kinds, k), pa.array(n), pa.array(lengths)], names=[*keep, "kmer", "n", "_length"])
+                at = stop
 
     counted = df.select(*keep, seq).mapInArrow(run, schema)
     return counted.select(*keep, "kmer", "n", F.round(F.col("n") / F.col("_length"), 5).alias("frequency"))

@@ -266,3 +266,13 @@ def test_digests_of_substitutions_without_the_texts(spark):
     got = pe.motif_substitution_digests(hits, s, block=4)
     assert got.columns == want.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 100
+
+
+def test_kmers_of_many_texts_at_once(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(s) for _ in range(rng.randint(0, 60))) for s in ("A", "AC", "ACGT", "ACGTNé") for _ in range(20)]
+    for k in (1, 3, 6):
+        where, kinds, n = sq.kmer_counts(texts, k)
+        names = sq.kmer_names(kinds, k).to_pylist()
+        want = {(i, t[j : j + k]): t.count(t[j : j + k]) for i, t in enumerate(texts) for j in range(len(t) - k + 1) if set(t[j : j + k]) <= set("ACGT")}
+        assert dict(zip(zip(where.tolist(), names), n.tolist())) == want
