@@ -256,35 +256,64 @@ def scan_matrices(
     return hits
 
 
+# Columns of a matrix that are looked up together.
+COLUMNS_AT_ONCE = 4
+
+
+def _loaded_matrix(weights: list[list[float]], p_value: float) -> tuple[int, list[np.ndarray], int]:
+    """Width, scores of ``COLUMNS_AT_ONCE`` letters at a time (A, C, G, T, other) and the least score of a hit."""
+    steps, low, tail = _score_tail(weights)
+    good = np.flatnonzero(tail <= p_value)
+    other = -(1 << 24)  # a word with another letter is no hit, however high its other letters score
+    padded = np.hstack([steps, np.full((len(steps), 1), other)]).astype(np.int64)
+    tables = []
+    for i in range(0, len(padded), COLUMNS_AT_ONCE):
+        part = padded[i : i + COLUMNS_AT_ONCE]
+        whole = np.vstack([part, np.zeros((COLUMNS_AT_ONCE - len(part), 5), np.int64)])
+        total = reduce(lambda x, y: np.add.outer(x, y), whole).ravel()
+        tables.append(np.maximum(total, other).astype(np.int32))
+    return len(steps), tables, int(low + good[0]) if len(good) else 1 << 30
+
+
 def _scan_loaded(seqs: DataFrame, table: DataFrame, p_value: float) -> DataFrame:
     loaded = [(r["rbp_name"], [list(w) for w in r["weights"]]) for r in table.toLocalIterator()]
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        ready = [(rbp, *_score_tail(w)) for rbp, w in loaded]
-        code = np.full(256, 4, dtype=np.int64)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = [(rbp, *_loaded_matrix(w, p_value)) for rbp, w in loaded]
+        widest = max((k for _, k, _, _ in ready), default=0) + COLUMNS_AT_ONCE
+        code = np.full(256, 4, np.int32)
         code[[65, 67, 71, 84]] = [0, 1, 2, 3]
         for batch in batches:
-            rows = []
-            for seq_id, text in zip(batch["seq_id"], batch["seq"]):
-                bases = code[np.frombuffer((text or "").encode("ascii", "replace"), dtype=np.uint8)]
-                for rbp, steps, low, tail in ready:
-                    k = len(steps)
-                    if len(bases) < k:
-                        continue
-                    padded = np.hstack([steps, np.zeros((k, 1), dtype=int)])
-                    n = len(bases) - k + 1
-                    score = sum(padded[i][bases[i : i + n]] for i in range(k))
-                    clean = np.lib.stride_tricks.sliding_window_view(bases, k).max(axis=1) < 4
-                    good = clean & (tail[np.clip(score - low, 0, len(tail) - 1)] <= p_value)
-                    rows += [
-                        (seq_id, rbp, text[i : i + k], int(i), int(i + k))
-                        for i in np.flatnonzero(good)
-                    ]
-            yield pd.DataFrame(rows, columns=["seq_id", "rbp_name", "motif", "start", "end"])
-
-    return seqs.select("seq_id", "seq").mapInPandas(scan, HITS)
+            # code points, one byte each; texts are parted by a letter that is in no hit
+            bodies = [(t or "").encode("ascii", "replace") + b"-" for t in batch.column("seq").to_pylist()]
+            offsets = np.cumsum([0, *map(len, bodies)])
+            for i, j in slices(offsets, BYTES_AT_ONCE):
+                data = np.frombuffer(b"".join(bodies[i:j]) + b"-" * widest, np.uint8)
+                begin, size = offsets[i:j] - offsets[i], int(offsets[j] - offsets[i])
+                bases = code[data]
+                words = np.zeros(size + widest - COLUMNS_AT_ONCE, np.int32)
+                for c in range(COLUMNS_AT_ONCE):
+                    words = words * 5 + bases[c : c + len(words)]
+                for rbp, k, tables, least in ready:
+                    score = tables[0][words[:size]]
+                    for n, part in enumerate(tables[1:], 1):
+                        score += part[words[n * COLUMNS_AT_ONCE : n * COLUMNS_AT_ONCE + size]]
+                    at = np.flatnonzero(score >= least)
+                    for s in range(0, len(at), HITS_AT_ONCE):
+                        yield _matrix_hits(batch.column("seq_id"), i, begin, data, at[s : s + HITS_AT_ONCE], rbp, k)
+
+    return seqs.select(F.col("seq_id").cast("string"), "seq").mapInArrow(scan, HITS)
+
+
+def _matrix_hits(ids: pa.Array, first: int, begin: np.ndarray, data: np.ndarray, at: np.ndarray, rbp: str, k: int) -> pa.RecordBatch:
+    where = np.searchsorted(begin, at, "right") - 1
+    ends, letters = (np.arange(len(at) + 1) * k).astype(np.int32), np.ascontiguousarray(data[at[:, None] + np.arange(k)])
+    motif = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(letters))
+    start = at - begin[where]
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(where + first)), pa.array([rbp] * len(at), pa.string()), motif, pa.array(start), pa.array(start + k)],
+        names=["seq_id", "rbp_name", "motif", "start", "end"],
+    )
 
 
 # ---------------------------------------------------------------- redundancy and density

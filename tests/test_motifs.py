@@ -276,3 +276,17 @@ def test_kmers_of_many_texts_at_once(monkeypatch):
         names = sq.kmer_names(kinds, k).to_pylist()
         want = {(i, t[j : j + k]): t.count(t[j : j + k]) for i, t in enumerate(texts) for j in range(len(t) - k + 1) if set(t[j : j + k]) <= set("ACGT")}
         assert dict(zip(zip(where.tolist(), names), n.tolist())) == want
+
+
+def test_matrix_scores_are_looked_up_columns_at_a_time():
+    rng = random.Random(4)
+    for k in (1, 4, 6, 9):
+        weights = [[rng.uniform(-3, 2) for _ in range(4)] for _ in range(k)]
+        width, tables, least = mo._loaded_matrix(weights, 0.2)
+        steps, low, tail = mo._score_tail(weights)
+        assert width == k and len(tables) == -(-k // mo.COLUMNS_AT_ONCE)
+        for _ in range(200):
+            word = [rng.randrange(5) for _ in range(k)] + [rng.randrange(5) for _ in range(3)]
+            score = sum(int(t[sum(x * 5 ** (3 - j) for j, x in enumerate(word[4 * i : 4 * i + 4]))]) for i, t in enumerate(tables))
+            plain = 4 not in word[:k] and tail[sum(steps[j][x] for j, x in enumerate(word[:k])) - low] <= 0.2
+            assert (score >= least) == plain
