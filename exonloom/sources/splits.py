@@ -21,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from exonloom.session import cut_lineage
 
 DEFAULT_SPLIT = 32 << 20
+#: Small ranges are read by one task until they are so many bytes.
+TASK_BYTES = 4 << 20
 #: Bytes that a task reads at once, bases of one row, and lines of one batch.
 WINDOW, PIECE, LINES = 1 << 20, 1 << 14, 1 << 14
 
@@ -56,16 +58,34 @@ class Range(InputPartition):
         super().__init__((self.path, self.begin))
 
 
+@dataclass
+class Task(InputPartition):
+    """Ranges that one task reads one after another."""
+
+    ranges: tuple[Range, ...]
+
+    def __post_init__(self) -> None:
+        super().__init__(self.ranges)
+
+
 class Ranges(DataSourceReader):
-    """Ranges of at most ``splitBytes`` bytes over the files at ``path``."""
+    """Ranges of at most ``splitBytes`` bytes over the files at ``path``; a task reads up to ``TASK_BYTES`` of them."""
 
     def __init__(self, options: dict):
         self.path, self.split = options["path"], int(options.get("splitBytes", DEFAULT_SPLIT))
         if self.split < 1:
             raise ValueError("splitBytes must be positive")
 
-    def partitions(self) -> list[Range]:
-        return [Range(n, at, min(at + self.split, size)) for n, size in files_under(self.path) for at in range(0, size, self.split)] or [Range("", 0, 0)]
+    def ranges(self) -> list[Range]:
+        return [Range(n, at, min(at + self.split, size)) for n, size in files_under(self.path) for at in range(0, size, self.split)]
+
+    def partitions(self) -> list[Task]:
+        ranges, most = self.ranges(), max(TASK_BYTES // self.split, 1)
+        return [Task(tuple(ranges[i : i + most])) for i in range(0, len(ranges), most)] or [Task(())]
+
+    def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges:
+            yield from self.read_range(part)
 
 
 class Bytes:
@@ -151,9 +171,7 @@ class FastaRanges(DataSource):
 
 
 class FastaReader(Ranges):
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def read_range(self, partition: Range) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
         names = [c.split()[0] for c in _PARTS.split(", ")]
         rows: list[tuple] = []
@@ -327,7 +345,7 @@ class BlockLines(DataSource):
 
 
 class BlockReader(Ranges):
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read_range(self, partition: Range) -> Iterator[pa.RecordBatch]:
         lines: list[tuple[str, int]] = []
 
         def batch() -> pa.RecordBatch:
@@ -335,7 +353,7 @@ class BlockReader(Ranges):
             return pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array([partition.path] * len(lines), pa.string()), pa.array(places, pa.int64())],
                                               names=["value", "file", "voffset"])
 
-        for line in block_lines(partition.path, partition.begin, partition.end) if partition.path else ():
+        for line in block_lines(partition.path, partition.begin, partition.end):
             lines.append(line)
             if len(lines) == LINES:
                 yield batch()

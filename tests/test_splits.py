@@ -3,8 +3,10 @@
 import gzip
 import random
 
+import pyarrow as pa
 import pytest
 
+from exonloom.functions import registry
 from exonloom.sources import framed, sequences, splits
 from exonloom.sources import variants as gv
 
@@ -128,3 +130,10 @@ def test_framed_files_are_replaced_as_a_whole(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         framed.write_framed(bad, str(out), ["h"])
     assert [f.name for f in out.iterdir() if not f.name.startswith("_SUCCESS")] == [files[0].name]
+
+
+def test_small_ranges_share_a_task(tmp_path):
+    (tmp_path / "a.fa").write_bytes(b">x\n" + b"ACGT" * 5000 + b"\n>y\nGG\n")
+    reader = splits.FastaReader({"path": str(tmp_path), "splitBytes": "100"})
+    assert len(reader.ranges()) > 200 and len(reader.partitions()) == 1
+    assert [r for task in reader.partitions() for r in task.ranges] == reader.ranges()
