@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
@@ -24,24 +25,33 @@ SCALARS = {
 }
 
 
-@F.udtf(returnType="target string, nearest string, distance bigint")
+@F.arrow_udtf(returnType="target string, nearest string, distance bigint")
 class NearestBefore:
     """For each row with ``kind`` 1 the last row with ``kind`` 0 before it, in the order that the query gives.
 
     The table has the columns ``(kind int, pos bigint, name string)`` beside its partition key; of rows at one place the
-    features come first if the query orders by ``pos, kind``.  A target without one before it gets nulls.
+    features come first if the query orders by ``pos, kind``.  A target without one before it gets nulls.  Batches are
+    worked on as columns; a batch hands on its last feature.
     """
 
     def __init__(self) -> None:
         self.last = None
 
-    def eval(self, row) -> Iterator[tuple]:
-        if row["kind"] == 0:
-            self.last = (row["name"], row["pos"])
-        elif self.last is None:
-            yield row["name"], None, None
-        else:
-            yield row["name"], self.last[0], row["pos"] - self.last[1] + 1
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        names, pos = batch.column("name").cast(pa.string()), batch.column("pos").cast(pa.int64())
+        feature = pc.fill_null(pc.equal(batch.column("kind"), 0), False).to_numpy(zero_copy_only=False)
+        if self.last is not None:
+            names, pos = pa.concat_arrays([self.last[0], names]), pa.concat_arrays([self.last[1], pos])
+            feature = np.concatenate([[True], feature])
+        last = np.maximum.accumulate(np.where(feature, np.arange(len(feature)), -1))
+        target = np.flatnonzero(~feature)
+        if len(target):
+            of = pa.array(last[target], mask=last[target] < 0)
+            distance = pc.add(pc.subtract(pos.take(pa.array(target)), pos.take(of)), 1)
+            yield pa.table({"target": names.take(pa.array(target)), "nearest": names.take(of), "distance": distance})
+        if len(last) and last[-1] >= 0:
+            at = pa.array([last[-1]])
+            self.last = names.take(at), pos.take(at)
 
 
 @F.udtf(returnType="name string, value double, place bigint, ties bigint")

@@ -137,3 +137,13 @@ def test_small_ranges_share_a_task(tmp_path):
     reader = splits.FastaReader({"path": str(tmp_path), "splitBytes": "100"})
     assert len(reader.ranges()) > 200 and len(reader.partitions()) == 1
     assert [r for task in reader.partitions() for r in task.ranges] == reader.ranges()
+
+
+def test_nearest_before_by_batches():
+    rows = [(1, 1, "t0"), (0, 3, "f0"), (1, 4, "t1"), (0, 5, "f1"), (1, 9, "t2"), (None, 10, "t3")]
+    for cut in range(len(rows) + 1):
+        function, got = registry.NearestBefore.func(), []
+        for part in (rows[:cut], rows[cut:]):
+            batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.string())], names=["kind", "pos", "name"])
+            got += [tuple(r.values()) for t in function.eval(batch) for r in t.to_pylist()]
+        assert got == [("t0", None, None), ("t1", "f0", 2), ("t2", "f1", 5), ("t3", "f1", 6)]
