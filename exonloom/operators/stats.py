@@ -62,6 +62,7 @@ def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int, nam
     edges = exact_quantiles(df, keys, value, [i / bins for i in range(bins + 1)]).groupBy(*keys).agg(
         F.array_sort(F.collect_set("quantile")).alias("_edges")
     )
+    edges = cut_lineage(edges)  # stored, so that Spark knows its size and does not shuffle the rows by few keys
     below = lambda v: F.size(F.filter(F.slice("_edges", 2, bins + 1), lambda e: v > e))
     return df.join(edges, keys).withColumn(name, below(F.col(value)).cast("bigint")).drop(
         "_edges", *(["_all"] if whole else [])

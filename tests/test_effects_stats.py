@@ -175,3 +175,9 @@ def test_contested_controls_in_few_rounds(spark, monkeypatch, metric):
     large = sorted(map(repr, ma.greedy_match(df, "g", "role", "o", "t", ["a", "b", "c"], metric, task_limit=50).collect()))
     assert small == large and len(small) > 300
     assert len(stored) <= 10
+
+
+def test_rows_are_not_shuffled_to_their_quantile_edges(spark):
+    df = spark.range(1000).selectExpr("id % 3 as k", "cast(id % 50 as double) as x")
+    plan = st.quantile_bins(df, ["k"], "x", 10)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
