@@ -127,7 +127,7 @@ class Descent:
             e = min(s + CHUNK, len(ids))
             far = min(e + max(WIDTHS) - 1, len(ids))
             z = answers(model, embed(model, ids[s:far]), room[s:far])[: e - s]
-            for d in np.flatnonzero((begin < e) & (begin + sizes > s)).tolist():
+            for d in np.flatnonzero((begin < e) & (begin + sizes > s) & (sizes > 0)).tolist():
                 lo, hi = max(int(begin[d]), s), min(int(begin[d] + sizes[d]), e)
                 part = z[lo - s : hi - s]
                 place = part.argmax(0)

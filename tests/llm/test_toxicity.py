@@ -84,3 +84,14 @@ def test_learners_go_over_all_rows_whatever_the_partitions(spark, monkeypatch):
     got = toxicity.score(spark.createDataFrame([r[:3] for r in fresh], "doc_id long, text string, lang string"), one).collect()
     truth = {r[0]: r[3] for r in fresh}
     assert np.mean([(r["score"] >= 0.5) == bool(truth[r["doc_id"]]) for r in got]) > 0.9
+
+
+def test_texts_without_words_are_learned_from(monkeypatch):
+    texts = [b"good words here", b"", b"bad zzz words", b" \n"] * 10
+    y = np.array([0.0, 0.0, 1.0, 0.0] * 10)
+    model = toxicity.train(texts, y, least_steps=20)
+    data, offsets = toxicity.texts(pa.array(texts[:4], pa.binary()))
+    assert toxicity.logits(model, data, offsets).argmax() == 2
+    monkeypatch.setattr(toxicity, "CHUNK", 5)
+    parts = toxicity.train(texts, y, least_steps=20)
+    assert np.allclose(toxicity.logits(model, data, offsets), toxicity.logits(parts, data, offsets), atol=1e-3)
