@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from exonloom.session import cut_lineage
 
 DEFAULT_SPLIT = 32 << 20
-#: Small ranges are read by one task until they are so many bytes.
+#: Small ranges of FASTA are read by one task until they are so many bytes.
 TASK_BYTES = 4 << 20
 #: Bytes that a task reads at once, bases of one row, and lines of one batch.
 WINDOW, PIECE, LINES = 1 << 20, 1 << 14, 1 << 14
@@ -69,7 +69,9 @@ class Task(InputPartition):
 
 
 class Ranges(DataSourceReader):
-    """Ranges of at most ``splitBytes`` bytes over the files at ``path``; a task reads up to ``TASK_BYTES`` of them."""
+    """Ranges of at most ``splitBytes`` bytes over the files at ``path``; a task reads up to ``task_bytes`` of them, or one."""
+
+    task_bytes = 0
 
     def __init__(self, options: dict):
         self.path, self.split = options["path"], int(options.get("splitBytes", DEFAULT_SPLIT))
@@ -80,7 +82,7 @@ class Ranges(DataSourceReader):
         return [Range(n, at, min(at + self.split, size)) for n, size in files_under(self.path) for at in range(0, size, self.split)]
 
     def partitions(self) -> list[Task]:
-        ranges, most = self.ranges(), max(TASK_BYTES // self.split, 1)
+        ranges, most = self.ranges(), max(self.task_bytes // self.split, 1)
         return [Task(tuple(ranges[i : i + most])) for i in range(0, len(ranges), most)] or [Task(())]
 
     def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
@@ -171,6 +173,8 @@ class FastaRanges(DataSource):
 
 
 class FastaReader(Ranges):
+    task_bytes = TASK_BYTES
+
     def read_range(self, partition: Range) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
         names = [c.split()[0] for c in _PARTS.split(", ")]
