@@ -189,9 +189,8 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
 
-def named_by(links: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` with ``c``, the component under ``links`` of the node in their column ``k``; itself without links."""
-    groups = cut_lineage(graph.components(links))
+def named_by(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``c``, the component in ``groups(node, component)`` of their column ``k``; itself where it is in none."""
     of = groups.select(F.col("node").alias("k"), F.col("component").alias("c"))
     return rows.join(of, "k", "left").withColumn("c", F.coalesce("c", "k"))
 
@@ -212,7 +211,13 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def prefix_links(rows: DataFrame, sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Edges that join all ``rows(k)`` alike by their ``sets(k, set)``, next to those of ``known``; exact.
+    """Edges that join all ``rows(k)`` alike by their ``sets(k, set)``, next to those of ``known``; see ``prefix_groups``."""
+    groups = prefix_groups(rows, sets, cut_lineage(graph.components(known)), similarity)
+    return groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
+def prefix_groups(rows: DataFrame, sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """``groups(node, component)`` extended by the links of all ``rows(k)`` alike by their ``sets(k, set)``; exact.
 
     Sets meet on the shingles of their prefixes.  First each is compared with the set of its shingle that has the
     fewest rarer ones, which joins families of near copies; then all that meet and are not joined yet are compared.
@@ -230,21 +235,21 @@ def prefix_links(rows: DataFrame, sets: DataFrame, known: DataFrame, similarity:
         return met.filter("cx <> cy").filter(may("x", "y")).select(F.greatest("kx", "ky").alias("u"), F.least("kx", "ky").alias("v")).distinct()
 
     few = cut_lineage(prefixes(sets.join(rows, "k", "left_semi"), similarity))
-    entries = cut_lineage(named_by(known, few))
+    entries = cut_lineage(named_by(groups, few))
     head = entries.groupBy("shingle").agg(F.min(F.struct("pos", "k", "c", "n")).alias("h")).select("shingle", "h.*")
     tried = cut_lineage(pairs(sides(entries, "x").join(sides(head, "y"), "shingle")))
-    found = cut_lineage(known.union(alike(tried, sets, similarity)))
-    entries = cut_lineage(named_by(found, few))
+    groups = cut_lineage(graph.extended(groups, cut_lineage(alike(tried, sets, similarity))))
+    entries = cut_lineage(named_by(groups, few))
     met = sides(entries, "x").join(sides(entries, "y"), "shingle").filter("kx > ky")
     rest = cut_lineage(pairs(met).join(tried, ["u", "v"], "left_anti"))
-    return found.union(alike(rest, sets, similarity))
+    return graph.extended(groups, cut_lineage(alike(rest, sets, similarity)))
 
 
 def join_met(near: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
     """Components of ``near(first, n, near)`` (``n``: shingles of the set) under links between all alike texts that meet.
 
     Texts meet in a bucket of equal ``near``.  Every row is first compared with the least one of its bucket.  The rows
-    of all buckets that this leaves in several components are then joined by ``prefix_links``, which misses no pair
+    of all buckets that this leaves in several components are then joined by ``prefix_groups``, which misses no pair
     among them.  Work is linear in families of copies; texts that share a template, but have more words of their own
     than similar texts can have, do not meet in the second step.
     """
@@ -254,11 +259,11 @@ def join_met(near: DataFrame, rows: DataFrame, size: int, similarity: float) ->
     sets = cut_lineage(shingle_sets(rows.join(met.select(F.col("first").alias("k")).distinct(), "k", "left_semi"), size))
     small, large = F.least("n", "nl"), F.greatest("n", "nl")
     pairs = met.filter("first > least").filter(small >= similarity * large).select(F.col("first").alias("u"), F.col("least").alias("v")).distinct()
-    sure = cut_lineage(alike(cut_lineage(pairs), sets, similarity))
-    named = cut_lineage(named_by(sure, met.select(F.col("first").alias("k"), "near")))
+    groups = cut_lineage(graph.components(alike(cut_lineage(pairs), sets, similarity)))
+    named = cut_lineage(named_by(groups, met.select(F.col("first").alias("k"), "near")))
     apart = named.groupBy("near").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("near")
     open_rows = named.join(apart, "near", "left_semi").select("k").distinct()
-    return graph.components(cut_lineage(prefix_links(open_rows, sets, sure, similarity)))
+    return prefix_groups(open_rows, sets, groups, similarity)
 
 
 def similar_groups(docs: DataFrame, key: str, text: str, size: int = 5, similarity: float = 0.8, bands: int = BANDS) -> DataFrame:

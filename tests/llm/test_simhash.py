@@ -175,3 +175,18 @@ def test_groups_meet_in_balls_of_fingerprints(spark):
             near += 1
             assert of[i] == of[i + 1]
     assert near > 10 and len(set(of.values())) >= 30
+
+
+def test_components_grow_by_edges(spark):
+    rng = random.Random(3)
+    first = [(rng.randrange(60), rng.randrange(60)) for _ in range(30)]
+    more = [(rng.randrange(80), rng.randrange(80)) for _ in range(20)]
+    frame = lambda e: spark.createDataFrame(e, "u long, v long")
+    groups = simhash.graph.components(frame(first))
+    of = {r["node"]: r["component"] for r in simhash.graph.extended(groups, frame(more)).collect()}
+    linked = {n for u, v in first + more if u != v for n in (u, v)}
+    want = roots(range(80), first + more)
+    assert of == {n: want[n] for n in linked}
+    assert simhash.graph.extended(groups, frame([])).count() == groups.count()
+    stored, mark = simhash.graph._stored(frame([(1, 0), (2, 1)]))
+    assert mark[0] == stored.count() == 2
