@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,10 @@ def ensemble_scorer(models: Callable[[], list], context: int = 5000, name: str |
         if not loaded:
             loaded.extend(models())
         batch = one_hot(texts, context)
-        mean = np.mean([np.asarray(m(batch)) for m in loaded], axis=0)
+        mean = np.asarray(loaded[0](batch))
+        for model in loaded[1:]:  # no more than one model's scores beside their sum
+            mean = mean + np.asarray(model(batch))
+        mean = mean / len(loaded)
         return (
             [mean[i, : len(t), 1] for i, t in enumerate(texts)],
             [mean[i, : len(t), 2] for i, t in enumerate(texts)],
@@ -131,7 +135,7 @@ def gc_scorer(width: int = 10) -> Scorer:
 
 
 def predict(
-    seqs: DataFrame, scorer: Scorer, batch_size: int = 64, id_column: str = "seq_id", batch_bases: int = 1 << 22
+    seqs: DataFrame, scorer: Scorer, batch_size: int = 64, id_column: str = "seq_id", batch_bases: int = 1 << 17
 ) -> DataFrame:
     """Acceptor and donor arrays per sequence.
 
@@ -148,15 +152,16 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, at = [t or "" for t in batch.column("seq").to_pylist()], 0
-            while at < len(texts):
+            column, at = batch.column("seq"), 0
+            size = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
+            while at < len(size):
                 stop, longest = at, 0
-                while stop < len(texts) and stop - at < batch_size:
-                    longest = max(longest, len(texts[stop]))
+                while stop < len(size) and stop - at < batch_size:
+                    longest = max(longest, size[stop])
                     if stop > at and longest * (stop + 1 - at) > batch_bases:
                         break
                     stop += 1
-                acceptor, donor = scorer(texts[at:stop])
+                acceptor, donor = scorer([t or "" for t in column.slice(at, stop - at).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("seq_id").slice(at, stop - at), lists(acceptor), lists(donor)], names=["seq_id", "acceptor", "donor"]
                 )

@@ -181,3 +181,16 @@ def test_rows_are_not_shuffled_to_their_quantile_edges(spark):
     df = spark.range(1000).selectExpr("id % 3 as k", "cast(id % 50 as double) as x")
     plan = st.quantile_bins(df, ["k"], "x", 10)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_scorers_see_few_bases_and_one_model_at_a_time(spark):
+    texts = spark.createDataFrame([(str(i), "ACGT" * 5000) for i in range(24)], "seq_id string, seq string").coalesce(1)
+
+    def model(batch):
+        if batch.shape[0] * batch.shape[1] > 1 << 18:
+            raise ValueError("a batch of many bases")
+        return np.repeat(batch.sum(axis=2)[:, 3:-3, None], 3, axis=2)
+
+    scorer = pr.ensemble_scorer(lambda: [model, lambda b: 2 * model(b)], 3)
+    rows = pr.predict(texts, scorer).selectExpr("seq_id", "size(acceptor) n", "aggregate(donor, 0D, (a, x) -> a + x) d").collect()
+    assert len(rows) == 24 and {(r["n"], r["d"]) for r in rows} == {(20000, 30000.0)}
