@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exonloom.operators.automaton import Automaton, code_points, slices
-from exonloom.operators.intervals import cluster, cluster_sizes
+from exonloom.operators.intervals import cluster, cluster_sizes, cluster_within
 from exonloom.operators.scan import DEFAULT_BLOCK, position_block
 from exonloom.schemas import HITS
 from exonloom.session import cut_lineage
@@ -323,6 +323,19 @@ def _loser(best: Column, name: str, end: Column) -> Column:
     return F.when(best.isNotNull() & (best["name"] != F.col(name)), F.greatest(F.struct(end.alias("end"), F.col(name).alias("name")), best))
 
 
+def _two_least(df: DataFrame, keys: list[str], order: list, end: Column, mine: Column) -> DataFrame:
+    """``_best`` and ``_second`` before each row; a new best of another name makes the old one the second."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_best", F.min(mine).over(before))
+    lost = F.when(mine.isNotNull(), _loser(F.col("_best"), "_name", end))
+    return df.withColumn("_lost", lost).withColumn("_second", F.min("_lost").over(before))
+
+
+def _holds(*least: str) -> Column:
+    """Whether one of these structs ``(end, name)`` has another name than ``_name`` and ends at ``end`` or before."""
+    return reduce(Column.__or__, [F.coalesce((F.col(f"{c}.name") != F.col("_name")) & (F.col(f"{c}.end") <= F.col("end")), F.lit(False)) for c in least])
+
+
 def held_by_others(probes: DataFrame, hits: DataFrame, name: str = "rbp_name", block: int = DEFAULT_BLOCK) -> DataFrame:
     """The distinct ``probes(seq_id, name, start, end)`` that hold a strictly shorter hit of another name.
 
@@ -336,26 +349,16 @@ def held_by_others(probes: DataFrame, hits: DataFrame, name: str = "rbp_name", b
     events = cut_lineage(events)
     mine = F.when(F.col("_hit") == 1, F.struct("end", F.col("_name").alias("name")))
 
-    def deep(df: DataFrame, keys: list[str], order: list, end: Column, mine: Column) -> DataFrame:
-        """``_best`` and ``_second`` before each row; a new best of another name makes the old one the second."""
-        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        df = df.withColumn("_best", F.min(mine).over(before))
-        lost = F.when(mine.isNotNull(), _loser(F.col("_best"), "_name", end))
-        return df.withColumn("_lost", lost).withColumn("_second", F.min("_lost").over(before))
-
-    local = deep(events, ["seq_id", "_block"], order, F.col("end"), mine)
+    local = _two_least(events, ["seq_id", "_block"], order, F.col("end"), mine)
     # what a block hands on: its two best names
     tops = local.filter("_hit = 1").groupBy("seq_id", "_block").agg(F.min(mine).alias("a"), F.min("_lost").alias("b"))
     handed = tops.select("seq_id", "_block", F.explode(F.filter(F.array("a", "b"), lambda x: x.isNotNull())).alias("t"))
     handed = handed.select("seq_id", "_block", F.col("t.end").alias("end"), F.col("t.name").alias("_name"))
     steps = local.select("seq_id", "_block").distinct().withColumns({"end": F.lit(None).cast("bigint"), "_name": F.lit(None).cast("string")})
     given = F.when(F.col("_name").isNotNull(), F.struct("end", F.col("_name").alias("name")))
-    carried = deep(handed.unionByName(steps), ["seq_id"], ["_block", F.col("end").asc_nulls_first(), "_name"], F.col("end"), given)
+    carried = _two_least(handed.unionByName(steps), ["seq_id"], ["_block", F.col("end").asc_nulls_first(), "_name"], F.col("end"), given)
     carried = carried.filter("_name is null").select("seq_id", "_block", F.col("_best").alias("_c"), F.col("_second").alias("_d"))
-    holds = F.lit(False)
-    for c in ("_best", "_second", "_c", "_d"):
-        holds = holds | F.coalesce((F.col(f"{c}.name") != F.col("_name")) & (F.col(f"{c}.end") <= F.col("end")), F.lit(False))
-    return local.filter("_hit = 0").join(carried, ["seq_id", "_block"]).filter(holds).select("seq_id", F.col("_name").alias(name), "start", "end")
+    return local.filter("_hit = 0").join(carried, ["seq_id", "_block"]).filter(_holds("_best", "_second", "_c", "_d")).select("seq_id", F.col("_name").alias(name), "start", "end")
 
 
 def remove_self_contained(hits: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
@@ -363,13 +366,33 @@ def remove_self_contained(hits: DataFrame, block: int = DEFAULT_BLOCK) -> DataFr
 
     Clusters are per sequence and RBP with at least four shared bases; the representative is
     the longest hit, then the first.  A representative that holds hits of its own RBP gets
-    ``has_self_submotif``, one that holds hits of another RBP ``has_other_submotif``.  Clusters and containers
-    are found in blocks of positions (hits must be four bases long at least).
+    ``has_self_submotif``, one that holds hits of another RBP ``has_other_submotif``.  Sequences whose hits lie within
+    one width of a block take one shuffle; in all others clusters and containers are found in blocks of positions
+    (hits must be four bases long at least).
     """
-    keys = ["seq_id", "rbp_name"]
-    hits = cut_lineage(hits)  # read three times below, so the scan behind it runs once
-    labelled = cluster(hits, keys, slack=-4, block=block, name="_island")
-    group = Window.partitionBy(*keys, "_island")
+    hits = cut_lineage(hits)  # read more than once below, so the scan behind it runs once
+    near, far = _near_and_far(hits, block)
+    kept = _without_contained_near(near)
+    return kept if far is None else kept.unionByName(_without_contained_far(far, block))
+
+
+def _near_and_far(hits: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """Stored ``hits`` of sequences whose hits begin within one width of a block, dealt by sequence, and all others.
+
+    The rows of the first are bounded by the width, so one shuffle serves every window over a sequence.
+    """
+    hits = hits.filter("seq_id is not null and start is not null")
+    spans = hits.groupBy("seq_id").agg((F.max("start") - F.min("start")).alias("_span"))
+    wide = cut_lineage(spans.filter(F.col("_span") >= block).select("seq_id"))
+    if wide.isEmpty():
+        return hits.repartition("seq_id"), None
+    far = cut_lineage(hits.join(wide, "seq_id", "left_semi").select(*hits.columns))
+    return hits.join(wide, "seq_id", "left_anti").select(*hits.columns).repartition("seq_id"), far
+
+
+def _marked(labelled: DataFrame) -> DataFrame:
+    """Hits with their cluster ``_island``, marked as ``_is_rep`` or ``_inside`` it, and ``has_self_submotif``."""
+    group = Window.partitionBy("seq_id", "rbp_name", "_island")
     first = F.min(
         F.struct(
             (F.col("start") - F.col("end")).alias("len"),
@@ -386,7 +409,24 @@ def remove_self_contained(hits: DataFrame, block: int = DEFAULT_BLOCK) -> DataFr
         & (F.col("motif") == F.col("_rep.motif"))
     )
     marked = with_rep.withColumns({"_inside": inside, "_is_rep": is_rep})
-    marked = cut_lineage(marked.withColumn("has_self_submotif", F.col("_is_rep") & F.max("_inside").over(group)))
+    return marked.withColumn("has_self_submotif", F.col("_is_rep") & F.max("_inside").over(group))
+
+
+def _without_contained_near(hits: DataFrame) -> DataFrame:
+    """``remove_self_contained`` by windows over sequences; a representative goes in once more to ask what it holds."""
+    named = hits.filter("rbp_name is not null")
+    marked = _marked(cluster_within(named, ["seq_id", "rbp_name"], slack=-4, tie=["motif"], name="_island"))
+    as_hit = F.explode(F.when(F.col("_is_rep"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))
+    events = marked.withColumn("_name", F.col("rbp_name")).withColumn("_hit", as_hit)
+    mine = F.when(F.col("_hit") == 1, F.struct("end", F.col("_name").alias("name")))
+    swept = _two_least(events, ["seq_id"], [-F.col("start"), F.col("end"), F.col("_hit"), F.col("_name")], F.col("end"), mine)
+    kept = swept.filter(~F.col("_inside") & ((F.col("_hit") == 0) | ~F.coalesce("_is_rep", F.lit(False))))
+    return kept.select(*hits.columns, "has_self_submotif", (F.col("_is_rep") & _holds("_best", "_second")).alias("has_other_submotif"))
+
+
+def _without_contained_far(hits: DataFrame, block: int) -> DataFrame:
+    """``remove_self_contained`` of stored hits in blocks of positions."""
+    marked = cut_lineage(_marked(cluster(hits, ["seq_id", "rbp_name"], slack=-4, block=block, name="_island")))
     others = held_by_others(marked.filter("_is_rep"), hits, block=block).withColumn("_other", F.lit(True))
     kept = marked.filter(~F.col("_inside")).join(others, ["seq_id", "rbp_name", "start", "end"], "left")
     return kept.select(
@@ -398,10 +438,18 @@ def remove_self_contained(hits: DataFrame, block: int = DEFAULT_BLOCK) -> DataFr
 def tag_density(hits: DataFrame, slack: int = 5, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Blocks of hits of any RBP at most ``slack`` bases apart; blocks of one are not dense.
 
-    Clusters are found on distinct starts, in blocks of positions, and counted there.
+    Sequences whose hits lie within one width of a block take one shuffle; in all others clusters are found on
+    distinct starts, in blocks of positions, and counted there.
     """
-    labelled = cluster_sizes(hits, ["seq_id"], slack, block=block, name="_island", size="n_at_density_block")
-    return labelled.withColumn("is_high_density_region", F.col("n_at_density_block") > 1).drop("_island")
+    near, far = _near_and_far(cut_lineage(hits), block)
+    size = "n_at_density_block"
+    labelled = cluster_within(near, ["seq_id"], slack, name="_island").withColumn(
+        size, F.count(F.lit(1)).over(Window.partitionBy("seq_id", "_island"))
+    )
+    if far is not None:
+        labelled = labelled.unionByName(cluster_sizes(far, ["seq_id"], slack, block=block, name="_island", size=size))
+    rest = [c for c in hits.columns if c not in ("seq_id", "start")]
+    return labelled.select("seq_id", "start", *rest, size, (F.col(size) > 1).alias("is_high_density_region"))
 
 
 def _as_text(field: str):

@@ -96,6 +96,22 @@ def test_one_long_sequence_is_spread_and_gives_the_same(spark):
     assert mo.held_by_others(df, df, block=64)._jdf.queryExecution().executedPlan().toString().count("_block") > 2
 
 
+def test_short_sequences_take_no_joins_and_long_ones_beside_them_agree(spark, monkeypatch):
+    long = [("w", *r[1:]) for r in random_hits(5, 200, 900)]
+    short = [(f"{r[0]}{r[3] % 3}", *r[1:3], r[3] % 60, r[3] % 60 + r[4] - r[3]) for r in random_hits(6, 200)]
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    mixed = hits(spark, long + short).dropDuplicates()
+    want = rows(mo._without_contained_far(mixed, 64))  # every sequence in blocks of positions
+    assert rows(mo.remove_self_contained(mixed, 64)) == want
+    dense = rows(mo.tag_density(mixed, block=64))
+    monkeypatch.setattr(mo, "held_by_others", None)
+    monkeypatch.setattr(mo, "cluster", None)
+    monkeypatch.setattr(mo, "cluster_sizes", None)
+    assert rows(mo.remove_self_contained(mixed)) == want and rows(mo.tag_density(mixed)) == dense
+    plan = mo.remove_self_contained(mixed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_density_blocks(spark):
     df = hits(spark, [("s", "A", "m", 0, 5), ("s", "B", "m", 10, 15), ("s", "A", "m", 21, 26), ("t", "A", "m", 0, 5)])
     got = {(r["seq_id"], r["start"]): (r["n_at_density_block"], r["is_high_density_region"]) for r in mo.tag_density(df).collect()}
