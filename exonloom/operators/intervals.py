@@ -200,13 +200,20 @@ def _rung_of(start: str, end: str, widths: Sequence[int]) -> Column:
     return rung
 
 
-def _seats(start: str, end: str, widths: Sequence[int], guest: int, home: int) -> Column:
+def _occupied(df: DataFrame, start: str, end: str, widths: Sequence[int]) -> set[int]:
+    """The rungs on which an interval of ``df`` lives; one small number for each."""
+    return {r["rung"] for r in df.select(_rung_of(start, end, widths).alias("rung")).distinct().collect()}
+
+
+def _seats(start: str, end: str, widths: Sequence[int], guest: int, home: int, hosts: set[int] | None = None) -> Column:
     """``(rung, bin, side)`` of an interval: the bins it touches at home, and as a guest on every wider rung.
 
     Bins are as wide as the interval at least, so it touches one or two of each rung.  Pairs meet where one is at
     home: ``side`` 0 joins guests and homes of the left with homes of the right, ``side`` 1 homes of the left
-    with guests of the right, so no two guests meet.
+    with guests of the right, so no two guests meet.  Where ``hosts``, the rungs of the other side, are known,
+    there are no seats that meet nobody.
     """
+    hosts = set(range(len(widths))) if hosts is None else hosts
     def touched(i: int, side: int) -> Column:
         first = F.floor(F.col(start) / F.lit(widths[i])).cast("bigint")
         last = F.floor(F.greatest(F.col(end) - 1, F.col(start)) / F.lit(widths[i])).cast("bigint")
@@ -215,11 +222,12 @@ def _seats(start: str, end: str, widths: Sequence[int], guest: int, home: int) -
 
     mine = _rung_of(start, end, widths)
     none = F.array().cast("array<struct<rung:int,bin:bigint,side:int>>")
-    as_guest = [F.when(mine < i, touched(i, guest)).otherwise(none) for i in range(1, len(widths))]
-    at_home = [F.when(mine == i, touched(i, home)).otherwise(none) for i in range(len(widths))]
+    as_guest = [F.when(mine < i, touched(i, guest)).otherwise(none) for i in range(1, len(widths)) if i in hosts]
+    met_by = [i for i in range(len(widths)) if any(h < i or (guest and h == i) for h in hosts)]
+    at_home = [F.when(mine == i, touched(i, home)).otherwise(none) for i in met_by]
     if guest == 0:  # the left's homes meet homes, too
-        at_home += [F.when(mine == i, touched(i, guest)).otherwise(none) for i in range(len(widths))]
-    return F.flatten(F.array(*at_home, *as_guest))
+        at_home += [F.when(mine == i, touched(i, guest)).otherwise(none) for i in range(len(widths)) if i in hosts]
+    return F.flatten(F.array(none, *at_home, *as_guest))
 
 
 def overlap_join(
@@ -231,6 +239,7 @@ def overlap_join(
     end: str = "end",
     suffix: str = "_b",
     how: str = "inner",
+    stored: bool = False,
 ) -> DataFrame:
     """Pairs that share at least one base, with ``overlap`` in bases.
 
@@ -238,15 +247,17 @@ def overlap_join(
     it touches, and asks the wider rungs for longer ones; the sides meet by an equi join on (rung, bin).  So a row
     costs at most two rows a rung, whatever its length, and short intervals do not search bins sized for long
     ones.  A pair is kept only in the bin that holds its first shared base, so no distinct is needed.
-    ``bin_width`` is the width of the lowest rung; it should be near the shorter usual lengths.
+    ``bin_width`` is the width of the lowest rung; it should be near the shorter usual lengths.  Where both sides are
+    ``stored``, each is read once more for the rungs it lives on, and the other asks those rungs only.
     """
     keys, widths = list(keys), _rungs(bin_width)
     rs, re = f"{start}{suffix}", f"{end}{suffix}"
     renamed = right.select(
         *keys, *[F.col(c).alias(f"{c}{suffix}") for c in right.columns if c not in keys]
     )
-    a = left.withColumn("_seat", F.explode(_seats(start, end, widths, 0, 1)))
-    b = renamed.withColumn("_seat", F.explode(_seats(rs, re, widths, 1, 0)))
+    of_left, of_right = (_occupied(x, start, end, widths) if stored else None for x in (left, right))
+    a = left.withColumn("_seat", F.explode(_seats(start, end, widths, 0, 1, of_right)))
+    b = renamed.withColumn("_seat", F.explode(_seats(rs, re, widths, 1, 0, of_left)))
     seat = ["rung", "bin", "side"]
     a, b = (x.select(*[c for c in x.columns if c != "_seat"], *[F.col(f"_seat.{c}").alias(f"_{c}") for c in seat]) for x in (a, b))
     shared = F.greatest(F.col(start), F.col(rs))
@@ -257,6 +268,26 @@ def overlap_join(
     return pairs.drop(*[f"_{c}" for c in seat]).withColumn("overlap", F.least(F.col(end), F.col(re)) - shared)
 
 
+def point_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], bin_width: int, at: str, start: str = "start", end: str = "end", suffix: str = "_b"
+) -> DataFrame:
+    """Pairs where the place ``at`` of the left lies in the right interval; the ladder of ``overlap_join``.
+
+    A place has one bin on every rung, so the right stays on its own rung: one or two rows each.
+    """
+    keys, widths = list(keys), _rungs(bin_width)
+    rs, re = f"{start}{suffix}", f"{end}{suffix}"
+    seat = lambda i, place: F.struct(F.lit(i).alias("_rung"), F.floor(place / F.lit(widths[i])).cast("bigint").alias("_bin"))
+    renamed = right.select(*keys, *[F.col(c).alias(f"{c}{suffix}") for c in right.columns if c not in keys])
+    rung = _rung_of(rs, re, widths)
+    last = F.greatest(F.col(re) - 1, F.col(rs))
+    homes = [F.when(rung == i, F.array_distinct(F.array(seat(i, F.col(rs)), seat(i, last)))) for i in range(len(widths))]
+    a = left.select("*", F.inline(F.array(*[seat(i, F.col(at)) for i in range(len(widths))])))
+    b = renamed.select("*", F.inline(F.coalesce(*homes)))
+    met = a.join(b, [*keys, "_rung", "_bin"]).filter((F.col(rs) <= F.col(at)) & (F.col(at) < F.col(re)))
+    return met.drop("_rung", "_bin")
+
+
 def overlap_exists(
     left: DataFrame,
     right: DataFrame,
@@ -329,11 +360,12 @@ def subtract(
 ) -> DataFrame:
     """The parts of every ``left`` interval that no ``right`` interval covers."""
     keys = list(keys)
+    left = cut_lineage(left)  # read three times below
     # one row per key, used three times
     bounds = cut_lineage(left.groupBy(*keys).agg(F.min(start).alias("lo"), F.max(end).alias("hi")))
     covered = right.join(bounds.select(*keys), keys, "left_semi")
-    free = complement(covered, keys, bounds, start, end, block)
-    pieces = overlap_join(left, free, keys, bin_width, start, end)
+    free = cut_lineage(complement(covered, keys, bounds, start, end, block))
+    pieces = overlap_join(left, free, keys, bin_width, start, end, stored=True)
     rest = [c for c in left.columns if c not in (*keys, start, end)]
     return pieces.select(
         *keys,

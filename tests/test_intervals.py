@@ -149,3 +149,34 @@ def test_cluster_sizes(spark):
         assert len(got) == 205 and all(v == [len(v)] * len(v) for v in sizes.values())
         near = {(r["id"], r["start"], r["cluster_start"]) for r in iv.cluster_within(df, ["c"], 3).collect()}
         assert {(r["id"], r["start"], r["cluster_start"]) for r in got} == near
+
+
+def _spread_lengths(seed, n=150):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        start = rng.randrange(4000)
+        rows.append((rng.choice("ab"), start, start + rng.choice([1, 3, 9, 60, 500, 3000]), i))
+    return rows
+
+
+@pytest.mark.parametrize("longest", [3, 60, 3000])
+def test_stored_sides_ask_only_rungs_where_the_other_lives(spark, longest):
+    make = lambda rows: spark.createDataFrame(rows, "k string, start long, end long, id long")
+    left = [r for r in _spread_lengths(1) if r[2] - r[1] <= longest]
+    right = [r for r in _spread_lengths(2) if r[2] - r[1] >= 9]
+    want = sorted((a[3], b[3]) for a in left for b in right if a[0] == b[0] and a[1] < b[2] and b[1] < a[2])
+    for a, b, turn in ((left, right, 1), (right, left, -1)):
+        got = iv.overlap_join(make(a), make(b), ["k"], 4, stored=True).select("id", "id_b").collect()
+        assert sorted(tuple(r)[::turn] for r in got) == want
+    short = make([("a", 5, 6, 1)])
+    seats = lambda hosts: short.select(F.size(iv._seats("start", "end", iv._rungs(4), 0, 1, hosts)).alias("n")).first()["n"]
+    assert seats(None) > 8 and seats({0}) == 1 and seats(set()) == 0
+
+
+def test_points_in_intervals_against_brute_force(spark):
+    make = lambda rows: spark.createDataFrame(rows, "k string, start long, end long, id long")
+    left, right = _spread_lengths(3), _spread_lengths(4)
+    got = iv.point_join(make(left), make(right), ["k"], 4, "start").select("id", "id_b").collect()
+    want = sorted((a[3], b[3]) for a in left for b in right if a[0] == b[0] and b[1] <= a[1] < b[2])
+    assert sorted(map(tuple, got)) == want
