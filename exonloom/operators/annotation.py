@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exonloom.functions.sequence import gc_percent, strip_version
-from exonloom.operators.intervals import merge, merge_within, overlap_join, subtract
+from exonloom.operators.intervals import merge, merge_within, point_join, subtract
 from exonloom.operators.ranking import top_row
 
 ID_COLUMNS = ("gene_id", "transcript_id", "exon_id")
@@ -398,8 +398,8 @@ def insert_exons(
         F.min("_s").alias("start"), F.max("_e").alias("end"),
         F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_e").alias("e"))).alias("parts"),
     )
-    # Only transcripts that span the exon are met; the search is inside each one's exon array.
-    met = overlap_join(new, spans, [gene, "chrom", "strand"], bin_width)
+    # Only transcripts that hold the exon's first base are met; the search is inside each one's exon array.
+    met = point_join(new, spans, [gene, "chrom", "strand"], bin_width, "start")
     before = F.array_max(
         F.transform(F.filter("parts_b", lambda x: x["e"] <= F.col("start")), lambda x: x["e"])
     )
