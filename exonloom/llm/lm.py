@@ -6,10 +6,11 @@ others share one place in it and are told apart there by their counts, so every
 The network has one gated recurrent layer and an output softmax in two steps, class then word within the
 class, so a word costs two short softmaxes.  Many texts run side by side in lanes, each lane text after
 text; the state goes on over the windows of a text and starts anew with the next, so a long text is
-scored as a whole.  Training cuts gradients at the ends of windows.
+scored as a whole.  Training cuts gradients at the ends of windows, which all hold about equally many words.
 
 Training is spread: in a round each task starts from the same parameters, learns from its part of the
-texts, and parameters are averaged by the number of words.
+texts, and parameters are averaged by the number of words.  Texts are cut into words once, and the rounds read
+the places of the words in the vocabulary.
 
 Counts of frequent words (at most ``HEAVY`` of them, as each makes up more than 1/``HEAVY`` of all words) go
 to the tasks; other words meet their counts in a join on the word's hash.
@@ -18,6 +19,7 @@ to the tasks; other words meet their counts in a join on the word's hash.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,6 +60,11 @@ class Shape:
             at += n
         return out
 
+    @property
+    def kind(self) -> np.dtype:
+        """Of a place in the vocabulary, as stored."""
+        return np.dtype(np.uint16 if self.vocabulary <= 1 << 16 else np.int32)
+
     @property
     def total(self) -> int:
         return sum(int(np.prod(s)) for _, s in self.parts())
@@ -76,78 +83,84 @@ def start(shape: Shape, counts: np.ndarray, seed: int = 3) -> np.ndarray:
     return flat
 
 
-def _gates(p, h, x):
-    n = h.shape[1]
-    rec = h @ p["u"]
-    both = x[:, : 2 * n] + rec[:, : 2 * n]
-    np.clip(both, -30, 30, out=both)
-    np.negative(both, out=both)
-    np.exp(both, out=both)
-    both += 1
-    np.reciprocal(both, out=both)
-    z, r = both[:, :n], both[:, n:]
-    cand = np.tanh(x[:, 2 * n :] + r * rec[:, 2 * n :])
-    return z, r, rec[:, 2 * n :], cand
-
-
 def forward(p: dict, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
     """States before each word of a window (steps x lanes), the state after it, and what backward needs.
 
-    ``fresh`` marks the first word of a text: the state before it is zero.
+    ``fresh`` marks the first word of a text: the state before it is zero.  Inside, lanes come last, so that each
+    gate of a step is one run of memory.
     """
     steps, lanes = ids.shape
-    x = p["e"][ids] + p["b"]
-    before = np.empty((steps, lanes, h.shape[1]), np.float32)
-    kept = []
-    for t in range(steps):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
-        before[t] = h
-        z, r, rec, cand = _gates(p, h, x[t])
-        if keep:
-            kept.append((z, r, rec, cand))
-        h = cand + z * (h - cand)
-    return before, h, kept
+    n, kind = h.shape[1], p["u"].dtype
+    sign = np.repeat(np.array([-1, 1], kind), [2 * n, n])  # gates are 1 / (1 + exp(-x))
+    u = np.ascontiguousarray((p["u"] * sign).T)
+    if ids.size > len(p["e"]):
+        x = ((p["e"] + p["b"]) * sign).take(ids.reshape(-1), axis=0)
+    else:
+        x = (p["e"].take(ids.reshape(-1), axis=0) + p["b"]) * sign
+    x = np.ascontiguousarray(x.reshape(steps, lanes, 3 * n).transpose(0, 2, 1))
+    before = np.empty((steps + 1, n, lanes), kind)
+    before[0] = h.T
+    rec = np.empty((steps if keep else 1, 3 * n, lanes), kind)
+    new = fresh.any(1).tolist()
+    by_step = zip(before, before[1:], rec if keep else itertools.repeat(rec[0]), x[:, : 2 * n], x[:, :n], x[:, n : 2 * n], x[:, 2 * n :])
+    with np.errstate(over="ignore"):  # a gate shut for good
+        for t, (a, after, now, gates, z, r, cand) in enumerate(by_step):
+            if new[t]:
+                a[:, fresh[t]] = 0
+            np.matmul(u, a, out=now)
+            gates += now[: 2 * n]
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            np.multiply(r, now[2 * n :], out=after)
+            cand += after
+            np.tanh(cand, out=cand)
+            np.subtract(a, cand, out=after)
+            after *= z
+            after += cand
+    return np.ascontiguousarray(before[:-1].transpose(0, 2, 1)), before[-1].T, (x, rec, before) if keep else None
 
 
 def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    np.clip(x, -60, 60, out=x)
-    x = np.exp(x, out=x)
-    s = x.sum(1)
-    return x, s
+    if x.max(initial=0) > 60 or x.min(initial=0) < -60:
+        np.clip(x, -60, 60, out=x)
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype)
 
 
 def output(p: dict, h: np.ndarray, ids: np.ndarray, grad: dict | None = None):
     """Natural log probability of each word given the state before it; with ``grad`` also the gradient of the states."""
     c = p["bc"].shape[0]
-    cls, word = ids // c, ids % c
+    cls = ids // c
     order = np.argsort(cls.astype(np.int16), kind="stable")
-    h, cls, word = h[order], cls[order], word[order]
-    rows = np.arange(len(h))
+    h, cls, word = h.take(order, axis=0), cls[order], (ids - cls * c)[order]
+    rows = np.arange(0, len(h) * c, c)
+    at_cls, at_word = rows + cls, rows + word
+    cuts = np.searchsorted(cls, np.arange(c + 1)).tolist()
+    parts = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
     x, s = _softmax(h @ p["wc"] + p["bc"])
-    got = np.log(x[rows, cls] / s)
-    if grad is not None:
-        x /= s[:, None]
-        x[rows, cls] -= 1
-        grad["wc"] += h.T @ x
-        grad["bc"] += x.sum(0)
-        back = x @ p["wc"].T
-    cuts = np.searchsorted(cls, np.arange(c + 1))
-    for k in range(c):
-        a, b = cuts[k], cuts[k + 1]
-        if a == b:
-            continue
-        x, s = _softmax(h[a:b] @ p["ww"][k] + p["bw"][k])
-        got[a:b] += np.log(x[rows[: b - a], word[a:b]] / s)
-        if grad is not None:
-            x /= s[:, None]
-            x[rows[: b - a], word[a:b]] -= 1
-            grad["ww"][k] += h[a:b].T @ x
-            grad["bw"][k] += x.sum(0)
-            back[a:b] += x @ p["ww"][k].T
-    out = np.empty(len(h), np.float32)
+    y = p["bw"].take(cls, axis=0)
+    for k, a, b in parts:
+        y[a:b] += h[a:b] @ p["ww"][k]
+    y, t = _softmax(y)
+    got = np.log(x.reshape(-1)[at_cls] / s * (y.reshape(-1)[at_word] / t))
+    out = np.empty_like(got)
     out[order] = got
     if grad is None:
         return out, None
+    x /= s[:, None]
+    x.reshape(-1)[at_cls] -= 1
+    y /= t[:, None]
+    y.reshape(-1)[at_word] -= 1
+    grad["wc"] += h.T @ x
+    grad["bc"] += x.sum(0)
+    back = x @ p["wc"].T
+    ones = np.ones(len(h), h.dtype)
+    for k, a, b in parts:
+        part = y[a:b]
+        grad["ww"][k] += h[a:b].T @ part
+        grad["bw"][k] += ones[a:b] @ part
+        back[a:b] += part @ p["ww"][k].T
     d = np.empty_like(back)
     d[order] = back
     return out, d
@@ -156,29 +169,41 @@ def output(p: dict, h: np.ndarray, ids: np.ndarray, grad: dict | None = None):
 def backward(p: dict, grad: dict, ids, fresh, before, kept, d_before: np.ndarray) -> None:
     """Gradients through one window; ``d_before`` is that of the states before each word."""
     steps, lanes, n = before.shape
-    dx = np.empty((steps, lanes, 3 * n), np.float32)
-    dh = np.zeros((lanes, n), np.float32)
-    drec = np.empty((lanes, 3 * n), np.float32)
+    x, rec, h = kept
+    h, z, r, cand = h[:-1], x[:, :n], x[:, n : 2 * n], x[:, 2 * n :]
+    d_before = np.ascontiguousarray(d_before.transpose(0, 2, 1))
+    of_cand = (1 - z) * (1 - cand * cand)
+    by = np.empty((steps, 3, n, lanes), x.dtype)  # what one of the state after a step makes of each gate
+    np.multiply((h - cand) * z, 1 - z, out=by[:, 0])
+    np.multiply(of_cand, r, out=by[:, 2])
+    np.multiply(by[:, 2] * rec[:, 2 * n :], 1 - r, out=by[:, 1])
+    dh = np.zeros((steps + 1, n, lanes), x.dtype)
+    u, new = np.ascontiguousarray(p["u"]), fresh.any(1).tolist()
     for t in range(steps - 1, -1, -1):
-        z, r, rec, cand = kept[t]
-        h = before[t]
-        dcand = dh * (1 - z) * (1 - cand * cand)
-        dz = dh * (h - cand) * z * (1 - z)
-        dr = dcand * rec * r * (1 - r)
-        dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, dcand
-        drec[:, :n], drec[:, n : 2 * n], drec[:, 2 * n :] = dz, dr, dcand * r
-        grad["u"] += h.T @ drec
-        dh = dh * z + drec @ p["u"].T + d_before[t]
-        dh[fresh[t]] = 0
-    grad["b"] += dx.sum((0, 1))
-    flat, g = ids.reshape(-1), dx.reshape(-1, 3 * n)
-    order = np.argsort(flat, kind="stable")
+        by[t] *= dh[t + 1]
+        now = dh[t]
+        np.matmul(u, by[t].reshape(3 * n, lanes), out=now)
+        now += dh[t + 1] * z[t]
+        now += d_before[t]
+        if new[t]:
+            now[:, fresh[t]] = 0
+    by = by.reshape(steps, 3 * n, lanes)
+    grad["u"] += np.matmul(h, by.transpose(0, 2, 1)).sum(0)
+    np.multiply(dh[1:], of_cand, out=by[:, 2 * n :])
+    g = np.ascontiguousarray(by.transpose(0, 2, 1)).reshape(-1, 3 * n)
+    grad["b"] += g.sum(0)
+    flat = ids.reshape(-1)
+    order = np.argsort(flat.astype(np.int32), kind="stable")
     at = np.flatnonzero(np.diff(flat[order], prepend=-1))
     grad["e"][flat[order[at]]] += np.add.reduceat(g[order], at, axis=0)
 
 
 # ------------------------------------------------------------------ texts in lanes
 
+#: Lanes at least, where there are texts for them: a step costs little more for them than for one.
+FEWEST_LANES = 32
+
+
 def lanes_of(n: np.ndarray, lanes: int) -> list[np.ndarray]:
     """Texts dealt to lanes, longest first, so that lanes end at about the same step."""
     heap = [(0, k) for k in range(lanes)]
@@ -194,26 +219,29 @@ def lanes_of(n: np.ndarray, lanes: int) -> list[np.ndarray]:
 def windows(ids: np.ndarray, n: np.ndarray, lanes: int, steps: int) -> Iterator[tuple]:
     """Windows over texts side by side: places in ``ids`` (-1: none) and marks of first words, steps x lanes.
 
-    The lanes still at work come first and their number falls, so ended lanes cost nothing.
+    A window holds about ``lanes * steps`` words.  There are no more lanes than end about when the longest text does, but
+    ``FEWEST_LANES``.  Those still at work come first and their number falls, so ended lanes cost nothing; the fewer they
+    are, the more steps a window has.
     """
+    most, lanes = lanes * steps, min(lanes, max(FEWEST_LANES, len(ids) // max(int(n.max(initial=0)), 1)))
     starts = np.cumsum(n) - n
-    dealt = lanes_of(n, lanes)
-    tracks = [np.concatenate([np.arange(starts[i], starts[i] + n[i]) for i in lane]) for lane in dealt]
-    firsts = [np.cumsum(n[lane]) - n[lane] for lane in dealt]
-    order = sorted(range(len(tracks)), key=lambda k: -len(tracks[k]))
-    size = np.array([len(tracks[k]) for k in order])
-    for t in range(0, int(size[0]) if len(size) else 0, steps):
+    dealt = sorted(lanes_of(n, lanes), key=lambda lane: -n[lane].sum())
+    if not dealt:
+        return
+    listed = np.concatenate(dealt)
+    size = np.array([n[lane].sum() for lane in dealt])
+    base, first = np.cumsum(size) - size, np.cumsum(n[listed]) - n[listed]
+    place = np.arange(int(size.sum())) + np.repeat(starts[listed] - first, n[listed])  # lane after lane
+    begins = np.zeros(len(place), bool)
+    begins[first] = True
+    t, last = 0, int(size[0])
+    while t < last:
         live = int((size > t).sum())
-        width = min(steps, int(size[0]) - t)
-        at = np.full((width, live), -1, np.int64)
-        fresh = np.zeros((width, live), bool)
-        for j in range(live):
-            part = tracks[order[j]][t : t + width]
-            at[: len(part), j] = part
-            f = firsts[order[j]]
-            f = f[np.searchsorted(f, t) : np.searchsorted(f, t + width)]
-            fresh[f - t, j] = True
-        yield at, fresh
+        step = np.arange(t, min(t + max(most // live, 1), last))[:, None]
+        real = step < size[:live]
+        track = np.where(real, base[:live] + step, 0)
+        yield np.where(real, place[track], -1), begins[track] & real
+        t += len(step)
 
 
 def log_probability(p: dict, ids: np.ndarray, n: np.ndarray, lanes: int = 512, steps: int = 32) -> np.ndarray:
@@ -241,27 +269,35 @@ class Trainer:
 
     def learn(self, ids: np.ndarray, n: np.ndarray, lanes: int, steps: int) -> None:
         p = self.shape.views(self.flat)
+        g = np.empty_like(self.flat)
+        grad = self.shape.views(g)
         h = np.zeros((0, self.shape.size), np.float32)
         for at, fresh in windows(ids, n, lanes, steps):
             live = at.shape[1]
             h = np.zeros((live, self.shape.size), np.float32) if not len(h) else h[:live]
             seen, real = np.where(at < 0, 0, ids[at]), at >= 0
-            g = np.zeros_like(self.flat)
-            grad = self.shape.views(g)
+            g.fill(0)
             before, h, kept = forward(p, seen, fresh, h, keep=True)
             _, d = output(p, before[real], seen[real], grad)
             full = np.zeros_like(before)
             full[real] = d
             backward(p, grad, seen, fresh, before, kept, full)
-            g /= max(int(real.sum()), 1)
-            norm = float(np.sqrt((g * g).sum()))
-            if norm > 1:
-                g /= norm
+            count = max(len(d), 1)
+            norm = float(np.sqrt(g @ g)) / count
+            g /= count * max(norm, 1)
             self.k += 1
-            self.seen += int(real.sum())
-            self.m += 0.1 * (g - self.m)
-            self.v += 0.01 * (g * g - self.v)
-            self.flat -= self.rate * (self.m / (1 - 0.9**self.k)) / (np.sqrt(self.v / (1 - 0.99**self.k)) + 1e-6)
+            self.seen += len(d)
+            self.m *= 0.9  # sums of gradients, not yet times 0.1, and of squares, not yet times 0.01
+            self.m += g
+            g *= g
+            self.v *= 0.99
+            self.v += g
+            scale = (1 - 0.99**self.k) ** 0.5 / 0.1
+            np.sqrt(self.v, out=g)
+            g += 1e-6 * scale
+            np.divide(self.m, g, out=g)
+            g *= self.rate * 0.1 * scale / (1 - 0.9**self.k)
+            self.flat -= g
 
 
 # ------------------------------------------------------------------ over Spark
@@ -340,6 +376,26 @@ class _Finder:
         return np.minimum(at, last), found
 
 
+def _placed(dealt: DataFrame, heavy: np.ndarray, place: np.ndarray, shape: Shape) -> DataFrame:
+    """Places of the words of each text beside ``round, at``: the rounds then read no texts."""
+    sent = dealt.sparkSession.sparkContext.broadcast((heavy, place))
+
+    def run(batches):
+        listed, of = sent.value
+        find = _Finder(listed)
+        for batch in batches:
+            data, offsets = texts(batch.column("body"))
+            for i, j in slices(offsets, 1 << 23):
+                h, n = _tokens(data, offsets[i : j + 1])
+                at, known = find(h)
+                ids = (np.where(known, of[at], 0) if len(of) else np.zeros(len(h))).astype(shape.kind)
+                ends = np.concatenate(([0], np.cumsum(n))) * shape.kind.itemsize
+                stored = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("round").slice(i, j - i), batch.column("at").slice(i, j - i), stored], names=["round", "at", "ids"])
+
+    return dealt.select("round", "at", "body").mapInArrow(run, "round long, at long, ids binary")
+
+
 def train(
     bodies: DataFrame, counts: Counts, shape: Shape, rounds: int = 8, lanes: int = 256, steps: int = 16, rate: float = 0.01,
     learner_tokens: int = LEARNER_TOKENS,
@@ -360,18 +416,17 @@ def train(
     learners = max(1, round(counts.tokens / (rounds * learner_tokens)))
     groups = max(1, round(min(learners, MOST_TASKS) ** 0.5))
     dealt = bodies.withColumns({"round": F.pmod(F.xxhash64("k", "body", F.lit(11)), F.lit(rounds)), "at": F.xxhash64("k", "body", F.lit(12))})
+    stored = cut_lineage(_placed(dealt, counts.heavy, place, shape))
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((flat, counts.heavy, place))
+        sent = spark.sparkContext.broadcast(flat)
 
         def run(batches):
-            now, heavy, of = sent.value
-            find, total, seen, trainer, last, waiting = _Finder(heavy), np.zeros(len(now)), 0, None, None, []
+            now = sent.value
+            total, seen, trainer, last, waiting = np.zeros(len(now)), 0, None, None, []
 
             def learn():
-                data, offsets = texts(pa.array(waiting, pa.large_binary()))
-                h, n = _tokens(data, offsets)
-                at, known = find(h)
-                trainer.learn(np.where(known, of[at], 0) if len(of) else np.zeros(len(h), np.int64), n, lanes, steps)
+                n = np.array([len(x) for x in waiting]) // shape.kind.itemsize
+                trainer.learn(np.frombuffer(b"".join(waiting), shape.kind).astype(np.int64), n, lanes, steps)
                 waiting.clear()
 
             def finish():
@@ -382,14 +437,14 @@ def train(
                 seen += trainer.seen
 
             for batch in batches:
-                for learner, body in zip(batch.column("learner").to_pylist(), batch.column("body")):
+                for learner, ids in zip(batch.column("learner").to_pylist(), batch.column("ids")):
                     if learner != last:
                         if trainer is not None:
                             finish()
                         trainer, last, size = Trainer(shape, now, rate), learner, 0
-                    waiting.append(body.as_py())
+                    waiting.append(ids.as_py())
                     size += len(waiting[-1])
-                    if size >= 1 << 21:
+                    if size >= 4 * LEARNER_TOKENS * shape.kind.itemsize:
                         learn()
                         size = 0
             if trainer is not None:
@@ -402,9 +457,9 @@ def train(
                 total += np.frombuffer(x, np.float64)
             return pd.DataFrame({"value": [total.tobytes()], "seen": [frame["seen"].sum()]})
 
-        part = dealt.filter(F.col("round") == turn).withColumn("learner", F.pmod(F.xxhash64("at"), F.lit(learners)))
-        placed = part.repartition(min(learners, MOST_TASKS), "learner").sortWithinPartitions("learner", "at", "body")
-        made = placed.select("learner", "body").mapInArrow(run, "value binary, seen long").withColumn("g", F.spark_partition_id() % groups)
+        part = stored.filter(F.col("round") == turn).withColumn("learner", F.pmod(F.xxhash64("at"), F.lit(learners)))
+        placed = part.repartition(min(learners, MOST_TASKS), "learner").sortWithinPartitions("learner", "at", "ids")
+        made = placed.select("learner", "ids").mapInArrow(run, "value binary, seen long").withColumn("g", F.spark_partition_id() % groups)
         sums = made.groupBy("g").applyInPandas(add, "value binary, seen long").collect()  # one row a group
         seen = sum(r["seen"] for r in sums)
         if seen:
@@ -438,7 +493,7 @@ def score(docs: DataFrame, counts: Counts, shape: Shape, flat: np.ndarray, key:
         logs = np.log10(heavy_counts + 1.0)
         for batch in batches:
             data, offsets = texts(batch.column("body"))
-            for i, j in slices(offsets, 1 << 22):
+            for i, j in slices(offsets, 1 << 23):
                 h, n = _tokens(data, offsets[i : j + 1])
                 at, known = find(h)
                 if not len(of):

@@ -60,6 +60,24 @@ def test_lanes_and_windows_do_not_matter():
     assert np.allclose(alone, want, rtol=1e-4)
 
 
+def test_windows_hold_every_word_once_and_are_full():
+    """One long text beside many short ones: the windows follow the words, not the longest text."""
+    n = np.array([3, 0, 8000, *[500] * 400, 1])
+    starts, total = np.cumsum(n) - n, int(n.sum())
+    made = list(lm.windows(np.zeros(total, np.int64), n, 256, 16))
+    assert len(made) <= 1.5 * total / (256 * 16) + 3  # were 500
+    assert max(at.size for at, _ in made) <= 256 * 16
+    assert sorted(np.concatenate([at[at >= 0] for at, _ in made])) == list(range(total))
+    assert sorted(np.concatenate([at[fresh] for at, fresh in made])) == sorted(starts[n > 0])
+    after = {}
+    for at, fresh in made:  # a lane goes on where it was, or starts a text
+        for lane in range(at.shape[1]):
+            for i, new in zip(at[:, lane], fresh[:, lane]):
+                assert i < 0 or new or after[lane] == i
+                after[lane] = i + 1
+    assert list(lm.windows(np.zeros(0, np.int64), np.zeros(3, np.int64), 4, 4)) == []
+
+
 def test_gradients_against_differences():
     rng = np.random.default_rng(0)
     shape = lm.Shape(3, 4)
