@@ -79,7 +79,7 @@ def cached_neighbours(spark, folder):
         qualify row_number() over (partition by t.name order by rank_score desc, n.transcript_id) = 1"""),
 )
 def annotate_direct(spark, folder):
-    annotation = ac.prepare(ga.parse_gtf(_gtf_lines(spark, folder)))
+    annotation = ac.prepare(ga.parse_gtf(cut_lineage(_gtf_lines(spark, folder))))
     found, _, _ = ac.annotate_direct(_targets(spark, folder), annotation)
     known = ~F.contains("transcript_id", F.lit("_"))  # the others are novel exons put into transcripts
     return found.filter(known).select(

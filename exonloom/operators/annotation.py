@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exonloom.functions.sequence import gc_percent, strip_version
-from exonloom.operators.intervals import merge, merge_within, point_join, subtract
-from exonloom.operators.ranking import top_row
+from exonloom.operators.intervals import merge, merge_within, occupied_rungs, point_join, subtract
+from exonloom.session import cut_lineage
 
 ID_COLUMNS = ("gene_id", "transcript_id", "exon_id")
 
@@ -56,11 +56,15 @@ def strip_versions(df: DataFrame, columns: Sequence[str] = ID_COLUMNS) -> DataFr
 def drop_sex_duplicates(
     df: DataFrame, remove: Sequence[str] = ("chrY", "Y"), gene: str = "gene_id"
 ) -> DataFrame:
-    """Drop the rows on ``remove`` of genes that own more than one ``gene`` row."""
+    """Drop the rows on ``remove`` of genes that own more than one ``gene`` row.
+
+    These genes are few in an annotation; they are found first and stored, so that Spark knows their size and broadcasts
+    them instead of shuffling all rows.
+    """
     allowed = {"chrX", "chrY", "X", "Y"}
     if not set(remove) <= allowed:
         raise ValueError(f"only {sorted(allowed)} can be removed")
-    doubled = (
+    doubled = cut_lineage(
         df.filter(F.col("feature") == "gene").groupBy(gene)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter("_n > 1")
@@ -86,12 +90,17 @@ def split_edge_exons(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ---------------------------------------------------------------- structure
 
+def _gap_behind() -> tuple[Column, Column]:
+    """How far a transcript's exons reach up to this one, and where its next one starts."""
+    order = Window.partitionBy("transcript_id").orderBy("start", "end")
+    return F.max("end").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lead("start").over(order)
+
+
 def introns(exons: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Gaps between a transcript's own exons, with ``intron_id`` = ``chrom_start_end``."""
     keys = ["transcript_id", "chrom", "strand", *carry]
-    order = Window.partitionBy("transcript_id").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    gaps = exons.select(*keys, reach.alias("_s"), F.lead("start").over(order).alias("_e"))
+    reach, after = _gap_behind()
+    gaps = exons.select(*keys, reach.alias("_s"), after.alias("_e"))
     return gaps.filter(F.col("_e") > F.col("_s")).select(
         *keys, F.col("_s").alias("start"), F.col("_e").alias("end"),
         F.concat_ws("_", "chrom", F.col("_s").cast("string"), F.col("_e").cast("string")).alias("intron_id"),
@@ -104,18 +113,24 @@ def _strand_order(strand: str = "strand") -> list[Column]:
 
 
 def subfeatures(exons: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """Exons and introns, numbered 1.. in transcript order within each feature."""
+    """Exons and introns, numbered 1.. in transcript order within each feature.
+
+    An exon brings the gap behind it along (see ``introns``), so the exons are shuffled once, to their transcripts.
+    """
     keys = ["transcript_id", "chrom", "strand", *carry]
-    body = exons.select(*keys, "start", "end").withColumn("feature", F.lit("exon"))
-    gaps = introns(exons, carry).drop("intron_id").withColumn("feature", F.lit("intron"))
+    reach, after = _gap_behind()
+    span = lambda s, e, feature: F.struct(F.col(s).alias("start"), F.col(e).alias("end"), F.lit(feature).alias("feature"))
+    own, gap = span("start", "end", "exon"), span("_s", "_e", "intron")
+    walked = exons.select(*keys, "start", "end", reach.alias("_s"), after.alias("_e"))
+    rows = walked.select(*keys, F.inline(F.when(F.col("_e") > F.col("_s"), F.array(own, gap)).otherwise(F.array(own))))
     order = Window.partitionBy("transcript_id", "feature").orderBy(*_strand_order())
-    return body.unionByName(gaps).withColumn("number", F.row_number().over(order).cast("bigint"))
+    return rows.withColumn("number", F.row_number().over(order).cast("bigint"))
 
 
 def neighbours(
-    features: DataFrame, level: int = 2, target: str = "exon", attributes: Sequence[str] = ()
+    features: DataFrame, level: int = 2, target: str | None = "exon", attributes: Sequence[str] = ()
 ) -> DataFrame:
-    """Target features with their ``level`` nearest features on both sides, strand aware.
+    """Target features (all where ``target`` is None) with their ``level`` nearest features on both sides, strand aware.
 
     Features of a transcript tile it, so the k-th nearest is the k-th row before or after; one
     window per transcript answers every level.  A bookended neighbour is at distance 1.
@@ -137,7 +152,7 @@ def neighbours(
                 f"distance_{side}_{k}",
                 F.when(e <= F.col("start"), F.col("start") - e + 1).otherwise(s - F.col("end") + 1),
             )
-    return out.filter(F.col("feature") == target)
+    return out if target is None else out.filter(F.col("feature") == target)
 
 
 def splice_sites(exons: DataFrame) -> DataFrame:
@@ -366,8 +381,13 @@ def annotate_by_key(targets: DataFrame, features: DataFrame) -> tuple[DataFrame,
 
 
 def top_known(known: DataFrame, keys: Sequence[str], tie: Sequence[str]) -> DataFrame:
-    """The match with the highest rank score of each key, ties by ``tie``; one map-side combine."""
-    return top_row(known, keys, F.struct(-F.col("rank_score"), *[F.col(c) for c in tie]))
+    """The match with the highest rank score of each key, ties by ``tie``.
+
+    Spark keeps one row of a key in each task before the shuffle, and only columns that are used later travel, which a
+    ``min_by`` of whole rows would not know.
+    """
+    order = Window.partitionBy(*keys).orderBy(-F.col("rank_score"), *tie)
+    return known.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == 1).drop("_place")
 
 
 # ---------------------------------------------------------------- novel exons
@@ -378,6 +398,7 @@ def insert_exons(
     gene: str = "gene_id",
     top_only: bool = True,
     bin_width: int = 1 << 14,
+    stored: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Put novel exons into every transcript of their gene that can hold them.
 
@@ -388,7 +409,8 @@ def insert_exons(
 
     ``new`` needs ``exon_id, chrom, start, end, strand`` and the gene column; ``exons`` needs
     ``transcript_id, chrom, start, end, strand, rank_score`` and the gene column.  Returns
-    (inserted exons, structures of the new transcripts, discarded exons).
+    (inserted exons, structures of the new transcripts, discarded exons).  Where several of them are used, ``stored``
+    keeps the exons in their places in the shared checkpoint folder, so that these are found once.
     """
     body = exons.select(
         gene, "transcript_id", "chrom", "strand", "rank_score",
@@ -398,8 +420,11 @@ def insert_exons(
         F.min("_s").alias("start"), F.max("_e").alias("end"),
         F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_e").alias("e"))).alias("parts"),
     )
+    if stored:
+        spans = cut_lineage(spans)
     # Only transcripts that hold the exon's first base are met; the search is inside each one's exon array.
-    met = point_join(new, spans, [gene, "chrom", "strand"], bin_width, "start")
+    rungs = occupied_rungs(spans, bin_width) if stored else None
+    met = point_join(new, spans, [gene, "chrom", "strand"], bin_width, "start", rungs=rungs)
     before = F.array_max(
         F.transform(F.filter("parts_b", lambda x: x["e"] <= F.col("start")), lambda x: x["e"])
     )
@@ -428,13 +453,16 @@ def insert_exons(
     chosen = fits
     if top_only:
         chosen = top_known(fits, ["exon_id", gene], ["base_transcript_id"])
+    if stored:
+        chosen = cut_lineage(chosen)
     own = F.array(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))
     rebuilt = chosen.select(
         "transcript_id", "chrom", "strand", gene, "rank_score", F.inline(F.concat("_stays", own))
     ).withColumnsRenamed({"s": "start", "e": "end"})
     structures = subfeatures(rebuilt, [gene, "rank_score"])
     inserted = chosen.drop("_stays").withColumn("feature", F.lit("exon"))
-    discarded = new.join(fits.select("exon_id").distinct(), "exon_id", "left_anti")
+    # the best of an exon is chosen among its places, so the exons that have one are the same
+    discarded = new.join((chosen if stored else fits).select("exon_id").distinct(), "exon_id", "left_anti")
     return inserted, structures, discarded
 
 

@@ -205,6 +205,11 @@ def _occupied(df: DataFrame, start: str, end: str, widths: Sequence[int]) -> set
     return {r["rung"] for r in df.select(_rung_of(start, end, widths).alias("rung")).distinct().collect()}
 
 
+def occupied_rungs(df: DataFrame, bin_width: int, start: str = "start", end: str = "end") -> set[int]:
+    """The rungs of the ladder from ``bin_width`` on which a stored frame's intervals live."""
+    return _occupied(df, start, end, _rungs(bin_width))
+
+
 def _seats(start: str, end: str, widths: Sequence[int], guest: int, home: int, hosts: set[int] | None = None) -> Column:
     """``(rung, bin, side)`` of an interval: the bins it touches at home, and as a guest on every wider rung.
 
@@ -269,20 +274,23 @@ def overlap_join(
 
 
 def point_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], bin_width: int, at: str, start: str = "start", end: str = "end", suffix: str = "_b"
+    left: DataFrame, right: DataFrame, keys: Sequence[str], bin_width: int, at: str, start: str = "start", end: str = "end", suffix: str = "_b",
+    rungs: set[int] | None = None,
 ) -> DataFrame:
     """Pairs where the place ``at`` of the left lies in the right interval; the ladder of ``overlap_join``.
 
-    A place has one bin on every rung, so the right stays on its own rung: one or two rows each.
+    A place has one bin on every rung, so the right stays on its own rung: one or two rows each.  Where ``rungs``, those
+    that the right lives on (see ``occupied_rungs``), are known, a place takes one row for each of them only.
     """
     keys, widths = list(keys), _rungs(bin_width)
+    asked = range(len(widths)) if rungs is None else sorted(rungs)
     rs, re = f"{start}{suffix}", f"{end}{suffix}"
     seat = lambda i, place: F.struct(F.lit(i).alias("_rung"), F.floor(place / F.lit(widths[i])).cast("bigint").alias("_bin"))
     renamed = right.select(*keys, *[F.col(c).alias(f"{c}{suffix}") for c in right.columns if c not in keys])
     rung = _rung_of(rs, re, widths)
     last = F.greatest(F.col(re) - 1, F.col(rs))
     homes = [F.when(rung == i, F.array_distinct(F.array(seat(i, F.col(rs)), seat(i, last)))) for i in range(len(widths))]
-    a = left.select("*", F.inline(F.array(*[seat(i, F.col(at)) for i in range(len(widths))])))
+    a = left.select("*", F.inline(F.array(*[seat(i, F.col(at)) for i in asked]).cast("array<struct<_rung:int,_bin:bigint>>")))
     b = renamed.select("*", F.inline(F.coalesce(*homes)))
     met = a.join(b, [*keys, "_rung", "_bin"]).filter((F.col(rs) <= F.col(at)) & (F.col(at) < F.col(re)))
     return met.drop("_rung", "_bin")

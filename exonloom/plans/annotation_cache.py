@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from exonloom.operators import annotation as an
 from exonloom.operators import sequences as sq
 from exonloom.operators.ranking import rank_transcripts
+from exonloom.session import cut_lineage
 from exonloom.sources.annotation import expand_attributes, read_gtf
 
 LABELS = ["gene_id", "gene_name", "transcript_type", "rank_score"]
+# What ``features_of`` uses of an annotation.
+USED = ["feature", "transcript_id", "chrom", "strand", "start", "end", "gene_id", "gene_name", "transcript_type", "tag"]
 
 
 def prepare(gtf: DataFrame) -> DataFrame:
@@ -21,6 +24,11 @@ def prepare(gtf: DataFrame) -> DataFrame:
     return an.drop_sex_duplicates(an.strip_versions(expand_attributes(gtf)))
 
 
+def _taken_apart(annotation: DataFrame) -> DataFrame:
+    """The rows and columns that ``features_of`` uses, stored: its branches and filters take no line apart again."""
+    return cut_lineage(annotation.filter(F.col("feature").isin("transcript", "exon")).select(*USED))
+
+
 def features_of(annotation: DataFrame, genome: DataFrame | None = None, chunk: int = 4096) -> DataFrame:
     """Numbered exons and introns with labels; with a genome also GC and length."""
     ranked = rank_transcripts(annotation.filter("feature = 'transcript'")).select(
@@ -65,11 +73,12 @@ def annotate(
     named = absent.withColumn("exon_id", F.concat(
         "chrom", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")
     )).select("exon_id", "chrom", "start", "end", "strand", gene, name).dropDuplicates(["exon_id", gene])
-    inserted, structures, discarded = an.insert_exons(named, features.filter("feature = 'exon'"), gene)
+    inserted, structures, discarded = an.insert_exons(cut_lineage(named), features.filter("feature = 'exon'"), gene, stored=True)
     around = an.neighbours(an.add_length(structures), level, "exon", ["length"])
-    novel = around.join(
-        inserted.select("transcript_id", "start", "end", F.col(name)), ["transcript_id", "start", "end"]
-    )
+    # equal places, said so that the transcript alone is the key: the neighbours stay where their window has put them
+    own = inserted.select("transcript_id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col(name))
+    at = (F.col("start") >= F.col("_s")) & (F.col("start") <= F.col("_s")) & (F.col("end") >= F.col("_e")) & (F.col("end") <= F.col("_e"))
+    novel = around.join(own, "transcript_id").filter(at).drop("_s", "_e")
     return best.unionByName(novel, allowMissingColumns=True), absent, discarded
 
 
@@ -84,12 +93,14 @@ def annotate_direct(
     """
     gene = next((g for g in ("gene_name", "gene_id") if g in targets.columns), None)
     if gene is not None:
-        hit = annotation.join(targets.select(gene).distinct(), gene, "left_semi")
+        # null-safe, as a test for null would be carried down to the lines and take each apart once more
+        wanted = targets.filter(F.col(gene).isNotNull()).select(F.col(gene).alias("_wanted")).distinct()
+        hit = annotation.join(wanted, F.col(gene).eqNullSafe(F.col("_wanted")), "left_semi")
     else:
         keys = ["chrom", "start", "end"]
         genes = annotation.filter("feature = 'exon'").join(targets.select(*keys).distinct(), keys, "left_semi").select("gene_id").distinct()
         hit = annotation.join(genes, "gene_id", "left_semi")
-    features = features_of(hit, genome, chunk)
+    features = features_of(_taken_apart(hit), genome, chunk)
     extra = [c for c in ("gc", "length") if c in features.columns]
     near = an.neighbours(features, level, "exon", extra)
     return annotate(targets, near, features, name, level)

@@ -180,3 +180,16 @@ def test_points_in_intervals_against_brute_force(spark):
     got = iv.point_join(make(left), make(right), ["k"], 4, "start").select("id", "id_b").collect()
     want = sorted((a[3], b[3]) for a in left for b in right if a[0] == b[0] and b[1] <= a[1] < b[2])
     assert sorted(map(tuple, got)) == want
+
+
+def test_a_place_asks_only_rungs_that_are_lived_on(spark):
+    rng = random.Random(8)
+    make = lambda rows: spark.createDataFrame(rows, "k string, id bigint, start bigint, end bigint")
+    left = make([("a", i, s, s + 1) for i in range(60) for s in [rng.randrange(400)]])
+    right = make([("a", i, s, s + rng.choice([0, 3, 30, 300])) for i in range(60) for s in [rng.randrange(400)]] + [("a", 99, None, None)])
+    rungs = iv.occupied_rungs(right, 4)
+    assert rungs < set(range(8))
+    want = iv.point_join(left, right, ["k"], 4, "start").select("id", "id_b")
+    got = iv.point_join(left, right, ["k"], 4, "start", rungs=rungs).select("id", "id_b")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 100
+    assert iv.point_join(left, right, ["k"], 4, "start", rungs=set()).count() == 0

@@ -326,3 +326,35 @@ def test_attribute_texts_are_taken_apart_once(spark):
     assert {r["k"]: r["tag"] for r in one.collect()} == {k: r["tag"] for k, r in got.items()}
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_taken_apart_once_and_rows_shuffled_once(spark, tmp_path):
+    lines = [x for x in gtf_text().splitlines()] + ['chr1\tsrc\texon\t5\t9\t.\t+\t.\ttranscript_id "T1.1";']  # an exon of no gene
+    annotation = ac.prepare(ga.parse_gtf(spark.createDataFrame([(x,) for x in lines], "value string")))
+    assert "SortMergeJoin" not in _plan(annotation)  # genes with two rows are stored, their size is known
+    targets = spark.createDataFrame(
+        [("a", "chr1", 500, 600, "+", "G1"), ("b", "chr1", 700, 760, "+", "G1"), ("c", "chr1", 4, 9, "+", None), (None, "chr1", 900, 1000, "+", "G1")],
+        "name string, chrom string, start bigint, end bigint, strand string, gene_id string",
+    )
+    found, absent, _ = ac.annotate_direct(targets, annotation)
+    assert "regexp" not in _plan(found) and "regexp" not in _plan(absent)
+    got = {r["name"]: (r["transcript_id"].partition("_")[0], r["number"], r["start_upstream_2"]) for r in found.collect()}
+    assert got == {"a": ("T1", 2, 100), "b": ("T1", 3, 500), None: ("T1", 3, 500)}
+    assert sorted(r["name"] for r in absent.collect()) == ["b", "c"]
+    body = annotation.filter("feature = 'exon'").select("transcript_id", "chrom", "strand", "start", "end")
+    numbered = an.neighbours(an.subfeatures(body))
+    assert _plan(numbered).count("Exchange hashpartitioning") == 1
+
+
+def test_best_match_leaves_unused_columns_behind(spark):
+    rows = [("k", 1, "b", "x1"), ("k", 3, "c", "x2"), ("k", 3, "a", "x3"), (None, -1, "z", "x4"), ("n", None, "q", "x5"), ("n", 2, "r", "x6")]
+    df = spark.createDataFrame(rows, "k string, rank_score bigint, t string, wide string")
+    best = an.top_known(df, ["k"], ["t"])
+    assert best.columns == df.columns
+    # a score that is not known stands first, as in the order of a struct
+    assert sorted(map(tuple, best.collect()), key=str) == sorted([("k", 3, "a", "x3"), (None, -1, "z", "x4"), ("n", None, "q", "x5")], key=str)
+    assert "wide" not in _plan(best.select("k", "t")).split("Exchange")[0]  # what is above the shuffle
