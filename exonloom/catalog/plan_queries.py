@@ -60,7 +60,7 @@ _NEAR = (EXONS, TRANSCRIPTS, _WEIGHTS, SCORED, INTRONS, FEATURES, _neighbour_sql
 )
 def cached_neighbours(spark, folder):
     gtf, out = _place(spark, "gtf"), _place(spark, "cache")
-    _gtf_lines(spark, folder).write.text(gtf)
+    _gtf_lines(spark, folder).write.text(gtf, compression="gzip")
     ac.build_cache(spark, gtf, out)
     near = ga.read_cache(spark, f"{out}/neighbours", "exon", 1)
     if [c for c in near.columns if c.endswith("_2")]:

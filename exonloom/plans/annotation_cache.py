@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from exonloom.operators import annotation as an
 from exonloom.operators import sequences as sq
 from exonloom.operators.ranking import rank_transcripts
-from exonloom.session import cut_lineage
+from exonloom.session import cut_lineage, scratch
 from exonloom.sources.annotation import expand_attributes, read_gtf
 
 LABELS = ["gene_id", "gene_name", "transcript_type", "rank_score"]
 # What ``features_of`` uses of an annotation.
 USED = ["feature", "transcript_id", "chrom", "strand", "start", "end", "gene_id", "gene_name", "transcript_type", "tag"]
 
+CODEC = "zstd"  # of the cache's files
+
 
 def prepare(gtf: DataFrame) -> DataFrame:
     """Expanded annotation without id versions and without sex-chromosome duplicates."""
@@ -45,16 +47,18 @@ def features_of(annotation: DataFrame, genome: DataFrame | None = None, chunk: i
 def build_cache(
     spark: SparkSession, gtf_path: str, out: str, genome: DataFrame | None = None, chunk: int = 4096, level: int = 2
 ) -> None:
-    """Write ``features`` and ``neighbours`` under ``out``; the features are computed once."""
-    features = features_of(prepare(read_gtf(spark, gtf_path)), genome, chunk)
-    features.write.mode("overwrite").parquet(f"{out}/features")
-    stored = spark.read.parquet(f"{out}/features")
-    extra = [c for c in ("gc", "length") if c in stored.columns]
-    both = [
-        an.neighbours(stored, level, target, extra).withColumn("cache_feature", F.lit(target))
-        for target in ("exon", "intron")
-    ]
-    both[0].unionByName(both[1]).write.mode("overwrite").partitionBy("cache_feature").parquet(f"{out}/neighbours")
+    """Write ``features`` and ``neighbours`` under ``out``; the features are computed once.
+
+    One window, where the numbering has put the transcripts, gives the neighbours of exons and introns.  Their table holds
+    every feature, so the features are read off it and not shuffled again.  What is stored on the way is deleted.
+    """
+    with scratch(spark):
+        features = features_of(_taken_apart(prepare(read_gtf(spark, gtf_path))), genome, chunk)
+        extra = [c for c in ("gc", "length") if c in features.columns]
+        near = an.neighbours(features, level, None, extra).withColumn("cache_feature", F.col("feature"))
+        near.write.mode("overwrite").option("compression", CODEC).partitionBy("cache_feature").parquet(f"{out}/neighbours")
+    whole = spark.read.schema(near.schema).parquet(f"{out}/neighbours").select(*features.columns)
+    whole.write.mode("overwrite").option("compression", CODEC).parquet(f"{out}/features")
 
 
 def annotate(

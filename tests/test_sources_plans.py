@@ -358,3 +358,20 @@ def test_best_match_leaves_unused_columns_behind(spark):
     # a score that is not known stands first, as in the order of a struct
     assert sorted(map(tuple, best.collect()), key=str) == sorted([("k", 3, "a", "x3"), (None, -1, "z", "x4"), ("n", None, "q", "x5")], key=str)
     assert "wide" not in _plan(best.select("k", "t")).split("Exchange")[0]  # what is above the shuffle
+
+
+def test_cache_is_written_from_one_window(spark, tmp_path, monkeypatch):
+    calls, real = [], an.neighbours
+    monkeypatch.setattr(an, "neighbours", lambda *a, **k: calls.append(1) or real(*a, **k))
+    path, out = write(tmp_path / "a.gtf", gtf_text()), str(tmp_path / "cache")
+    ac.build_cache(spark, path, out)
+    assert len(calls) == 1  # the features are not shuffled once for exons and once for introns
+    rows = lambda d: sorted(str(sorted(r.asDict().items())) for r in d.collect())
+    features = ac.features_of(ac.prepare(ga.read_gtf(spark, path)))
+    stored = spark.read.parquet(f"{out}/features")
+    assert stored.columns == features.columns and rows(stored) == rows(features) and stored.count() == 2 * (4 + 3)
+    for kind in ("exon", "intron"):
+        assert rows(ga.read_cache(spark, f"{out}/neighbours", kind, 2).drop("cache_feature")) == rows(real(features, 2, kind, ["length"]))
+    # an annotation without transcripts has a cache without rows
+    ac.build_cache(spark, write(tmp_path / "b.gtf", "#comment\n"), f"{out}2")
+    assert spark.read.parquet(f"{out}2/features").count() == 0
