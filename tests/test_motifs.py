@@ -306,3 +306,21 @@ def test_matrix_scores_are_looked_up_columns_at_a_time():
             score = sum(int(t[sum(x * 5 ** (3 - j) for j, x in enumerate(word[4 * i : 4 * i + 4]))]) for i, t in enumerate(tables))
             plain = 4 not in word[:k] and tail[sum(steps[j][x] for j, x in enumerate(word[:k])) - low] <= 0.2
             assert (score >= least) == plain
+
+
+def test_substitutions_are_found_where_the_texts_lie(spark, monkeypatch):
+    texts = [("s", "ACGTAéACGTATTAAAAAAA"), ("s", "GGACGTAC"), ("t", "ACGTA"), ("u", None), (None, "ACGTA"), ("v", "TTACGTAAAAAACGTA"), ("w", "")]
+    s = spark.createDataFrame(texts, "seq_id string, seq string")
+    words = spark.createDataFrame([("A", "ACGTA"), ("B", "AAAAA"), ("B", "ACGTA"), ("C", "éACGT"), ("D", None)], "rbp_name string, motif string")
+    rows = lambda d: sorted(map(repr, d.collect()))
+    for some in (s, s.filter("seq like 'T%' or seq_id = 't'"), s.filter("seq_id is null")):
+        hits = mo.scan_exact(some, words)
+        want = pe.motif_substitutions(hits, some).withColumn("seq_md5", F.md5("seq")).drop("seq")
+        got = pe.motif_substitution_digests(hits, some, block=4, motifs=words)
+        assert got.columns == want.columns and rows(got) == rows(want)
+    alone = s.filter("seq_id in ('t', 'v')")
+    plan = pe.motif_substitution_digests(mo.scan_exact(alone, words), alone, motifs=words)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    monkeypatch.setattr(pe, "REPEATED_AT_MOST", 0)
+    hits = mo.scan_exact(s, words)
+    assert rows(pe.motif_substitution_digests(hits, s, motifs=words)) == rows(pe.motif_substitution_digests(hits, s))
