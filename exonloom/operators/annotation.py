@@ -384,10 +384,11 @@ def top_known(known: DataFrame, keys: Sequence[str], tie: Sequence[str]) -> Data
     """The match with the highest rank score of each key, ties by ``tie``.
 
     Spark keeps one row of a key in each task before the shuffle, and only columns that are used later travel, which a
-    ``min_by`` of whole rows would not know.
+    ``min_by`` of whole rows would not know.  Like that, it takes the last of a task's rows that are equal in all this.
     """
-    order = Window.partitionBy(*keys).orderBy(-F.col("rank_score"), *tie)
-    return known.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == 1).drop("_place")
+    order = Window.partitionBy(*keys).orderBy(-F.col("rank_score"), *tie, F.desc("_turn"))
+    turned = known.withColumn("_turn", F.monotonically_increasing_id())
+    return turned.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == 1).drop("_place", "_turn")
 
 
 # ---------------------------------------------------------------- novel exons
